@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["warc"]
+NAMES = ["packing", "warc"]
 
 
 def modules() -> list:
