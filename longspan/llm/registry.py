@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["packing", "warc"]
+NAMES = ["packing", "toxicity", "warc"]
 
 
 def modules() -> list:
