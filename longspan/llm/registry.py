@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["packing", "toxicity", "warc"]
+NAMES = ["packing", "suffix_tree", "toxicity", "warc"]
 
 
 def modules() -> list:
