@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["packing", "suffix_tree", "toxicity", "warc"]
+NAMES = ["line_dedup", "packing", "suffix_tree", "toxicity", "warc"]
 
 
 def modules() -> list:
