@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["line_dedup", "packing", "suffix_tree", "toxicity", "warc"]
+NAMES = ["jaccard_join", "line_dedup", "packing", "suffix_tree", "toxicity", "warc"]
 
 
 def modules() -> list:
