@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["decontaminate", "jaccard_join", "line_dedup", "packing", "suffix_tree", "toxicity", "warc"]
+NAMES = ["decontaminate", "jaccard_join", "line_dedup", "packing", "suffix_tree", "topk", "toxicity", "warc"]
 
 
 def modules() -> list:
