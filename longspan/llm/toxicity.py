@@ -171,27 +171,49 @@ def fit(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS
     return found[0][0] if found else pickle.dumps(Model())
 
 
+class Scorer:
+    """Scores texts and remembers the numbers of words."""
+
+    def __init__(self, model: bytes):
+        self.model: Model = pickle.loads(model)
+        self.numbers: dict[str, float] = {}
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        bags = [words(t) for t in texts]
+        if new := list({w for t in bags for w in t if w not in self.numbers}):
+            if len(self.numbers) + len(new) > WORDS_KEPT:
+                self.numbers = {}
+                new = list({w for t in bags for w in t})
+            self.numbers.update(zip(new, self.model.numbers(new).tolist()))
+        odds = [top_windows(np.fromiter(map(self.numbers.__getitem__, t), float, len(t)), 1)[1][0] for t in bags]
+        return 1 / (1 + np.exp(-np.clip(np.array(odds) + self.model.offset, -50, 50)))
+
+
 def score(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id and score (0 to 1) of every row of docs."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = pickle.loads(held.value)
-        numbers: dict[str, float] = {}
+        scorer = Scorer(held.value)
         for b in batches:
-            texts = [words(t) for t in b.column(1).to_pylist()]
-            if new := list({w for t in texts for w in t if w not in numbers}):
-                if len(numbers) + len(new) > WORDS_KEPT:
-                    numbers = {}
-                    new = list({w for t in texts for w in t})
-                numbers.update(zip(new, m.numbers(new).tolist()))
-            odds = [top_windows(np.fromiter(map(numbers.__getitem__, t), float, len(t)), 1)[1][0] for t in texts]
-            p = 1 / (1 + np.exp(-np.clip(np.array(odds) + m.offset, -50, 50)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(b.column(1).to_pylist()))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: bytes, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below threshold."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for b in batches:
+            yield b.filter(pa.array(scorer(b.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def bucket5():
     return F.crc32(F.col("doc_id").cast("string")) % 5
 
