@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["decontaminate", "html_text", "jaccard_join", "line_dedup", "packing", "suffix_tree", "topk", "toxicity", "warc"]
+NAMES = ["decontaminate", "html_text", "jaccard_join", "licenses", "line_dedup", "packing", "suffix_tree", "topk", "toxicity", "warc"]
 
 
 def modules() -> list:
