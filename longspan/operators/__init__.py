@@ -1 +1 @@
-
+"""Panel operators over DataFrames."""

@@ -1 +1 @@
-
+"""Whole plans: the surrogate panel and the registered queries."""
