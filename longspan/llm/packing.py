@@ -4,7 +4,7 @@ Documents are dealt by hash to shards of about ``shard_docs`` rows. In each shar
 returns, for the document that opens a window (the seed), its best neighbours that no window has used yet; they fill
 the window greedily: first those that fit whole, best first, then the best of the rest is cut at the window's end and
 its remainder opens the next window. So every sequence is full but a shard's last, which is divided into powers of two
-down to ``smallest``; only what is left after that needs padding. Shards grow with neither the input nor a hot key.
+down to ``smallest``; at 1, nothing needs padding. Shards grow with neither the input nor a hot key.
 
 Defined results: null text = empty; an empty document is its end id alone; rows that repeat are packed each for
 itself; null ids stay null; an empty table gives no pieces; other columns are not read.
@@ -27,7 +27,7 @@ END_ID = 1
 K1, B = 1.2, 0.75
 QUERY_TERMS = 48
 NEIGHBOURS = 24
-SMALLEST = 64
+SMALLEST = 1
 
 
 class Tokenizer:
