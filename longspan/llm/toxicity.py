@@ -130,8 +130,8 @@ def train(texts: list[str | None], labels: list[int], warm: int = 3, rounds: int
 
     for _ in range(warm):
         order = rng.permutation(keep)
-        for at in range(0, len(order), 256):
-            some = order[at : at + 256]
+        for at in range(0, len(order), size := min(256, max(16, len(order) // 16))):
+            some = order[at : at + size]
             batch([(docs[i], label[i]) for i in some], 0.3, balance[some])
     bucket, owner = grams(names)
     per_word = np.bincount(owner, minlength=len(names))
@@ -144,8 +144,8 @@ def train(texts: list[str | None], labels: list[int], warm: int = 3, rounds: int
                 examples.append((docs[i][s : s + WINDOW], label[i]))
                 weight.append(balance[i])
         order, weight = rng.permutation(len(examples)), np.array(weight)
-        for at in range(0, len(order), 1024):
-            some = order[at : at + 1024]
+        for at in range(0, len(order), size := min(1024, max(16, len(order) // 8))):
+            some = order[at : at + size]
             batch([examples[j] for j in some], 0.1, weight[some])
     return model
 
