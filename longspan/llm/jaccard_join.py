@@ -9,10 +9,11 @@ their elements, so segments that are one deletion apart meet. Each band takes th
 from its number of sets: hashes published plus chance meetings expected. A set publishes in its own band and in those
 above that partners may lie in.
 
-Equal sets are one node. Sets that meet in a bucket are first verified against the bucket's first set, exactly;
-components of these links are contracted; what is left, pairs of a bucket in different components, is verified pair by
-pair. So a group of near copies costs about one pair a copy, and no link is lost. Sets are compared as 64-bit hashes of
-their shingles.
+Equal sets are one node. A bucket's head is the set that meets most others; the rest of the bucket is verified against
+it, exactly. Components of these links are contracted; what is left, pairs of a set outside its head's component with
+sets of other components in the bucket, is verified pair by pair. So a group of near copies costs about one pair a copy,
+and no link is lost. Before whole sets are compared, sketches bound the difference from below, in the join itself, so
+pairs that can't be similar are never rows. Sets are compared as 64-bit hashes of their shingles.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; texts shorter than a shingle are
 one shingle; rows that repeat, and rows of one id with different texts, are each returned, linked by their texts; null
@@ -25,11 +26,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan.llm.common import table, written
@@ -39,6 +42,7 @@ RATIO = 1.5
 MEETING_COST = 100.0
 AGREEMENT = 0.1
 GOLD = 0x9E3779B97F4A7C15
+SKETCH = 1024
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -61,6 +65,16 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def node_of(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the number of elements in each of SKETCH parts of the universe; two sets differ in at least as many elements as sketches in bits."""
+    parts = np.bincount((mixed(hashes ^ np.uint64(GOLD)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(parts.astype(np.uint8)).view(np.int64)
+
+
 def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
@@ -81,7 +95,7 @@ class Bands:
         self.percent = percent
         self.bands: list[Band] = []
         low = 1
-        while low <= max(counts, default=0):
+        while low < 1 << 31:
             high = max(low, int(low * RATIO))
             band = Band(low, high, (100 - percent) * 2 * high // (100 + percent))
             sets = sum(c for n, c in counts.items() if low * percent // 100 <= n <= high)
@@ -118,37 +132,40 @@ class Bands:
         return np.concatenate(out).view(np.int64)
 
 
-def _describe(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, width) for t in b.column(1).to_pylist()]
-            keys = [set_key(x) for x in sets]
-            node = np.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(node), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "node", "set_key"])
+PARTS = "doc_id long, n_shingles long, set_key binary, sketch array<long>, node long, sig long"
 
-    return run
 
+def _parts(width: int, bands: Bands):
+    """A row per document (its id, size, set_key, sketch and node) and one per signature (node and sig)."""
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+
+    def table(about: list[list], node: np.ndarray, sig: np.ndarray | None) -> pa.RecordBatch:
+        n = len(node)
+        cells = [pa.array(c, t) for c, t in zip(about, types)] if sig is None else [pa.nulls(n, t) for t in types]
+        return pa.RecordBatch.from_arrays([*cells, pa.array(node), pa.nulls(n, pa.int64()) if sig is None else pa.array(sig)], [x.split()[0] for x in PARTS.split(", ")])
 
-def _publish(width: int, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            sizes, keys, sketches, names = [], [], [], []
             held: list[np.ndarray] = []
-            nodes: list[np.ndarray] = []
+            owner: list[np.ndarray] = []
             size = 0
-            for t in b.column(0).to_pylist():
+            for t in b.column(1).to_pylist():
                 x = shingles(t, width)
-                if not len(x):
-                    continue
-                node = int.from_bytes(set_key(x)[:8], "little", signed=True)
-                for k in bands.of(len(x)):
+                keys.append(set_key(x))
+                sizes.append(len(x))
+                sketches.append(sketch(x))
+                names.append(node_of(keys[-1]))
+                for k in bands.of(len(x)) if len(x) else []:
                     held.append(bands.signatures(x, k))
-                    nodes.append(np.full(len(held[-1]), node))
+                    owner.append(np.full(len(held[-1]), names[-1]))
                     size += len(held[-1])
                 if size > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(nodes))], ["sig", "node"])
-                    held, nodes, size = [], [], 0
+                    yield table([], np.concatenate(owner), np.concatenate(held))
+                    held, owner, size = [], [], 0
             if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+                yield table([], np.concatenate(owner), np.concatenate(held))
+            yield table([b.column(0).to_pylist(), sizes, keys, sketches], np.array(names, np.int64), None)
 
     return run
 
@@ -158,7 +175,7 @@ def _sets(width: int):
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 sets = [shingles(t, width) for t in b.column(0).slice(lo, 64).to_pylist()]
-                node = [int.from_bytes(set_key(x)[:8], "little", signed=True) for x in sets]
+                node = [node_of(set_key(x)) for x in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "hashes"])
 
     return run
@@ -182,40 +199,63 @@ class Join:
     def __init__(self, docs: DataFrame, percent: int, width: int):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
         self.percent, self.width = percent, width
-        self.rows = written(self.docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, node long, set_key binary"))
+        # The allocation needs only the order of magnitude of sizes, so lengths stand for them: six bytes a shingle.
+        size = F.floor(F.log2(F.octet_length(F.coalesce("text", F.lit(""))) / F.lit(6.0) + 1) * 2).cast("int")
+        counts = {int(2 ** (r["s"] / 2)): r["count"] for r in self.docs.groupBy(size.alias("s")).count().collect()}  # a row per half octave
+        self.bands = Bands(percent, counts)
+        parts = written(self.docs.mapInArrow(_parts(width, self.bands), PARTS))
+        self.rows = parts.where("sig is null").select("doc_id", "n_shingles", "set_key", "node", "sketch")
+        self.published = parts.where("sig is not null").select("sig", "node")
         clash = self.rows.groupBy("node").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y")
         if not clash.isEmpty():
             raise ValueError("two sets share a 64-bit node id")
-        counts = {r["n_shingles"]: r["count"] for r in self.rows.where("n_shingles > 0").groupBy("n_shingles").count().collect()}  # a row per size
-        self.bands = Bands(percent, counts)
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """node, hashes of nodes, from the text of the first document of each."""
+        firsts = self.rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        texts = self.docs.withColumn("__k", F.xxhash64("text"))
+        named = texts.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "__k"])
+        nameless = texts.where("doc_id is null").dropDuplicates(["__k"])  # their nodes may have no other document
+        return written(named.unionByName(nameless).select("text").mapInArrow(_sets(self.width), "node long, hashes array<long>"))
+
+    def possible(self, a: str, b: str) -> Column:
+        """Sizes and sketches of n and sketch of a and b (suffixes) that a similar pair may have."""
+        least, most, both = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}"), F.col(f"n{a}") + F.col(f"n{b}")
+        apart = reduce(add, (F.bit_count(F.get(f"sketch{a}", F.lit(k)).bitwiseXOR(F.get(f"sketch{b}", F.lit(k)))) for k in range(SKETCH // 64)))
+        return (least * 100 >= most * self.percent) & (apart * (100 + self.percent) <= both * (100 - self.percent))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """a, b of the pairs that are similar."""
-        pairs = written(pairs)
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        firsts = self.rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        texts = self.docs.join(firsts.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.width), "node long, hashes array<long>").dropDuplicates(["node"])
-        sets = written(sets)
+        """a, b of the pairs that are similar, by their whole sets."""
+        pairs = written(pairs.distinct())
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        return written(both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s")).where(F.col("c") * 100 >= (F.col("s") - F.col("c")) * self.percent).select("a", "b"))
+        good = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s")).where(F.col("c") * 100 >= (F.col("s") - F.col("c")) * self.percent)
+        return written(good.select("a", "b").distinct())
 
     def edges(self) -> DataFrame:
         """a, b: links between nodes whose components are those of all links."""
-        published = self.docs.select("text").mapInArrow(_publish(self.width, self.bands), "sig long, node long")
-        met = published.groupBy("sig").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head != tail")
-        # A bucket's members: the rows of signatures on which different sets meet.
-        members = written(published.join(met.select("sig", "head"), "sig").distinct())
-        linked = self.verified(members.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+        met = self.published.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("sig")
+        # A bucket's members: the rows of signatures on which different sets meet. Its head is the set that meets most others.
+        members = written(self.published.join(met, "sig").distinct())
+        sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+        fame = members.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("fame"))
+        info = written(self.rows.join(fame, "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("fame").alias("fame")))
+        heads = members.join(info.select("node", "fame"), "node").groupBy("sig").agg(F.max_by("node", F.struct("fame", "node")).alias("head"))
+        placed = written(members.join(heads, "sig"))
+        star = placed.where("node != head").select("head", "node").distinct()
+        one, two = (info.select(*(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "sketch"))) for k in (1, 2))
+        near = star.join(one, F.col("head") == F.col("node1")).join(two, F.col("node") == F.col("node2")).where(self.possible("1", "2"))
+        linked = self.verified(near.select(F.col("head").alias("a"), F.col("node").alias("b")))
+        # What is left: pairs of a set that isn't in its head's component with the bucket's sets in other components.
         roots = components(linked)
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
-        size = self.rows.groupBy("node").agg(F.first("n_shingles").alias("n"))
-        rest = written(placed.join(open_, "sig", "left_semi").join(size, "node"))
-        one, two = (rest.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("node", "root", "n", "head"))) for k in (1, 2))
-        pairs = one.join(two, "sig").where(f"node1 < node2 and root1 != root2 and node1 != head1 and node2 != head2 and least(n1, n2) * 100 >= greatest(n1, n2) * {self.percent}")
-        more = self.verified(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct())
+        rooted = placed.join(roots, "node", "left").join(roots.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left")
+        rooted = rooted.select("sig", "node", "head", F.coalesce("root", "node").alias("root"), F.coalesce("head_root", "head").alias("head_root"))
+        apart = rooted.where("root != head_root").select("sig").distinct()
+        rest = written(rooted.join(apart, "sig", "left_semi").where("node != head").join(info.drop("fame"), "node"))
+        one, two = (rest.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("node", "root", "head_root", "n", "sketch"))) for k in (1, 2))
+        pairs = one.where("root1 != head_root1").join(two, (one["sig"] == two["sig"]) & (F.col("root1") != F.col("root2")) & self.possible("1", "2"))
+        more = self.verified(pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")))
         return linked.unionByName(more)
 
     def classes(self) -> DataFrame:
