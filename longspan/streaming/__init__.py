@@ -1 +1 @@
-
+"""Incremental panels as structured streams."""
