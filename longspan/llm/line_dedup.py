@@ -118,7 +118,7 @@ def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return delete_repeats(docs).select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), "removed_lines", "text")
+    return delete_repeats(docs).select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"), "text")
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}
@@ -142,7 +142,7 @@ WITH raw AS (
   SELECT DISTINCT c.doc_id, c.line_no FROM later p JOIN c ON p.doc_id = c.doc_id AND c.i BETWEEN s AND e
 )
 SELECT l.doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(gone.line_no) AS INTEGER) AS n_removed,
-  coalesce(list(CAST(l.line_no AS INTEGER) ORDER BY l.line_no) FILTER (gone.line_no IS NOT NULL), []) AS removed_lines,
+  coalesce(string_agg(CAST(l.line_no AS VARCHAR), ',' ORDER BY l.line_no) FILTER (gone.line_no IS NOT NULL), '') AS removed_lines,
   CASE WHEN count(gone.line_no) = 0 THEN any_value(text) ELSE coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (gone.line_no IS NULL), '') END AS text
 FROM (SELECT l.*, text FROM l JOIN documents USING (doc_id)) l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line_no = gone.line_no GROUP BY l.doc_id"""
 }
