@@ -72,6 +72,11 @@ def present(df: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(chosen.select(*keys).distinct(), keys, "left_semi")
 
 
+def common(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that both tables have."""
+    return a.select(*keys).intersect(b.select(*keys))
+
+
 def densify(df: DataFrame, cells: DataFrame, cell: str, date: str, first, last) -> DataFrame:
     """A row per cell and month from first to last; months without a row have nulls."""
     months = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month")))

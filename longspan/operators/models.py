@@ -5,18 +5,20 @@ Statistics are fitted on training rows only, each in one pass; predictions are j
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from longspan.operators.quality import ContractError, required
+from longspan.sources.sinks import write_text
 
 
 def climatology(train: DataFrame, strata: list[str], month: str = "month", y: str = "y", alpha: float = 1.0, beta: float = 1.0, by: list[str] = ()) -> DataFrame:
@@ -105,6 +107,18 @@ class Fitted:
         return self.model.transform(vector).select(*keep, vector_to_array("probability")[1].alias(self.name))
 
 
+def save(fitted: Fitted, spark: SparkSession, path: str) -> None:
+    """The model in MLlib's format, its features and scaling as JSON beside it."""
+    fitted.model.write().overwrite().save(f"{path}/model")
+    write_text(spark, json.dumps({"name": fitted.name, "kind": type(fitted.model).__name__, "scaling": asdict(fitted.scaling)}), f"{path}/features.json")
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    held = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/features.json").collect()))
+    kind = {m.__name__: m for m in (LogisticRegressionModel, GBTClassificationModel)}[held["kind"]]
+    return Fitted(Scaling(**held["scaling"]), kind.load(f"{path}/model"), held["name"])
+
+
 def _vectors(df: DataFrame, scaling: Scaling, more: list[str]) -> DataFrame:
     rows = df.select(*more, *scaling.columns())
     return VectorAssembler(inputCols=scaling.features, outputCol="features").transform(rows).select(*more, "features")

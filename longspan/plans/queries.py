@@ -455,6 +455,50 @@ def joined_cells(spark, sf):
     return summary.joined_cells(assemble.join_static(S.monthly(spark, sf), S.cells(spark, sf), ["cell_id"]), ["STRATUM", "BIOME"])
 
 
+@query(f"{S.PANEL_SQL} SELECT 'P1_year' AS protocol, CAST(0 AS INTEGER) AS fold_id, CASE WHEN year >= 2000 THEN 'test' ELSE 'train' END AS split_role, cell_id, {DATE} FROM panel WHERE year BETWEEN 1996 AND 2001")
+def split_by_year(spark, sf):
+    return splits.by_year(S.panel(spark, sf), (1996, 1999), (2000, 2001)).select(*SPLIT_COLUMNS, day())
+
+
+SCALES = {"10km": 1, "50km": 5}
+
+
+@query(
+    f"{GRID_SQL}, s AS (SELECT '10km' AS scale, cell_id, ix || '_' || iy AS block FROM grid UNION ALL SELECT '50km', cell_id, CAST(floor(ix / 5.0) AS BIGINT) || '_' || CAST(floor(iy / 5.0) AS BIGINT) FROM grid), "
+    "f AS (SELECT scale, block, CAST((row_number() OVER (PARTITION BY scale ORDER BY md5('42:' || block)) - 1) % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT scale, block FROM s)), "
+    "k AS (SELECT s.scale, fold, CAST(unnest([0, 1, 2, 3, 4]) AS INTEGER) AS fold_id, p.cell_id, p.year FROM s JOIN f USING (scale, block) JOIN panel p USING (cell_id)), "
+    "r AS (SELECT 'p3_' || scale AS protocol, fold_id, CASE WHEN year = 2001 THEN CASE WHEN fold = fold_id THEN 'test' END WHEN fold <> fold_id THEN CASE WHEN year = 2000 THEN 'val' ELSE 'train' END END AS split_role, cell_id FROM k) "
+    "SELECT CAST(regexp_extract(protocol, 'p3_([0-9]+)km', 1) AS INTEGER) AS scale, fold_id, split_role, count(*) AS n, count(DISTINCT cell_id) AS n_cells FROM r WHERE split_role IS NOT NULL GROUP BY ALL"
+)
+def split_p3_scales(spark, sf):
+    g = _grid(spark, sf)
+    blocks = g.select("cell_id", *(C.grid_name(C.coarser(F.col("ix"), k), C.coarser(F.col("iy"), k)).alias(f"grid{n}_id") for n, k in SCALES.items()))
+    rows = assemble.join_static(S.panel(spark, sf), blocks, ["cell_id"])
+    out = splits.p3_scales(rows, {n: f"grid{n}_id" for n in SCALES}, windows=W)
+    return out.groupBy(C.scale_of(F.col("protocol")).alias("scale"), "fold_id", "split_role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cell_id").alias("n_cells"))
+
+
+@query(f"{S.PANEL_SQL} SELECT cell_id FROM cells WHERE cell_id % 2 = 0 INTERSECT SELECT cell_id FROM monthly WHERE cell_id % 3 = 0")
+def common_cells(spark, sf):
+    return assemble.common(S.cells(spark, sf).where("cell_id % 2 = 0"), S.monthly(spark, sf).where("cell_id % 3 = 0"), ["cell_id"])
+
+
+@query(f"{S.PANEL_SQL} SELECT cell_id, {DATE}, {b('m')} FROM (SELECT cell_id, date, max(y) OVER (PARTITION BY cell_id) AS m FROM panel)")
+def ever_in_series(spark, sf):
+    return S.panel(spark, sf).select("cell_id", day(), sequence.ever_at_all(F.col("y"), "cell_id").cast("long").alias("m"))
+
+
+@query(f"{CUMULATIVE_SQL}, a AS (SELECT biome, sum(n) AS n, sum(pos) AS n_positive, CASE WHEN max(total) > 0 THEN sum(pos / total * tp / seen) END AS auprc, CASE WHEN max(total) > 0 AND max(total) < max(n_all) THEN sum(pos * ((n_all - total) - (seen - tp) + (n - pos) / 2.0)) / (max(total) * (max(n_all) - max(total))) END AS roc_auc FROM c GROUP BY 1), t AS (SELECT biome, avg((p - y) * (p - y)) AS brier, count(*) FILTER (p >= 0.06 AND y = 1) AS hit, count(*) FILTER (p >= 0.06) AS called, count(*) FILTER (y = 1) AS pos FROM predicted WHERE split_role = 'test' GROUP BY 1) SELECT {b('biome', 'n', 'n_positive')}, {d('auprc', 'roc_auc', 'brier')}, round(coalesce(hit / nullif(called, 0), 0), 6) AS precision, round(coalesce(hit / nullif(pos, 0), 0), 6) AS recall, round(coalesce(2 * hit / nullif(called + pos, 0), 0), 6) AS f1 FROM a JOIN t USING (biome)")
+def group_performance(spark, sf):
+    out = metrics.metric_table(_test(spark, sf), ["biome"], threshold=0.06)
+    return out.select("biome", "n", "n_positive", *doubles("auprc", "roc_auc", "brier", "precision", "recall", "f1"))
+
+
+@query(f"{S.PANEL_SQL}, m AS (SELECT avg(abs(qty_sum_mon)) AS qty_sum_mon, avg(abs(price_mean_mon)) AS price_mean_mon, avg(abs(tax_max_mon)) AS tax_max_mon FROM panel), l AS (UNPIVOT m ON COLUMNS(*) INTO NAME feature VALUE v) SELECT feature, round(v, 6) AS mean_abs FROM l ORDER BY v DESC LIMIT 2")
+def top_features(spark, sf):
+    return metrics.top_features(metrics.mean_abs(S.panel(spark, sf), ["qty_sum_mon", "price_mean_mon", "tax_max_mon"]), 2).select("feature", r("mean_abs").alias("mean_abs"))
+
+
 @query()
 def data_dictionary(spark, sf):
     return catalog.dictionary(spark, S.features(spark, sf).columns, [catalog.Source("qty", "items", "orders"), catalog.Source("price", "currency", "orders")], ["s_acctbal"])

@@ -67,7 +67,7 @@ def data(spark, n=500):
     return spark.createDataFrame([(float(a), float(b) if k % 7 else None, 5.0, int(v)) for k, ((a, b), v) in enumerate(zip(x, y))], "a double, b double, c double, y int"), x, y
 
 
-def test_logistic_reaches_the_optimum(spark):
+def test_logistic_reaches_the_optimum(spark, tmp_path):
     df, x, y = data(spark)
     fitted = models.fit_logistic(df, ["a", "b", "c"], c=0.1)
     rows = df.select(*fitted.scaling.columns(), "y").toPandas()
@@ -78,6 +78,9 @@ def test_logistic_reaches_the_optimum(spark):
     assert np.abs(slope).max() < 1e-3 and abs(w[2]) < 1e-9
     parts = models.linear_contributions(fitted, df, ["y"]).toPandas()
     assert np.allclose(parts[["a", "b", "c"]].sum(axis=1) + b0, z @ w + b0)
+    models.save(fitted, spark, f"{tmp_path}/m")
+    again = models.load(spark, f"{tmp_path}/m").predict(df).select("p_logistic").collect()
+    assert again == fitted.predict(df).select("p_logistic").collect()
     assert fitted.predict(df).select("p_logistic").where("p_logistic not between 0 and 1").count() == 0
 
 
