@@ -65,13 +65,22 @@ def test_many_near_copies(make, lexicon):
     assert Counter(tuple(r) for r in got) == brute(rows, 90, 3)
 
 
+def test_allocation_follows_cost():
+    """Few sets take equal segments, many take segments that allow a deletion."""
+    few, many = (jj.Bands(80, dict.fromkeys(range(1, 400), n)).bands for n in (10, 10_000_000))
+    assert not any(b.double for b in few) and any(b.double for b in many)
+    assert all(b.single + 2 * b.double == b.tolerance + 1 for b in few + many)
+
+
+@pytest.mark.parametrize("kind", ["single", "double", "mixed"])
 @pytest.mark.parametrize("percent", [50, 80, 90])
-def test_similar_sets_share_a_signature(percent):
-    """Both kinds of segments: random pairs just above the similarity meet in some band."""
+def test_similar_sets_share_a_signature(percent, kind):
+    """All kinds of allocation: random pairs just above the similarity meet in some band."""
     rng = np.random.default_rng(percent)
-    counts = dict.fromkeys(range(1, 400), 10_000_000)
-    bands = jj.Bands(percent, counts)
-    assert percent > 80 or any(b.double for b in bands.bands)
+    bands = jj.Bands(percent, {})
+    for b in bands.bands:
+        b.double = {"single": 0, "double": (b.tolerance + 1) // 2, "mixed": (b.tolerance + 1) // 3}[kind]
+        b.single = b.tolerance + 1 - 2 * b.double
     for _ in range(300):
         n = int(rng.integers(10, 300))
         x = rng.integers(1, 1 << 62, n).astype(np.uint64)
