@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS
     for y in (0, 1):
         some = marked.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").coalesce(1)  # at most 2 * per_class ids
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(1)  # at most 2 * per_class ids
     found = sample.mapInArrow(_train, "model binary").collect()
     return found[0][0] if found else pickle.dumps(Model())
 
