@@ -24,6 +24,7 @@ read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -35,12 +36,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspan.llm.common import table, written
+from longspan.llm.common import broadcast_if_small, table, written
 
 RATIO = 1.5
-#: Costs of the allocation: a chance meeting against a published hash, and the share of elements on which two unrelated sets agree.
-MEETING_COST = 100.0
-AGREEMENT = 0.1
+#: Cost of a chance meeting of two sets (a comparison of sketches) against that of a published hash (made and shuffled).
+MEETING_COST = 0.05
+#: Ids up to which candidates' texts are found by a broadcast; beyond, by a shuffle.
+BROADCAST_ROWS = 500_000
 GOLD = 0x9E3779B97F4A7C15
 SKETCH = 1024
 
@@ -70,8 +72,14 @@ def node_of(key: bytes) -> int:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The parity of the number of elements in each of SKETCH parts of the universe; two sets differ in at least as many elements as sketches in bits."""
-    parts = np.bincount((mixed(hashes ^ np.uint64(GOLD)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    """The parity of the number of elements in each of SKETCH parts of the universe, or of a power of two times as many for larger sets.
+
+    Two sets differ in at least as many elements as their sketches in bits. A sketch folds in half by exclusive or.
+    """
+    bits = SKETCH
+    while bits < len(hashes):
+        bits *= 2
+    parts = np.bincount((mixed(hashes ^ np.uint64(GOLD)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parts.astype(np.uint8)).view(np.int64)
 
 
@@ -100,8 +108,9 @@ class Bands:
             band = Band(low, high, (100 - percent) * 2 * high // (100 + percent))
             sets = sum(c for n, c in counts.items() if low * percent // 100 <= n <= high)
             units, width = band.tolerance + 1, (low + high) / 2 / (band.tolerance + 1)
-            one = 1 + MEETING_COST * sets * AGREEMENT**width
-            two = (1 + 2 * width) * (1 + MEETING_COST * sets * AGREEMENT ** (2 * width - 1))
+            # Unrelated sets meet where both have no element in a segment, or within one of none.
+            one = 1 + MEETING_COST * sets * math.exp(-2 * width)
+            two = (1 + 2 * width) * (1 + MEETING_COST * sets * (math.exp(-2 * width) * (1 + 2 * width)) ** 2)
             band.double = units // 2 if two < 2 * one else 0
             band.single = units - 2 * band.double
             self.bands.append(band)
@@ -113,11 +122,15 @@ class Bands:
         return [k for k, b in enumerate(self.bands) if b.low <= most and b.high >= size and b.tolerance]
 
     def signatures(self, hashes: np.ndarray, k: int) -> np.ndarray:
-        band = self.bands[k]
+        band, size = self.bands[k], len(hashes)
         units = band.single + 2 * band.double
+        # With partners of this band the set differs in at most so many elements; so many segments and one are enough.
+        differ = (100 - self.percent) * (size + min(band.high, size * 100 // self.percent)) // (100 + self.percent)
+        doubles = min(band.double, (differ + 2) // 2)
+        singles = max(0, differ + 1 - 2 * band.double)
         h = mixed(hashes + np.uint64(k + 1))
         unit = (h % np.uint64(units)).astype(np.int64)
-        segment = np.where(unit < band.single, unit, band.single + (unit - band.single) // 2)
+        segment = np.where(unit < 2 * band.double, unit // 2, unit - band.double)  # those of two units come first
         order = np.argsort(segment, kind="stable")
         part, values = segment[order], mixed(h[order] ^ np.uint64(GOLD))
         total = np.zeros(band.single + band.double, np.uint64)
@@ -125,9 +138,9 @@ class Bands:
             begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             total[part[begin]] = np.add.reduceat(values, begin)
         name = lambda s, seg: mixed(s ^ mixed(np.uint64(k << 32) + seg.astype(np.uint64)))
-        out = [name(total, np.arange(len(total)))]
-        if band.double:
-            some = part >= band.single
+        out = [name(total[: doubles + singles], np.arange(doubles + singles))]
+        if doubles:
+            some = part < doubles
             out.append(name(total[part[some]] - values[some], part[some]))
         return np.concatenate(out).view(np.int64)
 
@@ -213,15 +226,21 @@ class Join:
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, hashes of nodes, from the text of the first document of each."""
         firsts = self.rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        firsts = written(firsts)
         texts = self.docs.withColumn("__k", F.xxhash64("text"))
-        named = texts.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "__k"])
+        named = texts.join(broadcast_if_small(firsts, firsts.count(), BROADCAST_ROWS), "doc_id", "left_semi")
         nameless = texts.where("doc_id is null").dropDuplicates(["__k"])  # their nodes may have no other document
         return written(named.unionByName(nameless).select("text").mapInArrow(_sets(self.width), "node long, hashes array<long>"))
 
     def possible(self, a: str, b: str) -> Column:
         """Sizes and sketches of n and sketch of a and b (suffixes) that a similar pair may have."""
         least, most, both = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}"), F.col(f"n{a}") + F.col(f"n{b}")
-        apart = reduce(add, (F.bit_count(F.get(f"sketch{a}", F.lit(k)).bitwiseXOR(F.get(f"sketch{b}", F.lit(k)))) for k in range(SKETCH // 64)))
+        word = lambda s, k: F.get(f"sketch{s}", k)
+        small = reduce(add, (F.bit_count(word(a, F.lit(k)).bitwiseXOR(word(b, F.lit(k)))) for k in range(SKETCH // 64)))
+        size = F.least(F.size(f"sketch{a}"), F.size(f"sketch{b}"))
+        folded = lambda s, k: F.when(F.size(f"sketch{s}") > size, word(s, k).bitwiseXOR(word(s, k + size))).otherwise(word(s, k))
+        large = F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0), lambda x, k: x + F.bit_count(folded(a, k).bitwiseXOR(folded(b, k))))
+        apart = F.when(F.greatest(F.size(f"sketch{a}"), F.size(f"sketch{b}")) == SKETCH // 64, small).otherwise(large)
         return (least * 100 >= most * self.percent) & (apart * (100 + self.percent) <= both * (100 - self.percent))
 
     def verified(self, pairs: DataFrame) -> DataFrame:

@@ -96,6 +96,21 @@ def test_similar_sets_share_a_signature(percent, kind):
         assert sig(x) & sig(y)
 
 
+def test_long_texts(make, lexicon):
+    """Sets whose sketches have different sizes."""
+    rng = random.Random(12)
+    base = words(rng, 2300, lexicon).split()
+    rows = []
+    for k, n in enumerate((2300, 2100, 2050, 2040, 1030, 1020, 1000, 930)):
+        v = base[:n]
+        for _ in range(4 * (k % 3)):
+            v[rng.randrange(n)] = rng.choice(lexicon)
+        rows.append((k, " ".join(v)))
+        rows.append((k + 100, words(rng, n, lexicon)))
+    got = Counter(tuple(r) for r in jj.similar_classes(make(rows), 80, 5).collect())
+    assert got == brute(rows, 80, 5) and len({c for _, _, c in got}) < len(rows) - 3
+
+
 def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert Counter(tuple(r) for r in jj.similar_classes(odd, 90, 3).collect()) == brute(rows, 90, 3)
