@@ -1,13 +1,18 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Symbols are words and one end per text. The root is the add-one word distribution. Below it stand contexts of one and
-two words: those frequent enough (at least 1/``CONTEXTS`` and 1/``PAIR_CONTEXTS`` of all tokens), whose next-symbol
-distribution diverges from their parent's by more than its own description costs. A kept context has an explicit entry
-for each next word seen with it at least 1/``ENTRIES`` of all tokens; the discounted rest goes to the parent's
+two words whose next-symbol distribution diverges from their parent's by more than its own description costs. A context
+has an explicit entry for each next word seen with it at least ``LEAST`` times; the discounted rest goes to the parent's
 distribution, so every state is a proper distribution. A token is scored in the state of the longest kept suffix.
 
-Shares of all tokens bound the frequent words, the contexts and the entries (each at most the number whose inverse the
-share is), so the tree may be broadcast whatever the input's size. Words below the share reach their counts by a join.
+``LEAST`` is a number of occurrences, not a share, so the tree grows with the input. It is a table: what a word, a pair
+or a triple adds to the score of the text it stands in, by the hash of its words. A word adds the root's log
+probability and what its state leaves to the root; a pair what its entry adds to that and what its own state leaves
+to the shorter one; a triple what its entry adds. Occurrences are joined to that table, summed by text before.
+
+Memory is of fixed size and never decides a result: bitmaps of hashes (words and pairs seen often enough, pairs and
+triples in the table) only spare rows that can't meet anything, and the most frequent rows of the table are broadcast
+(at most the inverse of ``FREQUENT`` of each length) so that they need no join. Words count as their 64-bit hashes.
 
 Defined results: null and empty texts are one end; null ids are scored, learned from by nobody and not held out;
 repeated rows count and are scored each for itself; an empty table gives no rows; other columns are not read.
@@ -15,24 +20,24 @@ repeated rows count and are scored each for itself; an empty table gives no rows
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan.llm.common import SPACE, lower_ascii, table, written
 
 END = " "
+LEAST = 2
 FREQUENT = 1 << 18
-ENTRIES = 1 << 18
-CONTEXTS = 1 << 14
-PAIR_CONTEXTS = 1 << 9
 DISCOUNT = 0.75
 SHIFT = 18
 RARE = -1
+BITS = 28
+CHUNK = 2_000_000
 
 
 def tokens(text):
@@ -40,174 +45,278 @@ def tokens(text):
     return F.concat(F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), f"{SPACE}+"), ""), F.array(F.lit(END)))
 
 
+def hashes(text):
+    """The tokens of a text as 64-bit hashes, as a column."""
+    return F.transform(tokens(text), lambda x: F.xxhash64(x))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c of all tokens of docs; summed in the tasks before the shuffle."""
     return docs.select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
 
 
-class Lexicon:
-    """The frequent words by number, most frequent first; the end has a number too."""
-
-    def __init__(self, rows: list, n: int, v: int):
-        rows = sorted(rows, key=lambda r: (-r["c"], r["word"]))
-        self.n, self.v = n, v
-        self.number = {r["word"].encode(): k for k, r in enumerate(rows)}
-        self.count = np.array([r["c"] for r in rows], np.int64)
-        self.root = np.log10((self.count + 1) / (n + v + 1))
-        self.contexts = int((self.count * CONTEXTS >= n).sum())
-        self.pair_contexts = int((self.count * PAIR_CONTEXTS >= n).sum())
-
-    def ids(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        words.append(END.encode())
-        get = self.number.get
-        return words, np.array([get(w, RARE) for w in words], np.int64)
-
-
-def _previous(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols one and two before each; a text begins after an end, and nothing stands before that."""
-    one = np.concatenate([[end], ids[:-1]])
-    return one, np.concatenate([[RARE], one[:-1]])
-
-
-def context_counts(docs: DataFrame, lexicon) -> DataFrame:
-    """code, n: how often a frequent word follows a frequent one, and two very frequent ones, before any test."""
+def joined(value: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
+    """What xxhash64 of Spark makes of a long after the columns whose hash is seed."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = (seed.view(np.uint64) if isinstance(seed, np.ndarray) else np.full(len(value), seed, np.uint64)) + p5 + np.uint64(8)
+    h ^= turn(value.view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h ^= h >> np.uint64(33)
+    h *= p2
+    h ^= h >> np.uint64(29)
+    h *= p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+class Bitmap:
+    """A set of hashes by BITS of each: what is in the set is found, a little else is too."""
+
+    def __init__(self, rows: DataFrame, code: Column):
+        at = code.bitwiseAND(F.lit((1 << BITS) - 1)) + 1  # buckets begin at 1
+        parts = rows.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        self.bits = np.zeros(1 << BITS - 3, np.uint8)
+        for r in parts.collect():  # at most 2^(BITS - 15) rows of 4 KB
+            self.bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+
+    def has(self, code: np.ndarray) -> np.ndarray:
+        at = code & ((1 << BITS) - 1)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _runs(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, lengths and symbols of runs of the rows of a batch."""
+    lists = batch.column(column)
+    ends = np.asarray(lists.offsets)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + size, "right")) - 1)
+        yield lo, np.diff(ends[lo : hi + 1]), np.asarray(lists.values)[ends[lo] : ends[hi]].astype(np.int64)
+        lo = hi
+
+
+def _previous(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols one and two before each, and whether there are two; a text begins after an end."""
+    first = np.zeros(len(ids), bool)
+    first[np.cumsum(lengths)[:-1]] = True
+    first[:1] = True
+    one = np.concatenate([[end], ids[:-1]]).astype(np.int64)
+    one[first] = end
+    two = np.concatenate([[end], one[:-1]]).astype(np.int64)
+    return one, two, ~first
+
+
+def sequence_counts(docs: DataFrame, seen, width: int, end: int) -> DataFrame:
+    """Symbols two (if width is 3), one and word with n, their number, of those that seen lets be frequent enough."""
+    names = ["two", "one", "word"][3 - width :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex: Lexicon = pickle.loads(lexicon.value)
-        end = lex.number.get(END.encode(), RARE)
-        held: list[np.ndarray] = []
+        bits: Bitmap = seen.value
+        held: list[tuple] = []
 
         def flush():
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
+            code, *columns = (np.concatenate(c) for c in zip(*held))
+            _, at, n = np.unique(code, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), pa.array(n.astype(np.int64))], [*names, "n"])
 
         size = 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                ids = lex.ids(t)[1]
-                one, two = _previous(ids, end)
-                a = (ids >= 0) & (one >= 0) & (one < lex.contexts)
-                held.append((one[a] << SHIFT) | ids[a])
-                a &= (two >= 0) & (two < lex.pair_contexts) & (one < lex.pair_contexts)
-                held.append(((((two[a] + 1) << SHIFT) | one[a]) << SHIFT) | ids[a])
-                size += len(ids)
-                if size > 4_000_000:
+            for _, lengths, ids in _runs(b, 0, CHUNK):
+                one, two, deep = _previous(ids, lengths, end)
+                if width == 2:
+                    a = bits.has(ids) & bits.has(one)
+                    held.append((joined(ids[a], joined(one[a])), one[a], ids[a]))
+                else:
+                    pair = joined(one, joined(two))
+                    a = deep & bits.has(pair) & bits.has(joined(ids, joined(one)))
+                    held.append((joined(ids[a], pair[a]), two[a], one[a], ids[a]))
+                size += int(a.sum())
+                if size > CHUNK:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = docs.select(hashes(F.col("text")).alias("w")).mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "n"]))
+    return found.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+
+
+def _states(entries: DataFrame, context: list[str]) -> DataFrame:
+    """The contexts that pass the test against their parents, and rest: the log10 of the share that goes to the parent.
+
+    entries has the context, n, total (the context's own number) and parent (log10 of the word's probability there).
+    """
+    p = F.pow(F.lit(10.0), "parent")
+    sums = entries.groupBy(*context).agg(
+        F.first("total").alias("total"),
+        F.count(F.lit(1)).alias("k"),
+        F.sum("n").alias("n"),
+        F.sum(p).alias("p"),
+        F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("parent") * F.lit(float(np.log(10))))).alias("gain"),
+    )
+    left = F.col("total") - F.col("n")
+    beyond = F.when(left > 0, left * F.log(left / F.col("total") / F.greatest(F.lit(1e-12), 1 - F.col("p")))).otherwise(0.0)
+    low = F.greatest(F.lit(1e-12), 1 - (F.col("n") - F.col("k") * DISCOUNT) / F.col("total"))
+    return sums.where(F.col("gain") + beyond > 0.5 * F.col("k") * F.log("total")).select(*context, F.log10(low).alias("rest"))
+
+
+def _added() -> Column:
+    """log10 of an entry's probability less that of its parent and the rest that it does not need."""
+    return F.when(F.col("rest").isNull(), 0.0).otherwise(F.log10((F.col("n") - DISCOUNT) / F.col("total") + F.pow(F.lit(10.0), F.col("rest") + F.col("parent"))) - F.col("parent") - F.col("rest"))
+
+
+class Lexicon:
+    """The frequent words, most frequent first, with their counts and log10 probabilities in the root."""
+
+    def __init__(self, rows: list, n: int, v: int):
+        rows = sorted(rows, key=lambda r: (-r["c"], r["word"]))
+        self.n, self.v = n, v
+        self.code = [r["code"] for r in rows]
+        self.number = {c: k for k, c in enumerate(self.code)}
+        self.count = np.array([r["c"] for r in rows], np.int64)
+        self.root = np.log10((self.count + 1) / (n + v + 1))
 
 
 class Tree:
-    """The kept contexts: their codes, the share of each that goes to its parent, and their entries' probabilities."""
-
-    def __init__(self, lexicon: Lexicon, code: np.ndarray, n: np.ndarray):
-        self.lex = lexicon
-        self.context, self.rest = np.empty(0, np.int64), np.empty(0)
-        self.entry, self.value = np.empty(0, np.int64), np.empty(0)
-        order = np.argsort(code)
-        code, n = code[order], n[order]
-        pair = code >= 1 << (2 * SHIFT)
-        size = dict(zip(code[~pair].tolist(), n[~pair].tolist()))
-        self._add(code[~pair], n[~pair], lambda c: int(lexicon.count[c]))
-        deep = code[pair] >> SHIFT
-        parent_pair = ((deep >> SHIFT) - 1 << SHIFT) | (deep & ((1 << SHIFT) - 1))
-        enough = np.array([size.get(c, 0) * CONTEXTS >= lexicon.n for c in parent_pair.tolist()], bool)
-        self._add(code[pair][enough], n[pair][enough], lambda c: size[((c >> SHIFT) - 1 << SHIFT) | (c & ((1 << SHIFT) - 1))])
-
-    def _add(self, code: np.ndarray, n: np.ndarray, occurrences) -> None:
-        """Tests the contexts in code (context, next word) against their parents and keeps those that pass."""
-        context, begin = np.unique(code >> SHIFT, return_index=True)
-        rest, entry, value, kept = [], [], [], []
-        for c, lo, hi in zip(context.tolist(), begin.tolist(), [*begin.tolist()[1:], len(code)]):
-            word, count = code[lo:hi] & ((1 << SHIFT) - 1), n[lo:hi]
-            total = occurrences(c)
-            parent = 10 ** self._under(np.full(len(word), c & ((1 << SHIFT) - 1) if c >> SHIFT else RARE), np.full(len(word), RARE), word)
-            share, other, others = count / total, 1 - count.sum() / total, max(1e-12, 1 - parent.sum())
-            gain = (count * np.log(share / parent)).sum() + (total * other * np.log(other / others) if other > 0 else 0)
-            if gain <= 0.5 * len(word) * np.log(total):
-                continue
-            low = max(1e-12, 1 - ((count - DISCOUNT) / total).sum())
-            kept.append(c)
-            rest.append(np.log10(low))
-            entry.append(code[lo:hi])
-            value.append(np.log10((count - DISCOUNT) / total + low * parent))
-        if kept:
-            self.context, self.rest = np.concatenate([self.context, kept]), np.concatenate([self.rest, rest])
-            self.entry, self.value = np.concatenate([self.entry, *entry]), np.concatenate([self.value, *value])
-
-    @staticmethod
-    def _find(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, of), max(0, len(keys) - 1))
-        return at, (keys[at] == of) if len(keys) else np.zeros(len(of), bool)
+    """The tables words (code, c, root, rest), pairs (one, word, n, added, rest, two words' log10) and triples of the tree.
+
+    context, rest and _under show the states of one frequent word, by number; they are there to look at, not to score.
+    """
+
+    def __init__(self, lexicon: Lexicon, words: DataFrame, pairs: DataFrame, triples: DataFrame):
+        self.lex, self.words, self.pairs, self.triples = lexicon, words, pairs, triples
+
+    @cached_property
+    def _kept(self) -> dict[int, float]:
+        found = {self.lex.number.get(r["code"], RARE): r["rest"] for r in self.words.where((F.col("c") * FREQUENT >= self.lex.n) & F.col("rest").isNotNull()).collect()}
+        return dict(sorted(found.items()))
+
+    @property
+    def context(self) -> np.ndarray:
+        return np.array(list(self._kept), np.int64)
+
+    @property
+    def rest(self) -> np.ndarray:
+        return np.array(list(self._kept.values()))
 
     def _under(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log10 of each symbol's probability after the symbols one and two before it, without the root's part of rare ones."""
-        out = np.where(ids >= 0, self.lex.root[ids], 0.0) if len(self.lex.root) else np.zeros(len(ids))
-        for context in (one, np.where((two >= 0) & (one >= 0), (two + 1 << SHIFT) | one, RARE)):
-            at, kept = self._find(self.context, context)
-            kept &= context >= 0
-            if not kept.any():
-                continue
-            at2, explicit = self._find(self.entry, np.where(kept & (ids >= 0), (context << SHIFT) | ids, RARE))
-            out = np.where(explicit, self.value[at2] if len(self.value) else 0, np.where(kept, out + self.rest[at], out))
-        return out
-
-    def score(self, ids: np.ndarray) -> np.ndarray:
-        one, two = _previous(ids, self.lex.number.get(END.encode(), RARE))
-        return self._under(one, two, ids)
+        """log10 of each frequent symbol's probability after one; two is not looked at."""
+        asked = [self.lex.code[k] for k in sorted(set(one[one >= 0].tolist()))]
+        found = {(r["one"], r["word"]): r["added"] for r in self.pairs.where(F.col("one").isin(asked)).collect()}
+        return np.array([self.lex.root[k] + (self._kept[c] + found.get((self.lex.code[c], self.lex.code[k]), 0.0) if c in self._kept else 0.0) for c, k in zip(one.tolist(), ids.tolist())])
+
+    def table(self) -> DataFrame:
+        """code, n, base, value, known: what each word, pair and triple adds to the scores of a text."""
+        none = F.lit(None)
+        words = self.words.select("code", F.col("c").alias("n"), F.col("root").alias("base"), (F.col("root") + F.coalesce("rest", F.lit(0.0))).alias("value"), F.lit(1).alias("known"))
+        pairs = self.pairs.select(F.xxhash64("one", "word").alias("code"), "n", none.cast("double").alias("base"), (F.col("added") + F.coalesce("rest", F.lit(0.0))).alias("value"), F.lit(0).alias("known"))
+        triples = self.triples.select(F.xxhash64("two", "one", "word").alias("code"), "n", none.cast("double").alias("base"), F.col("added").alias("value"), F.lit(0).alias("known"))
+        return words.unionByName(pairs.unionByName(triples).where("value <> 0"))
 
 
 def fit(docs: DataFrame, counts: DataFrame) -> Tree:
     """The tree of docs, whose word_counts are counts."""
+    spark = docs.sparkSession
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    lexicon = Lexicon(counts.where(F.col("c") * FREQUENT >= n).collect(), n, v)  # at most FREQUENT rows
-    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(lexicon))
-    many = context_counts(docs, held).where((F.col("n") >= 2) & (F.col("n") * ENTRIES >= n))
-    rows = many.toPandas()  # at most ENTRIES codes for each length of context
-    return Tree(lexicon, rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+    end = spark.range(1).select(F.xxhash64(F.lit(END))).first()[0]
+    words = counts.select(F.xxhash64("word").alias("code"), "word", "c", F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("root"))
+    lexicon = Lexicon(words.where(F.col("c") * FREQUENT >= n).collect(), n, v)  # at most FREQUENT rows
+    often = words.where(F.col("c") >= LEAST)
+
+    seen = spark.sparkContext.broadcast(Bitmap(often, F.col("code")))
+    pairs = sequence_counts(docs, seen, 2, end)
+    pairs = pairs.join(often.select(F.col("code").alias("one"), F.col("c").alias("total")), "one")
+    pairs = written(pairs.join(often.select(F.col("code").alias("word"), F.col("root").alias("parent")), "word"))
+    singles = written(_states(pairs, ["one"]))
+    pairs = written(pairs.join(singles, "one", "left").select("one", "word", "n", _added().alias("added"), (F.col("parent") + F.coalesce("rest", F.lit(0.0)) + _added()).alias("log")))
 
+    seen = spark.sparkContext.broadcast(Bitmap(pairs, F.xxhash64("one", "word")))
+    triples = sequence_counts(docs, seen, 3, end)
+    triples = triples.join(pairs.select(F.col("one").alias("two"), F.col("word").alias("one"), F.col("n").alias("total")), ["two", "one"])
+    triples = written(triples.join(pairs.select("one", "word", F.col("log").alias("parent")), ["one", "word"]))
+    doubles = written(_states(triples, ["two", "one"]))
+    triples = triples.join(doubles, ["two", "one"]).select("two", "one", "word", "n", _added().alias("added"))
 
-PARTS = "key long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base_part double, score_part double, rare array<struct<word:binary,tf:long>>"
+    words = words.join(singles.withColumnRenamed("one", "code"), "code", "left")
+    pairs = pairs.join(doubles.select(F.col("two").alias("one"), F.col("one").alias("word"), "rest"), ["one", "word"], "left")
+    return Tree(lexicon, words, pairs, triples)
+
+
+PARTS = "key long, code long, tf int, doc_id long, held_out boolean, n_tokens long, n_frequent long, n_joined long, base_part double, score_part double"
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; docs has doc_id, text, held_out."""
-    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(tree))
+    spark = docs.sparkSession
     n, v = tree.lex.n, tree.lex.v
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))]
+    end = spark.range(1).select(F.xxhash64(F.lit(END))).first()[0]
+    full = written(tree.table())
+    top = full.where(F.col("n") * FREQUENT >= n).orderBy("code").toPandas()  # at most FREQUENT of each length
+    hot = top["code"].to_numpy(np.int64), top["base"].to_numpy(float), top["value"].to_numpy(float), top["known"].to_numpy(bool)
+    held = spark.sparkContext.broadcast((hot, Bitmap(full.where("known = 0"), F.col("code"))))
+    schema = pa.schema([("key", pa.int64()), ("code", pa.int64()), ("tf", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("n_joined", pa.int64()), ("base_part", pa.float64()), ("score_part", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Tree = pickle.loads(held.value)
+        (codes, base, value, known), bits = held.value
+
+        def find(of):
+            at = np.minimum(np.searchsorted(codes, of), max(0, len(codes) - 1))
+            return at, (codes[at] == of) if len(codes) else np.zeros(len(of), bool)
+
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                some, rows = b.slice(lo, 256), []
-                for key, doc, out, text in zip(*(some.column(k).to_pylist() for k in range(4))):
-                    words, ids = m.lex.ids(text)
-                    rare: dict[bytes, int] = {}
-                    for k in np.flatnonzero(ids < 0).tolist():
-                        rare[words[k]] = rare.get(words[k], 0) + 1
-                    known = ids[ids >= 0]
-                    rows.append((key, doc, out, len(ids), len(known), float(m.lex.root[known].sum()), float(m.score(ids).sum()), [{"word": w, "tf": c} for w, c in rare.items()]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in PARTS.split(", ")])
-
-    parts = written(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", "text").mapInArrow(run, PARTS))
-    rare = parts.select("key", F.explode("rare").alias("r")).select("key", F.col("r.word").cast("string").alias("word"), F.col("r.tf").alias("tf"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    log = F.log10((c + 1) / F.lit(float(n + v + 1)))
-    sums = rare.join(counts, "word", "left").groupBy("key").agg(F.sum(F.col("tf") * log).alias("rare_score"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
-    more = F.coalesce(F.col("rare_score"), F.lit(0.0))
-    return parts.drop("rare").join(sums, "key", "left").select(
+            for lo, lengths, ids in _runs(b, 3, CHUNK // 8):
+                size = len(lengths)
+                row = np.repeat(np.arange(size), lengths)
+                one, two, deep = _previous(ids, lengths, end)
+                pair = joined(ids, joined(one))
+                triple = joined(ids, joined(one, joined(two)))
+                at, frequent = find(ids)
+                frequent &= known[at] if len(codes) else False
+                total = lambda a, x: np.bincount(row[a], x, size)
+                base_part, score_part = (total(frequent, x[at[frequent]]) if len(codes) else np.zeros(size) for x in (base, value))
+                rest = [(row[~frequent], ids[~frequent])]
+                for code, a in ((pair, np.ones(len(ids), bool)), (triple, deep)):
+                    a = a & bits.has(code)
+                    where, of = row[a], code[a]
+                    at2, found = find(of)
+                    if found.any():
+                        score_part = score_part + np.bincount(where[found], value[at2[found]], size)
+                    rest.append((where[~found], of[~found]))
+                where, of = (np.concatenate(x) for x in zip(*rest))
+                order = np.lexsort((of, where))
+                where, of = where[order], of[order]
+                new = np.ones(len(of), bool)
+                new[1:] = (of[1:] != of[:-1]) | (where[1:] != where[:-1])
+                begin = np.flatnonzero(new)
+                tf = np.diff(np.append(begin, len(of))).astype(np.int32)
+                some = b.slice(lo, size)
+                keys = np.asarray(some.column(0))
+                rows = len(begin)
+                none = [pa.nulls(rows, f.type) for f in schema][3:]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[where[begin]]), pa.array(of[begin]), pa.array(tf), *none], schema=schema)
+                n_frequent = np.bincount(row[frequent], minlength=size)
+                columns = [pa.array(x) for x in (lengths.astype(np.int64), n_frequent.astype(np.int64), (lengths - n_frequent).astype(np.int64), base_part.astype(float), score_part.astype(float))]
+                # A text's own row meets nothing: its code is spread by the key, its tf null.
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(joined(keys.astype(np.int64))), pa.nulls(size, pa.int32()), some.column(1), some.column(2), *columns], schema=schema)
+
+    parts = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", hashes(F.col("text")).alias("w")).mapInArrow(run, PARTS)
+    met = parts.join(full.where(F.col("n") * FREQUENT < n).select("code", "base", "value", "known"), "code", "left")
+    firsts = [F.max(c).alias(c) for c in PARTS.replace(",", "").split()[6::2]]
+    sums = met.groupBy("key").agg(
+        *firsts,
+        F.coalesce(F.sum(F.col("tf") * F.col("base")), F.lit(0.0)).alias("base"),
+        F.coalesce(F.sum(F.col("tf") * F.col("value")), F.lit(0.0)).alias("value"),
+        F.coalesce(F.sum(F.col("tf") * F.col("known")), F.lit(0)).alias("known"),
+    )
+    unseen = (F.col("n_joined") - F.col("known")) * F.lit(-float(np.log10(n + v + 1)))
+    return sums.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        (F.col("n_frequent") + F.col("known")).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_part") + more).alias("base_score"),
-        (F.col("score_part") + more).alias("score"),
+        (F.col("base_part") + F.col("base") + unseen).alias("base_score"),
+        (F.col("score_part") + F.col("value") + unseen).alias("score"),
     )
 
 

@@ -72,3 +72,63 @@ def test_odd_rows(odd, none):
     assert all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (1, 2, 3))
     assert all(math.isfinite(r["score"]) for r in rows)
     assert scored(none)[1].collect() == []
+
+
+def test_hashes_are_those_of_spark(spark):
+    df = spark.range(-50, 50).selectExpr("id", "id * 7919 AS b", "id - 3 AS c").selectExpr("*", "xxhash64(id, b) AS two", "xxhash64(id, b, c) AS three").toPandas()
+    two = st.joined(df["b"].to_numpy(), st.joined(df["id"].to_numpy()))
+    assert (two == df["two"].to_numpy()).all() and (st.joined(df["c"].to_numpy(), two) == df["three"].to_numpy()).all()
+
+
+def reference(texts, learned):
+    """log10 of each text's probability, by a tree of plain dictionaries."""
+    seqs = [[" ", *t.lower().split(), " "] for t in texts]
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for s, l in zip(seqs, learned):
+        if l:
+            uni.update(s[1:])
+            bi.update(zip(s, s[1:]))
+            tri.update(zip(s, s[1:], s[2:]))
+    n, v = sum(uni.values()), len(uni)
+    states = {}
+
+    def p(context, x):
+        if not context:
+            return (uni[x] + 1) / (n + v + 1)
+        if context not in states:
+            return p(context[1:], x)
+        entries, total, low = states[context]
+        back = p(context[1:], x)
+        return (entries[x] - st.DISCOUNT) / total + low * back if x in entries else low * back
+
+    for counts, size in ((bi, lambda c: uni[c[0]]), (tri, lambda c: bi[c])):
+        by = {}
+        for key, c in counts.items():
+            if c >= 2:
+                by.setdefault(key[:-1], {})[key[-1]] = c
+        found = {}
+        for context, entries in by.items():
+            total, parents = size(context), {x: p(context[1:], x) for x in entries}
+            other, others = 1 - sum(entries.values()) / total, max(1e-12, 1 - sum(parents.values()))
+            gain = sum(c * math.log(c / total / parents[x]) for x, c in entries.items()) + (total * other * math.log(other / others) if other > 1e-15 else 0)
+            if gain > 0.5 * len(entries) * math.log(total):
+                found[context] = entries, total, max(1e-12, 1 - sum(c - st.DISCOUNT for c in entries.values()) / total)
+        states.update(found)
+    return [sum(math.log10(p(tuple(s[max(0, k - 2) : k]), s[k])) for k in range(1, len(s))) for s in seqs], states
+
+
+def test_rare_contexts_count_at_any_size(make, lexicon, monkeypatch):
+    """Contexts and entries seen twice are in the tree however small their share of all tokens is."""
+    rng = random.Random(3)
+    phrases = ["quill midst vexed", "sable midst umber"]
+    docs = [(k, words(rng, 50, lexicon[:100]) + (f" {phrases[k // 20 % 2]}" if k % 20 == 0 else "")) for k in range(300)]
+    docs.append((300, phrases[0]))
+    learned = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in docs]
+    want, states = reference([t for _, t in docs], learned)
+    assert ("quill",) in states and ("quill", "midst") in states
+    for frequent in (st.FREQUENT, 64):
+        monkeypatch.setattr(st, "FREQUENT", frequent)
+        rows = {r["doc_id"]: r for r in scored(make(docs))[1].collect()}
+        for (i, _), w in zip(docs, want):
+            assert math.isclose(rows[i]["score"], w, rel_tol=1e-9)
+    assert rows[300]["score"] > rows[300]["base_score"] + 4
