@@ -1,8 +1,9 @@
 """A training corpus from raw documents: five stages, each over all that the one before it kept.
 
 Toxic texts go; repeated runs of lines are deleted, and documents of which nothing is left go; one document of each
-group of near copies stays (that of smallest doc_id); documents that hold a benchmark item go; the rest is packed into
-token sequences. All stages but the last return the columns of documents.
+group of near copies stays (that of smallest doc_id, without an id only if none has one); documents that hold a
+benchmark item go; the rest is packed into token sequences. All stages but the last return the columns of documents.
+A row is its id and its text: what befalls one leaves others of its id, or without one, alone.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan.llm import decontaminate, jaccard_join, line_dedup, packing, toxicity
-from longspan.llm.common import table, written
+from longspan.llm.common import table, text_key, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +29,23 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return left.where(~emptied).withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+def without(docs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """docs (with its text_key as __k) without those of the same doc_id and text as one of rows."""
+    rows = rows.select(F.col("doc_id").alias("__gone"), F.col(key).alias("__key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(rows["__gone"]) & (docs["__k"] == rows["__key"])
+    return docs.join(rows, same, "left_anti")
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similarity 0.8 or more on five-word shingles, of rows that repeat one too."""
-    classes = jaccard_join.similar_classes(docs, percent=80, width=5)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
-    return kept.withColumn("__k", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__k"]).select(*docs.columns)
+    kept = without(docs.withColumn("__k", text_key(F.col("text"))), jaccard_join.later_copies(docs, percent=80, width=5), "text_key")
+    return kept.dropDuplicates(["doc_id", "__k"]).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window is similar to a benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found"]), "left_anti")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs.withColumn("__k", text_key(F.col("text"))), found, "k").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,11 @@ def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def text_key(text):
+    """128 bits that stand for a text, as a column; with its id they are a row's identity. Null is as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """df with a broadcast hint if rows, its counted size, is at most limit; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspan.llm.common import broadcast_if_small, table, written
+from longspan.llm.common import broadcast_if_small, table, text_key, written
 
 WIDTH = 5
 PERCENT = 80
@@ -58,9 +58,9 @@ def blocks(radius: int) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, start (word), shared, size (shingles of the union), similarity of each pair at percent / 100 or more."""
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), words(F.col("text")).alias("w"))
+def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
+    """doc_id, k (the text_key), item_id, start (word), shared, union (shingles) of each window at percent / 100 or more."""
+    texts = docs.select("doc_id", text_key(F.col("text")).alias("k"), words(F.col("text")).alias("w"))
     asked = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     asked = asked.withColumns({"n": F.size("w"), "item": F.monotonically_increasing_id()})
     asked = written(asked.withColumn("width", F.least(F.lit(width), F.col("n"))))
@@ -75,7 +75,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
         found = found.groupBy("doc_id", "k", "item", "n").agg(F.count_distinct("q").alias("met"), F.collect_set(F.col("p") - F.col("q")).alias("starts"))
         found = found.where(F.col("met") * 100 >= (F.col("n") - u + 1) * percent).withColumn("width", F.lit(u))
         hits = found if hits is None else hits.unionByName(found)
-    schema = "doc_id long, item_id long, start int, shared long, size long, similarity double"
+    schema = "doc_id long, k binary, item_id long, start int, shared long, union long"
     if hits is None:
         return docs.sparkSession.createDataFrame([], schema)
     hits = written(hits)
@@ -100,6 +100,12 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent:
     union = F.col("size") + F.col("item_size") - F.col("shared")
     good = written(shared.withColumn("union", union).where(F.col("shared") * 100 >= F.col("union") * percent).select("n", "fp", "c", "item", "shared", "union"))
     matched = prints.select("doc_id", "k", "n", "start", "fp", "c").join(good, ["n", "fp", "c"]).join(asked.select("item", "item_id"), "item")
+    return matched.select("doc_id", "k", "item_id", "start", "shared", "union")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, start (word), shared, size (shingles of the union), similarity of each pair at percent / 100 or more."""
+    matched = matches(docs, items, width, percent, radius)
     similarity = F.col("shared") / F.col("union")
     best = F.min(F.struct((-similarity).alias("s"), "start", "shared", "union")).alias("b")
     return matched.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.start").cast("int").alias("start"), "b.shared", F.col("b.union").alias("size"), (-F.col("b.s")).alias("similarity"))

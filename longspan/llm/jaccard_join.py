@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspan.llm.common import broadcast_if_small, table, written
+from longspan.llm.common import broadcast_if_small, table, text_key, written
 
 RATIO = 1.5
 #: Cost of a chance meeting of two sets (a comparison of sketches) against that of a published hash (made and shuffled).
@@ -145,12 +145,12 @@ class Bands:
         return np.concatenate(out).view(np.int64)
 
 
-PARTS = "doc_id long, n_shingles long, set_key binary, sketch array<long>, node long, sig long"
+PARTS = "doc_id long, n_shingles long, set_key binary, sketch array<long>, text_key binary, node long, sig long"
 
 
 def _parts(width: int, bands: Bands):
-    """A row per document (its id, size, set_key, sketch and node) and one per signature (node and sig)."""
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    """A row per document (its id, size, set_key, sketch, text_key and node) and one per signature (node and sig)."""
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def table(about: list[list], node: np.ndarray, sig: np.ndarray | None) -> pa.RecordBatch:
         n = len(node)
@@ -178,7 +178,7 @@ def _parts(width: int, bands: Bands):
                     held, owner, size = [], [], 0
             if size:
                 yield table([], np.concatenate(owner), np.concatenate(held))
-            yield table([b.column(0).to_pylist(), sizes, keys, sketches], np.array(names, np.int64), None)
+            yield table([b.column(0).to_pylist(), sizes, keys, sketches, b.column(2).to_pylist()], np.array(names, np.int64), None)
 
     return run
 
@@ -210,14 +210,14 @@ class Join:
     """The similarity join of docs (doc_id, text) at percent / 100 on width-word shingles."""
 
     def __init__(self, docs: DataFrame, percent: int, width: int):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), text_key(F.col("text")).alias("text_key"))
         self.percent, self.width = percent, width
         # The allocation needs only the order of magnitude of sizes, so lengths stand for them: six bytes a shingle.
         size = F.floor(F.log2(F.octet_length(F.coalesce("text", F.lit(""))) / F.lit(6.0) + 1) * 2).cast("int")
         counts = {int(2 ** (r["s"] / 2)): r["count"] for r in self.docs.groupBy(size.alias("s")).count().collect()}  # a row per half octave
         self.bands = Bands(percent, counts)
         parts = written(self.docs.mapInArrow(_parts(width, self.bands), PARTS))
-        self.rows = parts.where("sig is null").select("doc_id", "n_shingles", "set_key", "node", "sketch")
+        self.rows = parts.where("sig is null").select("doc_id", "n_shingles", "set_key", "node", "sketch", "text_key")
         self.published = parts.where("sig is not null").select("sig", "node")
         clash = self.rows.groupBy("node").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y")
         if not clash.isEmpty():
@@ -285,11 +285,24 @@ class Join:
         by_node = placed.join(smallest, "root").select("node", "component_id")
         return self.rows.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
+    def copies(self) -> DataFrame:
+        """doc_id, text_key of the rows whose component has an earlier one: by doc_id, null last, then by text_key."""
+        roots = components(self.edges())
+        order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")
+        rows = self.rows.where("n_shingles > 0").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), order.alias("row"))
+        rows = written(rows.distinct())
+        firsts = rows.groupBy("root").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        return rows.join(firsts, "root").where(~F.col("row").eqNullSafe(F.col("first"))).select("row.doc_id", "row.text_key")
+
 
 def similar_classes(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     return Join(docs, percent, width).classes()
 
 
+def later_copies(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    return Join(docs, percent, width).copies()
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"), percent=90, width=3)
 

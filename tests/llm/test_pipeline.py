@@ -59,3 +59,25 @@ def test_stages_take_effect(spark, sf_dir):
 def test_run_returns_pieces_of_what_stays(spark, sf_dir):
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir[0]).select("doc_id").distinct().collect()}
     assert 1 in got and not got & {301, 302, 306}
+
+
+def test_rows_of_one_id_stand_for_themselves(spark, odd, lexicon, tmp_path):
+    """Rows without an id, or with an id that others have, go for their own text only."""
+    rng = random.Random(12)
+    a, b, c, d, e, f = (words(rng, 120, lexicon) for _ in range(6))
+    item = words(rng, 40, lexicon)
+    held = f"{words(rng, 30, lexicon)} {item} {words(rng, 30, lexicon)}"
+    rows = [(20, a), (None, a + " tail"), (None, b), (None, c), (None, c + " tail"), (21, d), (22, d + " tail"), (22, e), (None, held), (23, held[:60] + f), (23, item + " " + f[:90])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pairs = lambda x: sorted(((r["doc_id"], r["text"]) for r in x.collect()), key=str)
+    left = corpus_pipeline.written(corpus_pipeline.without_near_copies(spark, docs, str(tmp_path)))
+    got = pairs(left)
+    assert sum(x in got for x in ((None, c), (None, c + " tail"))) == 1
+    assert [x for x in got if not (x[1] or "").startswith(c)] == sorted((x for x in rows if x[1] not in (a + " tail", d + " tail", c, c + " tail")), key=str)
+    got = pairs(corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)))
+    assert got == sorted((x for x in rows if item not in x[1]), key=str)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for stage in (corpus_pipeline.without_repeated_lines, corpus_pipeline.without_near_copies, corpus_pipeline.without_benchmark):
+        kept = pairs(stage(spark, odd.select(columns), str(tmp_path)))
+        assert {1, 2, 3, 5, 6} <= {i for i, _ in kept}
