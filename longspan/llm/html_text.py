@@ -7,8 +7,8 @@ the path with most votes (then most score, then first in order) wins. Pages are
 on their host's path; a page that has none there falls back on its own best container. Votes are summed in the tasks
 before their shuffle, and pages meet the winners in a join that Spark may split, so a large host is no burden.
 
-Left out at any depth: what isn't content by tag, role or class (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, comments). Of a header inside an article its headings stay. A <br> is white space.
+Left out at any depth: what isn't content by tag, role or a whole class or id (menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, comments), but for class or id nothing that wraps the page's content. Of a header inside an article its headings stay. A <br> is white space.
 
 Defined results: null and empty pages give an empty text; a page without a container votes for nothing and gives the
 text of its blocks; a null url has the empty host; rows that repeat vote and are returned each for itself; null ids are
@@ -38,7 +38,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
-NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|sidebar|side|widgets?|notices?|cookies?|consent|gdpr|banner|ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|share|sharing|social|comments?|disqus|respond|reply|replies|related|recommended|popup|modal|overlay|newsletter|subscribe|signup|login|search|skip|toolbar|pagination|pager|copyright|legal|alert)(?:$|[\s_-])")
+NOT_CONTENT = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar side widget widgets notice notices cookie cookies consent gdpr banner ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion share sharing social comment comments disqus respond reply replies related recommended popup modal overlay newsletter subscribe signup login search skip toolbar pagination pager copyright legal alert".split())
+# What may stand beside them in one class or id: where and how they lie. 'no', 'has' and 'with' are not here, as they tell of another element.
+BESIDE = frozenset("site page main primary secondary global top bottom left right first last inner outer container wrapper wrap box block bar area section list item items links link icons buttons button slot unit form title text posts articles".split())
+PARTS = re.compile(r"[_-]+|(?<=\D)(?=\d+$)")
+MOST = 0.8
 CONTENT = re.compile(r"article|content|post|entry|story|main|body|text")
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
@@ -55,6 +59,8 @@ class Element:
     skip: bool
     container: int
     heading_only: bool = False
+    certain: bool = False  # left out by more than its class or id
+    number: int = -1  # of those left out by class or id
 
 
 @dataclass
@@ -71,19 +77,43 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw.strip() else {}
 
 
-def _not_content(tag: str, a: dict[str, str]) -> bool:
+def _names(name: str) -> bool:
+    """Whether a whole class or id says that its element isn't content."""
+    parts = [x for x in PARTS.split(name) if x]
+    return any(x in NOT_CONTENT for x in parts) and all(x in NOT_CONTENT or x in BESIDE or x.isdigit() for x in parts)
+
+
+def _hidden(a: dict[str, str]) -> bool:
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES:
         return True
-    if "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    return tag not in ("body", "html", "article", "main") and any(NOT_CONTENT.search(a[k].lower()) for k in ("class", "id") if a.get(k))
+    return "display:none" in a.get("style", "").replace(" ", "").lower()
+
+
+def _not_content(tag: str, a: dict[str, str]) -> bool:
+    return tag not in ("body", "html", "article", "main") and any(_names(x) for k in ("class", "id") if a.get(k) for x in a[k].lower().split())
+
+
+@dataclass
+class Within:
+    """What an element holds: characters of text, articles and mains."""
+
+    text: int = 0
+    articles: int = 0
+    mains: int = 0
+
 
+def parse(html: str | None, spared: frozenset[int] | None = None) -> Page:
+    """The page's containers and blocks.
 
-def parse(html: str | None) -> Page:
+    An element that its class or id would leave out stays if it holds a main, or in a page without one all articles,
+    or in a page without either more than MOST of the text: it is a wrapper of the content then. Such elements, by number,
+    are spared when the page is read again.
+    """
     page, stack = Page(), [Element("", False, -1)]
     text: list[str] = []
     links, in_link = 0, 0
     html = html or ""
+    whole, named = Within(), []
 
     def end_block() -> None:
         nonlocal links
@@ -97,6 +127,13 @@ def parse(html: str | None) -> Page:
     def add(piece: str) -> None:
         nonlocal links
         top = stack[-1]
+        if spared is None and piece and not top.certain:
+            size = len(piece.strip())
+            whole.text += size
+            if top.skip and size:
+                for e in stack:
+                    if e.number >= 0:
+                        named[e.number].text += size
         if piece and not (top.skip and not top.heading_only):
             piece = entities.unescape(piece) if "&" in piece else piece
             text.append(piece)
@@ -149,8 +186,17 @@ def parse(html: str | None) -> Page:
         a = _attributes(m[3] if m[2] else m[6])
         top = stack[-1]
         inside = any(e.tag in ("article", "main") for e in stack)
-        out = top.skip or tag in LEFT_OUT or _not_content(tag, a)
-        element = Element(tag, out, top.container)
+        certain = top.certain or tag in LEFT_OUT or _hidden(a)
+        number = -1
+        if not certain and _not_content(tag, a):
+            number = len(named)
+            named.append(Within())
+        if not certain and tag in ("article", "main"):
+            for w in (whole, *(named[e.number] for e in stack if e.number >= 0)):
+                w.articles += tag == "article"
+                w.mains += tag == "main"
+        out = top.skip or certain or number >= 0 and number not in (spared or ())
+        element = Element(tag, out, top.container, certain=certain, number=number)
         # Of a header inside an article the headings stay.
         element.heading_only = top.heading_only or inside and tag in HEADINGS and top.skip and all(e.tag in ("header", "div", "hgroup") for e in stack if e.skip)
         if tag in CONTAINER and not out:
@@ -164,6 +210,10 @@ def parse(html: str | None) -> Page:
     add(html[at:] if not html[at:].startswith("<") else "")
     close(1)
     end_block()
+    if spared is None:
+        spared = frozenset(k for k, w in enumerate(named) if w.mains or w.articles == whole.articles and not whole.mains and (w.articles or w.text > MOST * whole.text))
+        if spared:
+            return parse(html, spared)
     return page
 
 

@@ -46,3 +46,17 @@ def test_odd_rows(spark):
     by = {r["page_id"]: r["text"] for r in got}
     assert by[1] == by[2] == "" and by[None] == by[3] == "text" and by[4].count("\n") == 19999
     assert h.extract(pages(spark, [])).collect() == []
+
+
+def test_layout_wrappers_stay():
+    """Classes that tell of a layout leave nothing out, nor does any class of what wraps the content."""
+    text = lambda s: h.text_at(h.parse(s), h.best(h.parse(s))[0])
+    story = "<p>The story of the page, long enough to be read.</p><p>And more of it.</p>"
+    want = "The story of the page, long enough to be read.\nAnd more of it."
+    for wrapper in ("class='content no-sidebar'", "id='content' class='has-sidebar'", "class='page with-header'", "class=page--no-ads", "class='modal'", "id=side"):
+        assert text(f"<body><div {wrapper}><article>{story}</article></div></body>") == want
+        assert text(f"<body><nav>menu</nav><div {wrapper}>{story}</div></body>") == want
+        assert text(f"<body><div {wrapper}><main>{story}<div class='ad'>BUY</div></main><div class='sidebar'>aside</div></div></body>") == want
+    for left_out in ("sidebar", "sidebar-left", "site-footer", "cookie-notice", "ad-slot-3", "ad2", "related-posts", "comments_list"):
+        assert text(f"<body><article>{story}<div class='{left_out}'>other</div></article></body>") == want
+    assert text(f"<body><article>{story}</article><div class='related'><article><p>{'card ' * 90}</p></article></div></body>").startswith("The story")
