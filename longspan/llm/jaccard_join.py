@@ -1,13 +1,14 @@
 """Exact set-similarity join of texts on word shingles, by universe partition.
 
 Two sets of Jaccard similarity t or more differ in few elements: at most D = floor((1 - t) / (1 + t) * (|x| + |y|)).
-Sizes fall into bands, each with a bound D of its own. In a band all elements are hashed to segments; D + 1 units of
-tolerance are allocated to them: a segment with one unit must be equal in some similar pair or else hold a difference,
-one with two units (and twice the width) must differ by at most one element. By the pigeonhole principle a similar
-pair meets in some segment. Equal segments meet by their hash; two-unit segments also publish the hash without each of
-their elements, so segments that are one deletion apart meet. Each band takes the allocation of least cost, counted
-from its number of sets: hashes published plus chance meetings expected. A set publishes in its own band and in those
-above that partners may lie in.
+Sizes fall into bands, each with a bound D of its own. In a band all elements are hashed to segments; D + 1 + extra
+units of tolerance are allocated to them: a segment with one unit agrees if it is equal, one with two units (and twice
+the width) if it differs by at most one element. By the pigeonhole principle a similar pair agrees in 1 + extra units.
+Equal segments meet by their hash; two-unit segments also publish the hash without each of their elements, so segments
+that are one deletion apart meet. A segment of which nothing is left would meet all others of its kind; as a similar
+pair that meets nowhere else does so in several such segments, they are published only as subsets of that many. Each
+band takes the allocation (units by one or by two, extra) of least cost, counted from its number of sets: hashes
+published plus chance meetings expected. A set publishes in its own band and in those above that partners may lie in.
 
 Equal sets are one node. A bucket's head is the set that meets most others; the rest of the bucket is verified against
 it, exactly. Components of these links are contracted; what is left, pairs of a set outside its head's component with
@@ -28,6 +29,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 from operator import add
 
 import numpy as np
@@ -39,8 +41,10 @@ from pyspark.sql import functions as F
 from longspan.llm.common import broadcast_if_small, table, text_key, written
 
 RATIO = 1.5
-#: Cost of a chance meeting of two sets (a comparison of sketches) against that of a published hash (made and shuffled).
-MEETING_COST = 0.05
+#: Cost of a chance meeting of two sets (a comparison of sketches, about 2 microseconds) against that of a published hash (made and shuffled, about 8).
+MEETING_COST = 0.3
+#: Segments in a subset at most; allocations of larger ones are not tried.
+LARGEST_SUBSET = 6
 #: Ids up to which candidates' texts are found by a broadcast; beyond, by a shuffle.
 BROADCAST_ROWS = 500_000
 GOLD = 0x9E3779B97F4A7C15
@@ -67,8 +71,13 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def node_of(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little", signed=True)
+def node_of(key: bytes, shared: frozenset[int] = frozenset()) -> int:
+    """64 bits that name a set; for those that several sets of the corpus share, others of its key."""
+    for lo in (0, 8):
+        node = int.from_bytes(key[lo : lo + 8], "little", signed=True)
+        if node not in shared:
+            break
+    return node
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -89,12 +98,40 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 @dataclass
 class Band:
+    """Sizes from low to high, whose similar pairs differ in at most tolerance elements, and the segments of the universe for them.
+
+    A set publishes low-information hashes (of segments of which nothing is left) only as subsets of ``subset`` segments.
+    """
+
     low: int
     high: int
     tolerance: int
+    extra: int = 0
     single: int = 0
     double: int = 0
 
+    @property
+    def subset(self) -> int:
+        return self.extra // 2 + 1 if self.double else self.extra + 1
+
+
+def _used(band: Band, size: int, percent: int) -> tuple[int, int]:
+    """Segments in which a set publishes: those of two units, and all. With partners of the band it differs in at most so many elements."""
+    differ = (100 - percent) * (size + min(band.high, size * 100 // percent)) // (100 + percent)
+    doubles = min(band.double, (differ + 2 + band.extra) // 2)
+    return doubles, doubles + max(0, differ + 1 + band.extra - 2 * band.double)
+
+
+def _cost(band: Band, sets: int, percent: int) -> float:
+    """Hashes that a set publishes (the mean of three sizes) and, times MEETING_COST, its chance meetings with the band's other sets."""
+    parts, ways, published = band.single + band.double, math.factorial(band.subset), 0.0
+    nothing = lambda width: math.exp(-width) * (1 + width if band.double else 1)  # noqa: E731  # is left of a segment, after one deletion
+    for size in (-(-band.low * percent // 100), (band.low + band.high) // 2, band.high):
+        doubles, used = _used(band, size, percent)
+        published += (used + doubles * size / parts + (used * nothing(size / parts)) ** band.subset / ways) / 3
+    chance = parts * nothing((band.low + band.high) / 2 / parts) ** 2
+    return published + MEETING_COST * sets * min(1.0, chance**band.subset / ways)
+
 
 class Bands:
     """Size bands and their allocation for similarity of at least percent / 100."""
@@ -105,15 +142,11 @@ class Bands:
         low = 1
         while low < 1 << 31:
             high = max(low, int(low * RATIO))
-            band = Band(low, high, (100 - percent) * 2 * high // (100 + percent))
+            tolerance = (100 - percent) * 2 * high // (100 + percent)
             sets = sum(c for n, c in counts.items() if low * percent // 100 <= n <= high)
-            units, width = band.tolerance + 1, (low + high) / 2 / (band.tolerance + 1)
-            # Unrelated sets meet where both have no element in a segment, or within one of none.
-            one = 1 + MEETING_COST * sets * math.exp(-2 * width)
-            two = (1 + 2 * width) * (1 + MEETING_COST * sets * (math.exp(-2 * width) * (1 + 2 * width)) ** 2)
-            band.double = units // 2 if two < 2 * one else 0
-            band.single = units - 2 * band.double
-            self.bands.append(band)
+            forms = [Band(low, high, tolerance, extra, tolerance + 1 + extra) for extra in range(LARGEST_SUBSET)]
+            forms += [Band(low, high, tolerance, extra, (tolerance + 1 + extra) % 2, (tolerance + 1 + extra) // 2) for extra in range(2 * LARGEST_SUBSET)]
+            self.bands.append(min(forms, key=lambda x: _cost(x, sets, percent)))
             low = high + 1
 
     def of(self, size: int) -> list[int]:
@@ -122,12 +155,9 @@ class Bands:
         return [k for k, b in enumerate(self.bands) if b.low <= most and b.high >= size and b.tolerance]
 
     def signatures(self, hashes: np.ndarray, k: int) -> np.ndarray:
-        band, size = self.bands[k], len(hashes)
+        band = self.bands[k]
         units = band.single + 2 * band.double
-        # With partners of this band the set differs in at most so many elements; so many segments and one are enough.
-        differ = (100 - self.percent) * (size + min(band.high, size * 100 // self.percent)) // (100 + self.percent)
-        doubles = min(band.double, (differ + 2) // 2)
-        singles = max(0, differ + 1 - 2 * band.double)
+        doubles, used = _used(band, len(hashes), self.percent)
         h = mixed(hashes + np.uint64(k + 1))
         unit = (h % np.uint64(units)).astype(np.int64)
         segment = np.where(unit < 2 * band.double, unit // 2, unit - band.double)  # those of two units come first
@@ -137,18 +167,26 @@ class Bands:
         if len(part):
             begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             total[part[begin]] = np.add.reduceat(values, begin)
+        many = np.bincount(part, minlength=len(total))[:used]
         name = lambda s, seg: mixed(s ^ mixed(np.uint64(k << 32) + seg.astype(np.uint64)))
-        out = [name(total[: doubles + singles], np.arange(doubles + singles))]
+        full = np.flatnonzero(many)
+        out = [name(total[full], full)]
         if doubles:
-            some = part < doubles
+            some = (part < doubles) & (many[np.minimum(part, used - 1)] > 1)
             out.append(name(total[part[some]] - values[some], part[some]))
+        nothing = np.flatnonzero(np.where(np.arange(used) < doubles, many <= 1, many == 0))
+        if len(nothing) >= band.subset:
+            joint = np.full(1, k + 1, np.uint64)
+            for some in zip(*combinations(nothing.tolist(), band.subset)):
+                joint = mixed(joint * np.uint64(GOLD) + np.array(some, np.uint64))
+            out.append(joint)
         return np.concatenate(out).view(np.int64)
 
 
 PARTS = "doc_id long, n_shingles long, set_key binary, sketch array<long>, text_key binary, node long, sig long"
 
 
-def _parts(width: int, bands: Bands):
+def _parts(width: int, bands: Bands, shared: frozenset[int]):
     """A row per document (its id, size, set_key, sketch, text_key and node) and one per signature (node and sig)."""
     types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
@@ -168,7 +206,7 @@ def _parts(width: int, bands: Bands):
                 keys.append(set_key(x))
                 sizes.append(len(x))
                 sketches.append(sketch(x))
-                names.append(node_of(keys[-1]))
+                names.append(node_of(keys[-1], shared))
                 for k in bands.of(len(x)) if len(x) else []:
                     held.append(bands.signatures(x, k))
                     owner.append(np.full(len(held[-1]), names[-1]))
@@ -183,12 +221,12 @@ def _parts(width: int, bands: Bands):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, shared: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 sets = [shingles(t, width) for t in b.column(0).slice(lo, 64).to_pylist()]
-                node = [node_of(set_key(x)) for x in sets]
+                node = [node_of(set_key(x), shared) for x in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "hashes"])
 
     return run
@@ -216,21 +254,32 @@ class Join:
         size = F.floor(F.log2(F.octet_length(F.coalesce("text", F.lit(""))) / F.lit(6.0) + 1) * 2).cast("int")
         counts = {int(2 ** (r["s"] / 2)): r["count"] for r in self.docs.groupBy(size.alias("s")).count().collect()}  # a row per half octave
         self.bands = Bands(percent, counts)
-        parts = written(self.docs.mapInArrow(_parts(width, self.bands), PARTS))
-        self.rows = parts.where("sig is null").select("doc_id", "n_shingles", "set_key", "node", "sketch", "text_key")
-        self.published = parts.where("sig is not null").select("sig", "node")
-        clash = self.rows.groupBy("node").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y")
-        if not clash.isEmpty():
-            raise ValueError("two sets share a 64-bit node id")
+        self.shared: frozenset[int] = frozenset()
+        while True:  # again only if different sets share a node, a chance of n^2 / 2^65 with n sets
+            parts = written(self.docs.mapInArrow(_parts(width, self.bands, self.shared), PARTS))
+            self.rows = parts.where("sig is null").select("doc_id", "n_shingles", "set_key", "node", "sketch", "text_key")
+            self.published = parts.where("sig is not null").select("sig", "node")
+            several = self.rows.groupBy("node").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y")
+            found = frozenset(r["node"] for r in several.select("node").collect())
+            if not found - self.shared:
+                break
+            self.shared |= found
 
     def sets(self, nodes: DataFrame) -> DataFrame:
-        """node, hashes of nodes, from the text of the first document of each."""
-        firsts = self.rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-        firsts = written(firsts)
-        texts = self.docs.withColumn("__k", F.xxhash64("text"))
-        named = texts.join(broadcast_if_small(firsts, firsts.count(), BROADCAST_ROWS), "doc_id", "left_semi")
-        nameless = texts.where("doc_id is null").dropDuplicates(["__k"])  # their nodes may have no other document
-        return written(named.unionByName(nameless).select("text").mapInArrow(_sets(self.width), "node long, hashes array<long>"))
+        """node, hashes of nodes, each once, from the text of its first row."""
+        order = ("nameless", "doc_id", "text_key", "n")
+        rows = self.rows.join(nodes, "node", "left_semi").groupBy("node", F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+        firsts = written(rows.groupBy("node").agg(F.min(F.struct(*order)).alias("row")).select(F.col("row.doc_id").alias("first_id"), F.col("row.text_key").alias("first_key"), "row.n"))
+        total, repeated = firsts.agg(F.count(F.lit(1)), F.count_if(F.col("n") > 1)).first()
+
+        def texts(some: DataFrame) -> DataFrame:
+            some = broadcast_if_small(some, total, BROADCAST_ROWS)
+            return self.docs.join(some, self.docs["doc_id"].eqNullSafe(some["first_id"]) & (self.docs["text_key"] == some["first_key"]), "left_semi")
+
+        named = texts(firsts.where("n = 1") if repeated else firsts)
+        if repeated:
+            named = named.unionByName(texts(firsts.where("n > 1")).dropDuplicates(["text_key"]))
+        return written(named.select("text").mapInArrow(_sets(self.width, self.shared), "node long, hashes array<long>"))
 
     def possible(self, a: str, b: str) -> Column:
         """Sizes and sketches of n and sketch of a and b (suffixes) that a similar pair may have."""

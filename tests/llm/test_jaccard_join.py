@@ -69,7 +69,35 @@ def test_allocation_follows_cost():
     """Few sets take equal segments, many take segments that allow a deletion."""
     few, many = (jj.Bands(80, dict.fromkeys(range(1, 400), n)).bands for n in (10, 10_000_000))
     assert not any(b.double for b in few) and any(b.double for b in many)
-    assert all(b.single + 2 * b.double == b.tolerance + 1 for b in few + many)
+    assert all(b.single + 2 * b.double == b.tolerance + 1 + b.extra for b in few + many)
+
+
+def test_unrelated_sets_hardly_meet():
+    """Segments of which nothing is left don't make unrelated sets meet, whatever their size."""
+    rng = np.random.default_rng(3)
+    bands = jj.Bands(80, dict.fromkeys(range(1, 6000, 10), 100_000))
+    for size in (30, 100, 400, 1500, 5000):
+        held = Counter()
+        for _ in range(100):
+            x = np.unique(rng.integers(1, 1 << 62, size).astype(np.uint64))
+            held.update({int(v) for k in bands.of(len(x)) for v in bands.signatures(x, k)})
+        assert sum(c * (c - 1) // 2 for c in held.values()) < 0.03 * 100 * 99 / 2
+
+
+def test_sets_that_share_a_node(make, lexicon, monkeypatch):
+    """Nodes of few bits clash; the sets that share one are told apart by others."""
+    whole = jj.node_of
+    monkeypatch.setattr(jj, "node_of", lambda key, shared=frozenset(): x if (x := whole(key) & 63) not in shared else whole(key[8:] + key[:8]))
+    monkeypatch.setattr(jj, "set_key", lambda hashes: jj.hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+    rows = near_copies(lexicon, 4)
+    assert Counter(tuple(r) for r in jj.similar_classes(make(rows), 80, 5).collect()) == brute(rows, 80, 5)
+
+
+def test_repeated_rows_make_one_node(make, lexicon):
+    base = words(random.Random(8), 100, lexicon)
+    join = jj.Join(make([(1, base)] * 40 + [(2, base + " x")] * 40 + [(None, base + " y")] * 40), 80, 5)
+    assert join.sets(join.rows.select("node").distinct()).count() == 3
+    assert {r["component_id"] for r in join.classes().collect()} == {1}
 
 
 @pytest.mark.parametrize("kind", ["single", "double", "mixed"])
