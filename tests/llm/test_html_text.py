@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from longspan.llm import html_text as h
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="page-7"><header><h1>Site</h1></header><nav><ul><li>Menu</ul></nav>
@@ -60,3 +64,66 @@ def test_layout_wrappers_stay():
     for left_out in ("sidebar", "sidebar-left", "site-footer", "cookie-notice", "ad-slot-3", "ad2", "related-posts", "comments_list"):
         assert text(f"<body><article>{story}<div class='{left_out}'>other</div></article></body>") == want
     assert text(f"<body><article>{story}</article><div class='related'><article><p>{'card ' * 90}</p></article></div></body>").startswith("The story")
+
+
+def text(s):
+    page = h.parse(s)
+    return h.text_at(page, h.best(page)[0])
+
+
+def test_quotes_in_attributes():
+    """A quote opens a value only after an equals sign."""
+    assert text("<p data-x=it's>one</p><p>two</p><p>it's three</p>") == "one\ntwo\nit's three"
+    assert text("""<article><p title='a>b' class=x">one</p><p a"b c='>d'>two</p><p id=q data-class="ad">three</p></article>""") == "one\ntwo\nthree"
+    assert text("a < b <c") == "a < b <c" and text("<p>x<!-- never ends <p>y") == "x"
+
+
+def test_text_beside_the_best_container():
+    long_text = "long text of the story " * 30
+    assert text(f"<body><div class=a><div class=b><p>{long_text}</p></div><div class=c><p>{long_text[:200]}</p></div></div></body>").endswith("\n" + long_text[:200].strip())
+    assert text(f"<body><div class=a>before<div class=b><p>{long_text}</p></div>after</div><div class=ad>x</div></body>") == f"before\n{long_text.strip()}\nafter"
+
+
+def test_nested_comments_and_lines():
+    story = "<p>The story of the page.</p><p>And more of it.</p>"
+    want = "The story of the page.\nAnd more of it."
+    assert text(f"<body><article class=post>{story}<article class=comment><p>A reader</p></article></article></body>") == want
+    assert text("<article class=comment><p>a page of one comment</p></article>") == "a page of one comment"
+    assert text(f"<article><p class=alert>Mind this.</p><div class=legal><p>So be it.</p></div>{story}</article>") == f"Mind this.\nSo be it.\n{want}"
+    assert text("<article><p>Let <math><mi>x</mi></math> be <svg><text>no</text></svg><button>B</button>and <select><option>o<option>p</select>end</p></article>") == "Let x be and end"
+
+
+def test_deep_nesting():
+    """100,000 elements in one another, in time and memory that grow with the page."""
+    n = 100_000
+    assert text("<div class=a1>" * n + "<p>deep</p>" + "</div>" * n) == "deep"
+    assert text("<div>x" * n + "</b>" * n).count("\n") == n - 1
+    assert text("<article><p>q</p>" + "<div class=ad>x" * n) == "q"
+    assert text("<a" * n) == ""
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_pages(seed):
+    """Pages built from a known article: random wrappers, sibling divs, boilerplate, unclosed tags, nested comments."""
+    rng = random.Random(seed)
+    say = lambda n: " ".join(rng.choice("one two three four five six seven eight nine ten".split()) for _ in range(n))
+    quote = lambda v: rng.choice([f'"{v}"', f"'{v}'", v])
+    blocks = [say(rng.randint(15, 60)) for _ in range(rng.randint(3, 9))]
+    boiler = lambda: rng.choice([
+        f"<nav><ul><li><a href=/x>{say(3)}</a><li>{say(1)}</ul></nav>", f"<div class={quote('cookie-notice')}>{say(30)}</div>", f"<aside>{say(40)}</aside>", f"<div id={quote('sidebar-2')}><p>{say(50)}</div>",
+        f"<footer>{say(20)}</footer>", f"<script>var a='<p>{say(9)}</p>'</script>", f"<form>{say(5)}<input value='>'></form>", f"<!-- {say(5)} <p> -->", f"<style>p{{}}</style>", f"<div class={quote('ad')}>{say(12)}</div>",
+    ])
+    parts = []
+    for x in blocks:
+        kind = rng.randrange(4)
+        at = rng.randrange(len(x.split()))
+        w = [f"<b title=it's>{w}</b>" if k == at else w for k, w in enumerate(x.split())]
+        parts.append({0: f"<p>{' '.join(w)}", 1: f"<p class={quote('x')}>{' '.join(w)}</p>", 2: f"<div class=c{rng.randrange(9)}><p>{' '.join(w)}</p></div>", 3: f"<ul><li>{' '.join(w)}</ul>"}[kind])
+        if rng.random() < 0.4:
+            parts.append(boiler())
+    inner = "\n".join(parts) + (f"<article class=comment>{say(30)}</article>" if seed % 3 == 0 else "")
+    wrap = rng.choice(["<article>%s</article>", "<main><article class='post no-sidebar'>%s</article></main>", "<main class=with-header>%s</main>", "<div class='page has-sidebar'><div class=inner>%s</div></div>"])
+    if "article" not in wrap and seed % 3 == 0:
+        wrap = f"<article>{wrap}</article>"
+    page = f"<html><body class=home>{boiler()}{boiler()}{wrap % inner}{boiler()}{boiler()}</body></html>"
+    assert text(page) == "\n".join(blocks)
