@@ -4,7 +4,9 @@ A record's payload is cut into chunks of at most ``chunk_bytes``. Each chunk is
 ``response`` (or ``revisit``) record, later ones are ``continuation`` records that name the first and their number.
 Every segment carries the SHA-256 of the payload up to its own end, so a reader checks a record chunk by chunk and
 never holds more than one. Spark's text writer puts the segments into gzip files; ``maxRecordsPerFile`` times
-``chunk_bytes`` bounds a file, and a lost executor only repeats its own files.
+``chunk_bytes`` bounds a file, and a lost executor only repeats its own files. The reader takes other gzip WARC files too
+(a member per record, records without segments; the block of a record is its payload, and a SHA-256 is checked if one is
+stated); Spark hands it a file as one value, so a file may have 2 GB at most, compressed.
 
 Defined results: null payload = empty; null url = empty; null ids are written and read as null; repeated rows each
 give a record of their own, and all rows that hold the smallest id of their payload are responses; an empty table
@@ -22,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspan.llm.common import scratch, table
+from longspan.llm.common import broadcast_if_small, scratch, table, written
 
 CHUNK_BYTES = 1 << 16
 RECORDS_PER_FILE = 4096
 MIN_REVISIT_BYTES = 100
+#: Digests of 32 bytes, so a broadcast is of some 20 MB at most.
+BROADCAST_ROWS = 200_000
 WARC_DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 
@@ -36,21 +40,23 @@ CHUNKS = "record_id string, page_id long, url string, record_type string, refers
 def records(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """A row per page: page_id, url, payload (binary), digest, refers_to (smallest page_id with this payload, if another row's).
 
-    Only digests that occur more than once are joined back, so without copies the payload is not shuffled; a digest
-    held by a large share of the rows is summed before its shuffle, and the join may be split by Spark at run time.
+    Only ids and digests are shuffled to find copies, summed before. Digests that occur more than once are then sent to
+    the payloads; beyond BROADCAST_ROWS of them payloads are shuffled, once, in a join that Spark may split.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     first = (
         rows.where(F.octet_length("payload") >= min_revisit_bytes)
-        .groupBy("digest")
+        .groupBy(F.unhex("digest").alias("copied"))
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 and first_id is not null")
         .drop("n")
     )
+    first = written(first)
     refers = F.when(F.col("first_id") != F.coalesce("page_id", F.col("first_id") - 1), F.col("first_id"))
-    return rows.join(first, "digest", "left").withColumn("refers_to", refers).drop("first_id")
+    joined = rows.join(broadcast_if_small(first, first.count(), BROADCAST_ROWS), F.unhex("digest") == F.col("copied"), "left")
+    return joined.withColumn("refers_to", refers).drop("first_id", "copied")
 
 
 def _segments(chunk_bytes: int):
@@ -97,18 +103,22 @@ def write_archive(rows: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, re
 
 
 class _Stream:
-    """Reads a gzip buffer piece by piece."""
+    """Reads a gzip buffer piece by piece: one member after the other, as WARC files have one per record."""
 
     def __init__(self, data: memoryview):
         self.data, self.at, self.have, self.inflate = data, 0, bytearray(), zlib.decompressobj(31)
 
     def more(self) -> bool:
         while self.at < len(self.data):
-            if self.inflate.eof:
+            piece = self.data[self.at : self.at + (1 << 16)]
+            self.at += len(piece)
+            got = self.inflate.decompress(piece)
+            if self.inflate.eof:  # the rest belongs to the next member
+                self.at -= len(self.inflate.unused_data)
                 self.inflate = zlib.decompressobj(31)
-            piece = self.inflate.unused_data or self.data[self.at : self.at + (1 << 16)]
-            self.at += 1 << 16
-            if got := self.inflate.decompress(piece):
+            elif self.at == len(self.data):
+                raise ValueError("a gzip member ends before its time")
+            if got:
                 self.have += got
                 return True
         return False
@@ -145,20 +155,23 @@ def _parse(keep_bytes: bool):
             for i in range(batch.num_rows):
                 stream, state = _Stream(memoryview(batch.column(0)[i].as_buffer())), (None, None)
                 while head := stream.until(END):
-                    h = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-                    body = stream.take(int(h["Content-Length"]))
-                    if len(body) != int(h["Content-Length"]) or stream.take(4) != END:
-                        raise ValueError(f"truncated segment {h['WARC-Record-ID']}")
-                    origin, no, last = h["WARC-Segment-Origin-ID"], int(h["WARC-Segment-Number"]), h["Segment-Last"] == "1"
+                    h = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in head.decode().split("\r\n")[1:])}
+                    number = lambda k, other=None: int(h[k]) if h.get(k) else other
+                    size, own = number("content-length"), h["warc-record-id"]
+                    body = stream.take(size)
+                    if len(body) != size or stream.take(4) != END:
+                        raise ValueError(f"truncated segment {own}")
+                    origin, no, last = h.get("warc-segment-origin-id", own), number("warc-segment-number", 1), h.get("segment-last", "1") == "1"
                     digest = hashlib.sha256() if no == 1 else state[1] if state[0] == origin else None
                     state = (origin, digest)
                     if digest:
                         digest.update(body)
-                    number = lambda k: int(h[k]) if h.get(k) else None
                     whole = digest is not None
                     # A record that goes on in another file keeps its chunks, to be digested where they meet.
                     keep = body if keep_bytes or not whole or not last else None
-                    rows.append((origin, number("Page-Key"), h["WARC-Target-URI"], h["WARC-Type"], number("WARC-Refers-To-Key"), number("Payload-Length"), h["WARC-Payload-Digest"][7:], no, last, len(body), digest.hexdigest() if whole else None, whole, keep))
+                    stated = h.get("warc-payload-digest", "")
+                    stated = stated[7:] if stated.startswith("sha256:") else None
+                    rows.append((origin, number("page-key"), h.get("warc-target-uri"), h["warc-type"], number("warc-refers-to-key"), number("payload-length", size if last and no == 1 else None), stated, no, last, size, digest.hexdigest() if whole else None, whole, keep))
                     held += len(keep or b"") + 400
                     if held > 1 << 22:
                         yield flush()
@@ -194,9 +207,9 @@ def _join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not r["last"]:
                 continue
             digest = r["running_digest"] if r["chunk"] is None else state.hexdigest()
-            if first["record_type"] == "response" and (digest != r["stated_digest"] or size != r["payload_bytes"]):
+            if first["record_type"] == "response" and (digest != (r["stated_digest"] or digest) or size != (r["payload_bytes"] or size)):
                 raise ValueError(f"payload of {r['record_id']} is damaged")
-            out.append((first["page_id"], r["payload_bytes"], r["stated_digest"], first["record_type"], first["refers_to"], first["url"], r["chunk_no"]))
+            out.append((first["page_id"], size if r["payload_bytes"] is None else r["payload_bytes"], r["stated_digest"] or digest, first["record_type"], first["refers_to"], first["url"], r["chunk_no"]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -50,3 +51,31 @@ def test_odd_rows(spark):
     got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in round_trip(spark, pages(spark, rows))[1].collect()), key=str)
     assert got == sorted([(None, "revisit", 5), (None, "revisit", 5), (5, "response", None), (5, "response", None), (6, "revisit", 5), (7, "response", None)], key=str)
     assert round_trip(spark, pages(spark, []))[1].collect() == []
+
+
+def test_a_member_per_record(spark, tmp_path):
+    """Ordinary WARC files: a gzip member for each record, no segments."""
+    bodies = [b"", b"x" * 10, b"y\r\n\r\nWARC/1.1\r\n" * 9000, bytes(range(256)) * 900]
+    members = []
+    for k, body in enumerate(bodies):
+        digest = f"WARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\n" if k % 2 else ""
+        head = f"WARC/1.0\r\nwarc-type: response\r\nWARC-Record-ID: <urn:uuid:{k}>\r\nWARC-Target-URI: http://h/{k}\r\n{digest}Content-Length: {len(body)}\r\n\r\n"
+        members.append(gzip.compress(head.encode() + body + warc.END))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    got = {r["url"]: r for r in warc.read_records(spark, f"file://{tmp_path}").collect()}
+    assert {u: (r["payload_bytes"], r["payload_digest"]) for u, r in got.items()} == {f"http://h/{k}": (len(b), hashlib.sha256(b).hexdigest()) for k, b in enumerate(bodies)}
+    chunks = warc.read_chunks(spark, f"file://{tmp_path}").collect()
+    assert sorted(bytes(c["chunk"]) for c in chunks) == sorted(bodies)
+
+
+@pytest.mark.parametrize("tail", [gzip.compress(b"WARC/1.0\r\n")[:-9], b"not gzip"])
+def test_a_broken_end_is_seen(spark, tmp_path, tail):
+    whole = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\nabc" + warc.END)
+    (tmp_path / "a.warc.gz").write_bytes(whole + tail)
+    with pytest.raises(Exception, match="before its time|incorrect header"):
+        warc.read_records(spark, f"file://{tmp_path}").collect()
+
+
+def test_payloads_are_not_shuffled(spark):
+    rows = warc.records(pages(spark, [(k, "u", "x" * 500) for k in range(5)]))
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().toString()
