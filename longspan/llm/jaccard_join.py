@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from longspan.llm.common import broadcast_if_small, table, text_key, written
 
 RATIO = 1.5
-#: Cost of a chance meeting of two sets (a comparison of sketches, about 2 microseconds) against that of a published hash (made and shuffled, about 8).
+#: Cost of a chance meeting of two sets (a comparison of sketches, about 2.5 microseconds) against that of a published hash (made and shuffled, about 8).
 MEETING_COST = 0.3
 #: Segments in a subset at most; allocations of larger ones are not tried.
 LARGEST_SUBSET = 6
@@ -123,14 +123,15 @@ def _used(band: Band, size: int, percent: int) -> tuple[int, int]:
 
 
 def _cost(band: Band, sets: int, percent: int) -> float:
-    """Hashes that a set publishes (the mean of three sizes) and, times MEETING_COST, its chance meetings with the band's other sets."""
-    parts, ways, published = band.single + band.double, math.factorial(band.subset), 0.0
-    nothing = lambda width: math.exp(-width) * (1 + width if band.double else 1)  # noqa: E731  # is left of a segment, after one deletion
+    """Hashes that a set publishes and, times MEETING_COST, its chance meetings with others of its size; the mean of three sizes."""
+    parts, ways, cost = band.single + band.double, math.factorial(band.subset), 0.0
     for size in (-(-band.low * percent // 100), (band.low + band.high) // 2, band.high):
         doubles, used = _used(band, size, percent)
-        published += (used + doubles * size / parts + (used * nothing(size / parts)) ** band.subset / ways) / 3
-    chance = parts * nothing((band.low + band.high) / 2 / parts) ** 2
-    return published + MEETING_COST * sets * min(1.0, chance**band.subset / ways)
+        width = size / parts
+        nothing = math.exp(-width) * (1 + width if band.double else 1)  # is left of a segment, after one deletion
+        cost += used + doubles * width + (used * nothing) ** band.subset / ways
+        cost += MEETING_COST * sets * min(1.0, (used * nothing**2) ** band.subset / ways)
+    return cost / 3
 
 
 class Bands:
@@ -322,7 +323,8 @@ class Join:
         apart = rooted.where("root != head_root").select("sig").distinct()
         rest = written(rooted.join(apart, "sig", "left_semi").where("node != head").join(info.drop("fame"), "node"))
         one, two = (rest.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("node", "root", "head_root", "n", "sketch"))) for k in (1, 2))
-        pairs = one.where("root1 != head_root1").join(two, (one["sig"] == two["sig"]) & (F.col("root1") != F.col("root2")) & self.possible("1", "2"))
+        once = (F.col("root2") == F.col("head_root2")) | (F.col("node1") < F.col("node2"))
+        pairs = one.where("root1 != head_root1").join(two, (one["sig"] == two["sig"]) & (F.col("root1") != F.col("root2")) & once & self.possible("1", "2"))
         more = self.verified(pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")))
         return linked.unionByName(more)
 
