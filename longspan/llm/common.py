@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +18,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; where it is unset, a local one (tests)."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='longspan-')}"
+        if not held.isDefined():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = held.get()
     return f"{root.rstrip('/')}/longspan-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written so far and not discarded, by the driver that wrote them.
+_tables: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, cut from its lineage: written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._longspan_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+    _tables.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of written tables of which nothing that is still to be computed reads."""
+    for t in tables:
+        _delete(t.sparkSession, t._longspan_path)
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """At its end deletes what was written within, but for the written tables that were put into the list it gives."""
+    before, kept = set(_tables), []
+    yield kept
+    for path in [x for x in _tables if x not in before and x not in {t._longspan_path for t in kept}]:
+        _delete(spark, path)
 
 
 def lower_ascii(c):

@@ -1,18 +1,24 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols are words and one end per text. The root is the add-one word distribution. Below it stand contexts of one and
-two words whose next-symbol distribution diverges from their parent's by more than its own description costs. A context
-has an explicit entry for each next word seen with it at least ``LEAST`` times; the discounted rest goes to the parent's
-distribution, so every state is a proper distribution. A token is scored in the state of the longest kept suffix.
-
-``LEAST`` is a number of occurrences, not a share, so the tree grows with the input. It is a table: what a word, a pair
-or a triple adds to the score of the text it stands in, by the hash of its words. A word adds the root's log
-probability and what its state leaves to the root; a pair what its entry adds to that and what its own state leaves
-to the shorter one; a triple what its entry adds. Occurrences are joined to that table, summed by text before.
-
-Memory is of fixed size and never decides a result: bitmaps of hashes (words and pairs seen often enough, pairs and
-triples in the table) only spare rows that can't meet anything, and the most frequent rows of the table are broadcast
-(at most the inverse of ``FREQUENT`` of each length) so that they need no join. Words count as their 64-bit hashes.
+Symbols are words and one end per text. The root is the add-one word distribution. Below it stand contexts of one to
+``DEPTH`` words: those that occur ``CONTEXT`` times or more and whose next-symbol distribution diverges from their
+parent's by more than its own description costs. A context has an explicit entry for each next word seen with it at
+least ``LEAST`` times; the discounted rest goes to the parent's distribution, so every state is a proper distribution. A
+token is scored in the state of the longest kept suffix.
+
+Thresholds are numbers of occurrences, not shares, so the tree grows with the input. It is grown from the root: level d
+counts (context, word) only where the shorter ones are frequent enough. Tasks count first and shuffle what they counted
+packed by ranges of contexts' hashes (contexts of more than a range's share are dealt by word); reducers add up and keep
+what is frequent. The divergence test, totals and parents are joins by hash.
+
+The tree is a table: what a word, or a word after a context, adds to the score of the text it stands in. A word adds the
+root's log probability and what its state as a context leaves to the root; an entry adds what it has beyond its parent,
+and what its own state leaves to the shorter one. Occurrences are joined to that table, summed by text before.
+
+Memory is of fixed size and never decides a result: bitmaps of hashes (frequent words, contexts and entries) only spare
+rows that can't meet anything, two-byte names of the ``SHORT`` most frequent words only shorten what is shuffled, and the
+most frequent rows of the table are broadcast (at most ``FREQUENT`` of each length) so that they need no join. Words and
+contexts count as their 64-bit hashes.
 
 Defined results: null and empty texts are one end; null ids are scored, learned from by nobody and not held out;
 repeated rows count and are scored each for itself; an empty table gives no rows; other columns are not read.
@@ -21,23 +27,26 @@ repeated rows count and are scored each for itself; an empty table gives no rows
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspan.llm.common import SPACE, lower_ascii, table, written
+from longspan.llm.common import SPACE, discard, lower_ascii, table, written
 
 END = " "
-LEAST = 2
-FREQUENT = 1 << 18
+DEPTH = 4
+CONTEXT = 16
+LEAST = 4
+FREQUENT = 1 << 21
+SHORT = 1 << 16
 DISCOUNT = 0.75
-SHIFT = 18
-RARE = -1
 BITS = 28
-CHUNK = 2_000_000
+CHUNK = 4_000_000
+#: Occurrences in a range of contexts, which one reducer holds.
+RANGE = 1 << 20
 
 
 def tokens(text):
@@ -95,59 +104,105 @@ def _runs(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int,
         lo = hi
 
 
-def _previous(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols one and two before each, and whether there are two; a text begins after an end."""
-    first = np.zeros(len(ids), bool)
-    first[np.cumsum(lengths)[:-1]] = True
-    first[:1] = True
-    one = np.concatenate([[end], ids[:-1]]).astype(np.int64)
-    one[first] = end
-    two = np.concatenate([[end], one[:-1]]).astype(np.int64)
-    return one, two, ~first
-
+def _levels(ids: np.ndarray, lengths: np.ndarray, end: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For contexts of 1, 2, ... symbols, at each token: the context, the token after it, that after the shorter context, and whether there are so many.
 
-def sequence_counts(docs: DataFrame, seen, width: int, end: int) -> DataFrame:
-    """Symbols two (if width is 3), one and word with n, their number, of those that seen lets be frequent enough."""
-    names = ["two", "one", "word"][3 - width :]
+    All by hash. A text begins after an end; a token without a context is its own hash.
+    """
+    starts = np.cumsum(lengths)[:-1]
+    at = np.arange(len(ids)) - np.repeat(np.concatenate([[0], starts]), lengths) if len(ids) else ids
+    code = ids
+    for d in range(1, depth + 1):
+        context = np.concatenate([code[:1], code[:-1]])
+        if d == 1:
+            context[at == 0] = end
+        longer = joined(ids, joined(context))
+        yield context, longer, code, at >= d - 1
+        code = longer
+
+
+PACKED = "bucket long, short boolean, ctx binary, size binary, word binary, n binary"
+
+
+def _pack(context: np.ndarray, word: np.ndarray, buckets: int, hot: np.ndarray, short: np.ndarray) -> pa.RecordBatch:
+    """The (context, word) of a chunk, counted: a row per range of contexts' hashes, one for words with short names and one for others."""
+    order = np.lexsort((word, context.view(np.uint64)))
+    context, word = context[order], word[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+    begin = np.flatnonzero(new)
+    n = np.diff(np.append(begin, len(word))).astype(np.uint32)
+    context, word = context[begin], word[begin]
+    by = np.where(np.isin(context, hot), word, context).view(np.uint64)
+    bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    name = np.minimum(np.searchsorted(short, word), max(0, len(short) - 1))
+    named = short[name] == word if len(short) else np.zeros(len(word), bool)
+    order = np.lexsort((~named, bucket))
+    kind = bucket[order] * 2 + ~named[order]
+    edges = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]]))
+    rows: list[tuple] = []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        some = order[lo:hi]
+        c = context[some]
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        is_short = bool(named[some[0]])
+        names = name[some].astype(np.uint16) if is_short else word[some]
+        rows.append((int(bucket[some[0]]), is_short, c[first].tobytes(), np.diff(np.append(first, len(c))).astype(np.uint32).tobytes(), names.tobytes(), n[some].tobytes()))
+    types = [pa.int64(), pa.bool_(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in PACKED.split(", ")])
+
+
+def _unpacked(rows: pa.Table, least: int, short: np.ndarray) -> pa.Table:
+    """ctx, word, n of what a range's packed rows hold least times or more."""
+    parts = []
+    for is_short, c, size, word, n in zip(*(rows.column(x).to_pylist() for x in ("short", "ctx", "size", "word", "n"))):
+        names = short[np.frombuffer(word, np.uint16)] if is_short else np.frombuffer(word, np.int64)
+        parts.append((np.repeat(np.frombuffer(c, np.int64), np.frombuffer(size, np.uint32)), names, np.frombuffer(n, np.uint32)))
+    context, word, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((word, context))
+    context, word, n = context[order], word[order], n[order].astype(np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
+    n = np.add.reduceat(n, begin)
+    kept = n >= least
+    return pa.table({"ctx": context[begin][kept], "word": word[begin][kept], "n": n[kept]})
+
+
+def entries(docs: DataFrame, depth: int, end: int, contexts: Broadcast, seen: Broadcast, least: int, tokens_in_all: int, hot: list[int], short: np.ndarray) -> DataFrame:
+    """ctx, word, n of the words seen least times or more after a context of depth symbols.
+
+    contexts and seen are bitmaps of the contexts asked for and of the shorter entries that are frequent enough.
+    """
+    buckets = max(64, tokens_in_all // RANGE)
+    hot_array = np.array(hot, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: Bitmap = seen.value
-        held: list[tuple] = []
-
-        def flush():
-            code, *columns = (np.concatenate(c) for c in zip(*held))
-            _, at, n = np.unique(code, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), pa.array(n.astype(np.int64))], [*names, "n"])
-
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for b in batches:
-            for _, lengths, ids in _runs(b, 0, CHUNK):
-                one, two, deep = _previous(ids, lengths, end)
-                if width == 2:
-                    a = bits.has(ids) & bits.has(one)
-                    held.append((joined(ids[a], joined(one[a])), one[a], ids[a]))
-                else:
-                    pair = joined(one, joined(two))
-                    a = deep & bits.has(pair) & bits.has(joined(ids, joined(one)))
-                    held.append((joined(ids[a], pair[a]), two[a], one[a], ids[a]))
-                size += int(a.sum())
+            for _, lengths, ids in _runs(b, 0, CHUNK // 16):
+                for context, _, shorter, deep in _levels(ids, lengths, end, depth):
+                    pass
+                at = np.flatnonzero(deep & seen.value.has(shorter))
+                at = at[contexts.value.has(context[at])]
+                held.append((context[at], ids[at]))
+                size += len(at)
                 if size > CHUNK:
-                    yield flush()
+                    yield _pack(*(np.concatenate(x) for x in zip(*held)), buckets, hot_array, short)
                     held, size = [], 0
         if size:
-            yield flush()
+            yield _pack(*(np.concatenate(x) for x in zip(*held)), buckets, hot_array, short)
 
-    found = docs.select(hashes(F.col("text")).alias("w")).mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "n"]))
-    return found.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    packed = docs.select(hashes(F.col("text")).alias("w")).mapInArrow(run, PACKED)
+    return packed.groupBy("bucket").applyInArrow(lambda rows: _unpacked(rows, least, short), "ctx long, word long, n long")
 
 
-def _states(entries: DataFrame, context: list[str]) -> DataFrame:
-    """The contexts that pass the test against their parents, and rest: the log10 of the share that goes to the parent.
+def _states(entries: DataFrame) -> DataFrame:
+    """ctx of the contexts that pass the test against their parents, and rest: the log10 of the share that goes to the parent.
 
-    entries has the context, n, total (the context's own number) and parent (log10 of the word's probability there).
+    entries has ctx, n, total (the context's own number) and parent (log10 of the word's probability in the parent).
     """
     p = F.pow(F.lit(10.0), "parent")
-    sums = entries.groupBy(*context).agg(
+    sums = entries.groupBy("ctx").agg(
         F.first("total").alias("total"),
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("n"),
@@ -157,7 +212,7 @@ def _states(entries: DataFrame, context: list[str]) -> DataFrame:
     left = F.col("total") - F.col("n")
     beyond = F.when(left > 0, left * F.log(left / F.col("total") / F.greatest(F.lit(1e-12), 1 - F.col("p")))).otherwise(0.0)
     low = F.greatest(F.lit(1e-12), 1 - (F.col("n") - F.col("k") * DISCOUNT) / F.col("total"))
-    return sums.where(F.col("gain") + beyond > 0.5 * F.col("k") * F.log("total")).select(*context, F.log10(low).alias("rest"))
+    return sums.where(F.col("gain") + beyond > 0.5 * F.col("k") * F.log("total")).select("ctx", F.log10(low).alias("rest"))
 
 
 def _added() -> Column:
@@ -165,81 +220,60 @@ def _added() -> Column:
     return F.when(F.col("rest").isNull(), 0.0).otherwise(F.log10((F.col("n") - DISCOUNT) / F.col("total") + F.pow(F.lit(10.0), F.col("rest") + F.col("parent"))) - F.col("parent") - F.col("rest"))
 
 
-class Lexicon:
-    """The frequent words, most frequent first, with their counts and log10 probabilities in the root."""
-
-    def __init__(self, rows: list, n: int, v: int):
-        rows = sorted(rows, key=lambda r: (-r["c"], r["word"]))
-        self.n, self.v = n, v
-        self.code = [r["code"] for r in rows]
-        self.number = {c: k for k, c in enumerate(self.code)}
-        self.count = np.array([r["c"] for r in rows], np.int64)
-        self.root = np.log10((self.count + 1) / (n + v + 1))
-
-
 class Tree:
-    """The tables words (code, c, root, rest), pairs (one, word, n, added, rest, two words' log10) and triples of the tree.
+    """The model: n tokens of v distinct words; words (code, n, root) and for each depth its entries and states.
 
-    context, rest and _under show the states of one frequent word, by number; they are there to look at, not to score.
+    Entries have code (the hash of context and word), n, par (code of the entry in the parent), added and log (log10 of the
+    probability there); states have ctx and rest.
     """
 
-    def __init__(self, lexicon: Lexicon, words: DataFrame, pairs: DataFrame, triples: DataFrame):
-        self.lex, self.words, self.pairs, self.triples = lexicon, words, pairs, triples
-
-    @cached_property
-    def _kept(self) -> dict[int, float]:
-        found = {self.lex.number.get(r["code"], RARE): r["rest"] for r in self.words.where((F.col("c") * FREQUENT >= self.lex.n) & F.col("rest").isNotNull()).collect()}
-        return dict(sorted(found.items()))
+    def __init__(self, n: int, v: int, words: DataFrame, levels: list[tuple[DataFrame, DataFrame]]):
+        self.n, self.v, self.words, self.levels = n, v, words, levels
 
-    @property
-    def context(self) -> np.ndarray:
-        return np.array(list(self._kept), np.int64)
-
-    @property
-    def rest(self) -> np.ndarray:
-        return np.array(list(self._kept.values()))
+    def table(self) -> DataFrame:
+        """code, n, base, value, known: what each word and entry adds to the scores of a text."""
 
-    def _under(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log10 of each frequent symbol's probability after one; two is not looked at."""
-        asked = [self.lex.code[k] for k in sorted(set(one[one >= 0].tolist()))]
-        found = {(r["one"], r["word"]): r["added"] for r in self.pairs.where(F.col("one").isin(asked)).collect()}
-        return np.array([self.lex.root[k] + (self._kept[c] + found.get((self.lex.code[c], self.lex.code[k]), 0.0) if c in self._kept else 0.0) for c, k in zip(one.tolist(), ids.tolist())])
+        def with_rest(rows: DataFrame, depth: int) -> DataFrame:
+            if depth == len(self.levels):
+                return rows.withColumn("rest", F.lit(0.0))
+            rest = self.levels[depth][1].select(F.col("ctx").alias("code"), "rest")
+            return rows.join(rest, "code", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
 
-    def table(self) -> DataFrame:
-        """code, n, base, value, known: what each word, pair and triple adds to the scores of a text."""
-        none = F.lit(None)
-        words = self.words.select("code", F.col("c").alias("n"), F.col("root").alias("base"), (F.col("root") + F.coalesce("rest", F.lit(0.0))).alias("value"), F.lit(1).alias("known"))
-        pairs = self.pairs.select(F.xxhash64("one", "word").alias("code"), "n", none.cast("double").alias("base"), (F.col("added") + F.coalesce("rest", F.lit(0.0))).alias("value"), F.lit(0).alias("known"))
-        triples = self.triples.select(F.xxhash64("two", "one", "word").alias("code"), "n", none.cast("double").alias("base"), F.col("added").alias("value"), F.lit(0).alias("known"))
-        return words.unionByName(pairs.unionByName(triples).where("value <> 0"))
+        out = with_rest(self.words, 0).select("code", "n", F.col("root").alias("base"), (F.col("root") + F.col("rest")).alias("value"), F.lit(1).alias("known"))
+        for d, (found, _) in enumerate(self.levels, 1):
+            rows = with_rest(found.select("code", "n", "added"), d)
+            out = out.unionByName(rows.select("code", "n", F.lit(None).cast("double").alias("base"), (F.col("added") + F.col("rest")).alias("value"), F.lit(0).alias("known")).where("value <> 0"))
+        return out
 
 
-def fit(docs: DataFrame, counts: DataFrame) -> Tree:
+def fit(docs: DataFrame, counts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, least: int = LEAST) -> Tree:
     """The tree of docs, whose word_counts are counts."""
     spark = docs.sparkSession
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     end = spark.range(1).select(F.xxhash64(F.lit(END))).first()[0]
-    words = counts.select(F.xxhash64("word").alias("code"), "word", "c", F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("root"))
-    lexicon = Lexicon(words.where(F.col("c") * FREQUENT >= n).collect(), n, v)  # at most FREQUENT rows
-    often = words.where(F.col("c") >= LEAST)
-
-    seen = spark.sparkContext.broadcast(Bitmap(often, F.col("code")))
-    pairs = sequence_counts(docs, seen, 2, end)
-    pairs = pairs.join(often.select(F.col("code").alias("one"), F.col("c").alias("total")), "one")
-    pairs = written(pairs.join(often.select(F.col("code").alias("word"), F.col("root").alias("parent")), "word"))
-    singles = written(_states(pairs, ["one"]))
-    pairs = written(pairs.join(singles, "one", "left").select("one", "word", "n", _added().alias("added"), (F.col("parent") + F.coalesce("rest", F.lit(0.0)) + _added()).alias("log")))
-
-    seen = spark.sparkContext.broadcast(Bitmap(pairs, F.xxhash64("one", "word")))
-    triples = sequence_counts(docs, seen, 3, end)
-    triples = triples.join(pairs.select(F.col("one").alias("two"), F.col("word").alias("one"), F.col("n").alias("total")), ["two", "one"])
-    triples = written(triples.join(pairs.select("one", "word", F.col("log").alias("parent")), ["one", "word"]))
-    doubles = written(_states(triples, ["two", "one"]))
-    triples = triples.join(doubles, ["two", "one"]).select("two", "one", "word", "n", _added().alias("added"))
-
-    words = words.join(singles.withColumnRenamed("one", "code"), "code", "left")
-    pairs = pairs.join(doubles.select(F.col("two").alias("one"), F.col("one").alias("word"), "rest"), ["one", "word"], "left")
-    return Tree(lexicon, words, pairs, triples)
+    words = counts.select(F.xxhash64("word").alias("code"), F.col("c").alias("n"), F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("root"))
+    short = np.array(sorted(r["code"] for r in words.orderBy(F.desc("n"), "code").limit(SHORT).select("code").collect()), np.int64)
+    buckets = max(64, n // RANGE)
+    before = words.where(F.col("n") >= least).select("code", "n", F.lit(None).cast("long").alias("par"), F.col("root").alias("log"))
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    for d in range(1, depth + 1):
+        asked = before.where(F.col("n") >= context)
+        if asked.isEmpty():
+            break
+        hot = [r["code"] for r in asked.where(F.col("n") * buckets > n).select("code").collect()]  # fewer than buckets
+        maps = [spark.sparkContext.broadcast(Bitmap(rows, F.col("code"))) for rows in (asked, before)]
+        found = entries(docs, d, end, *maps, least, n, hot, short)
+        found = found.join(asked.select(F.col("code").alias("ctx"), F.col("n").alias("total"), F.col("par").alias("shorter")), "ctx")
+        found = found.withColumn("par", F.col("word") if d == 1 else F.xxhash64("shorter", "word"))
+        found = written(found.join(before.select(F.col("code").alias("par"), F.col("log").alias("parent")), "par").drop("shorter"))
+        for x in maps:
+            x.destroy()
+        states = written(_states(found))
+        log = F.col("parent") + F.coalesce("rest", F.lit(0.0)) + _added()
+        before = written(found.join(states, "ctx", "left").select(F.xxhash64("ctx", "word").alias("code"), "n", "par", _added().alias("added"), log.alias("log")))
+        discard(found)
+        levels.append((before, states))
+    return Tree(n, v, words, levels)
 
 
 PARTS = "key long, code long, tf int, doc_id long, held_out boolean, n_tokens long, n_frequent long, n_joined long, base_part double, score_part double"
@@ -248,10 +282,10 @@ PARTS = "key long, code long, tf int, doc_id long, held_out boolean, n_tokens lo
 def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; docs has doc_id, text, held_out."""
     spark = docs.sparkSession
-    n, v = tree.lex.n, tree.lex.v
+    n, v, depth = tree.n, tree.v, len(tree.levels)
     end = spark.range(1).select(F.xxhash64(F.lit(END))).first()[0]
     full = written(tree.table())
-    top = full.where(F.col("n") * FREQUENT >= n).orderBy("code").toPandas()  # at most FREQUENT of each length
+    top = full.where(F.col("n") * FREQUENT >= n).orderBy("code").toPandas()  # at most FREQUENT of each length, by far fewer in a language
     hot = top["code"].to_numpy(np.int64), top["base"].to_numpy(float), top["value"].to_numpy(float), top["known"].to_numpy(bool)
     held = spark.sparkContext.broadcast((hot, Bitmap(full.where("known = 0"), F.col("code"))))
     schema = pa.schema([("key", pa.int64()), ("code", pa.int64()), ("tf", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("n_joined", pa.int64()), ("base_part", pa.float64()), ("score_part", pa.float64())])
@@ -264,19 +298,16 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             return at, (codes[at] == of) if len(codes) else np.zeros(len(of), bool)
 
         for b in batches:
-            for lo, lengths, ids in _runs(b, 3, CHUNK // 8):
+            for lo, lengths, ids in _runs(b, 3, CHUNK // 16):
                 size = len(lengths)
                 row = np.repeat(np.arange(size), lengths)
-                one, two, deep = _previous(ids, lengths, end)
-                pair = joined(ids, joined(one))
-                triple = joined(ids, joined(one, joined(two)))
                 at, frequent = find(ids)
                 frequent &= known[at] if len(codes) else False
                 total = lambda a, x: np.bincount(row[a], x, size)
                 base_part, score_part = (total(frequent, x[at[frequent]]) if len(codes) else np.zeros(size) for x in (base, value))
                 rest = [(row[~frequent], ids[~frequent])]
-                for code, a in ((pair, np.ones(len(ids), bool)), (triple, deep)):
-                    a = a & bits.has(code)
+                for _, code, _, deep in _levels(ids, lengths, end, depth):
+                    a = np.flatnonzero(deep & bits.has(code))
                     where, of = row[a], code[a]
                     at2, found = find(of)
                     if found.any():

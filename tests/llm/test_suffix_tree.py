@@ -3,7 +3,6 @@ import random
 import zlib
 from collections import Counter
 
-import numpy as np
 import pytest
 from conftest import words
 from pyspark.sql import functions as F
@@ -11,12 +10,12 @@ from pyspark.sql import functions as F
 from longspan.llm import suffix_tree as st
 
 
-def scored(docs):
+def scored(docs, **sizes):
     fold = F.crc32(F.col("doc_id").cast("string")) % 7
     docs = docs.select("doc_id", "text", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.coalesce(fold != 2, F.lit(False)).alias("learned"))
     training = docs.where("learned")
     counts = st.written(st.word_counts(training))
-    tree = st.fit(training, counts)
+    tree = st.fit(training, counts, **sizes)
     return tree, st.score(docs, tree, counts)
 
 
@@ -47,22 +46,7 @@ def test_base_is_exact_and_tree_is_better(make, corpus):
         assert rows[i]["n_known"] == sum(count[x] > 0 for x in tokens)
         assert math.isclose(rows[i]["base_score"], sum(math.log10((count[x] + 1) / (n + v + 1)) for x in tokens), rel_tol=1e-9)
     assert sum(rows[i]["score"] for i in held) > sum(rows[i]["base_score"] for i in held)
-    assert len(tree.context)
-
-
-def test_states_are_distributions(make, corpus):
-    """In each state the symbols' probabilities, with that of an unseen one, add up to 1."""
-    tree, _ = scored(make(corpus))
-    lex = tree.lex
-    ids = np.arange(len(lex.count))
-    known = int(((lex.count * st.FREQUENT) >= lex.n).sum())
-    rest_root = 1 - (10**lex.root).sum()
-    assert known == len(ids)
-    singles = [c for c in tree.context.tolist() if c < 1 << st.SHIFT]
-    for c in singles[:20]:
-        p = (10 ** tree._under(np.full(len(ids), c), np.full(len(ids), st.RARE), ids)).sum()
-        back = 10 ** tree.rest[np.searchsorted(tree.context, c)]
-        assert abs(p + back * rest_root - 1) < 1e-9
+    assert tree.levels[0][1].count()
 
 
 def test_odd_rows(odd, none):
@@ -80,55 +64,69 @@ def test_hashes_are_those_of_spark(spark):
     assert (two == df["two"].to_numpy()).all() and (st.joined(df["c"].to_numpy(), two) == df["three"].to_numpy()).all()
 
 
-def reference(texts, learned):
-    """log10 of each text's probability, by a tree of plain dictionaries."""
+def reference(texts, learned, depth, context, least):
+    """log10 of each text's probability, by a tree of plain dictionaries; and its states."""
     seqs = [[" ", *t.lower().split(), " "] for t in texts]
-    uni, bi, tri = Counter(), Counter(), Counter()
-    for s, l in zip(seqs, learned):
-        if l:
-            uni.update(s[1:])
-            bi.update(zip(s, s[1:]))
-            tri.update(zip(s, s[1:], s[2:]))
+    uni = Counter(x for s, l in zip(seqs, learned) if l for x in s[1:])
     n, v = sum(uni.values()), len(uni)
     states = {}
 
-    def p(context, x):
-        if not context:
+    def p(before, x):
+        if not before:
             return (uni[x] + 1) / (n + v + 1)
-        if context not in states:
-            return p(context[1:], x)
-        entries, total, low = states[context]
-        back = p(context[1:], x)
-        return (entries[x] - st.DISCOUNT) / total + low * back if x in entries else low * back
-
-    for counts, size in ((bi, lambda c: uni[c[0]]), (tri, lambda c: bi[c])):
-        by = {}
-        for key, c in counts.items():
-            if c >= 2:
+        back = p(before[1:], x)
+        if before not in states:
+            return back
+        seen, total, low = states[before]
+        return (seen[x] - st.DISCOUNT) / total + low * back if x in seen else low * back
+
+    above = {(x,): c for x, c in uni.items()}
+    for d in range(1, depth + 1):
+        grams = Counter(tuple(s[k - d : k + 1]) for s, l in zip(seqs, learned) if l for k in range(d, len(s)))
+        by, found = {}, {}
+        for key, c in grams.items():
+            if c >= least and above.get(key[:-1], 0) >= context:
                 by.setdefault(key[:-1], {})[key[-1]] = c
-        found = {}
-        for context, entries in by.items():
-            total, parents = size(context), {x: p(context[1:], x) for x in entries}
-            other, others = 1 - sum(entries.values()) / total, max(1e-12, 1 - sum(parents.values()))
-            gain = sum(c * math.log(c / total / parents[x]) for x, c in entries.items()) + (total * other * math.log(other / others) if other > 1e-15 else 0)
-            if gain > 0.5 * len(entries) * math.log(total):
-                found[context] = entries, total, max(1e-12, 1 - sum(c - st.DISCOUNT for c in entries.values()) / total)
+        for before, seen in by.items():
+            total, parents = above[before], {x: p(before[1:], x) for x in seen}
+            other, others = 1 - sum(seen.values()) / total, max(1e-12, 1 - sum(parents.values()))
+            gain = sum(c * math.log(c / total / parents[x]) for x, c in seen.items()) + (total * other * math.log(other / others) if other > 1e-15 else 0)
+            if gain > 0.5 * len(seen) * math.log(total):
+                found[before] = seen, total, max(1e-12, 1 - sum(c - st.DISCOUNT for c in seen.values()) / total)
         states.update(found)
-    return [sum(math.log10(p(tuple(s[max(0, k - 2) : k]), s[k])) for k in range(1, len(s))) for s in seqs], states
+        above = grams
+    return [sum(math.log10(p(tuple(s[max(0, k - depth) : k]), s[k])) for k in range(1, len(s))) for s in seqs], states, p, set(uni)
 
 
-def test_rare_contexts_count_at_any_size(make, lexicon, monkeypatch):
-    """Contexts and entries seen twice are in the tree however small their share of all tokens is."""
+@pytest.mark.parametrize("depth,context,least", [(4, 16, 4), (3, 2, 2), (5, 3, 2)])
+def test_scores_are_those_of_a_plain_tree(make, lexicon, monkeypatch, depth, context, least):
+    """Every text's score, with states of every length, however much is broadcast, named shortly or packed at once; states are distributions."""
     rng = random.Random(3)
-    phrases = ["quill midst vexed", "sable midst umber"]
-    docs = [(k, words(rng, 50, lexicon[:100]) + (f" {phrases[k // 20 % 2]}" if k % 20 == 0 else "")) for k in range(300)]
-    docs.append((300, phrases[0]))
+    phrases = ["quill midst vexed onto umber", "sable midst vexed onto amber", "ocean grove hills fjord delta north", "woods grove hills fjord delta south", "quill midst umber"]
+    docs = [(k, words(rng, 50, lexicon[:100]) + (f" {phrases[k // 2 % 5]}" if k % 2 == 0 else "") + " tail" * (k % 7)) for k in range(300)]
+    docs += [(300, phrases[0]), (301, ""), (302, "quill"), (303, "never seen words")]
     learned = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in docs]
-    want, states = reference([t for _, t in docs], learned)
-    assert ("quill",) in states and ("quill", "midst") in states
-    for frequent in (st.FREQUENT, 64):
-        monkeypatch.setattr(st, "FREQUENT", frequent)
-        rows = {r["doc_id"]: r for r in scored(make(docs))[1].collect()}
+    want, states, p, symbols = reference([t for _, t in docs], learned, depth, context, least)
+    assert {len(s) for s in states} == set(range(1, depth + 1))
+    for before in sorted(states)[::7]:
+        assert math.isclose(sum(p(before, x) for x in symbols) + p(before, "of no text"), 1, rel_tol=1e-9)
+    for frequent, short, chunk in ((st.FREQUENT, st.SHORT, st.CHUNK), (64, 20, 2000)):
+        for name, value in (("FREQUENT", frequent), ("SHORT", short), ("CHUNK", chunk)):
+            monkeypatch.setattr(st, name, value)
+        tree, df = scored(make(docs), depth=depth, context=context, least=least)
+        rows = {r["doc_id"]: r for r in df.collect()}
         for (i, _), w in zip(docs, want):
             assert math.isclose(rows[i]["score"], w, rel_tol=1e-9)
+        assert sum(s.count() for _, s in tree.levels) == len(states)
     assert rows[300]["score"] > rows[300]["base_score"] + 4
+
+
+def test_more_text_makes_a_larger_and_better_tree(spark):
+    """From sf0.01 to sf0.1 entries grow and the perplexity of held-out texts falls."""
+    found = []
+    for sf in ("sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        tree, df = scored(docs)
+        held = df.where("held_out").agg(F.sum("n_tokens"), F.sum("score"), F.sum("base_score")).first()
+        found.append((sum(e.count() for e, _ in tree.levels), held[1] / held[0], (held[1] - held[2]) / held[0]))
+    assert found[1][0] > 5 * found[0][0] and found[1][1] > found[0][1] and found[1][2] > found[0][2] > 0
