@@ -212,7 +212,7 @@ def _parts(width: int, bands: Bands, shared: frozenset[int]):
                     held.append(bands.signatures(x, k))
                     owner.append(np.full(len(held[-1]), names[-1]))
                     size += len(held[-1])
-                if size > 1_000_000:
+                if size > 250_000:
                     yield table([], np.concatenate(owner), np.concatenate(held))
                     held, owner, size = [], [], 0
             if size:

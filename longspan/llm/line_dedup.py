@@ -2,19 +2,20 @@
 
 Each document is the sequence of its lines that hold a word. Distributed prefix doubling sorts suffixes by their first
 1, 2, 4, ... lines: a rank of 2^(k+1) lines is the order of the pair of ranks of 2^k lines at i and i + 2^k, and
-positions whose prefix occurs once leave. Equal ranks at depth 2^k are the suffix array's intervals of longest common
-prefix 2^k or more; two overlapping ranks give the interval of any other depth. A run repeats if its interval holds an
-earlier position, so every repeated run of at least ``min_words`` words, maximal ones included, is the union of its
-shortest windows of ``min_words`` words from each line forwards and backwards. A window's depth is at most min_words
-lines, which bounds the number of rounds. All lines of later copies are deleted; the first copy, in order of doc_id
-and line, stays.
+positions whose prefix occurs once leave. Positions of equal rank at depth 2^k are an interval of the suffix array whose
+longest common prefix is 2^k lines or more; two overlapping ranks give the interval of any other depth. A window repeats
+if its interval holds an earlier position. Windows are the shortest of at least ``min_words`` words from each line
+forwards and backwards, at most min_words lines, which bounds the number of rounds; those that overlap or touch and
+repeat the same earlier copy line by line are one maximal repeated run, however long (``repeated_runs``). All lines of
+later copies are deleted; the first copy, in order of doc_id and line, stays.
 
 Pairs and windows are counted in the tasks before they are shuffled, and joins back on them are Spark's own, which
-splits a line that much of the corpus shares.
+splits a line or run that much of the corpus shares.
 
 Defined results: null text = empty, returned as it is; documents without words never change; rows that repeat (same id
 and text) are one document, each returned alike; rows of one id with different texts are ordered by a hash of the text;
-null ids come first; an empty table stays empty; further columns are returned as they are.
+null ids come first; an empty table stays empty; further columns are returned as they are, but for one that has the name
+given to the result's own (``lines_col``, ``removed_col``), which those replace.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from longspan.llm.common import table, written
 
@@ -59,9 +63,9 @@ def _lines(min_words: int):
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with its identity: d (the id) and k (a hash of the text)."""
-    return docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__k": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+def _identity(id_col: str, text_col: str):
+    """Columns d (the id) and k (a hash of the text)."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _named(rows: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -70,9 +74,14 @@ def _named(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     return rows.join(written(many.orderBy(*by).withColumn(name, F.monotonically_increasing_id())), by)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """d, k, line_no of all lines to delete, each once."""
-    texts = _keyed(docs, id_col, text_col).select("__d", "__k", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Maximal repeated runs but their first copies, and the lines they name.
+
+    Runs: d, k, i, size (lines) and first_d, first_k, first_i of the earlier copy. Lines: d, k, i, line_no of lines that
+    occur more than once; i counts a document's lines with words, line_no all.
+    """
+    d, k = _identity(id_col, text_col)
+    texts = docs.select(d.alias("d"), k.alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = written(texts.mapInArrow(_lines(min_words), LINES)).dropDuplicates(["d", "k", "i"])
     base = written(_named(lines, ["line"], "r").drop("line"))
     ranks = [base.select("d", "k", "i", "r")]
@@ -95,24 +104,51 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     head = all_ranks.withColumnRenamed("r", "a")
     tail = all_ranks.withColumnsRenamed({"i": "j", "r": "b"})
     named = written(windows.join(head, ["d", "k", "i", "level"]).join(tail, ["d", "k", "j", "level"]).select("d", "k", "i", "size", "a", "b"))
-    first = named.groupBy("size", "a", "b").agg(F.min(F.struct("d", "k", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # An interval's first position; written, so that Spark can split the join of an interval that holds much of the corpus.
+    first = written(named.groupBy("size", "a", "b").agg(F.min(F.struct("d", "k", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     later = named.join(first, ["size", "a", "b"]).where(F.struct("d", "k", "i") != F.col("first"))
-    gone = later.select("d", "k", F.explode(F.sequence("i", F.col("i") + F.col("size") - 1)).alias("i")).distinct()
+    later = later.select("d", "k", "i", (F.col("i") + F.col("size")).alias("end"), F.col("first.d").alias("first_d"), F.col("first.k").alias("first_k"), (F.col("i") - F.col("first.i")).alias("apart"))
+    copy = ["d", "k", "first_d", "first_k", "apart"]
+    w = Window.partitionBy(*copy).orderBy("i")
+    reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = later.withColumn("begins", F.when(F.col("i") <= reached, 0).otherwise(1)).withColumn("run", F.sum("begins").over(w))
+    runs = begins.groupBy(*copy, "run").agg(F.min("i").alias("i"), F.max("end").alias("end"))
+    return runs.select("d", "k", "i", (F.col("end") - F.col("i")).alias("size"), "first_d", "first_k", (F.col("i") - F.col("apart")).alias("first_i")), base
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """d, k, line_no of all lines to delete, each once."""
+    runs, base = repeated_runs(docs, min_words, id_col, text_col)
+    gone = runs.select("d", "k", F.explode(F.sequence("i", F.col("i") + F.col("size") - 1)).alias("i")).distinct()
     return gone.join(base.select("d", "k", "i", "line_no"), ["d", "k", "i"]).select("d", "k", "line_no")
 
 
-def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text that stays, and n_lines, removed_lines (numbers from 0, in order)."""
-    gone = repeated_lines(docs, min_words, id_col, text_col).groupBy(F.col("d").alias("__d"), F.col("k").alias("__k")).agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines"))
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    removed = F.coalesce(F.col("removed_lines"), F.array().cast("array<int>"))
-    left = F.array_join(F.filter(lines, lambda x, n: ~F.array_contains("removed_lines", n)), "\n")
-    keep = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
-    return (
-        _keyed(docs.select(*keep), id_col, text_col)
-        .join(gone, ["__d", "__k"], "left")
-        .withColumns({"n_lines": F.size(lines), text_col: F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(left)})
-        .select(*keep, "n_lines", removed.alias("removed_lines"))
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
+    """The lines of each text but those of the removed numbers; null where either is."""
+
+    def left(t, gone):
+        if t is None or gone is None:
+            return None
+        gone = set(gone.tolist())
+        return "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
+
+    return pd.Series([left(t, g) for t, g in zip(text, removed)], dtype=object)
+
+
+def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", removed_col: str = "removed_lines") -> DataFrame:
+    """docs with the text that stays, and lines_col, removed_col (numbers from 0, in order)."""
+    gone = repeated_lines(docs, min_words, id_col, text_col).groupBy("d", "k").agg(F.sort_array(F.collect_list("line_no")).alias("lines"))
+    own = lambda name: next(x for k in range(len(docs.columns) + 1) if (x := f"__{name}{k}") not in docs.columns)
+    d, k, lines = own("d"), own("k"), own("lines")
+    keep = [c for c in docs.columns if c not in (lines_col, removed_col)]
+    keyed = docs.select(*keep, *(x.alias(n) for x, n in zip(_identity(id_col, text_col), (d, k))))
+    joined = keyed.join(gone.withColumnsRenamed({"d": d, "k": k, "lines": lines}), [d, k], "left")
+    left = _without(F.when(F.col(lines).isNotNull(), F.col(text_col)), F.col(lines))
+    return joined.select(
+        *(F.when(F.col(lines).isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in keep),
+        F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias(lines_col),
+        F.coalesce(F.col(lines), F.array().cast("array<int>")).alias(removed_col),
     )
 
 

@@ -64,3 +64,37 @@ def test_odd_rows(make, odd, none):
     assert ld.delete_repeats(none).collect() == []
     again = ld.delete_repeats(make([(9, None), (3, "w " * 60), (2, "w " * 60), (2, "w " * 60)]))
     assert sorted((r["doc_id"], r["text"]) for r in again.collect() if r["text"] is not None) == [(2, "w " * 60), (2, "w " * 60), (3, "")]
+
+
+def test_maximal_runs(make, lexicon):
+    """A run longer than any window, found once with the place of its first copy."""
+    rng = random.Random(5)
+    lines = [words(rng, 9, lexicon) for _ in range(120)]
+    other = [words(rng, 4, lexicon) for _ in range(6)]
+    docs = [(1, lines), (2, other[:2] + lines[10:90] + other[2:4]), (3, other[4:] + lines[3:12])]
+    runs, _ = ld.repeated_runs(make([(i, "\n".join(x)) for i, x in docs]), 50)
+    assert sorted((r["d"], r["i"], r["size"], r["first_d"], r["first_i"]) for r in runs.collect()) == [(2, 2, 80, 1, 10), (3, 2, 9, 1, 3)]
+
+
+def test_a_run_that_many_share(make, lexicon):
+    """A third of all rows hold one passage; the first keeps it."""
+    rng = random.Random(6)
+    passage = "\n".join(words(rng, 20, lexicon) for _ in range(4))
+    rows = [(k, words(rng, 30, lexicon) + ("\n" + passage if k % 3 == 0 else "")) for k in range(600)]
+    have = {r["doc_id"]: (r["n_lines"], list(r["removed_lines"])) for r in ld.delete_repeats(make(rows)).collect()}
+    assert all(have[k] == ((5, [] if k == 0 else [1, 2, 3, 4]) if k % 3 == 0 else (1, [])) for k in have)
+
+
+def test_own_columns_stay(make):
+    """Columns named like the result's own are kept under other names for those; names used inside are free."""
+    df = make([(1, "w " * 60), (2, "w " * 60)]).selectExpr("*", "5 AS removed_lines", "6 AS __d0", "7 AS __k0", "8 AS __lines0")
+    rows = {r["doc_id"]: r for r in ld.delete_repeats(df, lines_col="a", removed_col="b").collect()}
+    assert [rows[1][c] for c in ("n_lines", "removed_lines", "__d0", "__k0", "__lines0", "k", "d", "a", "b")] == [1, 5, 6, 7, 8, "x", 7, 1, []]
+    assert rows[2]["text"] == "" and rows[2]["b"] == [0]
+
+
+def test_very_many_lines(make, lexicon):
+    """100,000 repeated lines of one text, deleted in time that grows with them."""
+    text = "\n".join(f"{lexicon[k % 800]} {k}" for k in range(100_000))
+    rows = {r["doc_id"]: r for r in ld.delete_repeats(make([(1, text), (2, text + "\nmore")])).collect()}
+    assert rows[1]["text"] == text and rows[2]["text"] == "more" and len(rows[2]["removed_lines"]) == 100_000
