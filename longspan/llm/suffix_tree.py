@@ -6,10 +6,11 @@ parent's by more than its own description costs. A context has an explicit entry
 least ``LEAST`` times; the discounted rest goes to the parent's distribution, so every state is a proper distribution. A
 token is scored in the state of the longest kept suffix.
 
-Thresholds are numbers of occurrences, not shares, so the tree grows with the input. It is grown from the root: level d
-counts (context, word) only where the shorter ones are frequent enough. Tasks count first and shuffle what they counted
-packed by ranges of contexts' hashes (contexts of more than a range's share are dealt by word); reducers add up and keep
-what is frequent. The divergence test, totals and parents are joins by hash.
+Thresholds are numbers of occurrences, not shares, so the tree grows with the input. One pass counts words, one (context,
+word) for contexts of one word, one those for longer contexts, where all pairs of words in them are frequent enough.
+Tasks count first and shuffle what they counted packed by ranges of contexts' hashes (contexts of more than a range's
+share are dealt by word); reducers add up and keep what is frequent. The divergence test, totals and parents are joins
+by hash, from the root on.
 
 The tree is a table: what a word, or a word after a context, adds to the score of the text it stands in. A word adds the
 root's log probability and what its state as a context leaves to the root; an entry adds what it has beyond its parent,
@@ -30,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspan.llm.common import SPACE, discard, lower_ascii, table, written
+from longspan.llm.common import discard, table, written
 
 END = " "
 DEPTH = 4
@@ -44,38 +46,109 @@ FREQUENT = 1 << 21
 SHORT = 1 << 16
 DISCOUNT = 0.75
 BITS = 28
-CHUNK = 4_000_000
+CHUNK = 2_000_000
+#: Bytes of text that are cut into words at once.
+BYTES = 1 << 21
 #: Occurrences in a range of contexts, which one reducer holds.
 RANGE = 1 << 20
 
 
-def tokens(text):
-    """The words of a text and its end, as a column."""
-    return F.concat(F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), f"{SPACE}+"), ""), F.array(F.lit(END)))
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of xxHash
+SEED = 42
 
 
-def hashes(text):
-    """The tokens of a text as 64-bit hashes, as a column."""
-    return F.transform(tokens(text), lambda x: F.xxhash64(x))
+def _turn(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c of all tokens of docs; summed in the tasks before the shuffle."""
-    return docs.select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+def _last(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def joined(value: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
+def joined(value: np.ndarray, seed: np.ndarray | int = SEED) -> np.ndarray:
     """What xxhash64 of Spark makes of a long after the columns whose hash is seed."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
-    h = (seed.view(np.uint64) if isinstance(seed, np.ndarray) else np.full(len(value), seed, np.uint64)) + p5 + np.uint64(8)
-    h ^= turn(value.view(np.uint64) * p2, 31) * p1
-    h = turn(h, 27) * p1 + p4
-    h ^= h >> np.uint64(33)
-    h *= p2
-    h ^= h >> np.uint64(29)
-    h *= p3
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
+    h = (seed.view(np.uint64) if isinstance(seed, np.ndarray) else np.full(len(value), seed, np.uint64)) + P5 + np.uint64(8)
+    return _last(_turn(h ^ _turn(value.view(np.uint64) * P2, 31) * P1, 27) * P1 + P4)
+
+
+def hashed(strings: np.ndarray) -> np.ndarray:
+    """What xxhash64 of Spark makes of strings of equal length, as rows of less than 32 bytes."""
+    n, size = strings.shape
+    h, at = np.full(n, SEED, np.uint64) + P5 + np.uint64(size), 0
+    while size - at >= 8:
+        k = np.ascontiguousarray(strings[:, at : at + 8]).view(np.uint64)[:, 0]
+        h, at = _turn(h ^ _turn(k * P2, 31) * P1, 27) * P1 + P4, at + 8
+    if size - at >= 4:
+        k = np.ascontiguousarray(strings[:, at : at + 4]).view(np.uint32)[:, 0].astype(np.uint64)
+        h, at = _turn(h ^ k * P1, 23) * P2 + P3, at + 4
+    for k in range(at, size):
+        h = _turn(h ^ strings[:, k].astype(np.uint64) * P5, 11) * P1
+    return _last(h)
+
+
+END_CODE = int(hashed(np.frombuffer(END.encode(), np.uint8).reshape(1, -1))[0])
+
+
+def token_runs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, numbers of tokens and hashes of tokens (A-Z lower-cased words and an end) of runs of texts; null is empty."""
+    filled = texts.fill_null("").cast(pa.large_string())
+    edges = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    data = np.frombuffer(filled.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < len(filled):
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + BYTES, "right")) - 1)
+        bounds = edges[lo : hi + 1] - edges[lo]
+        text = data[edges[lo] : edges[hi]].copy()
+        text[(text >= 65) & (text <= 90)] += 32
+        word = ~((text == 32) | ((text >= 9) & (text <= 13)))
+        begins, ends = word.copy(), word.copy()
+        cut = np.zeros(len(text) + 1, bool)  # between two texts
+        cut[bounds] = True
+        begins[1:] &= ~word[:-1] | cut[1:-1]
+        ends[:-1] &= ~word[1:] | cut[1:-1]
+        begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        size = end - begin
+        code = np.empty(len(begin), np.int64)
+        order = np.argsort(np.minimum(size, 32).astype(np.uint8), kind="stable")
+        steps = np.searchsorted(size[order], np.arange(1, 33))
+        for k in range(1, 32):
+            some = order[steps[k - 1] : steps[k]]
+            if len(some):
+                code[some] = hashed(text[begin[some][:, None] + np.arange(k)])
+        for k in order[steps[31] :].tolist():
+            code[k] = np.uint64(xxhash.xxh64_intdigest(text[begin[k] : end[k]].tobytes(), SEED)).view(np.int64)
+        lengths = np.diff(np.searchsorted(begin, bounds)) + 1
+        out = np.full(int(lengths.sum()), END_CODE, np.int64)
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(lengths) - 1] = False
+        out[inner] = code
+        yield lo, lengths, out
+        lo = hi
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """code, c of all tokens of docs, by hash; summed in the tasks before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            code, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], ["code", "c"])
+
+        for b in batches:
+            for _, _, ids in token_runs(b.column(0)):
+                held.append(ids)
+                size += len(ids)
+                if size > CHUNK:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
+
+    return docs.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
 class Bitmap:
@@ -93,38 +166,29 @@ class Bitmap:
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _runs(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, lengths and symbols of runs of the rows of a batch."""
-    lists = batch.column(column)
-    ends = np.asarray(lists.offsets)
-    lo = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + size, "right")) - 1)
-        yield lo, np.diff(ends[lo : hi + 1]), np.asarray(lists.values)[ends[lo] : ends[hi]].astype(np.int64)
-        lo = hi
+def _shifted(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x[:1], x[:-1]])
 
 
-def _levels(ids: np.ndarray, lengths: np.ndarray, end: int, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For contexts of 1, 2, ... symbols, at each token: the context, the token after it, that after the shorter context, and whether there are so many.
+def _levels(ids: np.ndarray, lengths: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For contexts of 1, 2, ... symbols, at each token: the context, the token after it, and whether there are so many before.
 
-    All by hash. A text begins after an end; a token without a context is its own hash.
+    Both by hash. A text begins after an end.
     """
-    starts = np.cumsum(lengths)[:-1]
-    at = np.arange(len(ids)) - np.repeat(np.concatenate([[0], starts]), lengths) if len(ids) else ids
+    at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     code = ids
     for d in range(1, depth + 1):
-        context = np.concatenate([code[:1], code[:-1]])
+        context = _shifted(code)
         if d == 1:
-            context[at == 0] = end
-        longer = joined(ids, joined(context))
-        yield context, longer, code, at >= d - 1
-        code = longer
+            context[at == 0] = END_CODE
+        code = joined(ids, joined(context))
+        yield context, code, at >= d - 1
 
 
-PACKED = "bucket long, short boolean, ctx binary, size binary, word binary, n binary"
+PACKED = "depth int, bucket long, short boolean, ctx binary, size binary, word binary, n binary"
 
 
-def _pack(context: np.ndarray, word: np.ndarray, buckets: int, hot: np.ndarray, short: np.ndarray) -> pa.RecordBatch:
+def _pack(depth: int, context: np.ndarray, word: np.ndarray, hot: np.ndarray, buckets: int, short: np.ndarray) -> pa.RecordBatch:
     """The (context, word) of a chunk, counted: a row per range of contexts' hashes, one for words with short names and one for others."""
     order = np.lexsort((word, context.view(np.uint64)))
     context, word = context[order], word[order]
@@ -132,8 +196,8 @@ def _pack(context: np.ndarray, word: np.ndarray, buckets: int, hot: np.ndarray,
     new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
     begin = np.flatnonzero(new)
     n = np.diff(np.append(begin, len(word))).astype(np.uint32)
-    context, word = context[begin], word[begin]
-    by = np.where(np.isin(context, hot), word, context).view(np.uint64)
+    context, word, hot = context[begin], word[begin], hot[order][begin]
+    by = np.where(hot, word, context).view(np.uint64)
     bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     name = np.minimum(np.searchsorted(short, word), max(0, len(short) - 1))
     named = short[name] == word if len(short) else np.zeros(len(word), bool)
@@ -147,13 +211,13 @@ def _pack(context: np.ndarray, word: np.ndarray, buckets: int, hot: np.ndarray,
         first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         is_short = bool(named[some[0]])
         names = name[some].astype(np.uint16) if is_short else word[some]
-        rows.append((int(bucket[some[0]]), is_short, c[first].tobytes(), np.diff(np.append(first, len(c))).astype(np.uint32).tobytes(), names.tobytes(), n[some].tobytes()))
-    types = [pa.int64(), pa.bool_(), *[pa.binary()] * 4]
+        rows.append((depth, int(bucket[some[0]]), is_short, c[first].tobytes(), np.diff(np.append(first, len(c))).astype(np.uint32).tobytes(), names.tobytes(), n[some].tobytes()))
+    types = [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in PACKED.split(", ")])
 
 
 def _unpacked(rows: pa.Table, least: int, short: np.ndarray) -> pa.Table:
-    """ctx, word, n of what a range's packed rows hold least times or more."""
+    """depth, ctx, word, n of what a range's packed rows hold least times or more."""
     parts = []
     for is_short, c, size, word, n in zip(*(rows.column(x).to_pylist() for x in ("short", "ctx", "size", "word", "n"))):
         names = short[np.frombuffer(word, np.uint16)] if is_short else np.frombuffer(word, np.int64)
@@ -164,36 +228,53 @@ def _unpacked(rows: pa.Table, least: int, short: np.ndarray) -> pa.Table:
     begin = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
     n = np.add.reduceat(n, begin)
     kept = n >= least
-    return pa.table({"ctx": context[begin][kept], "word": word[begin][kept], "n": n[kept]})
+    return pa.table({"depth": np.full(int(kept.sum()), rows.column("depth")[0].as_py(), np.int32), "ctx": context[begin][kept], "word": word[begin][kept], "n": n[kept]})
 
 
-def entries(docs: DataFrame, depth: int, end: int, contexts: Broadcast, seen: Broadcast, least: int, tokens_in_all: int, hot: list[int], short: np.ndarray) -> DataFrame:
-    """ctx, word, n of the words seen least times or more after a context of depth symbols.
+def entries(docs: DataFrame, depths: list[int], contexts: Broadcast, seen: Broadcast, least: int, buckets: int, hot: list[int], short: np.ndarray) -> DataFrame:
+    """depth, ctx, word, n of the words seen least times or more after contexts of depths symbols: 1, or some that are more.
 
-    contexts and seen are bitmaps of the contexts asked for and of the shorter entries that are frequent enough.
+    contexts and seen are bitmaps: of the words that may be contexts and of frequent words; for more than 1, of pairs of words.
+    hot are the words, or pairs, of more than a range's share.
     """
-    buckets = max(64, tokens_in_all // RANGE)
     hot_array = np.array(hot, np.int64)
 
+    def found(ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        before = None
+        for d, (context, code, deep) in enumerate(_levels(ids, lengths, depths[-1]), 1):
+            if d == 1:
+                last, may = (context, contexts.value.has(context)) if depths == [1] else (_shifted(code), _shifted(contexts.value.has(code)))
+                frequent = seen.value.has(ids if depths == [1] else code)
+                before = np.ones(len(ids), bool) if depths == [1] else may
+                if depths != [1]:
+                    continue
+            elif d > 2:  # all pairs of the context
+                before = before & _shifted(may)
+                may = _shifted(may)
+            at = np.flatnonzero(deep & frequent & (may if depths == [1] else before))
+            yield d, context[at], ids[at], np.isin(last[at], hot_array)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {d: [] for d in depths}
+        size = dict.fromkeys(depths, 0)
+
+        def flush(d: int) -> pa.RecordBatch:
+            some, held[d], size[d] = held[d], [], 0
+            return _pack(d, *(np.concatenate(x) for x in zip(*some)), buckets, short)
+
         for b in batches:
-            for _, lengths, ids in _runs(b, 0, CHUNK // 16):
-                for context, _, shorter, deep in _levels(ids, lengths, end, depth):
-                    pass
-                at = np.flatnonzero(deep & seen.value.has(shorter))
-                at = at[contexts.value.has(context[at])]
-                held.append((context[at], ids[at]))
-                size += len(at)
-                if size > CHUNK:
-                    yield _pack(*(np.concatenate(x) for x in zip(*held)), buckets, hot_array, short)
-                    held, size = [], 0
-        if size:
-            yield _pack(*(np.concatenate(x) for x in zip(*held)), buckets, hot_array, short)
+            for _, lengths, ids in token_runs(b.column(0)):
+                for d, *some in found(ids, lengths):
+                    held[d].append(some)
+                    size[d] += len(some[0])
+                    if size[d] > CHUNK // len(depths):
+                        yield flush(d)
+        for d in depths:
+            if size[d]:
+                yield flush(d)
 
-    packed = docs.select(hashes(F.col("text")).alias("w")).mapInArrow(run, PACKED)
-    return packed.groupBy("bucket").applyInArrow(lambda rows: _unpacked(rows, least, short), "ctx long, word long, n long")
+    packed = docs.select("text").mapInArrow(run, PACKED)
+    return packed.groupBy("depth", "bucket").applyInArrow(lambda rows: _unpacked(rows, least, short), "depth int, ctx long, word long, n long")
 
 
 def _states(entries: DataFrame) -> DataFrame:
@@ -250,29 +331,36 @@ def fit(docs: DataFrame, counts: DataFrame, depth: int = DEPTH, context: int = C
     """The tree of docs, whose word_counts are counts."""
     spark = docs.sparkSession
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    end = spark.range(1).select(F.xxhash64(F.lit(END))).first()[0]
-    words = counts.select(F.xxhash64("word").alias("code"), F.col("c").alias("n"), F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("root"))
+    words = counts.select("code", F.col("c").alias("n"), F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("root"))
     short = np.array(sorted(r["code"] for r in words.orderBy(F.desc("n"), "code").limit(SHORT).select("code").collect()), np.int64)
     buckets = max(64, n // RANGE)
+
+    def counted(rows: DataFrame, depths: list[int]) -> DataFrame:
+        """entries after the frequent ones of rows, the words or pairs."""
+        hot = [r["code"] for r in rows.where(F.col("n") * buckets > n).select("code").collect()]  # fewer than buckets
+        maps = [spark.sparkContext.broadcast(Bitmap(x, F.col("code"))) for x in (rows.where(F.col("n") >= context), rows)]
+        out = written(entries(docs, depths, *maps, least, buckets, hot, short))
+        for x in maps:
+            x.destroy()
+        return out
+
     before = words.where(F.col("n") >= least).select("code", "n", F.lit(None).cast("long").alias("par"), F.col("root").alias("log"))
     levels: list[tuple[DataFrame, DataFrame]] = []
+    tables: list[DataFrame] = []
     for d in range(1, depth + 1):
+        if d < 3:
+            tables.append(counted(before, [1] if d == 1 else list(range(2, depth + 1))))
         asked = before.where(F.col("n") >= context)
-        if asked.isEmpty():
-            break
-        hot = [r["code"] for r in asked.where(F.col("n") * buckets > n).select("code").collect()]  # fewer than buckets
-        maps = [spark.sparkContext.broadcast(Bitmap(rows, F.col("code"))) for rows in (asked, before)]
-        found = entries(docs, d, end, *maps, least, n, hot, short)
-        found = found.join(asked.select(F.col("code").alias("ctx"), F.col("n").alias("total"), F.col("par").alias("shorter")), "ctx")
+        asked = asked.select(F.col("code").alias("ctx"), F.col("n").alias("total"), F.col("par").alias("shorter"))
+        found = tables[-1].where(F.col("depth") == d).drop("depth").join(asked, "ctx")
         found = found.withColumn("par", F.col("word") if d == 1 else F.xxhash64("shorter", "word"))
         found = written(found.join(before.select(F.col("code").alias("par"), F.col("log").alias("parent")), "par").drop("shorter"))
-        for x in maps:
-            x.destroy()
         states = written(_states(found))
         log = F.col("parent") + F.coalesce("rest", F.lit(0.0)) + _added()
         before = written(found.join(states, "ctx", "left").select(F.xxhash64("ctx", "word").alias("code"), "n", "par", _added().alias("added"), log.alias("log")))
         discard(found)
         levels.append((before, states))
+    discard(*tables)
     return Tree(n, v, words, levels)
 
 
@@ -283,7 +371,6 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; docs has doc_id, text, held_out."""
     spark = docs.sparkSession
     n, v, depth = tree.n, tree.v, len(tree.levels)
-    end = spark.range(1).select(F.xxhash64(F.lit(END))).first()[0]
     full = written(tree.table())
     top = full.where(F.col("n") * FREQUENT >= n).orderBy("code").toPandas()  # at most FREQUENT of each length, by far fewer in a language
     hot = top["code"].to_numpy(np.int64), top["base"].to_numpy(float), top["value"].to_numpy(float), top["known"].to_numpy(bool)
@@ -298,7 +385,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             return at, (codes[at] == of) if len(codes) else np.zeros(len(of), bool)
 
         for b in batches:
-            for lo, lengths, ids in _runs(b, 3, CHUNK // 16):
+            for lo, lengths, ids in token_runs(b.column(3)):
                 size = len(lengths)
                 row = np.repeat(np.arange(size), lengths)
                 at, frequent = find(ids)
@@ -306,7 +393,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                 total = lambda a, x: np.bincount(row[a], x, size)
                 base_part, score_part = (total(frequent, x[at[frequent]]) if len(codes) else np.zeros(size) for x in (base, value))
                 rest = [(row[~frequent], ids[~frequent])]
-                for _, code, _, deep in _levels(ids, lengths, end, depth):
+                for _, code, deep in _levels(ids, lengths, depth):
                     a = np.flatnonzero(deep & bits.has(code))
                     where, of = row[a], code[a]
                     at2, found = find(of)
@@ -330,7 +417,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                 # A text's own row meets nothing: its code is spread by the key, its tf null.
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(joined(keys.astype(np.int64))), pa.nulls(size, pa.int32()), some.column(1), some.column(2), *columns], schema=schema)
 
-    parts = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", hashes(F.col("text")).alias("w")).mapInArrow(run, PARTS)
+    parts = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", "text").mapInArrow(run, PARTS)
     met = parts.join(full.where(F.col("n") * FREQUENT < n).select("code", "base", "value", "known"), "code", "left")
     firsts = [F.max(c).alias(c) for c in PARTS.replace(",", "").split()[6::2]]
     sums = met.groupBy("key").agg(

@@ -64,6 +64,25 @@ def test_hashes_are_those_of_spark(spark):
     assert (two == df["two"].to_numpy()).all() and (st.joined(df["c"].to_numpy(), two) == df["three"].to_numpy()).all()
 
 
+def test_tokens_are_words_and_ends(spark, monkeypatch):
+    """Cut and hashed like split() and xxhash64, whatever the lengths of words, at any size of runs."""
+    rng = random.Random(1)
+    texts = ["", None, "One", " \t two  Words\n", "é Ünïcode \u00a0x ÄB", "a" * 31 + " " + "b" * 32 + " " + "C" * 200, *(" ".join("x" * rng.randint(1, 40) for _ in range(rng.randint(0, 30))) for _ in range(40))]
+    want = [[*(t or "").encode().lower().split(), b" "] for t in texts]
+    known = {r["w"]: r["h"] for r in spark.createDataFrame([(w.decode(),) for w in {w for x in want for w in x}], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
+    for size in (1, 100, st.BYTES):
+        monkeypatch.setattr(st, "BYTES", size)
+        column = st.pa.array(["skipped", *texts])[1:]
+        got = []
+        for _, lengths, ids in st.token_runs(column):
+            at = 0
+            for n in lengths.tolist():
+                got.append(ids[at : at + n].tolist())
+                at += n
+        assert got == [[known[w.decode()] for w in x] for x in want]
+    assert list(st.token_runs(st.pa.array([], st.pa.string()))) == []
+
+
 def reference(texts, learned, depth, context, least):
     """log10 of each text's probability, by a tree of plain dictionaries; and its states."""
     seqs = [[" ", *t.lower().split(), " "] for t in texts]
