@@ -1,11 +1,15 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
-Vectors are dealt to shards of about ``SHARD`` rows. A shard keeps, for each dimension, its rows in order of their
-component. For a query the lists are read in step from their better end, a block of ranks at a time. A row's lower
-bound adds the worst component of each list in which it has not been seen, its upper bound the one last read there.
-Reading stops when no row outside the k best lower bounds has an upper bound that reaches the k-th lower bound; the rows
-that are left get their final scores. Shards meet blocks of queries, a shard per block at a time, and only their k best
-rows leave a task, so memory is that of one shard and one block.
+Vectors are dealt to shards of at most ``SHARD`` rows. A shard keeps, for each dimension, its rows in order of their
+component. For a query the lists are read from their better end, in steps; how much of a list is read in a step follows
+how much it can still add. A row's lower bound adds the worst component of each list in which it has not been seen, its
+upper bound the one last read there. Rows whose upper bound is below the k-th best lower bound can't qualify and leave;
+lists are then read on for the others alone. Reading stops when no outsider can qualify, and the rows left get their
+final scores from what is left of the lists.
+
+Shards stay where they are: queries come to them in rounds of ``QUERY_BYTES`` at most, broadcast, and of each round only
+a shard's k best rows per query leave a task. So what is shuffled grows with the rows, and memory is one shard and one
+round.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part; a query's own row is
 the one with its vec_id; ties go to the smaller vec_id; rows that repeat an id stand each for itself (queries are their
@@ -17,58 +21,83 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from longspan.llm.common import table
+from longspan.llm.common import table, written
 
 SHARD = 4096
-QUERIES_PER_BLOCK = 128
-STEP = 512
-#: Reading ends when this part of a shard's rows is left, as none of the rest can qualify.
-LEFT = 8
+QUERY_BYTES = 16 << 20
+STEP = 256
 SCALE = 1024
 
 
 class Lists:
-    """A shard's rows and its sorted lists."""
+    """A shard's rows and its sorted lists: of each dimension its row numbers and values, by rising value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(self.vectors, self.order, 0).astype(np.float64)
+        self.ids, vectors = ids[order], vectors[order]
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32))
+        self.values = np.take_along_axis(vectors.T, self.order.astype(np.int64), 1)
+        self.share = 0.0  # of the lists, read for the last query before no outsider could qualify
 
     def top(self, query: np.ndarray, own: int, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of the k best rows but those of id own, and of all that tie with the k-th."""
-        n, dims = self.vectors.shape
-        other = self.ids != own
-        if n <= k or not query.any():
-            rows = np.flatnonzero(other)
-            return rows, self.vectors[rows] @ query
-        q, down = query.astype(np.float64), query > 0
-        worst = q * np.where(down, self.sorted[0], self.sorted[-1])
-        gain = np.zeros(n)  # of what has been seen, over the worst case
-        seen = np.zeros((n, dims), np.float32)
-        rows, at, columns = np.flatnonzero(other), 0, np.arange(dims)
-        while at < n and len(rows) > max(4 * k, n // LEFT):
-            read = np.where(down, self.order[::-1][at : at + step], self.order[at : at + step])
-            value = q * np.where(down, self.sorted[::-1][at : at + step], self.sorted[at : at + step])
-            gain += np.bincount(read.ravel(), (value - worst).ravel(), n)
-            seen[read, columns] = 1
-            at += step
-            slack = value[-1] - worst  # what an unseen component adds at most
-            lower = gain[rows]
-            kth = np.partition(lower, len(rows) - k)[len(rows) - k]
-            upper = lower + slack.sum() - seen[rows] @ slack.astype(np.float32)
-            rows = rows[upper + 1e-5 * slack.sum() + 1 >= kth]
-        score = self.vectors[rows] @ query
-        if len(rows) > k:
-            kth = np.partition(score, len(rows) - k)[len(rows) - k]
-            rows, score = rows[score >= kth], score[score >= kth]
-        return rows, score
+        dims, n = self.order.shape
+        up = query < 0
+        rows = np.where(up[:, None], self.order, self.order[:, ::-1])  # each list from its better end
+        value = np.where(up[:, None], self.values, self.values[:, ::-1])
+        alive = self.ids != own
+        gain, seen = np.zeros(n), np.zeros((n, dims), np.float32)
+        adds = value * query.astype(np.float64)[:, None]
+        worst = adds[:, -1].copy() if n else np.zeros(dims)
+        at, read = np.zeros(dims, np.int64), 0
+        if not alive.all():
+            rows, value, adds = self._of(alive, rows, value, adds)
+        while (m := rows.shape[1]) > k:
+            some = np.flatnonzero(alive)
+            slack = np.where(at < m, adds[np.arange(dims), np.minimum(at, m - 1)] - worst, 0.0)  # what an unseen component adds at most
+            lower = gain[some]
+            kth = np.partition(lower, m - k)[m - k]
+            upper = lower + slack.sum() - seen[some] @ slack.astype(np.float32)
+            out = some[upper + 1e-5 * slack.sum() + 1 < kth]
+            if len(out):
+                alive[out] = False
+                before = at
+                keep = alive[rows]
+                at = np.array([int(keep[d, : before[d]].sum()) for d in range(dims)])
+                rows, value, adds = self._of(alive, rows, value, adds)
+                continue
+            if not slack.any():
+                break  # all is read, and the rest ties
+            size = np.minimum(np.ceil(step * dims * slack / slack.sum()).astype(np.int64), m - at)
+            read += int(size.sum())
+            d = np.repeat(np.arange(dims), size)
+            pos = np.arange(len(d)) - np.repeat(np.cumsum(size) - size, size) + at[d]
+            found = rows[d, pos]
+            gain += np.bincount(found, adds[d, pos] - worst[d], n)
+            seen[found, d] = 1
+            at = at + size
+        self.share = read / max(1, n * dims)
+        # Final scores of those left, in whole numbers, from their places in the lists.
+        left = np.flatnonzero(alive)
+        number = np.zeros(n, np.int64)
+        number[left] = np.arange(len(left))
+        whole = np.zeros((len(left), dims), np.int64)
+        whole[number[rows], np.arange(dims)[:, None]] = value
+        score = whole @ query
+        if len(left) > k:
+            kth = np.partition(score, len(left) - k)[len(left) - k]
+            left, score = left[score >= kth], score[score >= kth]
+        return left, score
+
+    @staticmethod
+    def _of(alive: np.ndarray, rows: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The lists of the rows that are alive."""
+        keep = alive[rows]
+        return tuple(x[keep].reshape(len(rows), -1) for x in (rows, *others))
 
 
 def scaled(c):
@@ -78,16 +107,38 @@ def scaled(c):
     return F.when((F.size(c) > 0) & ~bad, F.transform(x, lambda v: F.floor(v * SCALE).cast("long")))
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids, v = pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.int64)
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "dims": [v.shape[1]], "ids": [ids.tobytes()], "vectors": [v.tobytes()]})
+PACKED = "dims int, ids binary, vectors binary"
+
+
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """vec_id and v of at most size rows of a partition together, by length of v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+
+        def row(dims: int) -> pa.RecordBatch:
+            ids, vectors = held.pop(dims)
+            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.stack(vectors).tobytes()])], ["dims", "ids", "vectors"])
+
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), b.column(1)):
+                x = v.values.to_numpy(zero_copy_only=False)
+                ids, vectors = held.setdefault(len(x), ([], []))
+                ids.append(i)
+                vectors.append(x)
+                if len(ids) == size:
+                    yield row(len(x))
+        for dims in list(held):
+            yield row(dims)
+
+    return rows.select("vec_id", "v").mapInArrow(run, PACKED)
 
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                ids, vectors, asked, queries, dims = (b.column(c)[r].as_py() for c in range(5))
+                dims, ids, vectors, asked, queries = (b.column(c)[r].as_py() for c in range(5))
                 lists = Lists(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, dims))
                 out: list[list[np.ndarray]] = [[], [], []]
                 for own, query in zip(np.frombuffer(asked, np.int64), np.frombuffer(queries, np.int64).reshape(-1, dims)):
@@ -101,21 +152,29 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, shard: int = SHARD, per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 10, shard: int = SHARD, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each row of vectors for which is_query holds."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding")).alias("v")).where("vec_id is not null and v is not null")
-    asked = rows.where(is_query).distinct()
-    shards, n_blocks = (max(1, -(-df.count() // size)) for df, size in ((rows, shard), (asked, per_block)))
-
-    def packed(df: DataFrame, parts: int) -> DataFrame:
-        dealt = df.withColumn("dims", F.size("v")).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int"))
-        return dealt.groupBy("part", "dims").applyInPandas(_pack, "part int, dims int, ids binary, vectors binary")
-
-    shards_table = packed(rows, shards).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    blocks_table = packed(asked, n_blocks).select(F.col("part").alias("block"), "dims", F.col("ids").alias("asked"), F.col("vectors").alias("queries"))
-    work = shards_table.join(blocks_table, ["block", "dims"]).select("ids", "vectors", "asked", "queries", "dims", "block", "part")
-    work = work.repartition(max(1, shards * n_blocks), "block", "part").select("ids", "vectors", "asked", "queries", "dims")
-    found = work.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    n, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    per_block = max(1, query_bytes // (8 * (longest or 1) + 8))
+    asked = written(_packed(rows.where(is_query).distinct(), per_block))
+    shards = written(_packed(rows.repartition(max(1, -(-n // shard))), shard))
+    blocks = asked.select(F.octet_length("ids").alias("bytes"), F.monotonically_increasing_id().alias("block")).collect()  # one or two numbers a block
+    rounds: list[list[int]] = [[]]
+    size = 0
+    for r in blocks:
+        size += r["bytes"] * ((longest or 1) + 1)
+        if size > query_bytes and rounds[-1]:
+            rounds.append([])
+            size = r["bytes"] * ((longest or 1) + 1)
+        rounds[-1].append(r["block"])
+    found = None
+    for some in rounds:
+        queries = asked.withColumn("block", F.monotonically_increasing_id()).where(F.col("block").isin(some)).select("dims", F.col("ids").alias("asked"), F.col("vectors").alias("queries"))
+        work = shards.join(F.broadcast(queries), "dims").select("dims", "ids", "vectors", "asked", "queries")  # query_bytes at most
+        part = work.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+        part = written(part) if len(rounds) > 1 else part
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
