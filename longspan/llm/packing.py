@@ -1,10 +1,14 @@
 """Lexical retrieval packing of documents into token sequences.
 
-Documents are dealt by hash to shards of about ``shard_docs`` rows. In each shard a BM25 inverted index over token ids
-returns, for the document that opens a window (the seed), its best neighbours that no window has used yet; they fill
-the window greedily: first those that fit whole, best first, then the best of the rest is cut at the window's end and
-its remainder opens the next window. So every sequence is full but a shard's last, which is divided into powers of two
-down to ``smallest``; at 1, nothing needs padding. Shards grow with neither the input nor a hot key.
+Documents are put in order of a MinHash of their ids (then of another, and doc_id), so that texts with ids in common
+stand near one another, by ranges that Spark balances; each task cuts its range into shards of ``shard_docs``
+rows or ``SHARD_TOKENS`` tokens. In each shard a BM25 inverted index over token ids returns, for the document that
+opens a window (the seed), all of its neighbours that no window has used yet, best first; they fill the window greedily:
+first those that fit whole, then the best of the rest is cut at the window's end and its remainder opens the next
+window. If no neighbour is left the next document in order goes on. So every sequence is full but a shard's last, which
+is divided into powers of two down to ``smallest``; at 1, nothing needs padding. A task holds one shard, and rows that
+repeat are dealt over ranges by a number of their own. Neighbours are looked for within the shard: a bounded part of the
+corpus that holds the texts nearest by the order, not all of it.
 
 Defined results: null text = empty; an empty document is its end id alone; rows that repeat are packed each for
 itself; null ids stay null; an empty table gives no pieces; other columns are not read.
@@ -13,25 +17,27 @@ itself; null ids stay null; an empty table gives no pieces; other columns are no
 from __future__ import annotations
 
 import base64
+import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspan.llm.common import table
+from longspan.llm.common import table, written
 
 WINDOW = 2048
 SHARD_DOCS = 1500
 END_ID = 1
 K1, B = 1.2, 0.75
-QUERY_TERMS = 48
-NEIGHBOURS = 24
+SHARD_TOKENS = 4_000_000
 SMALLEST = 1
 
 
 class Tokenizer:
-    """The byte-level BPE in ``name``, special strings taken as text.
+    """The byte-level BPE in ``name``, with its special strings.
 
     tiktoken holds the vocabulary of the tokenizers file and gives the same ids (tests/llm compares the two) in a
     quarter of the time.
@@ -45,7 +51,13 @@ class Tokenizer:
 
         with open(public_tokenizers.path(name), "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(public_tokenizers.path(name.replace(".tiktoken", ".json")), encoding="utf-8") as f:
+            special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"] if x["special"]}
+        ranks = {token: rank for token, rank in ranks.items() if rank not in special.values()}
+        encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.marks = tuple(special)
+        self.plain = encoding.encode_ordinary
+        self.marked = lambda text: encoding.encode(text, allowed_special="all")
 
     @classmethod
     def of(cls, name: str) -> Tokenizer:
@@ -54,7 +66,8 @@ class Tokenizer:
         return cls.held[name]
 
     def ids(self, text: str, end: int) -> np.ndarray:
-        return np.array([*self.encode(text), end], np.uint32)
+        encode = self.marked if any(x in text for x in self.marks) else self.plain
+        return np.array([*encode(text), end], np.uint32)
 
 
 class Index:
@@ -76,31 +89,26 @@ class Index:
         self.by_term_doc, self.by_term_weight = doc[order].astype(np.int32), self.weight[order]
         self.at = np.concatenate([[0], np.cumsum(df)])
 
-    def neighbours(self, seed: int, unused: np.ndarray, query_terms: int, k: int) -> np.ndarray:
-        """Up to k unused documents, best score first, ties to the earlier one."""
-        lo, hi = self.begin[seed], self.begin[seed + 1]
-        own = self.term[lo:hi]
-        if len(own) > query_terms:
-            own = own[np.argpartition(-self.weight[lo:hi], query_terms)[:query_terms]]
-        spans = [(self.at[t], self.at[t + 1]) for t in own.tolist()]
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """The unused documents that share a term with the seed, best score first, ties to the earlier one."""
+        spans = [(self.at[t], self.at[t + 1]) for t in self.term[self.begin[seed] : self.begin[seed + 1]].tolist()]
         docs = np.concatenate([self.by_term_doc[x:y] for x, y in spans])
         score = np.bincount(docs, np.concatenate([self.by_term_weight[x:y] for x, y in spans]), self.n)
         found = np.flatnonzero((score > 0) & unused)
-        if len(found) > k:
-            found = found[np.argpartition(-score[found], k - 1)[:k]]
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
-def fill(docs: list[np.ndarray], window: int = WINDOW, k1: float = K1, b: float = B, query_terms: int = QUERY_TERMS, neighbours: int = NEIGHBOURS, smallest: int = SMALLEST) -> list[tuple[int, int, int, int, int]]:
+def fill(docs: list[np.ndarray], window: int = WINDOW, k1: float = K1, b: float = B, smallest: int = SMALLEST) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard's documents."""
     index, unused = Index(docs, k1, b), np.ones(len(docs), bool)
-    size = [len(d) for d in docs]
+    size = np.array([len(d) for d in docs])
     pieces: list[tuple[int, int, int, int, int]] = []
     sequence, offset, next_doc = 0, 0, 0
 
-    def put(doc: int, start: int, room: int) -> int:
+    def put(doc: int, start: int) -> int:
+        """Puts what fits of a document into the window; where the next piece starts."""
         nonlocal sequence, offset
-        n = min(size[doc] - start, room)
+        n = min(int(size[doc]) - start, window - offset)
         pieces.append((doc, start, n, sequence, offset))
         offset += n
         if offset == window:
@@ -116,26 +124,29 @@ def fill(docs: list[np.ndarray], window: int = WINDOW, k1: float = K1, b: float
                 break
             seed, start = next_doc, 0
             unused[seed] = False
-        here = sequence
-        while start < size[seed] and (sequence == here or size[seed] - start >= window):
-            start, here = put(seed, start, window - offset), sequence
-        if start < size[seed]:
-            continue
-        opener, seed, best = seed, -1, None
+        opener = seed
+        while start < size[seed]:
+            start = put(seed, start)
+        seed, start = -1, 0
         if not offset:
             continue
-        found = index.neighbours(opener, unused, query_terms, neighbours).tolist()
-        for doc in found:
-            if size[doc] <= window - offset:
-                unused[doc] = False
-                put(doc, 0, window - offset)
-                if not offset:
-                    break
-            elif best is None:
-                best = doc
-        if offset and best is not None:
-            unused[best] = False
-            seed, start = best, put(best, 0, window - offset)
+        found = index.neighbours(opener, unused)
+        room = size[found]
+        at = 0
+        while offset and at < len(found):
+            fits = np.flatnonzero(room[at:] <= window - offset)
+            if not len(fits):
+                break
+            at += int(fits[0])
+            unused[found[at]] = False
+            put(int(found[at]), 0)
+            at += 1
+        if offset:
+            found = found[unused[found]]
+            if len(found):
+                seed = int(found[0])
+                unused[seed] = False
+                start = put(seed, 0)
     return _divided(pieces, sequence, window, smallest)
 
 
@@ -163,25 +174,64 @@ def _divided(pieces: list[tuple[int, int, int, int, int]], last: int, window: in
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, window: int = WINDOW, shard_docs: int = SHARD_DOCS, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = END_ID) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    shards = max(1, -(-docs.count() // shard_docs))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)).cast("int"))
+TOKENS = "doc_id long, ids binary, wide boolean, first long, second long"
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
-    def one(group: pa.Table) -> pa.Table:
+def tokens(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """A row per document: its ids in two bytes each, or four if wide, and two MinHashes of them (without the end)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer.of(vocabulary)
-        base = group.column("shard")[0].as_py() << 32
-        names = group.column("doc_id").to_pylist()
-        ids = [tokenizer.ids(t.as_py(), end_id) for c in group.column("text").chunks for t in c]
-        pieces = fill(ids, window)
-        part = [np.ascontiguousarray(ids[d][s : s + n], "<u4").tobytes() for d, s, n, _, _ in pieces]
-        doc, start, n, sequence, offset = (list(x) for x in zip(*pieces))
-        columns = [[names[d] for d in doc], start, n, part, [len(ids[d]) for d in doc], [base + s for s in sequence], offset]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    return dealt.groupBy("shard").applyInArrow(one, SCHEMA)
+        for b in batches:
+            ids, wide, hashes = [], [], []
+            for t in b.column(1):
+                x = tokenizer.ids(t.as_py(), end_id)
+                wide.append(bool(x.max() >> 16))
+                ids.append(x.astype("<u4" if wide[-1] else "<u2").tobytes())
+                own = np.unique(x[:-1]).astype(np.uint64)
+                hashes.append([int(_mixed(own + np.uint64(k << 32)).min()) >> 1 if len(own) else -1 for k in (1, 2)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(wide), *(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1))], [x.split()[0] for x in TOKENS.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, TOKENS)
+
+
+def pack(docs: DataFrame, window: int = WINDOW, shard_docs: int = SHARD_DOCS, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = END_ID) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+    keys = ["first", "second", "doc_id", "own"]
+    rows = written(tokens(docs, vocabulary, end_id)).withColumn("own", F.xxhash64("doc_id", F.monotonically_increasing_id()))
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
+        ids, docs_held, size = [], [], 0
+
+        def shard() -> pa.RecordBatch:
+            nonlocal base
+            doc, start, n, sequence, offset = (list(x) for x in zip(*fill(ids, window)))
+            part = [np.ascontiguousarray(ids[d][s : s + k], "<u4").tobytes() for d, s, k in zip(doc, start, n)]
+            columns = [[docs_held[d] for d in doc], start, n, part, [len(ids[d]) for d in doc], [base + s for s in sequence], offset]
+            base += sequence[-1] + 1
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+        for b in batches:
+            for d, x, wide in zip(*(b.column(k) for k in range(3))):
+                ids.append(np.frombuffer(x.as_buffer(), "<u4" if wide.as_py() else "<u2").astype(np.uint32))
+                docs_held.append(d.as_py())
+                size += len(ids[-1])
+                if len(ids) >= shard_docs or size >= SHARD_TOKENS:
+                    yield shard()
+                    ids, docs_held, size = [], [], 0
+        if ids:
+            yield shard()
+
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids", "wide").mapInArrow(run, SCHEMA)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from conftest import words
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from longspan.llm import packing
@@ -13,9 +14,7 @@ from longspan.llm import packing
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 def check(rows, texts, library, window=2048):
@@ -46,7 +45,7 @@ def check(rows, texts, library, window=2048):
 def test_ids_are_the_librarys(library, lexicon):
     own = packing.Tokenizer.of("byte_bpe_50k.tiktoken")
     rng = random.Random(1)
-    texts = ["", " ", "a  b\n\n c", "<|endoftext|> x", "it's 12 éè ñ 漢字   z", *(words(rng, 50, lexicon).capitalize() + ".\n" for _ in range(50))]
+    texts = ["", " ", "a  b\n\n c", "<|endoftext|> x", "a<|endoftext|><|endoftext|>\n<|endoftext", "it's 12 éè ñ 漢字   z", *(words(rng, 50, lexicon).capitalize() + ".\n" for _ in range(50))]
     for t in texts:
         assert own.ids(t, 1).tolist() == [*library.encode(t, add_special_tokens=False).ids, 1]
 
@@ -73,6 +72,35 @@ def test_neighbours_share_words():
     assert alike > 0.7 * sum(len(d) for d in docs)
 
 
+def test_neighbours_are_those_of_bm25(lexicon):
+    """All unused documents with a term of the seed, in order of BM25 scores counted one by one."""
+    rng = np.random.default_rng(4)
+    docs = [rng.zipf(1.5, int(rng.integers(1, 120))).clip(0, 400).astype(np.uint32) for _ in range(60)]
+    index, n = packing.Index(docs, 1.2, 0.75), len(docs)
+    mean = sum(len(d) for d in docs) / n
+    df = {t: sum(t in d for d in docs) for t in range(401)}
+    for seed in range(0, 60, 7):
+        unused = rng.random(n) < 0.7
+        unused[seed] = False
+        score = {}
+        for k in np.flatnonzero(unused).tolist():
+            for t in set(docs[seed].tolist()) & set(docs[k].tolist()):
+                tf = int((docs[k] == t).sum())
+                score[k] = score.get(k, 0) + np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(docs[k]) / mean))
+        found = index.neighbours(seed, unused).tolist()
+        assert set(found) == set(score)
+        assert np.allclose([score[k] for k in found], sorted(score.values(), reverse=True))
+
+
+def test_repeated_rows_are_spread(spark, make):
+    """Equal rows do not meet in one task."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = packing.pack(make([(None, "the same text")] * 6000), shard_docs=100).withColumn("part", F.spark_partition_id())
+    sizes = [r["count"] for r in df.groupBy("part").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 4000
+
+
 def test_odd_rows(odd, none, library):
     rows = packing.digests(packing.pack(odd)).collect()
     check(rows, [(r["doc_id"], r["text"]) for r in odd.collect()], library)
