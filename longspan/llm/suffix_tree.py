@@ -2,9 +2,10 @@
 
 Symbols are words and one end per text. The root is the add-one word distribution. Below it stand contexts of one to
 ``DEPTH`` words: those that occur ``CONTEXT`` times or more and whose next-symbol distribution diverges from their
-parent's by more than its own description costs. A context has an explicit entry for each next word seen with it at
-least ``LEAST`` times; the discounted rest goes to the parent's distribution, so every state is a proper distribution. A
-token is scored in the state of the longest kept suffix.
+parent's by more than its own description costs. A context has an explicit entry for a next word seen with it at least
+``LEAST`` times if the entry alone gains more than it costs (half the logarithm of the context's occurrences); the
+discounted rest goes to the parent's distribution, so every state is a proper distribution. A token is scored in the
+state of the longest kept suffix.
 
 Thresholds are numbers of occurrences, not shares, so the tree grows with the input. One pass counts words, one (context,
 word) for contexts of one word, one those for longer contexts, where all pairs of words in them are frequent enough.
@@ -45,7 +46,7 @@ LEAST = 4
 FREQUENT = 1 << 21
 SHORT = 1 << 16
 DISCOUNT = 0.75
-BITS = 28
+BITS = 26
 CHUNK = 2_000_000
 #: Bytes of text that are cut into words at once.
 BYTES = 1 << 21
@@ -188,21 +189,23 @@ def _levels(ids: np.ndarray, lengths: np.ndarray, depth: int) -> Iterator[tuple[
 PACKED = "depth int, bucket long, short boolean, ctx binary, size binary, word binary, n binary"
 
 
-def _pack(depth: int, context: np.ndarray, word: np.ndarray, hot: np.ndarray, buckets: int, short: np.ndarray) -> pa.RecordBatch:
+def _pack(depth: int, code: np.ndarray, context: np.ndarray, word: np.ndarray, hot: np.ndarray, buckets: int, short: np.ndarray) -> pa.RecordBatch:
     """The (context, word) of a chunk, counted: a row per range of contexts' hashes, one for words with short names and one for others."""
-    order = np.lexsort((word, context.view(np.uint64)))
-    context, word = context[order], word[order]
-    new = np.ones(len(word), bool)
-    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
-    begin = np.flatnonzero(new)
-    n = np.diff(np.append(begin, len(word))).astype(np.uint32)
-    context, word, hot = context[begin], word[begin], hot[order][begin]
+    order = np.argsort(code)
+    code = code[order]
+    begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    n = np.diff(np.append(begin, len(code))).astype(np.uint32)
+    order = order[begin]
+    context, word, hot = context[order], word[order], hot[order]
+    order = np.argsort(context.view(np.uint64))
+    context, word, hot, n = context[order], word[order], hot[order], n[order]
     by = np.where(hot, word, context).view(np.uint64)
     bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     name = np.minimum(np.searchsorted(short, word), max(0, len(short) - 1))
     named = short[name] == word if len(short) else np.zeros(len(word), bool)
-    order = np.lexsort((~named, bucket))
-    kind = bucket[order] * 2 + ~named[order]
+    kind = bucket * 2 + ~named
+    order = np.argsort(kind.astype(np.uint16 if buckets < 1 << 15 else np.int64), kind="stable")  # contexts stay in order
+    kind = kind[order]
     edges = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]]))
     rows: list[tuple] = []
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -237,9 +240,9 @@ def entries(docs: DataFrame, depths: list[int], contexts: Broadcast, seen: Broad
     contexts and seen are bitmaps: of the words that may be contexts and of frequent words; for more than 1, of pairs of words.
     hot are the words, or pairs, of more than a range's share.
     """
-    hot_array = np.array(hot, np.int64)
+    hot_array = np.array(sorted(hot), np.int64)
 
-    def found(ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def found(ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple]:
         before = None
         for d, (context, code, deep) in enumerate(_levels(ids, lengths, depths[-1]), 1):
             if d == 1:
@@ -252,7 +255,9 @@ def entries(docs: DataFrame, depths: list[int], contexts: Broadcast, seen: Broad
                 before = before & _shifted(may)
                 may = _shifted(may)
             at = np.flatnonzero(deep & frequent & (may if depths == [1] else before))
-            yield d, context[at], ids[at], np.isin(last[at], hot_array)
+            some = last[at]
+            near = np.minimum(np.searchsorted(hot_array, some), max(0, len(hot_array) - 1))
+            yield d, code[at], context[at], ids[at], hot_array[near] == some if len(hot_array) else np.zeros(len(at), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, ...]]] = {d: [] for d in depths}
@@ -280,15 +285,15 @@ def entries(docs: DataFrame, depths: list[int], contexts: Broadcast, seen: Broad
 def _states(entries: DataFrame) -> DataFrame:
     """ctx of the contexts that pass the test against their parents, and rest: the log10 of the share that goes to the parent.
 
-    entries has ctx, n, total (the context's own number) and parent (log10 of the word's probability in the parent).
+    entries has ctx, n, total (the context's own number), parent (log10 of the word's probability in the parent) and pays.
     """
     p = F.pow(F.lit(10.0), "parent")
-    sums = entries.groupBy("ctx").agg(
+    sums = entries.where("pays").groupBy("ctx").agg(
         F.first("total").alias("total"),
         F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("n"),
         F.sum(p).alias("p"),
-        F.sum(F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("parent") * F.lit(float(np.log(10))))).alias("gain"),
+        F.sum(_gain()).alias("gain"),
     )
     left = F.col("total") - F.col("n")
     beyond = F.when(left > 0, left * F.log(left / F.col("total") / F.greatest(F.lit(1e-12), 1 - F.col("p")))).otherwise(0.0)
@@ -296,9 +301,14 @@ def _states(entries: DataFrame) -> DataFrame:
     return sums.where(F.col("gain") + beyond > 0.5 * F.col("k") * F.log("total")).select("ctx", F.log10(low).alias("rest"))
 
 
+def _gain() -> Column:
+    """What an entry adds to the log probability of the text, in place of its parent."""
+    return F.col("n") * (F.log(F.col("n") / F.col("total")) - F.col("parent") * F.lit(float(np.log(10))))
+
+
 def _added() -> Column:
     """log10 of an entry's probability less that of its parent and the rest that it does not need."""
-    return F.when(F.col("rest").isNull(), 0.0).otherwise(F.log10((F.col("n") - DISCOUNT) / F.col("total") + F.pow(F.lit(10.0), F.col("rest") + F.col("parent"))) - F.col("parent") - F.col("rest"))
+    return F.when(F.col("rest").isNull() | ~F.col("pays"), 0.0).otherwise(F.log10((F.col("n") - DISCOUNT) / F.col("total") + F.pow(F.lit(10.0), F.col("rest") + F.col("parent"))) - F.col("parent") - F.col("rest"))
 
 
 class Tree:
@@ -354,7 +364,7 @@ def fit(docs: DataFrame, counts: DataFrame, depth: int = DEPTH, context: int = C
         asked = asked.select(F.col("code").alias("ctx"), F.col("n").alias("total"), F.col("par").alias("shorter"))
         found = tables[-1].where(F.col("depth") == d).drop("depth").join(asked, "ctx")
         found = found.withColumn("par", F.col("word") if d == 1 else F.xxhash64("shorter", "word"))
-        found = written(found.join(before.select(F.col("code").alias("par"), F.col("log").alias("parent")), "par").drop("shorter"))
+        found = written(found.join(before.select(F.col("code").alias("par"), F.col("log").alias("parent")), "par").drop("shorter").withColumn("pays", _gain() > 0.5 * F.log("total")))
         states = written(_states(found))
         log = F.col("parent") + F.coalesce("rest", F.lit(0.0)) + _added()
         before = written(found.join(states, "ctx", "left").select(F.xxhash64("ctx", "word").alias("code"), "n", "par", _added().alias("added"), log.alias("log")))

@@ -107,7 +107,11 @@ def reference(texts, learned, depth, context, least):
             if c >= least and above.get(key[:-1], 0) >= context:
                 by.setdefault(key[:-1], {})[key[-1]] = c
         for before, seen in by.items():
-            total, parents = above[before], {x: p(before[1:], x) for x in seen}
+            total = above[before]
+            seen = {x: c for x, c in seen.items() if c * math.log(c / total / p(before[1:], x)) > 0.5 * math.log(total)}
+            if not seen:
+                continue
+            parents = {x: p(before[1:], x) for x in seen}
             other, others = 1 - sum(seen.values()) / total, max(1e-12, 1 - sum(parents.values()))
             gain = sum(c * math.log(c / total / parents[x]) for x, c in seen.items()) + (total * other * math.log(other / others) if other > 1e-15 else 0)
             if gain > 0.5 * len(seen) * math.log(total):
