@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from longspan.llm.common import table, written
 
 WINDOW = 2048
-SHARD_DOCS = 1500
+SHARD_DOCS = 1000
 END_ID = 1
 K1, B = 1.2, 0.75
 SHARD_TOKENS = 4_000_000
@@ -54,10 +54,7 @@ class Tokenizer:
         with open(public_tokenizers.path(name.replace(".tiktoken", ".json")), encoding="utf-8") as f:
             special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"] if x["special"]}
         ranks = {token: rank for token, rank in ranks.items() if rank not in special.values()}
-        encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.marks = tuple(special)
-        self.plain = encoding.encode_ordinary
-        self.marked = lambda text: encoding.encode(text, allowed_special="all")
+        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     @classmethod
     def of(cls, name: str) -> Tokenizer:
@@ -66,8 +63,8 @@ class Tokenizer:
         return cls.held[name]
 
     def ids(self, text: str, end: int) -> np.ndarray:
-        encode = self.marked if any(x in text for x in self.marks) else self.plain
-        return np.array([*encode(text), end], np.uint32)
+        ids = self.encoding.encode_to_numpy(text, allowed_special="all")
+        return np.concatenate([ids, np.array([end], np.uint32)])
 
 
 class Index:
@@ -86,7 +83,7 @@ class Index:
         self.weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * (length / length.mean())[doc]))
         self.term, self.begin = term, np.concatenate([[0], np.cumsum(sizes)])
         order = np.argsort(term, kind="stable")
-        self.by_term_doc, self.by_term_weight = doc[order].astype(np.int32), self.weight[order]
+        self.by_term_doc, self.by_term_weight = doc[order], self.weight[order]
         self.at = np.concatenate([[0], np.cumsum(df)])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
@@ -183,19 +180,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hashes(ids: np.ndarray, k: int) -> np.ndarray:
+    return (_mixed(ids.astype(np.uint64) + np.uint64(k + 1 << 32)) >> np.uint64(1)).astype(np.int64)
+
+
 def tokens(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """A row per document: its ids in two bytes each, or four if wide, and two MinHashes of them (without the end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.of(vocabulary)
+        tokenizer, of_short = Tokenizer.of(vocabulary), [_hashes(np.arange(1 << 16), k) for k in (0, 1)]
         for b in batches:
             ids, wide, hashes = [], [], []
             for t in b.column(1):
                 x = tokenizer.ids(t.as_py(), end_id)
                 wide.append(bool(x.max() >> 16))
                 ids.append(x.astype("<u4" if wide[-1] else "<u2").tobytes())
-                own = np.unique(x[:-1]).astype(np.uint64)
-                hashes.append([int(_mixed(own + np.uint64(k << 32)).min()) >> 1 if len(own) else -1 for k in (1, 2)])
+                hashes.append([int((h[x[:-1]] if not wide[-1] else _hashes(x[:-1], k)).min()) if len(x) > 1 else -1 for k, h in enumerate(of_short)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(wide), *(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1))], [x.split()[0] for x in TOKENS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, TOKENS)
