@@ -77,3 +77,8 @@ def text_key(text):
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """df with a broadcast hint if rows, its counted size, is at most limit; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    return next(x for k in range(len(df.columns) + 1) if (x := f"__{name}{k}") not in df.columns)

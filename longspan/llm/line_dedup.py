@@ -31,7 +31,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from longspan.llm.common import table, written
+from longspan.llm.common import table, unused, written
 
 MIN_WORDS = 50
 LINES = "d long, k long, i int, line_no int, line binary, ahead int, back int"
@@ -139,8 +139,7 @@ def _without(text: pd.Series, removed: pd.Series) -> pd.Series:
 def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", removed_col: str = "removed_lines") -> DataFrame:
     """docs with the text that stays, and lines_col, removed_col (numbers from 0, in order)."""
     gone = repeated_lines(docs, min_words, id_col, text_col).groupBy("d", "k").agg(F.sort_array(F.collect_list("line_no")).alias("lines"))
-    own = lambda name: next(x for k in range(len(docs.columns) + 1) if (x := f"__{name}{k}") not in docs.columns)
-    d, k, lines = own("d"), own("k"), own("lines")
+    d, k, lines = (unused(docs, x) for x in ("d", "k", "lines_of"))
     keep = [c for c in docs.columns if c not in (lines_col, removed_col)]
     keyed = docs.select(*keep, *(x.alias(n) for x, n in zip(_identity(id_col, text_col), (d, k))))
     joined = keyed.join(gone.withColumnsRenamed({"d": d, "k": k, "lines": lines}), [d, k], "left")

@@ -7,7 +7,8 @@ averages over whole texts and goes on with each text's top windows, so a few wor
 misspellings of them share their n-grams. Under the softmax an average of vectors is an average of numbers, one per
 word, which workers remember.
 
-Training reads at most ``PER_CLASS`` labelled texts of each class (those of smallest hash of their id), in one task;
+Training reads at most ``PER_CLASS`` labelled texts of each class (those of smallest hash of their id; of several texts
+of one id that of smallest hash), in one task;
 the model has a fixed size. Everything else covers all rows.
 
 Defined results: null and empty texts get the score of an empty bag; null ids are scored; labels that are null do not
@@ -64,6 +65,7 @@ class Model:
         self.vectors = rng.normal(0, 0.1, (1 << BITS, DIM))
         self.softmax = rng.normal(0, 0.1, (DIM, 2))
         self.bias = np.zeros(2)
+        self.trained = False
         self.seen = [np.full(x.shape, 1e-8) for x in (self.vectors, self.softmax, self.bias)]
 
     def numbers(self, names: list[str]) -> np.ndarray:
@@ -119,6 +121,7 @@ def train(texts: list[str | None], labels: list[int], warm: int = 3, rounds: int
     keep = [i for i, d in enumerate(docs) if len(d)]
     if not keep or len(set(labels)) < 2:
         return model
+    model.trained = True
     balance = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
 
     def batch(examples: list[tuple[np.ndarray, int]], rate: float, weight: np.ndarray) -> None:
@@ -166,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS
     for y in (0, 1):
         some = marked.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(1)  # at most 2 * per_class ids
-    found = sample.mapInArrow(_train, "model binary").collect()
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class ids
+    sample = sample.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("x")).select("doc_id", "x.*")
+    found = sample.repartition(1).mapInArrow(_train, "model binary").collect()
     return found[0][0] if found else pickle.dumps(Model())
 
 
@@ -202,14 +206,18 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: bytes, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below threshold."""
+    """The rows of docs, with all their columns, whose score is below threshold or that have no word; all if the model saw no two classes."""
+    if not pickle.loads(model).trained:
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for b in batches:
-            yield b.filter(pa.array(scorer(b.column(at).to_pylist()) < threshold))
+            texts = b.column(at).to_pylist()
+            bare = np.array([not (t or "").strip() for t in texts], bool)
+            yield b.filter(pa.array((scorer(texts) < threshold) | bare))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -81,3 +81,39 @@ def test_rows_of_one_id_stand_for_themselves(spark, odd, lexicon, tmp_path):
     for stage in (corpus_pipeline.without_repeated_lines, corpus_pipeline.without_near_copies, corpus_pipeline.without_benchmark):
         kept = pairs(stage(spark, odd.select(columns), str(tmp_path)))
         assert {1, 2, 3, 5, 6} <= {i for i, _ in kept}
+
+
+EXTRA = ["'a' AS __k", "1 AS n_lines", "array(2) AS removed_lines", "'b' AS __gone", "3 AS __key0", "4 AS node", "5 AS score", "'c' AS w"]
+
+
+@pytest.fixture(scope="module")
+def side_tables(spark, lexicon, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("side"))
+    rng = random.Random(14)
+    spark.createDataFrame([(1, words(rng, 40, lexicon)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(4, 1, 0), (5, 1, 0), (4, None, None), (None, 1, 1), (100, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/none/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/none/labels.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_in_every_stage(spark, odd, side_tables, name):
+    """Null and empty texts, null ids, repeated rows, a very long text, columns with the names of helpers; and empty tables."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").selectExpr("*", *EXTRA)
+    none = docs.limit(0)
+    assert stage(spark, none, side_tables).collect() == [] and stage(spark, none, f"{side_tables}/none").collect() == []
+    before = sorted(map(str, docs.collect()))
+    for path in (side_tables, f"{side_tables}/none"):
+        out = stage(spark, docs, path)
+        rows = out.collect()
+        if name == "packing":
+            assert {r["doc_id"] for r in rows} == {None, 1, 2, 3, 4, 5, 6, 7}
+            continue
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        after = sorted(map(str, rows))
+        if name == "near_copies":  # 4, its repeated row, its longer form, the one without an id and 7 differ in a word or two
+            assert {1, 2, 3, 4, 5, 6, 7} - {7} <= {r["doc_id"] for r in rows} and len(set(after)) == len(after) and set(after) <= set(before)
+        else:
+            assert after == before

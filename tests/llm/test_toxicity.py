@@ -52,3 +52,15 @@ def test_windows():
     at, mean = toxicity.top_windows(z, 2)
     assert at[0] <= 70 < at[0] + toxicity.WINDOW and mean[0] == 1 and abs(at[1] - at[0]) >= toxicity.WINDOW
     assert toxicity.top_windows(np.array([2.0, 4.0]), 1)[1][0] == 3
+
+
+def test_sample_is_bounded_in_rows(spark, make, lexicon, monkeypatch):
+    """One labelled id on very many rows brings one text, that of smallest hash."""
+    rows = [(1, f"{lexicon[k % 700]} {k}") for k in range(5000)] + [(2, "plain words"), (3, "other words"), (3, "other words")]
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    def seen(batches):
+        rows = [r for b in batches for r in b.to_pylist()]
+        yield toxicity.pa.RecordBatch.from_arrays([toxicity.pa.array([repr(sorted((r["doc_id"], r["label"]) for r in rows)).encode()])], ["model"])
+
+    monkeypatch.setattr(toxicity, "_train", seen)
+    assert toxicity.fit(make(rows), labels, F.lit(True)) == repr([(1, 1), (2, 0), (3, 0)]).encode()
