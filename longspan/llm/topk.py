@@ -29,75 +29,76 @@ from longspan.llm.common import table, written
 
 SHARD = 4096
 QUERY_BYTES = 16 << 20
-STEP = 256
 SCALE = 1024
 
 
 class Lists:
-    """A shard's rows and its sorted lists: of each dimension its row numbers and values, by rising value."""
+    """A shard's rows and its sorted lists: of each dimension its row numbers and values, from the highest and from the lowest value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, vectors = ids[order], vectors[order]
-        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32))
-        self.values = np.take_along_axis(vectors.T, self.order.astype(np.int64), 1)
+        rising = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
+        values = np.take_along_axis(vectors.T, rising, 1)
+        self.rows = [np.ascontiguousarray(rising[:, ::-1]), rising]
+        self.places = [x + np.arange(len(x))[:, None] * x.shape[1] for x in self.rows]  # of a list's row among all lists'
+        self.largest = int(np.abs(values).max(initial=0))
+        values = values.astype(np.float64) if self.largest < 1 << 51 else values
+        self.values = [np.ascontiguousarray(values[:, ::-1]), values]
         self.share = 0.0  # of the lists, read for the last query before no outsider could qualify
 
-    def top(self, query: np.ndarray, own: int, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, scores) of the k best rows but those of id own, and of all that tie with the k-th."""
-        dims, n = self.order.shape
-        up = query < 0
-        rows = np.where(up[:, None], self.order, self.order[:, ::-1])  # each list from its better end
-        value = np.where(up[:, None], self.values, self.values[:, ::-1])
-        alive = self.ids != own
-        gain, seen = np.zeros(n), np.zeros((n, dims), np.float32)
-        adds = value * query.astype(np.float64)[:, None]
-        worst = adds[:, -1].copy() if n else np.zeros(dims)
-        at, read = np.zeros(dims, np.int64), 0
-        if not alive.all():
-            rows, value, adds = self._of(alive, rows, value, adds)
-        while (m := rows.shape[1]) > k:
-            some = np.flatnonzero(alive)
-            slack = np.where(at < m, adds[np.arange(dims), np.minimum(at, m - 1)] - worst, 0.0)  # what an unseen component adds at most
-            lower = gain[some]
-            kth = np.partition(lower, m - k)[m - k]
-            upper = lower + slack.sum() - seen[some] @ slack.astype(np.float32)
-            out = some[upper + 1e-5 * slack.sum() + 1 < kth]
-            if len(out):
-                alive[out] = False
-                before = at
-                keep = alive[rows]
-                at = np.array([int(keep[d, : before[d]].sum()) for d in range(dims)])
-                rows, value, adds = self._of(alive, rows, value, adds)
-                continue
-            if not slack.any():
-                break  # all is read, and the rest ties
-            size = np.minimum(np.ceil(step * dims * slack / slack.sum()).astype(np.int64), m - at)
-            read += int(size.sum())
-            d = np.repeat(np.arange(dims), size)
-            pos = np.arange(len(d)) - np.repeat(np.cumsum(size) - size, size) + at[d]
-            found = rows[d, pos]
-            gain += np.bincount(found, adds[d, pos] - worst[d], n)
-            seen[found, d] = 1
-            at = at + size
-        self.share = read / max(1, n * dims)
-        # Final scores of those left, in whole numbers, from their places in the lists.
-        left = np.flatnonzero(alive)
-        number = np.zeros(n, np.int64)
-        number[left] = np.arange(len(left))
-        whole = np.zeros((len(left), dims), np.int64)
-        whole[number[rows], np.arange(dims)[:, None]] = value
-        score = whole @ query
-        if len(left) > k:
-            kth = np.partition(score, len(left) - k)[len(left) - k]
-            left, score = left[score >= kth], score[score >= kth]
-        return left, score
-
-    @staticmethod
-    def _of(alive: np.ndarray, rows: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The lists of the rows that are alive."""
-        keep = alive[rows]
-        return tuple(x[keep].reshape(len(rows), -1) for x in (rows, *others))
+        dims, n = self.rows[0].shape
+        lists, up = range(dims), query < 0
+        side = up.astype(int).tolist()
+        rows, values = [self.rows[side[d]][d] for d in lists], [self.values[side[d]][d] for d in lists]  # each list from its better end
+        q, alive = query.astype(np.float64), self.ids != own
+        gain, seen, at = np.zeros(n), np.zeros(dims * n, np.float32), np.zeros(dims, np.int64)
+        worst = q * np.array([v[-1] for v in values], np.float64)
+        adds = np.empty((dims, n))  # what each entry adds over the worst of its list
+        for k_side, some in enumerate((~up, up)):
+            adds[some] = self.values[k_side][some] * q[some, None] - worst[some, None]
+
+        def read(sizes: np.ndarray) -> None:
+            """Reads on, so far in each list, for the rows that are alive."""
+            spans = [slice(a, a + m) for a, m in zip(at.tolist(), sizes.tolist())]
+            found, value, place = (np.concatenate([x[d][spans[d]] for d in lists]) for x in (rows, adds, [self.places[side[d]][d] for d in lists]))
+            if 2 * left < n:
+                keep = np.flatnonzero(alive[found])
+                found, value, place = found[keep], value[keep], place[keep]
+            gain[:] += np.bincount(found, value, n)
+            seen[place] = 1
+            at[:] += sizes
+
+        while (left := int(alive.sum())) > k:
+            slack = np.where(at < n, adds[np.arange(dims), np.minimum(at, n - 1)], 0.0)  # what an unseen component adds at most
+            lower = gain[alive]
+            kth = np.partition(lower, left - k)[left - k]
+            upper = gain + slack.sum() - slack.astype(np.float32) @ seen.reshape(dims, n)
+            alive &= upper + 1e-5 * slack.sum() + 1 >= kth
+            left = int(alive.sum())
+            if left <= k or not slack.any():
+                break  # no outsider can qualify, or all is read and the rest ties
+            budget = max((n * dims - int(at.sum())) * 0.75, n * dims // 8)  # most of what is left, dealt by what lists can add
+            read(np.minimum(np.ceil(budget * slack / slack.sum()).astype(np.int64), n - at))
+        self.share = float(at.sum()) / max(1, n * dims)
+        best = np.flatnonzero(alive)
+        if self.largest * int(np.abs(query).max(initial=0)) * dims < 1 << 51:  # sums of whole numbers so far are exact
+            read(n - at)
+            score = (gain[best] + worst.sum()).astype(np.int64)
+        else:
+            place = np.zeros(n, np.int64)
+            place[best] = np.arange(len(best))
+            whole = np.zeros((len(best), dims), np.int64)
+            for d in lists:
+                keep = alive[rows[d]]
+                whole[place[rows[d][keep]], d] = values[d][keep]
+            score = whole @ query
+        if len(best) > k:
+            kth = np.partition(score, len(best) - k)[len(best) - k]
+            best, score = best[score >= kth], score[score >= kth]
+        return best, score
 
 
 def scaled(c):
