@@ -46,7 +46,7 @@ LEAST = 4
 FREQUENT = 1 << 21
 SHORT = 1 << 16
 DISCOUNT = 0.75
-BITS = 26
+BITS = 27
 CHUNK = 2_000_000
 #: Bytes of text that are cut into words at once.
 BYTES = 1 << 21
@@ -153,18 +153,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Bitmap:
-    """A set of hashes by BITS of each: what is in the set is found, a little else is too."""
+    """A set of hashes by two bits of each: what is in the set is found, a little else is too."""
 
     def __init__(self, rows: DataFrame, code: Column):
-        at = code.bitwiseAND(F.lit((1 << BITS) - 1)) + 1  # buckets begin at 1
-        parts = rows.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        low = (1 << BITS) - 1
+        places = (code.bitwiseAND(F.lit(low)), F.shiftright(code, 64 - BITS).bitwiseAND(F.lit(low)))
+        at = rows.select(F.explode(F.array(*(x + 1 for x in places))).alias("at"))  # buckets begin at 1
+        parts = at.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
         self.bits = np.zeros(1 << BITS - 3, np.uint8)
-        for r in parts.collect():  # at most 2^(BITS - 15) rows of 4 KB
+        for r in parts.coalesce(8).toLocalIterator():  # at most 2^(BITS - 15) rows of 4 KB, an eighth at a time
             self.bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
 
     def has(self, code: np.ndarray) -> np.ndarray:
-        at = code & ((1 << BITS) - 1)
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        out = np.ones(len(code), bool)
+        for shift in (0, 64 - BITS):
+            at = (code >> shift) & ((1 << BITS) - 1)
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
 
 
 def _shifted(x: np.ndarray) -> np.ndarray:
@@ -264,8 +269,9 @@ def entries(docs: DataFrame, depths: list[int], contexts: Broadcast, seen: Broad
         size = dict.fromkeys(depths, 0)
 
         def flush(d: int) -> pa.RecordBatch:
-            some, held[d], size[d] = held[d], [], 0
-            return _pack(d, *(np.concatenate(x) for x in zip(*some)), buckets, short)
+            some = tuple(np.concatenate(x) for x in zip(*held[d]))
+            held[d], size[d] = [], 0
+            return _pack(d, *some, buckets, short)
 
         for b in batches:
             for _, lengths, ids in token_runs(b.column(0)):
