@@ -63,8 +63,10 @@ def first_per_cell(df: DataFrame, cell: str, date: str, columns: list[str]) -> D
     return df.groupBy(cell).agg(*(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(date))).alias(c) for c in columns))
 
 
-def absent(sample: DataFrame, panel: DataFrame, keys: list[str]) -> DataFrame:
-    """Sampled rows that the panel lost."""
+def absent(sample: DataFrame, panel: DataFrame, keys: list[str], reason: str | None = None) -> DataFrame:
+    """Sampled rows that the panel lost; with a reason, in a column attrition_reason."""
+    if reason is not None:
+        return absent(sample, panel, keys).withColumn("attrition_reason", F.lit(reason))
     return sample.join(panel.select(*keys).distinct(), keys, "left_anti")
 
 
@@ -90,6 +92,12 @@ def lagged_panel(panel: DataFrame, cell: str, date: str, columns: list[str], kee
     return out.where("__row > 1").drop("__row")
 
 
+def labelled(panel: DataFrame, source: str = "burned_flag", y: str = "y") -> DataFrame:
+    """panel with its label column under the name y, as 0 or 1; null and what isn't a number are 0."""
+    value = F.coalesce(F.expr(f"try_cast(`{source}` AS double)"), F.lit(0.0))
+    return panel.withColumn(y, (value > 0).cast("int")).drop(*([source] if source != y else []))
+
+
 def shifted(panel: DataFrame, date: str, months: int = 1) -> DataFrame:
     return panel.withColumn(date, F.add_months(date, months))
 

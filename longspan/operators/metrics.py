@@ -31,10 +31,14 @@ def average_precision(df: DataFrame, group: list[str], y: str = "y", p: str = "p
 
 
 def average_precision_by_row(df: DataFrame, group: list[str], order: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Average precision with each row as a threshold of its own, in a total order; 0 without positives."""
-    w = Window.partitionBy(*group).orderBy(F.desc(p), *order)
-    rows = df.withColumns({"__tp": F.sum(y).over(w), "__k": F.row_number().over(w)})
-    hits = F.sum(F.when(F.col(y) == 1, F.col("__tp") / F.col("__k")))
+    """Average precision with each row as a threshold of its own, in a total order; 0 without positives.
+
+    Rows are numbered among those of their score only, and follow the sums of higher scores.
+    """
+    above = cumulative(df, group, y, p).select(*group, F.col("score").alias(p), (F.col("tp") - F.col("pos")).alias("__tp0"), (F.col("seen") - F.col("n")).alias("__k0"))
+    w = Window.partitionBy(*group, p).orderBy(*order)
+    rows = df.select(*group, p, y, F.sum(y).over(w).alias("__tp"), F.row_number().over(w).alias("__k")).join(above, [*group, p])
+    hits = F.sum(F.when(F.col(y) == 1, (F.col("__tp0") + F.col("__tp")) / (F.col("__k0") + F.col("__k"))))
     return rows.groupBy(*group).agg(F.coalesce(F.try_divide(hits, F.sum(y)), F.lit(0.0)).alias("auprc_row"))
 
 
@@ -60,13 +64,16 @@ def at_threshold(df: DataFrame, group: list[str], threshold, y: str = "y", p: st
 
 def top_fraction(df: DataFrame, group: list[str], fractions: tuple[float, ...], keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Per fraction: k = max(1, ceil(n * fraction)) rows of highest p (ties by keys), hits, precision, recall (null without positives)."""
-    w = Window.partitionBy(*group).orderBy(F.desc(p), *keys)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    rows = df.select(*group, F.col(y).alias("y"), F.row_number().over(w).alias("rank"), n.alias("n"))
-    each = rows.withColumn("fraction", F.explode(F.array(*map(F.lit, fractions))))
-    k = F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * F.col("fraction"), 9)))
-    inside = (F.col("rank") <= k) & (F.col("y") == 1)
-    out = each.groupBy(*group, "fraction").agg(F.max(k).cast("long").alias("k"), F.count_if(inside).alias("hits"), F.sum(F.col("y").cast("long")).alias("pos"))
+    c = cumulative(df, group, y, p).withColumn("fraction", F.explode(F.array(*map(F.lit, fractions))))
+    c = c.withColumn("k", F.greatest(F.lit(1), F.ceil(F.round(F.col("n_group") * F.col("fraction"), 9))).cast("long"))
+    # Scores above the cut count whole; of the score at the cut, if it is cut, rows are numbered by keys.
+    whole = c.groupBy(*group, "fraction", "k").agg(F.sum(F.when(F.col("seen") <= F.col("k"), F.col("pos")).otherwise(0)).alias("above"), F.max("positives").alias("pos"))
+    cut = c.where("seen > k AND seen - n < k").select(*group, F.col("score").alias(p), "fraction", (F.col("k") - F.col("seen") + F.col("n")).alias("__room"))
+    w = Window.partitionBy(*group, p).orderBy(*keys)
+    at = cut.select(*group, p).distinct()
+    ranked = df.join(at, [*group, p], "left_semi").select(*group, p, F.col(y).alias("y"), F.row_number().over(w).alias("rank"))
+    some = ranked.join(cut, [*group, p]).groupBy(*group, "fraction").agg(F.count_if((F.col("rank") <= F.col("__room")) & (F.col("y") == 1)).alias("within"))
+    out = whole.join(some, [*group, "fraction"], "left").withColumn("hits", F.col("above") + F.coalesce("within", F.lit(0)))
     return out.select(*group, "fraction", "k", "hits", (F.col("hits") / F.col("k")).alias("precision"), F.try_divide("hits", "pos").alias("recall"))
 
 
@@ -78,6 +85,14 @@ def best_threshold(df: DataFrame, group: list[str], y: str = "y", p: str = "p")
     return c.groupBy(*group).agg(best).select(*group, "b.threshold", "b.f1")
 
 
+def frozen_threshold(df: DataFrame, group: list[str], role: str = "split_role", choose: str = "val", apply: str = "test", y: str = "y", p: str = "p") -> DataFrame:
+    """The best threshold on rows of one role, and what it gives on those of another: threshold, brier, precision, recall, f1."""
+    chosen = best_threshold(df.where(F.col(role) == choose), group, y, p).select(*group, "threshold")
+    other = df.where(F.col(role) == apply)
+    other = other.join(F.broadcast(chosen), group) if group else other.join(F.broadcast(chosen))  # a row per group
+    return at_threshold(other, [*group, "threshold"], F.col("threshold"), y, p)
+
+
 def bootstrap(df: DataFrame, group: list[str], metric, reps: int = 100, seed: int = 0, keys: list[str] = ("cell_id", "date"), p: str = "p") -> DataFrame:
     """Mean and standard deviation of a metric (average_precision, roc_auc) over Poisson resamples.
 

@@ -187,8 +187,11 @@ def ablation(train: DataFrame, test: DataFrame, features: list[str], groups: dic
 
 
 def family(columns: list[str], kind: str) -> list[str]:
-    """Columns of a feature family: memory, climate or vegetation."""
-    marks = {"memory": ("y_lag", "event_count", "months_since", "ever_before", "_roll"), "climate": ("VPD", "RH", "Tm", "WS", "WD_", "P_sum", "TP_sum", "PET"), "vegetation": ("NDVI", "EVI", "LST", "SM1", "SM2", "treecover", "frac_")}
+    """Columns of a feature family: climo (season and place), memory, climate or vegetation.
+
+    A column of a family's coverage or missing rate belongs to it too.
+    """
+    marks = {"climo": ("month_sin", "month_cos", "BIOME", "STRATUM", "s_acctbal"), "memory": ("y_lag", "event_count", "months_since", "ever_before", "_roll"), "climate": ("VPD", "RH", "Tm", "WS", "WD_", "P_sum", "TP_sum", "PET"), "vegetation": ("NDVI", "EVI", "LST", "SM1", "SM2", "treecover", "frac_")}
     if kind not in marks:
         raise ValueError(kind)
     return [c for c in columns if any(m in c for m in marks[kind])]

@@ -66,9 +66,9 @@ def months_since(panel: DataFrame, flag: str, cap: int, name: str = "months_sinc
     return rows.withColumn(name, F.least(F.coalesce(F.col("__row") - _last_row(F.col(flag), w), F.lit(cap)), F.lit(cap)).cast("int")).drop("__row")
 
 
-def backward_steps(panel: DataFrame, cell: str = "cell_id", date: str = "date") -> DataFrame:
-    """Rows whose date is not after the one before it in input order of date; equal dates are repeats."""
-    previous = F.lag(date).over(by_cell(cell, date))
+def backward_steps(panel: DataFrame, cell: str = "cell_id", date: str = "date", order: str | None = None) -> DataFrame:
+    """Rows whose date is not after the one before it in order of the column order; without it, in order of date, only repeats."""
+    previous = F.lag(date).over(by_cell(cell, order or date))
     return panel.withColumn("previous", previous).where(F.col(date) <= F.col("previous"))
 
 

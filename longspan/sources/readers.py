@@ -44,13 +44,32 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _read_feather(spark: SparkSession, path: str) -> DataFrame:
+    """Tasks read a file each; only the first one's schema comes to the driver."""
+    import pyarrow as pa
+    from pyarrow import feather
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def tables(batches):
+        return (feather.read_table(pa.BufferReader(x.as_buffer())) for b in batches for x in b.column(0))
+
+    def schema(batches):
+        yield from (pa.record_batch([pa.array([t.schema.serialize().to_pybytes()])], ["schema"]) for t in tables(batches))
+
+    def rows(batches):
+        yield from (b for t in tables(batches) for b in t.to_batches())
+
+    head = files.limit(1).mapInArrow(schema, "schema binary").first()[0]
+    return files.mapInArrow(rows, from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(head))))
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """A table by its extension; Feather files, which Spark has no source for, through Arrow."""
+    """A table by its extension; Feather files, which Spark has no source for, as Arrow files that tasks read, one each."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind == ".feather":
-        from pyarrow import feather
-
-        return spark.createDataFrame(feather.read_table(path))
+        return _read_feather(spark, path)
     if kind not in READABLE:
         raise ValueError(f"can't read {path}")
     return spark.read.format(READABLE[kind]).options(header=True, inferSchema=True).load(path) if kind == ".csv" else spark.read.format(READABLE[kind]).load(path)

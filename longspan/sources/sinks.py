@@ -24,15 +24,18 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
     writer = df.write.option("compression", "snappy")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
-    backup = None
+    backup = old = None
     if fs.exists(target):
         if existing == "backup":
             backup = f"{path.rstrip('/')}.{time.strftime('%Y%m%d_%H%M%S')}.bak"
             fs.rename(target, _fs(spark, backup)[1])
-        else:
-            fs.delete(target, True)
+        else:  # the old table stays beside until the new one stands
+            old = _fs(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex}.old")[1]
+            fs.rename(target, old)
     if not fs.rename(_fs(spark, staged)[1], target):
         raise OSError(f"can't move {staged} to {path}")
+    if old is not None:
+        fs.delete(old, True)
     return backup
 
 
