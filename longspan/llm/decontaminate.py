@@ -4,8 +4,9 @@ Items and documents are lower-cased words of letters and digits, in shingles of
 shingle). A window has an item's length and lies where one of the item's shingles in the document puts it; a window
 without one has similarity 0. (Document, item) pairs whose shared shingles can't reach the similarity even all together
 go first. Each window and each item is a 64-bit SimHash of its shingles, weighted by their numbers of occurrences.
-Fingerprints are cut into ``radius`` + 1 blocks: two that differ in at most ``radius`` bits agree on a block, so the
-join on (length, block, bits) finds all of them. Weighted Jaccard similarity (sum of least over sum of greatest counts)
+Fingerprints are cut into blocks, so few that two that differ in at most ``radius`` bits differ in at most ``FLIPS`` bits
+of some block (for 19 bits five blocks of 13); items publish each block with up to so many bits turned, so the join on
+(length, block, bits) finds all such pairs, and about a fifth of unrelated ones. Weighted Jaccard similarity (sum of least over sum of greatest counts)
 then verifies each pair exactly. At similarity 0.8 the expected distance is 10 bits with a deviation of 3; 19 leaves a
 margin of three deviations.
 
@@ -18,6 +19,8 @@ returned as null; of several best windows the first counts; empty tables give no
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ PERCENT = 80
 RADIUS = 19
 BROADCAST_ROWS = 500_000
 BITS = 64
+FLIPS = 3
 
 
 def words(text: Column) -> Column:
@@ -51,11 +55,32 @@ def fingerprints(windows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, "size", "content", fp.alias("fp"))
 
 
+def _edges(radius: int) -> list[tuple[int, int]]:
+    """First and past the last bit of the blocks: four or so many that two fingerprints within radius differ in FLIPS bits of some block at most."""
+    n = max(4, -(-(radius + 1) // (FLIPS + 1)))
+    ends = [round(k * BITS / n) for k in range(n + 1)]
+    return list(zip(ends, ends[1:]))
+
+
+def _bits(lo: int, hi: int) -> Column:
+    return F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+
+
 def blocks(radius: int) -> Column:
     """Block number and bits of fp, as an array of structs."""
-    n = radius + 1
-    edges = [round(k * BITS / n) for k in range(n + 1)]
-    return F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))))
+    return F.array(*(F.struct(F.lit(k).alias("block"), _bits(lo, hi).alias("bits")) for k, (lo, hi) in enumerate(_edges(radius))))
+
+
+def neighbours(radius: int) -> Column:
+    """Block number and bits of fp with up to FLIPS bits of the block turned, as an array of structs."""
+
+    flips = radius // len(_edges(radius))
+
+    def of(k: int, lo: int, hi: int) -> Column:
+        turned = [sum(1 << b for b in some) for f in range(flips + 1) for some in combinations(range(hi - lo), f)]
+        return F.transform(F.array(*map(F.lit, turned)), lambda t: F.struct(F.lit(k).alias("block"), _bits(lo, hi).bitwiseXOR(t.cast("long")).alias("bits")))
+
+    return F.concat(*(of(k, lo, hi) for k, (lo, hi) in enumerate(_edges(radius))))
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = PERCENT, radius: int = RADIUS) -> DataFrame:
@@ -92,7 +117,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int
     classes = prints.groupBy("n", "fp", "c").agg(F.first("content").alias("content"), F.first("size").alias("size"))
     of_items = fingerprints(own, ["item", "n"]).withColumnsRenamed({"fp": "item_fp", "content": "item_content", "size": "item_size"})
     left = classes.select("n", "fp", "c", F.inline(blocks(radius)))
-    right = of_items.withColumn("fp", F.col("item_fp")).select("n", "item", "item_fp", F.inline(blocks(radius)))
+    right = of_items.withColumn("fp", F.col("item_fp")).select("n", "item", "item_fp", F.inline(neighbours(radius)))
     near = left.join(right, ["n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("n", "fp", "c", "item").distinct()
     near = near.join(classes, ["n", "fp", "c"]).select("n", "fp", "c", "item", "size", F.inline("content"))
     shared = near.join(of_items.select("item", "item_size", F.inline("item_content").alias("g", "item_tf")), ["item", "g"])

@@ -80,3 +80,20 @@ def test_odd_rows(spark, odd, none, items):
     assert got == {(None, 50), (4, 50), (7, 50)}
     assert dc.contaminated(none, frame).collect() == []
     assert dc.contaminated(odd, frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("radius", [0, 7, 19, 25])
+def test_all_fingerprints_within_the_radius_meet(spark, radius):
+    """Whichever bits differ, as many as the radius: some block of one is among the turned blocks of the other; few unrelated ones are."""
+    rng = random.Random(radius)
+    rows = []
+    for k in range(200):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), radius):
+            y ^= 1 << b
+        rows.append((k, x - (1 << 63), y - (1 << 63), rng.getrandbits(64) - (1 << 63)))
+    df = spark.createDataFrame(rows, "k long, x long, y long, z long")
+    ours = df.withColumn("fp", dc.F.col("x")).select("k", dc.F.inline(dc.blocks(radius)))
+    met = lambda other: df.withColumn("fp", dc.F.col(other)).select("k", dc.F.inline(dc.neighbours(radius))).join(ours, ["k", "block", "bits"]).select("k").distinct().count()
+    assert met("y") == 200 and met("z") < 0.5 * 200 * (1 if radius < 25 else 2)
