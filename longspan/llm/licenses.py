@@ -2,9 +2,10 @@
 
 Templates and documents are lower-cased words of letters and digits. Of a template's hashes of ``GRAM`` words in a row,
 winnowing keeps the smallest of each ``WINNOW`` neighbours; an inverted index holds them. Every gram of a document is
-looked up, so a shared passage of GRAM + WINNOW - 1 words can't be missed. Hits on neighbouring diagonals of a template
-form one candidate, which a banded local alignment scores; candidates that cover at least ``COVERAGE`` of their template
-are reported with their spans. The index is a constant of the library's size; documents are read once, without a
+looked up, so a shared passage of GRAM + WINNOW - 1 words can't be missed. Hits on neighbouring diagonals of a template,
+no further apart than twice the band, form one candidate, which a banded local alignment scores. Alignments of a template
+that follow each other in both texts, a clause or name of some length inserted between them, are one match. Matches that
+cover at least ``coverage`` of their template are reported with their spans. The index is a constant of the library's size; documents are read once, without a
 shuffle, and a worker holds one batch.
 
 Defined results: null and empty texts match nothing; rows that repeat are reported each for itself; null ids are
@@ -104,8 +105,8 @@ class Index:
         return out
 
 
-def align(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """(matched words, first, past the last position in doc) of the best local alignment on diagonals low to high."""
+def align(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
+    """(matched words, first, past the last position in doc, the same in template) of the best local alignment on diagonals low to high."""
     width = high - low + 1
     slope = -GAP * np.arange(width)
     score = np.zeros((len(template) + 1, width), np.int32)
@@ -118,13 +119,15 @@ def align(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[i
         t = np.maximum(0, np.maximum(np.where(inside, step, 0), skip))
         score[i] = np.maximum(0, np.maximum.accumulate(t + slope) - slope)
     i, d = (int(x) for x in np.unravel_index(int(score.argmax()), score.shape))
-    matched, last, first = 0, None, 0
+    matched, last, first, begin, end = 0, None, 0, 0, 0
     while i > 0 and score[i, d] > 0:
         j = i - 1 + low + d
         same = 0 <= j < len(doc) and doc[j] == template[i - 1]
         if 0 <= j < len(doc) and score[i, d] == score[i - 1, d] + (MATCH if same else MISMATCH):
             if same:
-                matched, first, last = matched + 1, j, j + 1 if last is None else last
+                matched, first, begin = matched + 1, j, i - 1
+                if last is None:
+                    last, end = j + 1, i
             i -= 1
         elif d + 1 < width and score[i, d] == score[i - 1, d + 1] + GAP:
             i, d = i - 1, d + 1
@@ -132,7 +135,23 @@ def align(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[i
             d -= 1
         else:
             break
-    return matched, first, last or 0
+    return matched, first, last or 0, begin, end
+
+
+def chain(parts: list[tuple[int, int, int, int, int]], most_apart: int) -> list[tuple[int, int, int]]:
+    """(matched, first, past last) of alignments, and of runs of them in order in both texts and at most most_apart words apart; the best first."""
+    parts = sorted(set(parts), key=lambda m: (m[1], m[2]))
+    best: list[tuple[int, int]] = []  # matched in all up to a part, and where its run begins
+    for k, (n, first, _, begin, _) in enumerate(parts):
+        own, start = n, first
+        for j in range(k - 1, -1, -1):
+            if parts[j][1] < first - 2 * most_apart - (parts[j][2] - parts[j][1]):
+                break
+            if parts[j][2] <= first <= parts[j][2] + most_apart and parts[j][4] <= begin and best[j][0] + n > own:
+                own, start = best[j][0] + n, best[j][1]
+        best.append((own, start))
+    runs = [(n, start, m[2]) for (n, start), m in zip(best, parts)]
+    return sorted(runs, key=lambda m: (-m[0], m[2] - m[1], m[1]))
 
 
 def scan(index: Index, text: str | None, coverage: float = COVERAGE) -> list[tuple[str, int, float, int, int, int, int]]:
@@ -146,12 +165,14 @@ def scan(index: Index, text: str | None, coverage: float = COVERAGE) -> list[tup
         diagonals = sorted({p - q for p, q in hits})
         begin, mine = 0, []
         for k in range(1, len(diagonals) + 1):
-            if k == len(diagonals) or diagonals[k] - diagonals[k - 1] > band:
+            if k == len(diagonals) or diagonals[k] - diagonals[k - 1] > band or diagonals[k] - diagonals[begin] > 2 * band:
                 m = align(template, ids, diagonals[begin] - band, diagonals[k - 1] + band)
                 begin = k
-                if m[0] >= coverage * len(template):
+                if m[0] >= GRAM:
                     mine.append(m)
-        for m in sorted(mine, key=lambda m: (-m[0], m[1])):
+        for m in chain(mine, len(template)):
+            if m[0] < coverage * len(template):
+                break
             if all(f[0] != t or m[2] <= f[2] or m[1] >= f[3] for f in found):
                 found.append((t, *m))
     if not found:

@@ -43,3 +43,40 @@ def test_candidates_are_those_of_whole_alignment(lexicon):
 def test_odd_rows(odd, none):
     assert licenses.license_matches(odd).collect() == []
     assert licenses.license_matches(none).collect() == []
+
+
+def test_alignment_is_the_best_of_all(lexicon):
+    """The score of a plain Smith-Waterman table over all diagonals; the path's words match one by one."""
+    rng = random.Random(3)
+    for _ in range(30):
+        template = np.array([rng.randrange(12) for _ in range(rng.randint(5, 30))])
+        doc = np.array([rng.randrange(12) for _ in range(rng.randint(5, 40))])
+        table = np.zeros((len(template) + 1, len(doc) + 1), int)
+        for i in range(1, len(template) + 1):
+            for j in range(1, len(doc) + 1):
+                step = table[i - 1, j - 1] + (licenses.MATCH if template[i - 1] == doc[j - 1] else licenses.MISMATCH)
+                table[i, j] = max(0, step, table[i - 1, j] + licenses.GAP, table[i, j - 1] + licenses.GAP)
+        n, first, last, begin, end = licenses.align(template, doc, -len(template), len(doc))
+        assert 0 < n <= min(last - first, end - begin) and table[end, last] == table.max()
+
+
+def test_an_inserted_clause(lexicon):
+    """A template with 40 words put into its middle is one match of its whole coverage; half of one is reported at a lower cut."""
+    rng = random.Random(4)
+    index = licenses.Index(licenses.TEMPLATES)
+    w = licenses.TEMPLATES["MIT"].split()
+    text = f"{words(rng, 30, lexicon)} {' '.join(w[:80])} {words(rng, 40, lexicon)} {' '.join(w[80:])} {words(rng, 30, lexicon)}"
+    name, _, coverage, first, last, *_ = next(m for m in licenses.scan(index, text) if m[0] == "MIT")
+    assert coverage > 0.97 and last - first >= len(w) + 35
+    half = words(rng, 30, lexicon) + " " + " ".join(w[: len(w) // 2])
+    assert not [m for m in licenses.scan(index, half) if m[0] == "MIT"]
+    assert 0.4 < next(m for m in licenses.scan(index, half, 0.4) if m[0] == "MIT")[2] < 0.6
+
+
+def test_copies_in_one_text(spark, make):
+    """Each of many copies in a text is a match, and a repetitive text costs no more than its length; rows that repeat and null ids are reported."""
+    text = " ".join([licenses.TEMPLATES["ISC"]] * 200)
+    assert sum(m[0] == "ISC" for m in licenses.scan(licenses.Index(licenses.TEMPLATES), text)) == 200
+    licenses.scan(licenses.Index(licenses.TEMPLATES), "of the software and the copyright notice " * 3000)
+    rows = licenses.license_matches(make([(None, licenses.TEMPLATES["ISC"]), (1, licenses.TEMPLATES["ISC"]), (1, licenses.TEMPLATES["ISC"])])).where("license = 'ISC'").collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "None"]
