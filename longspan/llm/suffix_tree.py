@@ -3,9 +3,10 @@
 Symbols are words and one end per text. The root is the add-one word distribution. Below it stand contexts of one to
 ``DEPTH`` words: those that occur ``CONTEXT`` times or more and whose next-symbol distribution diverges from their
 parent's by more than its own description costs. A context has an explicit entry for a next word seen with it at least
-``LEAST`` times if the entry alone gains more than it costs (half the logarithm of the context's occurrences); the
-discounted rest goes to the parent's distribution, so every state is a proper distribution. A token is scored in the
-state of the longest kept suffix.
+``LEAST`` times if the entry alone gains more than it costs: the logarithm of the number of words, to name one, and half
+that of the context's occurrences, to give its number. The discounted rest goes to the parent's distribution, so every
+state is a proper distribution. Contexts of two words and more are those of which every two words in a row are an entry.
+A token is scored in the state of the longest kept suffix.
 
 Thresholds are numbers of occurrences, not shares, so the tree grows with the input. One pass counts words, one (context,
 word) for contexts of one word, one those for longer contexts, where all pairs of words in them are frequent enough.
@@ -288,7 +289,7 @@ def entries(docs: DataFrame, depths: list[int], contexts: Broadcast, seen: Broad
     return packed.groupBy("depth", "bucket").applyInArrow(lambda rows: _unpacked(rows, least, short), "depth int, ctx long, word long, n long")
 
 
-def _states(entries: DataFrame) -> DataFrame:
+def _states(entries: DataFrame, v: int) -> DataFrame:
     """ctx of the contexts that pass the test against their parents, and rest: the log10 of the share that goes to the parent.
 
     entries has ctx, n, total (the context's own number), parent (log10 of the word's probability in the parent) and pays.
@@ -304,7 +305,12 @@ def _states(entries: DataFrame) -> DataFrame:
     left = F.col("total") - F.col("n")
     beyond = F.when(left > 0, left * F.log(left / F.col("total") / F.greatest(F.lit(1e-12), 1 - F.col("p")))).otherwise(0.0)
     low = F.greatest(F.lit(1e-12), 1 - (F.col("n") - F.col("k") * DISCOUNT) / F.col("total"))
-    return sums.where(F.col("gain") + beyond > 0.5 * F.col("k") * F.log("total")).select("ctx", F.log10(low).alias("rest"))
+    return sums.where(F.col("gain") + beyond > F.col("k") * _cost(v)).select("ctx", F.log10(low).alias("rest"))
+
+
+def _cost(v: int) -> Column:
+    """What an entry costs: its word's name among v and its number."""
+    return F.lit(float(np.log(max(1, v)))) + 0.5 * F.log("total")
 
 
 def _gain() -> Column:
@@ -320,8 +326,8 @@ def _added() -> Column:
 class Tree:
     """The model: n tokens of v distinct words; words (code, n, root) and for each depth its entries and states.
 
-    Entries have code (the hash of context and word), n, par (code of the entry in the parent), added and log (log10 of the
-    probability there); states have ctx and rest.
+    Entries have code (the hash of context and word), n, par (code of the entry in the parent), added, log (log10 of the
+    probability there) and whole (made of pairs that are entries); states have ctx and rest.
     """
 
     def __init__(self, n: int, v: int, words: DataFrame, levels: list[tuple[DataFrame, DataFrame]]):
@@ -354,26 +360,26 @@ def fit(docs: DataFrame, counts: DataFrame, depth: int = DEPTH, context: int = C
     def counted(rows: DataFrame, depths: list[int]) -> DataFrame:
         """entries after the frequent ones of rows, the words or pairs."""
         hot = [r["code"] for r in rows.where(F.col("n") * buckets > n).select("code").collect()]  # fewer than buckets
-        maps = [spark.sparkContext.broadcast(Bitmap(x, F.col("code"))) for x in (rows.where(F.col("n") >= context), rows)]
+        maps = [spark.sparkContext.broadcast(Bitmap(x, F.col("code"))) for x in (rows.where("whole").where(F.col("n") >= context), rows)]
         out = written(entries(docs, depths, *maps, least, buckets, hot, short))
         for x in maps:
             x.destroy()
         return out
 
-    before = words.where(F.col("n") >= least).select("code", "n", F.lit(None).cast("long").alias("par"), F.col("root").alias("log"))
+    before = words.where(F.col("n") >= least).select("code", "n", F.lit(None).cast("long").alias("par"), F.col("root").alias("log"), F.lit(True).alias("whole"))
     levels: list[tuple[DataFrame, DataFrame]] = []
     tables: list[DataFrame] = []
     for d in range(1, depth + 1):
         if d < 3:
             tables.append(counted(before, [1] if d == 1 else list(range(2, depth + 1))))
-        asked = before.where(F.col("n") >= context)
+        asked = before.where("whole").where(F.col("n") >= context)
         asked = asked.select(F.col("code").alias("ctx"), F.col("n").alias("total"), F.col("par").alias("shorter"))
         found = tables[-1].where(F.col("depth") == d).drop("depth").join(asked, "ctx")
         found = found.withColumn("par", F.col("word") if d == 1 else F.xxhash64("shorter", "word"))
-        found = written(found.join(before.select(F.col("code").alias("par"), F.col("log").alias("parent")), "par").drop("shorter").withColumn("pays", _gain() > 0.5 * F.log("total")))
-        states = written(_states(found))
+        found = written(found.join(before.select(F.col("code").alias("par"), F.col("log").alias("parent"), "whole"), "par").drop("shorter").withColumn("pays", _gain() > _cost(v)))
+        states = written(_states(found, v))
         log = F.col("parent") + F.coalesce("rest", F.lit(0.0)) + _added()
-        before = written(found.join(states, "ctx", "left").select(F.xxhash64("ctx", "word").alias("code"), "n", "par", _added().alias("added"), log.alias("log")))
+        before = written(found.join(states, "ctx", "left").select(F.xxhash64("ctx", "word").alias("code"), "n", "par", _added().alias("added"), log.alias("log"), (_added() != 0 if d == 1 else F.col("whole")).alias("whole")))
         discard(found)
         levels.append((before, states))
     discard(*tables)

@@ -104,17 +104,18 @@ def reference(texts, learned, depth, context, least):
         grams = Counter(tuple(s[k - d : k + 1]) for s, l in zip(seqs, learned) if l for k in range(d, len(s)))
         by, found = {}, {}
         for key, c in grams.items():
-            if c >= least and above.get(key[:-1], 0) >= context:
+            pairs = all((a,) in states and b in states[(a,)][0] for a, b in zip(key[:-1], key[1:-1]))
+            if c >= least and above.get(key[:-1], 0) >= context and pairs:
                 by.setdefault(key[:-1], {})[key[-1]] = c
         for before, seen in by.items():
             total = above[before]
-            seen = {x: c for x, c in seen.items() if c * math.log(c / total / p(before[1:], x)) > 0.5 * math.log(total)}
+            seen = {x: c for x, c in seen.items() if c * math.log(c / total / p(before[1:], x)) > math.log(v) + 0.5 * math.log(total)}
             if not seen:
                 continue
             parents = {x: p(before[1:], x) for x in seen}
             other, others = 1 - sum(seen.values()) / total, max(1e-12, 1 - sum(parents.values()))
             gain = sum(c * math.log(c / total / parents[x]) for x, c in seen.items()) + (total * other * math.log(other / others) if other > 1e-15 else 0)
-            if gain > 0.5 * len(seen) * math.log(total):
+            if gain > len(seen) * (math.log(v) + 0.5 * math.log(total)):
                 found[before] = seen, total, max(1e-12, 1 - sum(c - st.DISCOUNT for c in seen.values()) / total)
         states.update(found)
         above = grams
