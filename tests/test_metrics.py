@@ -105,3 +105,29 @@ def test_ablation(spark):
     assert got["No_first"]["roc_auc_drop"] > 0.1 and got["No_first"]["n_features"] == 1
     with pytest.raises(ContractError):
         models.ablation(df, df, ["a"], {"none": ["z"]}, None, None)
+
+
+def test_a_threshold_is_frozen(spark):
+    """Chosen on validation rows, applied to test rows as it is."""
+    val = [("a", "val", 1, 0.9), ("a", "val", 0, 0.8), ("a", "val", 1, 0.7), ("a", "val", 0, 0.1)]
+    test = [("a", "test", 1, 0.75), ("a", "test", 1, 0.6), ("a", "test", 0, 0.95), ("a", "test", 0, 0.2)]
+    df = spark.createDataFrame(val + test, "g string, split_role string, y int, p double")
+    for group in (["g"], []):
+        r = metrics.frozen_threshold(df, group).first()
+        assert (r["threshold"], r["precision"], r["recall"], r["f1"]) == (0.7, 0.5, 0.5, 0.5)
+
+
+def test_top_fraction_and_rows_with_ties(spark):
+    """Counted by score, they give what a ranking of all rows gives."""
+    rng = np.random.default_rng(5)
+    rows = [(int(g), k, int(rng.random() < 0.3), float(rng.integers(0, 6) / 5)) for k, g in enumerate(rng.integers(0, 3, 400))]
+    df = spark.createDataFrame(rows, "g int, k int, y int, p double")
+    got = {(r["g"], r["fraction"]): (r["k"], r["hits"]) for r in metrics.top_fraction(df, ["g"], (0.01, 0.1, 0.5, 1.0), ["k"]).collect()}
+    by_row = {r["g"]: r["auprc_row"] for r in metrics.average_precision_by_row(df, ["g"], ["k"]).collect()}
+    for g in range(3):
+        ranked = [y for _, _, y, _ in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[3], r[1]))]
+        for f in (0.01, 0.1, 0.5, 1.0):
+            k = max(1, math.ceil(round(len(ranked) * f, 9)))
+            assert got[(g, f)] == (k, sum(ranked[:k]))
+        hits = np.cumsum(ranked)
+        assert math.isclose(by_row[g], sum(h / (k + 1) for k, (h, y) in enumerate(zip(hits, ranked)) if y) / sum(ranked))

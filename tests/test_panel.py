@@ -184,3 +184,31 @@ def test_admission_is_nested_and_strict(spark):
     table, record = catalog.build(lead, ["s_acctbal", "qty_sum_mon_lag1", "y", "obs_n_lag1"], "lead1", exclude={"regex": ["_n_"]})
     assert record["predictors"] == ["s_acctbal", "qty_sum_mon_lag1"] and "y" in table.columns
     assert catalog.adaptive_call(lambda a, b=2: a + b, a=1, c=9) == 3
+
+
+def test_names_from_the_future():
+    """Every barred name, also those that only begin with lead1_, and the light guard's words."""
+    names = ["lead1_VPD", "VPD_lead1", "next_month_T", "xt+1", "t+2", "t+3", "burned_area_12m", "burned_area_48m", "y_lag1", "label_aux_x", "rain"]
+    assert catalog.forbidden(names) == sorted(["lead1_VPD", "VPD_lead1", "next_month_T", "xt+1", "t+2", "burned_area_48m", "label_aux_x"])
+    assert catalog.suspicious(["lead", "Lead2", "leading", "the next", "next_x", "t+9", "my future", "lag-1", "lag1"]) == ["lead", "Lead2", "the next", "t+9", "my future", "lag-1"]
+    with pytest.raises(ContractError):
+        catalog.assert_not_suspicious(["next"], "lead1")
+
+
+def test_forbidden_columns_go_and_labels_are_made(spark):
+    df = spark.createDataFrame([(1, "1", 2.0), (2, "0", None), (3, None, 1.0), (4, "x", 0.0)], "cell_id long, burned_flag string, lead1_VPD double")
+    left, gone = catalog.without_forbidden(assemble.labelled(df))
+    assert gone == ["lead1_VPD"] and left.columns == ["cell_id", "y"]
+    assert [r["y"] for r in left.orderBy("cell_id").collect()] == [1, 0, 0, 0]
+
+
+def test_dates_that_go_back(spark):
+    rows = [(1, 0, month(0)), (1, 1, month(2)), (1, 2, month(1)), (1, 3, month(1))]
+    df = spark.createDataFrame(rows, "cell_id long, k int, date date")
+    assert sorted(r["k"] for r in sequence.backward_steps(df, order="k").collect()) == [2, 3]
+    assert sequence.backward_steps(df).count() == 1
+
+
+def test_attrition_reason(spark):
+    a, b = spark.range(5).toDF("cell_id"), spark.range(3).toDF("cell_id")
+    assert sorted(map(tuple, assemble.absent(a, b, ["cell_id"], "gone").collect())) == [(3, "gone"), (4, "gone")]

@@ -49,3 +49,20 @@ def test_texts_and_hashes(spark, tmp_path):
     assert "| k | v |" in sinks.markdown("T", {"rows": df, "list": ["x"]})
     sinks.write_csv(df, f"{tmp_path}/out.csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/out.csv").count() == 2
+
+
+def test_overwrite_leaves_nothing_beside(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    sinks.write_parquet(spark.range(3).toDF("x"), path)
+    sinks.write_parquet(spark.range(5).toDF("x"), path, existing="overwrite")
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["t.parquet"]
+
+
+def test_feather_is_read_in_tasks(spark, tmp_path):
+    import pyarrow as pa
+    from pyarrow import feather
+
+    for k in range(2):
+        feather.write_feather(pa.table({"a": [k, k + 1], "b": ["x", None]}), f"{tmp_path}/{k}.feather")
+    got = readers.read_any(spark, f"{tmp_path}/1.feather")
+    assert got.columns == ["a", "b"] and sorted(map(tuple, got.collect())) == [(1, "x"), (2, None)]
