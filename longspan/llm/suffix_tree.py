@@ -20,7 +20,7 @@ and what its own state leaves to the shorter one. Occurrences are joined to that
 
 Memory is of fixed size and never decides a result: bitmaps of hashes (frequent words, contexts and entries) only spare
 rows that can't meet anything, two-byte names of the ``SHORT`` most frequent words only shorten what is shuffled, and the
-most frequent rows of the table are broadcast (at most ``FREQUENT`` of each length) so that they need no join. Words and
+most frequent rows of the table are broadcast (at most ``HOT``, of 25 bytes) so that they need no join. Words and
 contexts count as their 64-bit hashes.
 
 Defined results: null and empty texts are one end; null ids are scored, learned from by nobody and not held out;
@@ -44,13 +44,14 @@ END = " "
 DEPTH = 4
 CONTEXT = 16
 LEAST = 4
-FREQUENT = 1 << 21
+HOT = 1 << 20
 SHORT = 1 << 16
 DISCOUNT = 0.75
 BITS = 27
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Bytes of text that are cut into words at once.
 BYTES = 1 << 21
+ROWS = 512
 #: Occurrences in a range of contexts, which one reducer holds.
 RANGE = 1 << 20
 
@@ -95,6 +96,10 @@ END_CODE = int(hashed(np.frombuffer(END.encode(), np.uint8).reshape(1, -1))[0])
 
 def token_runs(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, numbers of tokens and hashes of tokens (A-Z lower-cased words and an end) of runs of texts; null is empty."""
+    if len(texts) > ROWS:
+        for at in range(0, len(texts), ROWS):
+            yield from ((at + lo, lengths, ids) for lo, lengths, ids in token_runs(texts.slice(at, ROWS)))
+        return
     filled = texts.fill_null("").cast(pa.large_string())
     edges = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
     data = np.frombuffer(filled.buffers()[2] or b"", np.uint8)
@@ -386,6 +391,33 @@ def fit(docs: DataFrame, counts: DataFrame, depth: int = DEPTH, context: int = C
     return Tree(n, v, words, levels)
 
 
+def _hot_from(rows: DataFrame) -> float:
+    """The least n from which on there are at most HOT rows, to a sixteenth of an octave."""
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    counts = {r["step"]: r["count"] for r in rows.groupBy(step).count().collect()}  # a row per sixteenth of an octave
+    total, least = 0, max(counts, default=0) + 1
+    for s in sorted(counts, reverse=True):
+        total += counts[s]
+        if total > HOT:
+            break
+        least = s
+    return 2.0 ** (least / 16)
+
+
+def _sorted(rows: DataFrame) -> tuple[np.ndarray, ...]:
+    """code, base, value, known of rows, at most HOT, in order of code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(0).to_numpy(zero_copy_only=False), *(b.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in (1, 2)), b.column(3).to_numpy(zero_copy_only=False).astype(bool)]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["code", "base", "value", "known"])
+
+    packed = rows.select("code", "base", "value", "known").mapInArrow(run, "code binary, base binary, value binary, known binary").collect()
+    columns = [np.frombuffer(b"".join(r[k] for r in packed), kind) for k, kind in enumerate((np.int64, float, float, bool))]
+    order = np.argsort(columns[0])
+    return tuple(c[order] for c in columns)
+
+
 PARTS = "key long, code long, tf int, doc_id long, held_out boolean, n_tokens long, n_frequent long, n_joined long, base_part double, score_part double"
 
 
@@ -394,8 +426,8 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n, v, depth = tree.n, tree.v, len(tree.levels)
     full = written(tree.table())
-    top = full.where(F.col("n") * FREQUENT >= n).orderBy("code").toPandas()  # at most FREQUENT of each length, by far fewer in a language
-    hot = top["code"].to_numpy(np.int64), top["base"].to_numpy(float), top["value"].to_numpy(float), top["known"].to_numpy(bool)
+    least = _hot_from(full)
+    hot = _sorted(full.where(F.col("n") >= least))
     held = spark.sparkContext.broadcast((hot, Bitmap(full.where("known = 0"), F.col("code"))))
     schema = pa.schema([("key", pa.int64()), ("code", pa.int64()), ("tf", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()), ("n_joined", pa.int64()), ("base_part", pa.float64()), ("score_part", pa.float64())])
 
@@ -440,7 +472,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(joined(keys.astype(np.int64))), pa.nulls(size, pa.int32()), some.column(1), some.column(2), *columns], schema=schema)
 
     parts = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", "text").mapInArrow(run, PARTS)
-    met = parts.join(full.where(F.col("n") * FREQUENT < n).select("code", "base", "value", "known"), "code", "left")
+    met = parts.join(full.where(F.col("n") < least).select("code", "base", "value", "known"), "code", "left")
     firsts = [F.max(c).alias(c) for c in PARTS.replace(",", "").split()[6::2]]
     sums = met.groupBy("key").agg(
         *firsts,

@@ -134,8 +134,8 @@ def test_scores_are_those_of_a_plain_tree(make, lexicon, monkeypatch, depth, con
     assert {len(s) for s in states} == set(range(1, depth + 1))
     for before in sorted(states)[::7]:
         assert math.isclose(sum(p(before, x) for x in symbols) + p(before, "of no text"), 1, rel_tol=1e-9)
-    for frequent, short, chunk in ((st.FREQUENT, st.SHORT, st.CHUNK), (64, 20, 2000)):
-        for name, value in (("FREQUENT", frequent), ("SHORT", short), ("CHUNK", chunk)):
+    for hot, short, chunk in ((st.HOT, st.SHORT, st.CHUNK), (64, 20, 2000), (0, 0, 100)):
+        for name, value in (("HOT", hot), ("SHORT", short), ("CHUNK", chunk)):
             monkeypatch.setattr(st, name, value)
         tree, df = scored(make(docs), depth=depth, context=context, least=least)
         rows = {r["doc_id"]: r for r in df.collect()}
