@@ -118,7 +118,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int
     of_items = fingerprints(own, ["item", "n"]).withColumnsRenamed({"fp": "item_fp", "content": "item_content", "size": "item_size"})
     left = classes.select("n", "fp", "c", F.inline(blocks(radius)))
     right = of_items.withColumn("fp", F.col("item_fp")).select("n", "item", "item_fp", F.inline(neighbours(radius)))
-    near = left.join(right, ["n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("n", "fp", "c", "item").distinct()
+    near = left.join(right.hint("merge"), ["n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("n", "fp", "c", "item").distinct()
     near = near.join(classes, ["n", "fp", "c"]).select("n", "fp", "c", "item", "size", F.inline("content"))
     shared = near.join(of_items.select("item", "item_size", F.inline("item_content").alias("g", "item_tf")), ["item", "g"])
     shared = shared.groupBy("n", "fp", "c", "item", "size", "item_size").agg(F.sum(F.least("tf", "item_tf")).alias("shared"))

@@ -35,6 +35,7 @@ BITS = 17
 GRAMS = (3, 4, 5)
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_/\\"
 WORDS_KEPT = 400_000
+PART = 20_000
 
 
 def words(text: str | None) -> list[str]:
@@ -55,10 +56,15 @@ def grams(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h ^= h >> np.uint64(29)
         whole = left[: len(h)] >= n
         buckets.append((h[whole] >> np.uint64(64 - BITS)).astype(np.int32))
-        owners.append(word[: len(h)][whole])
+        owners.append(word[: len(h)][whole].astype(np.int32))
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def gram_parts(names: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of names, and their grams, of parts of names that are small enough to be worked on at once."""
+    return [(len(some), *grams(some)) for some in (names[k : k + PART] for k in range(0, len(names), PART))]
+
+
 class Model:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -70,9 +76,12 @@ class Model:
 
     def numbers(self, names: list[str]) -> np.ndarray:
         """Each word's share in a window's log odds."""
-        bucket, word = grams(names)
+        return np.concatenate([self.of_grams(gram_parts(names[k : k + PART])) for k in range(0, len(names), PART)])
+
+    def of_grams(self, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """numbers of the names of gram_parts."""
         slope = self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])
-        return np.bincount(word, slope[bucket], len(names)) / np.bincount(word, minlength=len(names))
+        return np.concatenate([np.bincount(word, slope[bucket], n) / np.bincount(word, minlength=n) for n, bucket, word in parts])
 
     @property
     def offset(self) -> float:
@@ -116,7 +125,7 @@ def top_windows(z: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: list[str | None], labels: list[int], warm: int = 3, rounds: int = 32, seed: int = 7) -> Model:
     model, rng = Model(seed), np.random.default_rng(seed)
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words(t)], np.int64) for t in texts]
+    docs = [np.array([index.setdefault(w, len(index)) for w in words(t)], np.int32) for t in texts]
     names, label = list(index), np.array(labels, np.int64)
     keep = [i for i, d in enumerate(docs) if len(d)]
     if not keep or len(set(labels)) < 2:
@@ -136,11 +145,9 @@ def train(texts: list[str | None], labels: list[int], warm: int = 3, rounds: int
         for at in range(0, len(order), size := min(256, max(16, len(order) // 16))):
             some = order[at : at + size]
             batch([(docs[i], label[i]) for i in some], 0.3, balance[some])
-    bucket, owner = grams(names)
-    per_word = np.bincount(owner, minlength=len(names))
+    parts = gram_parts(names)
     for _ in range(rounds):
-        slope = model.vectors @ (model.softmax[:, 1] - model.softmax[:, 0])
-        z = np.bincount(owner, slope[bucket], len(names)) / per_word
+        z = model.of_grams(parts)
         examples, weight = [], []
         for i in keep:
             for s in top_windows(z[docs[i]], 1 if label[i] else 3)[0]:
@@ -156,7 +163,9 @@ def train(texts: list[str | None], labels: list[int], warm: int = 3, rounds: int
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in b.to_pylist()]
     rows.sort(key=lambda r: (r["label"], r["doc_id"], r["text"] or ""))
-    model = train([r["text"] for r in rows], [r["label"] for r in rows])
+    texts, labels = [r["text"] for r in rows], [r["label"] for r in rows]
+    del rows
+    model = train(texts, labels)
     model.seen = []
     model.vectors = model.vectors.astype(np.float32)
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
