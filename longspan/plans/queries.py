@@ -527,12 +527,31 @@ def top_features(spark, sf):
     return metrics.top_features(metrics.mean_abs(S.panel(spark, sf), ["qty_sum_mon", "price_mean_mon", "tax_max_mon"]), 2).select("feature", r("mean_abs").alias("mean_abs"))
 
 
-@query()
+DICTIONARY_SQL = """
+WITH c AS (SELECT unnest(['cell_id', 'date', 'year', 'month', 'y', 'month_sin', 'month_cos', 'qty_sum_mon', 'price_mean_mon', 'disc_mean_mon', 'tax_max_mon', 'obs_n', 'obs_missing', 'obs_cov', 'area',
+  's_acctbal', 'BIOME', 'STRATUM', 'lon', 'lat', 'pi', 'pi_clip', 'd_weight', 'y_lag1', 'y_lag12', 'ever_before', 'event_count_12m', 'months_since_event']) AS "column"),
+k AS (SELECT "column", CASE WHEN "column" IN ('cell_id', 'date', 'year', 'month') THEN 'key' WHEN "column" = 'y' THEN 'label' WHEN "column" IN ('pi', 'pi_clip', 'd_weight') THEN 'weight'
+  WHEN "column" IN ('BIOME', 'STRATUM') THEN 'stratum' WHEN starts_with("column", 'month_') THEN 'derived' WHEN regexp_full_match("column", 'y_lag[0-9]+|event_count_[0-9]+m|months_since_event|ever_before') THEN 'memory'
+  WHEN "column" IN ('lon', 'lat') THEN 'forbidden' WHEN starts_with("column", 'obs_') THEN 'quality' WHEN "column" = 's_acctbal' THEN 'static' WHEN contains("column", '_mon') THEN 'dynamic' ELSE 'other' END AS role FROM c),
+w AS (SELECT *, CASE WHEN role = 'memory' THEN 'month before' WHEN role IN ('static', 'stratum', 'weight', 'key') THEN 'fixed' ELSE 'same month' END AS availability FROM k)
+SELECT "column", role, CASE WHEN starts_with("column", 'qty') THEN 'items' WHEN starts_with("column", 'price') THEN 'currency' ELSE '' END AS unit,
+  CASE WHEN starts_with("column", 'qty') OR starts_with("column", 'price') THEN 'orders' ELSE '' END AS source, availability,
+  CASE WHEN role IN ('label', 'forbidden') THEN 'high' WHEN availability = 'same month' AND role IN ('dynamic', 'quality') THEN 'timing' ELSE 'none' END AS leakage_risk FROM w"""
+
+
+@query(DICTIONARY_SQL)
 def data_dictionary(spark, sf):
     return catalog.dictionary(spark, S.features(spark, sf).columns, [catalog.Source("qty", "items", "orders"), catalog.Source("price", "currency", "orders")], ["s_acctbal"])
 
 
-@query()
+ADMISSION_SQL = """
+WITH f AS (SELECT * FROM (VALUES (0, ['month_sin', 'month_cos'] || ['s_acctbal'] || list_transform(['qty_sum_mon', 'price_mean_mon', 'disc_mean_mon', 'tax_max_mon', 'obs_cov'], lambda x: x || '_lag1')),
+  (1, ['y_lag1', 'y_lag12', 'ever_before', 'event_count_12m', 'months_since_event']), (2, ['obs_n_lag1'])) AS t(step, names)),
+e AS (SELECT step, unnest(names) AS feature, unnest(range(len(names))) AS k FROM f), s AS (SELECT unnest([0, 1, 2]) AS up_to)
+SELECT 'F' || up_to AS feature_set, CAST(row_number() OVER (PARTITION BY up_to ORDER BY step, k) - 1 AS INTEGER) AS position, feature FROM e JOIN s ON step <= up_to"""
+
+
+@query(ADMISSION_SQL)
 def feature_admission(spark, sf):
     panel = S.panel(spark, sf).drop("lon", "lat")
     lead = _lead1(spark, sf, panel, ("cell_id", "date", "year", "month", "y", "month_sin", "month_cos", "s_acctbal", "BIOME", "STRATUM", "pi", "pi_clip", "d_weight"))
