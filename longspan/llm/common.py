@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,13 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Unset, it is a local one in local mode (tests), else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
+        if held.isDefined():
+            root = held.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            root = f"file://{tempfile.mkdtemp(prefix='longspan-')}"
+        else:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = held.get()
     return f"{root.rstrip('/')}/longspan-{uuid.uuid4().hex}"
 
 
