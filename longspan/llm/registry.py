@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["decontaminate", "html_text", "jaccard_join", "licenses", "line_dedup", "packing", "spelling", "suffix_tree", "token_counts", "topk", "toxicity", "warc"]
+NAMES = ["decontaminate", "html_text", "jaccard_join", "licenses", "line_dedup", "packing", "phrases", "spelling", "suffix_tree", "token_counts", "topk", "toxicity", "warc"]
 
 
 def modules() -> list:
