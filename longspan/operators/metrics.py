@@ -1,53 +1,68 @@
 """Metrics of rare-event predictions by group.
 
-Rankings are first summed by group and score, in the tasks, so a window sees a row per distinct score of its group;
-scores tie as one threshold.
+Rankings are first summed by group and score, in the tasks; scores tie as one threshold. What runs over the scores in
+order does so by ranges with offsets (``ranges``), so continuous scores of one group are spread over tasks, too.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from longspan.operators.ranges import numbered, running
+from longspan.operators.ranks import percentiles, wide
+from longspan.sources.scratch import written
+
 LOWER_IS_BETTER = ("Brier",)
 
 
+def by_score(df: DataFrame, group: list[str], y: str, p: str) -> DataFrame:
+    """group, score, n and pos: rows and positives of each score."""
+    return df.groupBy(*group, F.col(p).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
+
+
 def cumulative(df: DataFrame, group: list[str], y: str, p: str) -> DataFrame:
-    """group, score, n and pos at the score, and tp, fp at scores from it up; positives and n_group in all."""
-    sums = df.groupBy(*group, F.col(p).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    down = Window.partitionBy(*group).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*group)
-    return sums.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down), "positives": F.sum("pos").over(whole), "n_group": F.sum("n").over(whole)}).withColumn("fp", F.col("seen") - F.col("tp"))
+    """group, score, n and pos at the score, and tp, seen, fp at scores from it up; positives and n_group in all."""
+    n, pos = F.col("n"), F.col("pos")
+    return running(by_score(df, group, y, p), group, [F.desc("score")], {"tp": pos, "seen": n}, {"positives": pos, "n_group": n}).withColumn("fp", F.col("seen") - F.col("tp"))
+
+
+def _auprc() -> Column:
+    """Average precision from the rows of cumulative()."""
+    return F.sum(F.try_divide(F.col("pos"), F.col("positives")) * F.col("tp") / F.col("seen"))
+
+
+def _roc_auc() -> Column:
+    won = F.col("pos") * (F.col("n_group") - F.col("positives") - F.col("fp") + (F.col("n") - F.col("pos")) / 2)
+    return F.try_divide(F.sum(won), F.max(F.col("positives")) * F.max(F.col("n_group") - F.col("positives")))
+
+
+def _sizes() -> list[Column]:
+    return [F.max("n_group").alias("n"), F.max("positives").alias("n_positive")]
 
 
 def average_precision(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Average precision over distinct scores; null without positives."""
-    c = cumulative(df, group, y, p)
-    part = F.try_divide(F.col("pos"), F.col("positives")) * F.col("tp") / F.col("seen")
-    return c.groupBy(*group).agg(F.max("n_group").alias("n"), F.max("positives").alias("n_positive"), F.sum(part).alias("auprc"))
+    return cumulative(df, group, y, p).groupBy(*group).agg(*_sizes(), _auprc().alias("auprc"))
 
 
 def average_precision_by_row(df: DataFrame, group: list[str], order: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Average precision with each row as a threshold of its own, in a total order; 0 without positives.
 
-    Rows are numbered among those of their score only, and follow the sums of higher scores.
+    One running sum over all rows in order, by ranges.
     """
-    above = cumulative(df, group, y, p).select(*group, F.col("score").alias(p), (F.col("tp") - F.col("pos")).alias("__tp0"), (F.col("seen") - F.col("n")).alias("__k0"))
-    w = Window.partitionBy(*group, p).orderBy(*order)
-    rows = df.select(*group, p, y, F.sum(y).over(w).alias("__tp"), F.row_number().over(w).alias("__k")).join(above, [*group, p])
-    hits = F.sum(F.when(F.col(y) == 1, (F.col("__tp0") + F.col("__tp")) / (F.col("__k0") + F.col("__k"))))
+    some = df.select(*group, *(c for c in order if c not in (*group, y, p)), F.col(p).alias(p), F.col(y).alias(y))
+    rows = running(some, group, [F.desc(p), *map(F.asc, order)], {"__tp": F.col(y).cast("long"), "__k": F.lit(1).cast("long")})
+    hits = F.sum(F.when(F.col(y) == 1, F.col("__tp") / F.col("__k")))
     return rows.groupBy(*group).agg(F.coalesce(F.try_divide(hits, F.sum(y)), F.lit(0.0)).alias("auprc_row"))
 
 
 def roc_auc(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Probability that a positive outranks a negative, ties half; null if a class is missing."""
-    c = cumulative(df, group, y, p)
-    won = F.col("pos") * (F.col("n_group") - F.col("positives") - F.col("fp") + (F.col("n") - F.col("pos")) / 2)
-    pairs = F.max(F.col("positives")) * F.max(F.col("n_group") - F.col("positives"))
-    return c.groupBy(*group).agg(F.max("n_group").alias("n"), F.max("positives").alias("n_positive"), F.try_divide(F.sum(won), pairs).alias("roc_auc"))
+    return cumulative(df, group, y, p).groupBy(*group).agg(*_sizes(), _roc_auc().alias("roc_auc"))
 
 
 def brier(y: str = "y", p: str = "p") -> Column:
@@ -64,16 +79,20 @@ def at_threshold(df: DataFrame, group: list[str], threshold, y: str = "y", p: st
 
 def top_fraction(df: DataFrame, group: list[str], fractions: tuple[float, ...], keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Per fraction: k = max(1, ceil(n * fraction)) rows of highest p (ties by keys), hits, precision, recall (null without positives)."""
+    df = written(df.select(*group, *(c for c in keys if c not in (*group, y, p)), F.col(y).alias(y), F.col(p).alias(p)))  # read twice, computed once
     c = cumulative(df, group, y, p).withColumn("fraction", F.explode(F.array(*map(F.lit, fractions))))
     c = c.withColumn("k", F.greatest(F.lit(1), F.ceil(F.round(F.col("n_group") * F.col("fraction"), 9))).cast("long"))
-    # Scores above the cut count whole; of the score at the cut, if it is cut, rows are numbered by keys.
-    whole = c.groupBy(*group, "fraction", "k").agg(F.sum(F.when(F.col("seen") <= F.col("k"), F.col("pos")).otherwise(0)).alias("above"), F.max("positives").alias("pos"))
-    cut = c.where("seen > k AND seen - n < k").select(*group, F.col("score").alias(p), "fraction", (F.col("k") - F.col("seen") + F.col("n")).alias("__room"))
-    w = Window.partitionBy(*group, p).orderBy(*keys)
-    at = cut.select(*group, p).distinct()
-    ranked = df.join(at, [*group, p], "left_semi").select(*group, p, F.col(y).alias("y"), F.row_number().over(w).alias("rank"))
-    some = ranked.join(cut, [*group, p]).groupBy(*group, "fraction").agg(F.count_if((F.col("rank") <= F.col("__room")) & (F.col("y") == 1)).alias("within"))
-    out = whole.join(some, [*group, "fraction"], "left").withColumn("hits", F.col("above") + F.coalesce("within", F.lit(0)))
+    # Scores above the cut count whole; the score at the cut, one for each group and fraction, is cut among its rows by keys.
+    cut = F.when((F.col("seen") > F.col("k")) & (F.col("seen") - F.col("n") < F.col("k")), F.struct(F.col("score"), (F.col("k") - F.col("seen") + F.col("n")).alias("room")))
+    whole = written(c.groupBy(*group, "fraction", "k").agg(F.sum(F.when(F.col("seen") <= F.col("k"), F.col("pos")).otherwise(0)).alias("above"), F.max("positives").alias("pos"), F.max(cut).alias("cut")))
+    names = {g: f"__{g}" for g in group}
+    at = whole.where("cut IS NOT NULL").select(*(F.col(g).alias(names[g]) for g in group), F.col("cut.score").alias("__score")).distinct()
+    same = reduce(lambda a, b: a & b, [df[g].eqNullSafe(at[names[g]]) for g in group], df[p].eqNullSafe(at["__score"]))
+    tied = df.join(at, same, "left_semi")  # a row for each group and fraction: Spark broadcasts it if it is small
+    ranked = numbered(tied, [*group, p], [F.asc(k) for k in keys], "__rank").select(*(F.col(g).alias(names[g]) for g in group), F.col(p).alias("__score"), F.col(y).alias("__y"), "__rank")
+    to = reduce(lambda a, b: a & b, [whole[g].eqNullSafe(ranked[names[g]]) for g in group], F.col("cut.score").eqNullSafe(F.col("__score")))
+    hits = F.first("above") + F.count_if((F.col("__rank") <= F.col("cut.room")) & (F.col("__y") == 1))
+    out = whole.join(ranked, to & (F.col("__rank") <= F.col("cut.room")), "left").groupBy(*group, "fraction", "k", "pos").agg(hits.alias("hits"))
     return out.select(*group, "fraction", "k", "hits", (F.col("hits") / F.col("k")).alias("precision"), F.try_divide("hits", "pos").alias("recall"))
 
 
@@ -93,23 +112,6 @@ def frozen_threshold(df: DataFrame, group: list[str], role: str = "split_role",
     return at_threshold(other, [*group, "threshold"], F.col("threshold"), y, p)
 
 
-def bootstrap(df: DataFrame, group: list[str], metric, reps: int = 100, seed: int = 0, keys: list[str] = ("cell_id", "date"), p: str = "p") -> DataFrame:
-    """Mean and standard deviation of a metric (average_precision, roc_auc) over Poisson resamples.
-
-    A row's weight in a sample comes from a hash of its keys, so a lost task repeats it; weighted rows stand repeated.
-    """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "__rep", *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight, total = F.lit(0), 0.0
-    for k in range(12):
-        total += math.exp(-1) / math.factorial(k)
-        weight = weight + (u > total).cast("int")
-    reps_of = df.withColumn("__rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("__w", weight).where("__w > 0")
-    rows = reps_of.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__w"))))
-    per = metric(rows, [*group, "__rep"], p=p)
-    value = next(c for c in ("auprc", "roc_auc") if c in per.columns)
-    return per.groupBy(*group).agg(F.avg(value).alias(f"{value}_mean"), F.stddev_samp(value).alias(f"{value}_std"), F.count(value).alias("reps"))
-
-
 def blind_spots(df: DataFrame, y: str = "y", p: str = "p", below: float = 0.1, valid: str | None = None) -> DataFrame:
     """Events that the model gave little chance, where the data are valid."""
     ok = F.col(valid) == 1 if valid else F.lit(True)
@@ -117,9 +119,20 @@ def blind_spots(df: DataFrame, y: str = "y", p: str = "p", below: float = 0.1, v
 
 
 def metric_table(df: DataFrame, group: list[str], y: str = "y", p: str = "p", threshold=0.5) -> DataFrame:
-    """n, n_positive, auprc, roc_auc, brier, precision, recall, f1 by group."""
-    a, b, c = average_precision(df, group, y, p), roc_auc(df, group, y, p).select(*group, "roc_auc"), at_threshold(df, group, threshold, y, p)
-    return a.join(b, group).join(c, group)
+    """n, n_positive, auprc, roc_auc, brier, precision, recall, f1 by group, all from one sum by group and score: df is read once.
+
+    threshold is a number or a column of group; y is 0 or 1.
+    """
+    c = cumulative(df, group, y, p)
+    score, pos, n = F.col("score"), F.col("pos"), F.col("n")
+    error = F.sum(pos * (score - 1) * (score - 1) + (n - pos) * score * score)
+    hit = score >= threshold
+    tp, called = F.coalesce(F.sum(F.when(hit, pos)), F.lit(0)), F.coalesce(F.sum(F.when(hit, n)), F.lit(0))
+    rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return c.groupBy(*group).agg(
+        *_sizes(), _auprc().alias("auprc"), _roc_auc().alias("roc_auc"), F.try_divide(error, F.sum(F.when(score.isNotNull(), n))).alias("brier"),
+        rate(tp, called).alias("precision"), rate(tp, F.sum(pos)).alias("recall"), rate(2 * tp, called + F.sum(pos)).alias("f1"),
+    )
 
 
 def deltas(df: DataFrame, name: str, reference: str, metrics: list[str]) -> DataFrame:
@@ -162,7 +175,7 @@ def group_pivot(shares: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 def tail_means(df: DataFrame, x: str, effect: str, by: list[str] = (), low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Quantiles of x, mean effect at or beyond each, and high less low."""
-    q = df.groupBy(*by).agg(F.percentile(x, low).alias("q_low"), F.percentile(x, high).alias("q_high"))
+    q = wide(percentiles(df, [x], [low, high], list(by)), list(by), {low: "q_low", high: "q_high"}).drop("column")
     rows = df.join(q, list(by)) if by else df.join(F.broadcast(q))  # one row
     out = rows.groupBy(*by, "q_low", "q_high").agg(F.avg(F.when(F.col(x) <= F.col("q_low"), F.col(effect))).alias("mean_low"), F.avg(F.when(F.col(x) >= F.col("q_high"), F.col(effect))).alias("mean_high"))
     return out.withColumn("difference", F.col("mean_high") - F.col("mean_low"))

@@ -15,9 +15,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from longspan.operators.quality import ContractError, required
+from longspan.operators.ranks import medians as exact_medians
 from longspan.sources.sinks import write_text
 
 
@@ -56,9 +56,7 @@ class Scaling:
 
 def fit_scaling(train: DataFrame, features: list[str], chunk: int = 50) -> Scaling:
     """Exact medians first, then mean and deviation of filled columns; a constant column has scale 1."""
-    medians: dict[str, float] = {}
-    for k in range(0, len(features), chunk):
-        medians |= train.agg(*(F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in features[k : k + chunk])).first().asDict()
+    medians = exact_medians(train, features)
     out = Scaling([c for c in features if medians[c] is not None], medians)
     for k in range(0, len(out.features), chunk):
         some = out.features[k : k + chunk]
@@ -196,6 +194,3 @@ def family(columns: list[str], kind: str) -> list[str]:
         raise ValueError(kind)
     return [c for c in columns if any(m in c for m in marks[kind])]
 
-
-def rank_in_group(p: str, group: list[str]) -> Column:
-    return F.percent_rank().over(Window.partitionBy(*group).orderBy(p))

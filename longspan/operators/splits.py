@@ -10,12 +10,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from longspan.functions import order_key
 from longspan.operators.assemble import between_dates, with_replicates
 from longspan.operators.quality import ContractError, multi_role_rows, shared_blocks
+from longspan.operators.ranges import RANGE_ROWS, numbered
 
+# Block columns in order of preference, and the windows of DEFAULT below.
 BLOCK_PREFERENCE = ("grid100km_id", "grid50km_id", "grid10km_id", "spatial_block_id", "tile_id")
 
 
@@ -38,13 +39,11 @@ def choose_block(columns: list[str]) -> str | None:
     return next((c for c in BLOCK_PREFERENCE if c in columns), None)
 
 
-def fold_map(df: DataFrame, key: str, k: int, seed: int, name: str = "fold") -> DataFrame:
-    """key, fold for each key of df that isn't null. Keys are ordered over range partitions and numbered there, not in one task."""
+def fold_map(df: DataFrame, key: str, k: int, seed: int, name: str = "fold", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """key, fold for each key of df that isn't null. Keys are numbered in the order of a hash, by as many ranges as they need."""
     keys = df.where(F.col(key).isNotNull()).select(key).distinct().withColumn("__o", order_key(seed, F.col(key)))
-    n = F.row_number().over(Window.partitionBy("__p").orderBy("__o"))
-    dealt = keys.withColumn("__p", F.substring("__o", 1, 2)).withColumn("__n", n)
-    before = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("c")).withColumn("__b", F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))  # at most 256 rows
-    return dealt.join(F.broadcast(before), "__p").select(key, F.pmod(F.col("__n") - 1 + F.coalesce("__b", F.lit(0)), F.lit(k)).cast("int").alias(name))
+    dealt = numbered(keys, [], [F.col("__o"), F.col(key)], "__n", range_rows)
+    return dealt.select(key, F.pmod(F.col("__n") - 1, F.lit(k)).cast("int").alias(name))
 
 
 def p1(df: DataFrame, windows: Windows = DEFAULT, date: str = "date") -> DataFrame:
@@ -91,7 +90,7 @@ def p3(df: DataFrame, block: str, k: int = 5, seed: int = 0, windows: Windows =
 
 
 def p4_rows(df: DataFrame, keys: list[str], k: int = 5, seed: int = 0) -> DataFrame:
-    """Rows in k folds at random; a fold's own rows test. Dealt by a hash's order within 256 parts of it."""
+    """Rows in k folds at random; a fold's own rows test. Dealt in a hash's order."""
     named = df.withColumn("__key", F.concat_ws("|", *(F.col(c).cast("string") for c in keys)))
     rows = with_replicates(named.join(fold_map(named, "__key", k, seed, "__fold"), "__key"), k, "__k")
     return _named(rows, "P4_row", F.col("__k"), F.when(F.col("__fold") == F.col("__k"), "test").otherwise("train")).drop("__k", "__fold", "__key")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longspan.operators.ranks import percentiles, wide
+
 CHUNK = 100
 
 
 def months_per_cell(df: DataFrame, cell: str = "cell_id", date: str = "date") -> DataFrame:
-    per = df.groupBy(cell).agg(F.count_distinct(date).alias("m"))
-    return per.agg(F.min("m").alias("min_months"), F.median("m").cast("double").alias("median_months"), F.max("m").alias("max_months"), F.count(F.lit(1)).alias("n_cells"))
+    """Least, median and most months of a cell, and the cells. Cells are counted by their months first, so the median is of a few rows."""
+    per = df.groupBy(cell).agg(F.count_distinct(date).alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.min("m").alias("min_months"), F.percentile("m", 0.5, F.col("n")).cast("double").alias("median_months"), F.max("m").alias("max_months"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_cells"))
 
 
 def joined_cells(df: DataFrame, columns: list[str], cell: str = "cell_id") -> DataFrame:
@@ -40,23 +45,22 @@ def share_audit(df: DataFrame, p: str) -> DataFrame:
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, min, p01, median, p99, max of finite values, and rates of missing, infinite and negative ones of all rows."""
-    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))))
-    infinite = F.coalesce(F.abs("x") == float("inf"), F.lit(False))
-    finite = F.when(~F.isnan("x") & ~infinite, F.col("x"))
-    return (
-        long.select("column", finite.alias("x"), (F.col("x").isNull() | F.isnan("x")).alias("missing"), infinite.alias("infinite"))
-        .groupBy("column")
-        .agg(
-            F.min("x").alias("min"),
-            F.percentile("x", 0.01).alias("p01"),
-            F.percentile("x", 0.5).alias("median"),
-            F.percentile("x", 0.99).alias("p99"),
-            F.max("x").alias("max"),
-            F.avg(F.col("missing").cast("int")).alias("missing_rate"),
-            F.avg(F.col("infinite").cast("int")).alias("infinite_rate"),
-            F.avg(F.coalesce(F.col("x") < 0, F.lit(False)).cast("int")).alias("negative_rate"),
-        )
-    )
+    x = {c: F.col(c).cast("double") for c in columns}
+    finite = {c: F.when(~F.isnan(x[c]) & (F.abs(x[c]) != float("inf")), x[c]) for c in columns}
+    exact = wide(percentiles(df.select(*(finite[c].alias(c) for c in columns)), columns, [0.01, 0.5, 0.99]), [], {0.01: "p01", 0.5: "median", 0.99: "p99"})
+    frames = []
+    for k in range(0, len(columns), CHUNK):
+        parts = []
+        for c in columns[k : k + CHUNK]:
+            infinite = F.coalesce(F.abs(x[c]) == float("inf"), F.lit(False))
+            missing = x[c].isNull() | F.coalesce(F.isnan(x[c]), F.lit(False))
+            negative = F.coalesce((x[c] < 0) & ~F.isnan(x[c]), F.lit(False))
+            rates = {"missing_rate": missing, "infinite_rate": infinite, "negative_rate": negative}
+            if_finite = {"min": F.min(finite[c]), "max": F.max(finite[c])}
+            parts.append(F.struct(F.lit(c).alias("column"), *(v.alias(n) for n, v in if_finite.items()), *(F.avg(v.cast("int")).alias(n) for n, v in rates.items())))
+        frames.append(df.agg(F.array(*parts).alias("a")).select(F.inline("a")))
+    out = reduce(DataFrame.unionByName, frames).join(exact, "column", "left")
+    return out.select("column", "min", "p01", "median", "p99", "max", "missing_rate", "infinite_rate", "negative_rate")
 
 
 def label_rates(df: DataFrame, y: str = "y", date: str = "date") -> DataFrame:

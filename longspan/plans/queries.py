@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan import functions as C
-from longspan.operators import assemble, catalog, metrics, models, quality, sequence, splits, summary
+from longspan.operators import assemble, attribution, boosting, catalog, metrics, models, quality, resample, sequence, splits, summary
 from longspan.plans import surrogate as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,6 +576,68 @@ def trees_p1(spark, sf):
     return metrics.metric_table(out.where("split_role <> 'val'"), ["split_role"], p="p_trees")
 
 
+TREE_FEATURES = ["s_acctbal", "event_count_12m", "months_since_event", "y_lag12", "qty_sum_mon"]
+ROOT = boosting.Settings(bins=16, min_rows=20, rows=1.0, columns=1.0)
+_VALUES = " UNION ALL ".join(f"SELECT {k} AS k, '{f}' AS feature, CAST({f} AS DOUBLE) AS v, y FROM roles WHERE split_role = 'train'" for k, f in enumerate(TREE_FEATURES))
+ROOT_SQL = f"""{S.PREDICTED_SQL}, x AS ({_VALUES}), m AS (SELECT avg(y) AS m FROM roles WHERE split_role = 'train'),
+cuts AS (SELECT feature, list_distinct(quantile_disc(v, {[k / 16 for k in range(1, 16)]})) AS cuts FROM x GROUP BY 1),
+hist AS (SELECT k, feature, CASE WHEN v IS NULL THEN 0 ELSE 1 + len(list_filter(cuts, lambda c: c < v)) END AS bin, count(*) AS n, sum(m - y) AS g, sum(m * (1 - m)) AS h FROM x JOIN cuts USING (feature), m GROUP BY ALL)"""
+
+
+def _root_sums(spark, sf) -> DataFrame:
+    train = splits.p1(S.features(spark, sf), W).where("split_role = 'train'")
+    model, state = boosting.prepared(train, TREE_FEATURES, bins=ROOT.bins, weight=None)
+    return boosting.histogram(state, model, ROOT, boosting.Grower(ROOT), [], list(range(len(TREE_FEATURES))), 0)
+
+
+def _feature_name() -> Column:
+    return F.get(F.array(*map(F.lit, TREE_FEATURES)), F.col("feature")).alias("feature")
+
+
+@query(f"{ROOT_SQL} SELECT feature, CAST(bin AS INTEGER) AS bin, n, round(g, 4) AS g, round(h, 4) AS h FROM hist")
+def tree_histogram(spark, sf):
+    """Gradients of the first boosting round at the root, by feature and bin."""
+    sums = _root_sums(spark, sf).where("node = 0").groupBy("feature", "bin").agg(*(F.sum(c).alias(c) for c in ("n", "g", "h")))
+    return sums.select(_feature_name(), "bin", *longs("n"), r("g", 4).alias("g"), r("h", 4).alias("h"))
+
+
+@query(
+    f"""{ROOT_SQL}, miss AS (SELECT feature, sum(CASE WHEN bin = 0 THEN n ELSE 0 END) AS nm, sum(CASE WHEN bin = 0 THEN g ELSE 0 END) AS gm, sum(CASE WHEN bin = 0 THEN h ELSE 0 END) AS hm, sum(n) AS na, sum(g) AS ga, sum(h) AS ha FROM hist GROUP BY 1),
+up AS (SELECT k, feature, bin, sum(CASE WHEN bin > 0 THEN n ELSE 0 END) OVER w AS nu, sum(CASE WHEN bin > 0 THEN g ELSE 0 END) OVER w AS gu, sum(CASE WHEN bin > 0 THEN h ELSE 0 END) OVER w AS hu FROM hist WINDOW w AS (PARTITION BY feature ORDER BY bin)),
+side AS (SELECT k, feature, bin, s AS missing_left, nu + CASE WHEN s THEN nm ELSE 0 END AS nl, gu + CASE WHEN s THEN gm ELSE 0 END AS gl, hu + CASE WHEN s THEN hm ELSE 0 END AS hl, na, ga, ha FROM up JOIN miss USING (feature), (VALUES (true), (false)) AS t(s)),
+gains AS (SELECT *, round(gl * gl / hl + (ga - gl) * (ga - gl) / (ha - hl) - ga * ga / ha, 9) AS gain FROM side WHERE nl >= 20 AND na - nl >= 20 AND hl >= 0.001 AND ha - hl >= 0.001)
+SELECT feature, CAST(bin AS INTEGER) AS bin, missing_left, round(gain, 6) AS gain FROM gains WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gains.gain DESC, bin, missing_left DESC) = 1"""
+)
+def tree_root_splits(spark, sf):
+    """Each feature's best first split."""
+    best = boosting.best_splits(_root_sums(spark, sf), ROOT).where("node = 0 AND gain IS NOT NULL")
+    return best.select(_feature_name(), "bin", "missing_left", *doubles("gain"))
+
+
+LEAFWISE = boosting.Settings(rate=0.3, patience=3)
+
+
+def _leafwise(spark, sf) -> tuple[DataFrame, boosting.Boosted]:
+    rows = models.weighted(splits.p1(S.features(spark, sf), W), "balanced")
+    role = F.col("split_role")
+    return rows, boosting.fit(rows.where(role == "train"), MODEL_FEATURES, rows.where(role == "val"), LEAFWISE)
+
+
+@query()
+def leafwise_p1(spark, sf):
+    """Trees of up to 31 leaves and 500 rounds that end when average precision on the validation rows no longer rises."""
+    rows, model = _leafwise(spark, sf)
+    return metrics.metric_table(model.predict(rows.where("split_role <> 'val'")), ["split_role"], p=model.name)
+
+
+@query()
+def tree_attribution(spark, sf):
+    """Mean absolute Shapley values of those trees on test rows."""
+    rows, model = _leafwise(spark, sf)
+    parts = attribution.tree_contributions(model, rows.where("split_role = 'test'"), ["cell_id", "date"])
+    return metrics.top_features(metrics.mean_abs(parts, model.features), 15)
+
+
 @query()
 def two_stage_logistic(spark, sf):
     """A first model for validation rows, and one refitted on training and validation rows for the rest."""
@@ -610,9 +672,21 @@ def forbidden_names(spark, sf):
     return spark.createDataFrame([(n, catalog.is_memory(n), n in barred, n in odd) for n in NAMES], "name string, memory boolean, forbidden boolean, suspicious boolean")
 
 
-@query()
+REPS = 100
+_MIX = "xor(x, x >> 16) * 73244475 % 4294967296"
+BOOTSTRAP_SQL = f"""{S.PREDICTED_SQL}, b AS (SELECT split_role, p, y, CAST('0x' || substr(md5('0|' || cell_id || '|' || date), 1, 8) AS BIGINT) AS base FROM predicted),
+r AS (SELECT split_role, p, y, rep, xor(base, (rep + 1) * 2654435761 % 4294967296) AS x FROM b, (SELECT range AS rep FROM range({REPS}))),
+m1 AS (SELECT * REPLACE ({_MIX} AS x) FROM r), m2 AS (SELECT * REPLACE ({_MIX} AS x) FROM m1), m3 AS (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM m2),
+w AS (SELECT split_role, rep, p, y, {' + '.join(f'CASE WHEN x >= {t} THEN 1 ELSE 0 END' for t in resample.poisson_thresholds())} AS w FROM m3),
+s AS (SELECT split_role, rep, p, sum(w) AS n, sum(w * y) AS pos FROM w GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER u AS seen, sum(pos) OVER u AS tp, sum(pos) OVER (PARTITION BY split_role, rep) AS total FROM s WINDOW u AS (PARTITION BY split_role, rep ORDER BY p DESC)),
+a AS (SELECT split_role, rep, sum(CASE WHEN seen > 0 THEN pos / nullif(total, 0) * tp / seen END) AS v FROM c GROUP BY 1, 2)
+SELECT split_role, round(avg(v), 6) AS auprc_mean, round(stddev_samp(v), 6) AS auprc_std, count(v) AS reps FROM a GROUP BY 1"""
+
+
+@query(BOOTSTRAP_SQL)
 def bootstrap_auprc(spark, sf):
-    return metrics.bootstrap(S.predicted(spark, sf), ["split_role"], metrics.average_precision)
+    return resample.bootstrap(S.predicted(spark, sf), ["split_role"], "auprc", REPS).select("split_role", *doubles("auprc_mean", "auprc_std"), "reps")
 
 
 @query()

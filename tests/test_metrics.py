@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from longspan.operators import metrics, models
+from longspan.operators import metrics, models, resample
 from longspan.operators.quality import ContractError
 
 
@@ -42,7 +42,7 @@ def test_threshold_and_bootstrap(spark):
     best = metrics.best_threshold(df, ["g"]).first()
     f1 = lambda t: metrics.at_threshold(df, ["g"], t).first()["f1"]
     assert f1(best["threshold"]) == pytest.approx(best["f1"]) and all(f1(t) <= best["f1"] + 1e-9 for t in (0.3, 0.5, 0.7))
-    boot = metrics.bootstrap(df, ["g"], metrics.average_precision, 30, keys=["k"]).first()
+    boot = resample.bootstrap(df, ["g"], "auprc", 30, keys=["k"]).first()
     assert boot["reps"] == 30 and abs(boot["auprc_mean"] - metrics.average_precision(df, ["g"]).first()["auprc"]) < 3 * boot["auprc_std"]
 
 
