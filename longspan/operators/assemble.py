@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from longspan.operators.quality import ContractError, duplicate_keys
+from longspan.functions import is_month_start, to_month
+from longspan.operators.quality import Check, ContractError, duplicate_keys, enforce, label_faults, required
 
 REDUCER_LEFTOVERS = ("sum", "pix_mean", "pix")
 
@@ -93,9 +96,29 @@ def lagged_panel(panel: DataFrame, cell: str, date: str, columns: list[str], kee
 
 
 def labelled(panel: DataFrame, source: str = "burned_flag", y: str = "y") -> DataFrame:
-    """panel with its label column under the name y, as 0 or 1; null and what isn't a number are 0."""
-    value = F.coalesce(F.expr(f"try_cast(`{source}` AS double)"), F.lit(0.0))
-    return panel.withColumn(y, (value > 0).cast("int")).drop(*([source] if source != y else []))
+    """panel with its label column under the name y, as 0 or 1; raises if a label is null, no number, or another number."""
+    required(panel, [source], "panel")
+    if faults := {r["fault"]: r["n"] for r in label_faults(panel, source).collect()}:
+        raise ContractError(f"{source} is no label of 0 or 1 in some rows: {faults}")
+    return panel.withColumn(y, F.col(source).cast("double").cast("int")).drop(*([source] if source != y else []))
+
+
+def with_calendar(df: DataFrame, date: str = "date") -> DataFrame:
+    """df with date as a date and year and month derived from it; raises if a date can't be read or is not the first of a month."""
+    out = df.withColumn(date, to_month(F.col(date)))
+    enforce(out, [Check("date_not_month_start", F.col(date).isNull() | ~is_month_start(F.col(date)))])
+    return out.withColumns({"year": F.year(date), "month": F.month(date)})
+
+
+def drop_nulls(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df without rows that lack one of the columns (null or NaN), and how many rows each column costs alone: column, n."""
+    required(df, columns, "table")
+    kinds = dict(df.dtypes)
+    lacks = {c: F.col(c).isNull() | (F.isnan(c) if kinds[c] in ("double", "float") else F.lit(False)) for c in columns}
+    if not columns:
+        return df, df.sparkSession.createDataFrame([], "column string, n long")
+    counts = df.agg(*(F.count_if(x).alias(c) for c, x in lacks.items())).unpivot([], list(columns), "column", "n")
+    return df.where(~reduce(lambda a, b: a | b, lacks.values())), counts
 
 
 def shifted(panel: DataFrame, date: str, months: int = 1) -> DataFrame:

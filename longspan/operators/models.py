@@ -184,13 +184,19 @@ def ablation(train: DataFrame, test: DataFrame, features: list[str], groups: dic
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
-def family(columns: list[str], kind: str) -> list[str]:
-    """Columns of a feature family: climo (season and place), memory, climate or vegetation.
-
-    A column of a family's coverage or missing rate belongs to it too.
-    """
-    marks = {"climo": ("month_sin", "month_cos", "BIOME", "STRATUM", "s_acctbal"), "memory": ("y_lag", "event_count", "months_since", "ever_before", "_roll"), "climate": ("VPD", "RH", "Tm", "WS", "WD_", "P_sum", "TP_sum", "PET"), "vegetation": ("NDVI", "EVI", "LST", "SM1", "SM2", "treecover", "frac_")}
-    if kind not in marks:
-        raise ValueError(kind)
-    return [c for c in columns if any(m in c for m in marks[kind])]
-
+# The names of the feature families, in their order. A monthly value stands here by its name without _lag1.
+CLIMO = ["BIOME", "month"]
+MEMORY = ["y_lag1", "fire_count_12m", "months_since_last_fire"]
+CLIMATE = ["P_sum_mon", "PET_sum_mon", "TP_sum_mon", "Tmax_mon", "Tmean_mon", "RH_mean_mon", "RH_min_mon", "SM1_mean_mon", "SM2_mean_mon", "VPD_mean_mon", "VPD_max_mon", "WS_mean_mon", "WS_max_mon", "WS_strong_frac", "WD_u_mon", "WD_v_mon", "WD_R_mon"]
+CLIMATE_ROLLED = ["P_sum_mon_lag1_roll3m_sum", "PET_sum_mon_lag1_roll3m_sum", "VPD_mean_mon_lag1_roll3m_mean"]
+VEGETATION = ["NDVI_mean_mon", "EVI_mean_mon", "LST_day_mon", "LST_night_mon"]
+VEGETATION_ROLLED = ["NDVI_mean_mon_lag1_roll3m_mean"]
+
+
+def families(columns: list[str], vegetation_coverage: bool = False) -> dict[str, list[str]]:
+    """The columns of each family that are there: climo (always whole), memory, climate with coverage and missing marks, and vegetation, with coverage only if asked for."""
+    marks = [f"{c}_{kind}_lag1" for c in CLIMATE for kind in ("cov", "missing")]
+    green = [f"{c}_lag1" for c in VEGETATION] + VEGETATION_ROLLED + ([f"{c}_cov_lag1" for c in VEGETATION] if vegetation_coverage else [])
+    wanted = {"memory": MEMORY, "climate": [f"{c}_lag1" for c in CLIMATE] + CLIMATE_ROLLED + marks, "vegetation": green}
+    have = set(columns)
+    return {"climo": list(CLIMO)} | {k: [c for c in names if c in have] for k, names in wanted.items()}

@@ -71,6 +71,22 @@ def required(df: DataFrame, columns: list[str], name: str = "table") -> None:
         raise ContractError(f"{name}: missing columns {missing}")
 
 
+def label_faults(df: DataFrame, source: str) -> DataFrame:
+    """fault, n of labels that are null, not_a_number or not_binary, from one pass."""
+    x = F.expr(f"try_cast(`{source}` AS double)")
+    kind = F.when(F.col(source).isNull(), "null").when(x.isNull() | F.isnan(x), "not_a_number").when(~x.isin(0, 1), "not_binary")
+    return df.select(kind.alias("fault")).where("fault IS NOT NULL").groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+def panel_row(df: DataFrame, columns: list[str], cell: str = "cell_id", date: str = "date", y: str = "y") -> DataFrame:
+    """One row on a panel: rows, cells, first and last date, label rate, counts of broken contracts, and each column's mean, least, most and missing rate; NaN counts as missing."""
+    x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    per = [f(x[c]).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    per += [F.avg(x[c].isNull().cast("int")).alias(f"{c}_missing") for c in columns]
+    bad = [F.count_if(F.coalesce(c.bad, F.lit(False))).alias(c.name) for c in panel_checks(date, y)]
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(cell).alias("n_cells"), F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.avg(y).alias("y_rate"), *bad, *per)
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that more than one row has, and n_extra, the rows beyond the first."""
     return df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("n_extra")).where("n_extra > 0")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from longspan.operators.ranges import numbered
 from longspan.operators.ranks import percentiles, wide
+from longspan.sources.scratch import written
 
 CHUNK = 100
 
@@ -87,13 +89,31 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_bits(number: str = "__number") -> tuple[Column, Column]:
+    """Bucket and bits of dense numbers from 1: bitmaps of 4 KB for each bucket of 32,768 numbers, exact and merged by ``bitmap_or_agg``."""
+    return F.bitmap_bucket_number(F.col(number)), F.bitmap_construct_agg(F.bitmap_bit_position(F.col(number)))
+
+
 def split_summary(splits: DataFrame, stratum: str, cell: str = "cell_id") -> DataFrame:
-    """Rows, cells, label rate and dates by fold and role, and by stratum too, from one scan."""
-    sets = [["protocol", "fold_id", "split_role"], ["protocol", "fold_id", "split_role", stratum]]
-    out = splits.groupingSets([[F.col(c) for c in s] for s in sets], *sets[1]).agg(
-        F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct(cell).alias("n_cells"), F.avg("y").alias("y_rate"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    """Rows, cells, label rate and dates by fold and role, and by stratum too.
+
+    Cells are numbered once; a fold's cells are the bits of its strata's bitmaps, merged, so no row is expanded by level
+    or by distinct column.
+    """
+    fold, bucket = ["protocol", "fold_id", "split_role"], "__bucket"
+    numbers = numbered(splits.select(F.col(cell).alias("__cell")).where("__cell IS NOT NULL").distinct(), [], [F.col("__cell")], "__number")
+    rows = splits.join(numbers, splits[cell] == numbers["__cell"], "left")
+    which, bits = distinct_bits()
+    sums = [F.sum(c).alias(c) for c in ("n_rows", "n_y", "sum_y")] + [F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date")]
+    base = rows.groupBy(*fold, stratum, which.alias(bucket)).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("y").alias("n_y"), F.sum("y").alias("sum_y"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), bits.alias("bits")
     )
-    return out.withColumn("qc_level", F.when(F.col("g") == 0, stratum).otherwise("fold")).drop("g")
+    base = written(base)  # a row for each stratum of a fold and 32,768 cells
+    fine = base.groupBy(*fold, stratum).agg(*sums, F.sum(F.bitmap_count("bits")).alias("n_cells")).withColumn("qc_level", F.lit(stratum))
+    coarse = base.groupBy(*fold, bucket).agg(*sums, F.bitmap_or_agg("bits").alias("bits"))
+    coarse = coarse.groupBy(*fold).agg(*sums, F.sum(F.bitmap_count("bits")).alias("n_cells")).withColumns({"qc_level": F.lit("fold"), stratum: F.lit(None).cast(splits.schema[stratum].dataType)})
+    out = fine.unionByName(coarse)
+    return out.select(*fold, stratum, "n_rows", "n_cells", F.try_divide("sum_y", "n_y").alias("y_rate"), "first_date", "last_date", "qc_level")
 
 
 def protocol_windows(splits: DataFrame) -> DataFrame:

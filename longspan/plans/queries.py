@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan import functions as C
-from longspan.operators import assemble, attribution, boosting, catalog, metrics, models, quality, resample, sequence, splits, summary
+from longspan.operators import assemble, attribution, boosting, catalog, irls, metrics, models, quality, resample, sequence, splits, summary
 from longspan.plans import surrogate as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -527,21 +527,30 @@ def top_features(spark, sf):
     return metrics.top_features(metrics.mean_abs(S.panel(spark, sf), ["qty_sum_mon", "price_mean_mon", "tax_max_mon"]), 2).select("feature", r("mean_abs").alias("mean_abs"))
 
 
-DICTIONARY_SQL = """
-WITH c AS (SELECT unnest(['cell_id', 'date', 'year', 'month', 'y', 'month_sin', 'month_cos', 'qty_sum_mon', 'price_mean_mon', 'disc_mean_mon', 'tax_max_mon', 'obs_n', 'obs_missing', 'obs_cov', 'area',
+DICTIONARY_SQL = S.FEATURES_SQL + """, c AS (SELECT unnest(['cell_id', 'date', 'year', 'month', 'y', 'month_sin', 'month_cos', 'qty_sum_mon', 'price_mean_mon', 'disc_mean_mon', 'tax_max_mon', 'obs_n', 'obs_missing', 'obs_cov', 'area',
   's_acctbal', 'BIOME', 'STRATUM', 'lon', 'lat', 'pi', 'pi_clip', 'd_weight', 'y_lag1', 'y_lag12', 'ever_before', 'event_count_12m', 'months_since_event']) AS "column"),
 k AS (SELECT "column", CASE WHEN "column" IN ('cell_id', 'date', 'year', 'month') THEN 'key' WHEN "column" = 'y' THEN 'label' WHEN "column" IN ('pi', 'pi_clip', 'd_weight') THEN 'weight'
   WHEN "column" IN ('BIOME', 'STRATUM') THEN 'stratum' WHEN starts_with("column", 'month_') THEN 'derived' WHEN regexp_full_match("column", 'y_lag[0-9]+|event_count_[0-9]+m|months_since_event|ever_before') THEN 'memory'
   WHEN "column" IN ('lon', 'lat') THEN 'forbidden' WHEN starts_with("column", 'obs_') THEN 'quality' WHEN "column" = 's_acctbal' THEN 'static' WHEN contains("column", '_mon') THEN 'dynamic' ELSE 'other' END AS role FROM c),
-w AS (SELECT *, CASE WHEN role = 'memory' THEN 'month before' WHEN role IN ('static', 'stratum', 'weight', 'key') THEN 'fixed' ELSE 'same month' END AS availability FROM k)
+w AS (SELECT *, CASE WHEN role = 'memory' THEN 'month before' WHEN role IN ('static', 'stratum', 'weight', 'key') THEN 'fixed' ELSE 'same month' END AS availability FROM k),
+v AS (SELECT unnest(['cell_id', 'date', 'year', 'month', 'y', 'month_sin', 'month_cos', 'qty_sum_mon', 'price_mean_mon', 'disc_mean_mon', 'tax_max_mon', 'obs_n', 'obs_missing', 'obs_cov', 'area', 's_acctbal', 'BIOME', 'STRATUM', 'lon', 'lat', 'pi', 'pi_clip', 'd_weight', 'y_lag1', 'y_lag12', 'ever_before', 'event_count_12m', 'months_since_event']) AS "column",
+  unnest([count(cell_id), count(date), count(year), count(month), count(y), count(month), count(month), count(qty_sum_mon), count(price_mean_mon), count(disc_mean_mon), count(tax_max_mon), count(obs_n), count(obs_missing), count(obs_cov), count(area), count(s_acctbal), count(biome), count(stratum), count(lon), count(lat), count(pi), count(pi), count(pi), count(y_lag1), count(y_lag12), count(ever_before), count(event_count_12m), count(months_since_event)]) AS n_values FROM features)
 SELECT "column", role, CASE WHEN starts_with("column", 'qty') THEN 'items' WHEN starts_with("column", 'price') THEN 'currency' ELSE '' END AS unit,
   CASE WHEN starts_with("column", 'qty') OR starts_with("column", 'price') THEN 'orders' ELSE '' END AS source, availability,
-  CASE WHEN role IN ('label', 'forbidden') THEN 'high' WHEN availability = 'same month' AND role IN ('dynamic', 'quality') THEN 'timing' ELSE 'none' END AS leakage_risk FROM w"""
+  CASE WHEN role IN ('label', 'forbidden') THEN 'high' WHEN availability = 'same month' AND role IN ('dynamic', 'quality') THEN 'timing' ELSE 'none' END AS leakage_risk, n_values FROM w JOIN v USING ("column")"""
+
+
+def _values(df: DataFrame) -> DataFrame:
+    """column, n_values: the values of each column that are not null, in one pass."""
+    return df.agg(*(F.count(c).alias(c) for c in df.columns)).unpivot([], df.columns, "column", "n_values")
 
 
 @query(DICTIONARY_SQL)
 def data_dictionary(spark, sf):
-    return catalog.dictionary(spark, S.features(spark, sf).columns, [catalog.Source("qty", "items", "orders"), catalog.Source("price", "currency", "orders")], ["s_acctbal"])
+    """What the names of a table's columns say of them, beside how many values each really holds."""
+    features = S.features(spark, sf)
+    names = catalog.dictionary(spark, features.columns, [catalog.Source("qty", "items", "orders"), catalog.Source("price", "currency", "orders")], ["s_acctbal"])
+    return names.join(_values(features), "column")
 
 
 ADMISSION_SQL = """
@@ -650,7 +659,7 @@ def two_stage_logistic(spark, sf):
 def ablation_logistic(spark, sf):
     """Metrics on test rows without each family of features, and their changes from all."""
     rows = splits.p1(S.features(spark, sf), W)
-    groups = {k: names for k in ("climo", "memory") if (names := models.family(MODEL_FEATURES, k))}
+    groups = {"climo": ["month_sin", "month_cos", "s_acctbal"], "memory": ["y_lag1", "y_lag12", "event_count_12m", "months_since_event"]}
     table = models.ablation(
         rows.where("split_role = 'train'"), rows.where("split_role = 'test'"), MODEL_FEATURES, groups,
         lambda train, names: models.fit_logistic(train, names, weight="balanced"), lambda out: metrics.metric_table(out, ["split_role"], p="p_logistic"),
@@ -658,18 +667,99 @@ def ablation_logistic(spark, sf):
     return metrics.deltas(table, "feature_set", "Full", ["auprc", "roc_auc", "brier"])
 
 
-NAMES = [
-    "cell_id", "y", "y_lag1", "y_roll3m_mean", "burned_area_m2", "burned_area_12m", "burned_area_48m", "burned_mean", "fire_count_12m", "fire_count_18m", "months_since_last_fire", "fire_tslf", "lead1_VPD",
-    "VPD_lead1", "lead", "leading", "future_rain", "rain forward", "next_month_T", "t+1", "t+3", "xt+2", "target_a", "label_aux_b", "valid_weight", "valid_core", "lon", "long", ".geo", "BurnDate", "MCD64A1_x", "lag-1", "the next", "has_fire_history",
-]
-NAMES_SQL = "WITH names AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS name), m AS (SELECT name, regexp_full_match(name, 'months_since_(last_fire|event)|fire_count_(12|24|36)m|event_count_[0-9]+m|burned_area_(12|24|36)m|y_lag[0-9]+|y_roll[0-9]+m_(sum|mean|max|min)|fire_tsl[fb]|ever_before') AS memory FROM names)"
+#: Columns of a wide table as inputs bring them, each from a column of the panel's features.
+WIDE = {
+    "cell_id": "cell_id", "y": "y", "y_lag1": "y_lag1", "burned_area_m2": "area", "burned_area_12m": "event_count_12m", "burned_mean": "obs_cov", "fire_count_12m": "event_count_12m", "months_since_last_fire": "months_since_event",
+    "lead1_VPD": "qty_sum_mon", "VPD_lead1": "qty_sum_mon", "lead": "price_mean_mon", "leading": "price_mean_mon", "future_rain": "tax_max_mon", "rain forward": "tax_max_mon", "next_month_T": "disc_mean_mon", "xt+2": "disc_mean_mon", "target_a": "y",
+    "valid_weight": "obs_cov", "lon": "lon", "BurnDate": "month", "the next": "y_lag12", "has_fire_history": "ever_before", "P_sum_mon_lag1": "qty_sum_mon",
+}
+AUDIT_SQL = f"""{S.FEATURES_SQL}, counts AS (SELECT [{', '.join(f"{{'name': '{n}', 'n': count({c})}}" for n, c in WIDE.items())}] AS l FROM features),
+names AS (SELECT e.name AS name, e.n AS n_values FROM (SELECT unnest(l) AS e FROM counts)),
+m AS (SELECT *, regexp_full_match(name, 'months_since_(last_fire|event)|fire_count_(12|24|36)m|event_count_[0-9]+m|burned_area_(12|24|36)m|y_lag[0-9]+|y_roll[0-9]+m_(sum|mean|max|min)|fire_tsl[fb]|ever_before') AS memory FROM names)"""
+@query(AUDIT_SQL + " SELECT name, n_values, memory, name = 'has_fire_history' OR name IN ('burned_area_m2', 'burned_flag', 'burned_frac', 'ever_burned', 'system:index', '.geo', '__source_file__', 'lon', 'lat') OR NOT memory AND (starts_with(name, 'burned_') OR starts_with(name, 'valid_weight') OR regexp_matches(name, 'label_|target_|lead[+_]|lead1_|_lead1|future|forward|next_month|t[+][12]|[Bb]urn[Dd]ate|MCD64A1')) AS forbidden, regexp_matches(lower(name), '\\b(lead[0-9]*|future|next)\\b|\\blead[0-9]|\\bt[+]|\\blag-') AS suspicious FROM m")
+def column_audit(spark, sf):
+    """What the guards say of a wide table's columns, beside the values that stand in them."""
+    wide = S.features(spark, sf).select(*(F.col(c).alias(n) for n, c in WIDE.items()))
+    barred, odd = catalog.forbidden(wide.columns), catalog.suspicious(wide.columns)
+    name = F.col("column")
+    return _values(wide).select(name.alias("name"), "n_values", name.isin(*[n for n in WIDE if catalog.is_memory(n)]).alias("memory"), name.isin(*barred).alias("forbidden"), name.isin(*odd).alias("suspicious"))
+
+
+@query(f"{S.PANEL_SQL} SELECT y, count(*) AS n FROM panel GROUP BY 1")
+def labelled_panel(spark, sf):
+    """Labels that came as text, read as 0 and 1."""
+    raw = S.panel(spark, sf).select("cell_id", F.col("y").cast("string").alias("burned_flag"))
+    return assemble.labelled(raw).groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE l_linenumber WHEN 1 THEN 'null' WHEN 2 THEN 'not_a_number' ELSE 'not_binary' END AS fault, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1")
+def label_faults(spark, sf):
+    """Labels that stop a run, planted by line number."""
+    k = F.col("l_linenumber")
+    raw = F.when(k == 2, "yes").when(k == 3, "2").when(k > 3, F.pmod("l_orderkey", F.lit(2)).cast("string"))
+    return quality.label_faults(S.read(spark, sf, "lineitem").select(raw.alias("burned_flag")), "burned_flag")
 
 
-@query(NAMES_SQL + " SELECT name, memory, name = 'has_fire_history' OR name IN ('burned_area_m2', 'burned_flag', 'burned_frac', 'ever_burned', 'system:index', '.geo', '__source_file__', 'lon', 'lat') OR NOT memory AND (starts_with(name, 'burned_') OR starts_with(name, 'valid_weight') OR regexp_matches(name, 'label_|target_|lead[+_]|lead1_|_lead1|future|forward|next_month|t[+][12]|[Bb]urn[Dd]ate|MCD64A1')) AS forbidden, regexp_matches(lower(name), '\\b(lead[0-9]*|future|next)\\b|\\blead[0-9]|\\bt[+]|\\blag-') AS suspicious FROM m")
-def forbidden_names(spark, sf):
-    """What the guards say of a wide schema's names."""
-    barred, odd = set(catalog.forbidden(NAMES)), set(catalog.suspicious(NAMES))
-    return spark.createDataFrame([(n, catalog.is_memory(n), n in barred, n in odd) for n in NAMES], "name string, memory boolean, forbidden boolean, suspicious boolean")
+@query(f"{S.PANEL_SQL} SELECT cell_id, {DATE}, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month FROM panel")
+def calendar_columns(spark, sf):
+    text = S.panel(spark, sf).select("cell_id", F.date_format("date", "yyyy-MM-dd").alias("date"))
+    return assemble.with_calendar(text).select("cell_id", day(), "year", "month")
+
+
+@query(
+    f"{S.PANEL_SQL} SELECT count(*) AS n_rows, count(DISTINCT cell_id) AS n_cells, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, round(avg(y), 6) AS y_rate, CAST(0 AS BIGINT) AS label_not_binary, CAST(0 AS BIGINT) AS date_not_month_start, "
+    + ", ".join(f"round({f}(CAST({c} AS DOUBLE)), 6) AS {c}_{n}" for c in ("qty_sum_mon", "obs_n") for n, f in (("mean", "avg"), ("min", "min"), ("max", "max")))
+    + ", "
+    + ", ".join(f"round(avg(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END), 6) AS {c}_missing" for c in ("qty_sum_mon", "obs_n"))
+    + " FROM panel"
+)
+def panel_summary_row(spark, sf):
+    row = quality.panel_row(S.panel(spark, sf), ["qty_sum_mon", "obs_n"])
+    counts = ["n_rows", "n_cells", "label_not_binary", "date_not_month_start"]
+    return row.select(*counts, day("first_date"), day("last_date"), *doubles(*(c for c in row.columns if c not in (*counts, "first_date", "last_date"))))
+
+
+@query(f"{S.PANEL_SQL} SELECT count(*) AS n, round(sum(qty_sum_mon), 6) AS qty, count(CASE WHEN price_mean_mon IS NULL THEN 1 END) AS n_null FROM panel WHERE qty_sum_mon IS NOT NULL AND disc_mean_mon IS NOT NULL")
+def rows_without_nulls(spark, sf):
+    kept, _ = assemble.drop_nulls(S.panel(spark, sf), ["qty_sum_mon", "disc_mean_mon"])
+    return kept.agg(F.count(F.lit(1)).alias("n"), r(F.sum("qty_sum_mon")).alias("qty"), F.count_if(F.col("price_mean_mon").isNull()).alias("n_null"))
+
+
+@query(f"{S.PANEL_SQL} SELECT cell_id, {DATE}, {d('qty_sum_mon', 'other_mean')} FROM (SELECT *, disc_mean_mon AS other_mean FROM panel)")
+def reducer_columns(spark, sf):
+    """Means and counts beside their base go, as do leftovers of reducers; a mean without its base stays."""
+    q = F.col("qty_sum_mon")
+    raw = S.panel(spark, sf).select("cell_id", "date", "qty_sum_mon", q.alias("qty_sum_mon_mean"), q.alias("qty_sum_mon_count"), F.col("disc_mean_mon").alias("other_mean"), q.alias("sum"), q.alias("pix"), q.alias("pix_mean"))
+    out = assemble.drop_redundant_reducers(raw)
+    return out.select(*(day() if c == "date" else r(c).alias(c) if c not in ("cell_id",) else F.col(c) for c in out.columns))
+
+
+@query(f"{GRID_SQL} SELECT p.cell_id, CAST(p.date AS VARCHAR) AS date, ix || '_' || iy AS block FROM panel p JOIN grid USING (cell_id)")
+def spatial_block(spark, sf):
+    """Blocks from the coordinates of the cells' metadata."""
+    out, source = assemble.spatial_block(S.panel(spark, sf).drop("STRATUM"), S.cells(spark, sf), "cell_id")
+    if source != "meta:lonlat":
+        raise ValueError(source)
+    return out.select("cell_id", day(), "block")
+
+
+@query(f"{LAG_SQL} SELECT cell_id, {DATE}, {b('y')}, {d('qty_sum_mon_lag1', 'disc_mean_mon_lag1', 's_acctbal')} FROM lead1 JOIN cells USING (cell_id)")
+def feature_build(spark, sf):
+    """A versioned feature table: a constant column, a barred one and identifiers go, extras that are there come."""
+    lead = _lead1(spark, sf, S.panel(spark, sf), ("cell_id", "date", "y", "s_acctbal", "lon")).withColumn("same_lag1", F.lit(3.0))
+    names = ["qty_sum_mon_lag1", "disc_mean_mon_lag1", "same_lag1", "tax_max_mon_lag1"]
+    out, record = catalog.build(lead, names, "lead1", extras=["s_acctbal", "absent"], exclude={"exact": ["tax_max_mon_lag1"]})
+    if record["constant"] != ["same_lag1"] or record["blacklisted"] != ["tax_max_mon_lag1"]:
+        raise ValueError(record)
+    return out.select("cell_id", day(), *longs("y"), *doubles(*record["predictors"]))
+
+
+@query()
+def logistic_folds(spark, sf):
+    """All folds of P3 fitted together: metrics by fold and role."""
+    rows = splits.p3(S.features(spark, sf), "BIOME", windows=W)
+    out = irls.predict_all(rows, irls.fit_all(rows, MODEL_FEATURES, weight="balanced"), MODEL_FEATURES)
+    return metrics.metric_table(out, ["fold_id", "split_role"], p="p_logistic")
 
 
 REPS = 100

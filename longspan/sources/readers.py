@@ -16,18 +16,18 @@ READABLE = {".parquet": "parquet", ".pq": "parquet", ".csv": "csv", ".json": "js
 def read_csv_union(spark: SparkSession, paths: str | list[str], file_column: str = "__source_file__") -> DataFrame:
     """CSV files as one frame by column name, with blanks around headers gone and each row's file; raises if none match.
 
-    Files of one header are read in one scan; only as many scans are joined as there are headers.
+    One job reads all files' first lines; files of one header are read in one scan, so jobs follow the headers and not the files.
     """
     found = sorted(f for p in ([paths] if isinstance(paths, str) else paths) for f in _matching(spark, p))
     if not found:
         raise FileNotFoundError(f"no file matches {paths}")
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for f in found:
-        header = tuple(c.strip() for c in spark.read.option("header", True).csv(f).columns)
-        by_header.setdefault(header, []).append(f)
+    # The part of a file that begins it lies in one task, in order, so its first line is that task's first.
+    lines = spark.read.text(found).select("value", "_metadata.file_path", "_metadata.file_block_start").where("file_block_start = 0")
+    heads = lines.groupBy("file_path").agg(F.first("value").alias("head"))
     frames = []
-    for header, files in by_header.items():
-        df = spark.read.option("header", True).csv(files)
+    for r in heads.groupBy("head").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("head").collect():  # names of files
+        df = spark.read.option("header", True).csv(r["files"])
+        header = [c.strip() for c in df.columns]
         origin = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
         frames.append(df.select(*(F.col(f"`{a}`").alias(b) for a, b in zip(df.columns, header)), F.url_decode(origin).alias(file_column)))
     return union_by_name(frames)

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from longspan.operators import assemble, catalog, quality, sequence, splits, summary
+from longspan.operators import assemble, catalog, models, quality, sequence, splits, summary
 from longspan.operators.quality import ContractError
 from longspan.plans import surrogate as S
 
@@ -197,9 +197,30 @@ def test_names_from_the_future():
 
 def test_forbidden_columns_go_and_labels_are_made(spark):
     df = spark.createDataFrame([(1, "1", 2.0), (2, "0", None), (3, None, 1.0), (4, "x", 0.0)], "cell_id long, burned_flag string, lead1_VPD double")
-    left, gone = catalog.without_forbidden(assemble.labelled(df))
+    left, gone = catalog.without_forbidden(assemble.labelled(df.where("cell_id < 3")))
     assert gone == ["lead1_VPD"] and left.columns == ["cell_id", "y"]
-    assert [r["y"] for r in left.orderBy("cell_id").collect()] == [1, 0, 0, 0]
+    assert [r["y"] for r in left.orderBy("cell_id").collect()] == [1, 0]
+
+
+@pytest.mark.parametrize("bad, fault", [(None, "null"), ("x", "not_a_number"), ("NaN", "not_a_number"), ("2", "not_binary"), ("0.5", "not_binary"), ("-1", "not_binary")])
+def test_a_label_that_is_not_binary_stops(spark, bad, fault):
+    good = spark.createDataFrame([(1, "1"), (2, "0"), (3, "1.0")], "cell_id long, burned_flag string")
+    assert [r["y"] for r in assemble.labelled(good).orderBy("cell_id").collect()] == [1, 0, 1]
+    with pytest.raises(ContractError, match=fault):
+        assemble.labelled(good.union(spark.createDataFrame([(4, bad)], good.schema)))
+    with pytest.raises(ContractError):
+        assemble.labelled(good.drop("burned_flag"))
+
+
+def test_calendar_and_null_rows(spark):
+    df = spark.createDataFrame([("2020-03-01", 1.0, "a"), ("2021-12-01", float("nan"), None), ("2021-11-01", None, "b")], "date string, x double, s string")
+    assert sorted((r["year"], r["month"]) for r in assemble.with_calendar(df).collect()) == [(2020, 3), (2021, 11), (2021, 12)]
+    for bad in ("2020-03-02", "no date", None):
+        with pytest.raises(ContractError):
+            assemble.with_calendar(df.union(spark.createDataFrame([(bad, 1.0, "a")], df.schema)))
+    kept, lost = assemble.drop_nulls(df, ["x", "s"])
+    assert kept.count() == 1 and {r["column"]: r["n"] for r in lost.collect()} == {"x": 2, "s": 1}
+    assert assemble.drop_nulls(df, [])[0].count() == 3
 
 
 def test_dates_that_go_back(spark):
@@ -212,3 +233,27 @@ def test_dates_that_go_back(spark):
 def test_attrition_reason(spark):
     a, b = spark.range(5).toDF("cell_id"), spark.range(3).toDF("cell_id")
     assert sorted(map(tuple, assemble.absent(a, b, ["cell_id"], "gone").collect())) == [(3, "gone"), (4, "gone")]
+
+
+def test_split_summary_counts_by_bitmaps(spark):
+    """Cells beyond one bitmap bucket, null strata and cells of several strata, against count_distinct; no row is expanded."""
+    df = spark.range(120_000).select(
+        (F.col("id") % 40_000 * 3).alias("cell_id"), F.lit("P").alias("protocol"), (F.col("id") % 2).cast("int").alias("fold_id"), F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split_role"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 5).cast("int").alias("B"), (F.col("id") % 7 == 0).cast("int").alias("y"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 300).cast("int")).alias("date"),
+    )
+    out = summary.split_summary(df, "B")
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    keys = ["protocol", "fold_id", "split_role"]
+    want = {}
+    for level, by in (("fold", keys), ("B", [*keys, "B"])):
+        for r in df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cell_id").alias("c"), F.avg("y").alias("m"), F.min("date").alias("a"), F.max("date").alias("z")).collect():
+            want[(level, r["fold_id"], r["split_role"], r["B"] if level == "B" else None)] = (r["n"], r["c"], round(r["m"], 9), r["a"], r["z"])
+    got = {(r["qc_level"], r["fold_id"], r["split_role"], r["B"]): (r["n_rows"], r["n_cells"], round(r["y_rate"], 9), r["first_date"], r["last_date"]) for r in out.collect()}
+    assert got == want
+
+
+def test_feature_families():
+    names = ["BIOME", "NDVI_mean_mon_lag1", "NDVI_mean_mon_cov_lag1", "NDVI_mean_mon_missing_lag1", "P_sum_mon_lag1", "P_sum_mon_cov_lag1", "P_sum_mon_missing_lag1", "y_lag1", "VPD_mean_mon_lag1_roll3m_mean", "fire_tslf", "LST_day_mon"]
+    got = models.families(names)
+    assert got == {"climo": ["BIOME", "month"], "memory": ["y_lag1"], "climate": ["P_sum_mon_lag1", "VPD_mean_mon_lag1_roll3m_mean", "P_sum_mon_cov_lag1", "P_sum_mon_missing_lag1"], "vegetation": ["NDVI_mean_mon_lag1"]}
+    assert models.families(names, vegetation_coverage=True)["vegetation"] == ["NDVI_mean_mon_lag1", "NDVI_mean_mon_cov_lag1"]

@@ -66,3 +66,17 @@ def test_feather_is_read_in_tasks(spark, tmp_path):
         feather.write_feather(pa.table({"a": [k, k + 1], "b": ["x", None]}), f"{tmp_path}/{k}.feather")
     got = readers.read_any(spark, f"{tmp_path}/1.feather")
     assert got.columns == ["a", "b"] and sorted(map(tuple, got.collect())) == [(1, "x"), (2, None)]
+
+
+def test_headers_are_read_in_one_job(spark, tmp_path):
+    """Jobs follow the different headers, not the files."""
+    jobs = {}
+    for n in (4, 12):
+        for k in range(n):
+            (tmp_path / f"{n}_{k:02d}.csv").write_text(f'id, "name" ,v\n{k},n{k},{k * 2}\n' if k % 2 else f"v,id\n{k * 2},{k}\n")
+        spark.sparkContext.setJobGroup(f"headers-{n}", "headers")
+        df = readers.read_csv_union(spark, f"{tmp_path}/{n}_*.csv")
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"headers-{n}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert sorted((int(r["id"]), r["v"], r["__source_file__"]) for r in df.collect()) == [(k, str(k * 2), f"{n}_{k:02d}.csv") for k in range(n)]
+    assert jobs[4] == jobs[12]
