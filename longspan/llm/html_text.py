@@ -41,8 +41,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript iframe template noframes xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("body article main section div td".split())
-LEFT_OUT = frozenset("nav header footer aside form menu head select button dialog svg annotation annotation-xml object audio video canvas map label input".split())
+LEFT_OUT = frozenset("nav header footer aside form menu head select button dialog svg annotation annotation-xml object audio video canvas map input".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements that a class or id never leaves out: it tells of the words of a heading, the column of a table, the look of a line.
+NEVER_NAMED = HEADINGS | frozenset("body html main p li dt dd caption figcaption tr td th thead tbody tfoot pre blockquote".split())
+# Names of readers' comments, which an id of a section inside an article tells of; other ids there are made from its heading's words.
+READERS = frozenset("comment comments disqus respond replies".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
@@ -96,6 +100,7 @@ class Page:
     paths: list[int] = field(default_factory=list)
     bonus: list[float] = field(default_factory=list)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
+    titles: list[int] = field(default_factory=list)  # containers of blocks that are an h1
 
     def path(self, container: int) -> str:
         out = []
@@ -137,8 +142,16 @@ def _hidden(a: dict[str, str]) -> bool:
     return "display:none" in a.get("style", "").replace(" ", "").lower()
 
 
-def _not_content(tag: str, a: dict[str, str]) -> bool:
-    return tag not in ("body", "html", "main") and any(_names(x) for k in ("class", "id") if a.get(k) for x in a[k].lower().split())
+def _not_content(tag: str, a: dict[str, str], in_article: bool) -> bool:
+    """Whether its class or id leaves an element out. The id of a section inside an article counts only where it names readers' comments."""
+    if tag in NEVER_NAMED:
+        return False
+    if any(_names(x) for x in a.get("class", "").lower().split()):
+        return True
+    ids = a.get("id", "").lower().split()
+    if tag == "section" and in_article:
+        ids = [x for x in ids if READERS & set(PARTS.split(x))]
+    return any(_names(x) for x in ids)
 
 
 class Parser:
@@ -159,6 +172,8 @@ class Parser:
             self.text.clear()
             if joined:
                 self.page.blocks.append((self.stack[-1].container, joined, min(self.links, len(joined))))
+                if self.open["h1"]:
+                    self.page.titles.append(self.stack[-1].container)
         self.links = 0
 
     def add(self, piece: str) -> None:
@@ -211,7 +226,7 @@ class Parser:
         a = _attributes(raw) if raw and not raw.isspace() else {}
         certain = top.certain or tag in LEFT_OUT or _hidden(a)
         number = -1
-        if not certain and _not_content(tag, a):
+        if not certain and _not_content(tag, a, self.open["article"] > 0):
             number = len(self.named)
             self.named.append(Held())
             self.named_tags.append(tag)
@@ -301,16 +316,37 @@ def best(page: Page) -> tuple[str | None, float]:
     top = max(range(n), key=lambda k: score[k], default=None)
     if top is None or not score[top]:
         return None, 0.0
-    article, nearly, before, up = -1, -1, -1, top
-    least = NEARLY_ALL * sum(w for k, w in enumerate(whole) if page.parents[k] < 0)
+    body = lambda k: page.labels[k].startswith("body")
+    all_text = sum(w for k, w in enumerate(whole) if page.parents[k] < 0)
+    article, every, nearly, before, up = -1, -1, -1, -1, top
     while up >= 0:
         if page.labels[up].partition(".")[0] == "article":
             article = up
-        beside = own[up] > 0 and nearly == before and not page.labels[up].startswith("body")  # text of its own beside the one inside
-        if nearly < 0 and whole[up] >= least or nearly >= 0 and beside:
+        beside = own[up] > 0 and nearly == before and not body(up)  # text of its own beside the one inside
+        if nearly < 0 and whole[up] >= NEARLY_ALL * all_text or nearly >= 0 and beside:
             nearly = up
+        if every < 0 and whole[up] >= all_text and not body(up):
+            every = up
         before, up = up, page.parents[up]
-    return page.path(article if article >= 0 else nearly if nearly >= 0 else top), score[top]
+    chosen = article if article >= 0 else every if every >= 0 else nearly if nearly >= 0 else top
+    return page.path(_with_title(page, chosen)), score[top]
+
+
+def _inside(page: Page, k: int, outer: int) -> bool:
+    while k >= 0 and k != outer:
+        k = page.parents[k]
+    return k == outer
+
+
+def _with_title(page: Page, chosen: int) -> int:
+    """chosen, or if it has no h1 the smallest element around it that has the page's only one: of an article only its main, or what wraps both."""
+    if len(page.titles) != 1 or page.titles[0] < 0 or _inside(page, page.titles[0], chosen):
+        return chosen
+    up = page.parents[chosen]
+    while up >= 0 and not _inside(page, page.titles[0], up):
+        up = page.parents[up]
+    is_article = page.labels[chosen].partition(".")[0] == "article"
+    return up if up >= 0 and not (is_article and page.labels[up].startswith("body")) else chosen
 
 
 def text_at(page: Page, path: str | None) -> str:

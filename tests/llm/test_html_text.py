@@ -102,6 +102,26 @@ def test_deep_nesting():
     assert text("<a" * n) == ""
 
 
+@pytest.mark.parametrize("inner", ['<h2 id="navigation">Navigation</h2>', '<h2 id="comments">Comments</h2>', '<h2 id="related">Related</h2>', '<h1 id="header">Header</h1>', '<p class="social">Social words.</p>', '<section id="search"><h2>Search</h2><p>How to.</p></section>', '<table><tr><th class="header">Head</th><td class="ad-1">cell</td></tr></table>', "<p>A <label>word</label> here</p>"])
+def test_names_do_not_take_content(inner):
+    """Ids made from a heading's words, classes of cells and lines, sections of an article, labels inside a sentence."""
+    want = [x.strip() for x in h.re.sub(r"</?(?:label|b)>", "", inner).replace("><", ">\n<").split("\n")]
+    want = [y for y in (h.re.sub("<[^>]*>", "", x).strip() for x in want) if y]
+    assert text(f"<body><nav>menu</nav><article><p>Before it.</p>{inner}<p>After it.</p></article><div class=sidebar>x</div></body>") == "\n".join(["Before it.", *want, "After it."])
+    assert text("<article><p>So it is.</p><section id=comments><p>A reader</p></section><section class=related><p>Card</p></section></article>") == "So it is."
+
+
+def test_little_text_and_titles_stay():
+    """A lead or title of a few words beside a long text, in its wrapper, or beside an article in main."""
+    long_text = ("long text of the story " * 60).strip()
+    assert text(f'<body><div class="wrap"><div class="lead"><p>Lead paragraph.</p></div><div class="text"><p>{long_text}</p></div></div></body>') == f"Lead paragraph.\n{long_text}"
+    assert text(f'<body><div class="t"><h1>Title</h1></div><div class="c"><p>{long_text}</p></div></body>') == f"Title\n{long_text}"
+    assert text(f"<body><main><h1>Title</h1><article><p>{long_text}</p></article></main></body>") == f"Title\n{long_text}"
+    assert text(f"<body><div class=w><h1>Title</h1><article><p>{long_text}</p></article></div><p>site</p></body>") == f"Title\n{long_text}"
+    assert text(f"<body><h1>Site</h1><article><p>{long_text}</p></article></body>") == long_text
+    assert text(f"<body><h1>Site</h1><article><h1>Title</h1><p>{long_text}</p></article></body>") == f"Title\n{long_text}"
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_generated_pages(seed):
     """Pages built from a known article: random wrappers, sibling divs, boilerplate, unclosed tags, nested comments."""
