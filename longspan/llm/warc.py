@@ -4,9 +4,11 @@ A record's payload is cut into chunks of at most ``chunk_bytes``. Each chunk is
 ``response`` (or ``revisit``) record, later ones are ``continuation`` records that name the first and their number.
 Every segment carries the SHA-256 of the payload up to its own end, so a reader checks a record chunk by chunk and
 never holds more than one. Spark's text writer puts the segments into gzip files; ``maxRecordsPerFile`` times
-``chunk_bytes`` bounds a file, and a lost executor only repeats its own files. The reader takes other gzip WARC files too
-(a member per record, records without segments; the block of a record is its payload, and a SHA-256 is checked if one is
-stated); Spark hands it a file as one value, so a file may have 2 GB at most, compressed.
+``chunk_bytes`` bounds a file, and a lost executor only repeats its own files. The reader takes other WARC files too,
+gzip (a member per record) or plain, records without segments: their blocks are cut into chunks as they stream by, the
+block of a record is its payload, and a SHA-256 is checked if one is stated. Header lines may be folded and need not be
+UTF-8 (they are Latin-1 then), and zeros may pad a file's end. Spark hands the reader a file as one value, so a file may
+have 2 GB at most, as it lies.
 
 Defined results: null payload = empty; null url = empty; null ids are written and read as null; repeated rows each
 give a record of their own, and all rows that hold the smallest id of their payload are responses; an empty table
@@ -103,19 +105,29 @@ def write_archive(rows: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, re
 
 
 class _Stream:
-    """Reads a gzip buffer piece by piece: one member after the other, as WARC files have one per record."""
+    """Reads a buffer piece by piece: plain, or gzip, one member after the other, as WARC files have one per record."""
 
     def __init__(self, data: memoryview):
-        self.data, self.at, self.have, self.inflate = data, 0, bytearray(), zlib.decompressobj(31)
+        self.data, self.at, self.have, self.fresh = data, 0, bytearray(), True
+        self.inflate = zlib.decompressobj(31) if bytes(data[:2]) == b"\x1f\x8b" else None
 
     def more(self) -> bool:
+        if self.inflate is None:
+            piece = bytes(self.data[self.at : self.at + (1 << 16)])
+            self.at += len(piece)
+            self.have += piece
+            return bool(piece)
         while self.at < len(self.data):
+            if self.fresh and self.data[self.at] == 0:  # zeros between members, or after the last one
+                self.at += 1
+                continue
+            self.fresh = False
             piece = self.data[self.at : self.at + (1 << 16)]
             self.at += len(piece)
             got = self.inflate.decompress(piece)
             if self.inflate.eof:  # the rest belongs to the next member
                 self.at -= len(self.inflate.unused_data)
-                self.inflate = zlib.decompressobj(31)
+                self.inflate, self.fresh = zlib.decompressobj(31), True
             elif self.at == len(self.data):
                 raise ValueError("a gzip member ends before its time")
             if got:
@@ -141,6 +153,21 @@ class _Stream:
         return out
 
 
+def _header(head: bytes) -> dict[str, str]:
+    """Fields of a record's header in lower case; folded lines go on, lines without a colon say nothing, of several of a name the last counts."""
+    try:
+        text = head.decode()
+    except UnicodeDecodeError:
+        text = head.decode("latin-1")
+    lines: list[str] = []
+    for x in text.split("\r\n")[1:]:
+        if x[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + x.strip()
+        else:
+            lines.append(x)
+    return {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines if ":" in x)}
+
+
 def _parse(keep_bytes: bool):
     names = [x.split()[0] for x in CHUNKS.split(", ")]
 
@@ -154,28 +181,33 @@ def _parse(keep_bytes: bool):
         for batch in batches:
             for i in range(batch.num_rows):
                 stream, state = _Stream(memoryview(batch.column(0)[i].as_buffer())), (None, None)
-                while head := stream.until(END):
-                    h = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in head.decode().split("\r\n")[1:])}
+                while head := stream.until(END).lstrip(b"\x00\r\n"):
+                    h = _header(head)
                     number = lambda k, other=None: int(h[k]) if h.get(k) else other
                     size, own = number("content-length"), h["warc-record-id"]
-                    body = stream.take(size)
-                    if len(body) != size or stream.take(4) != END:
-                        raise ValueError(f"truncated segment {own}")
                     origin, no, last = h.get("warc-segment-origin-id", own), number("warc-segment-number", 1), h.get("segment-last", "1") == "1"
-                    digest = hashlib.sha256() if no == 1 else state[1] if state[0] == origin else None
-                    state = (origin, digest)
-                    if digest:
-                        digest.update(body)
-                    whole = digest is not None
-                    # A record that goes on in another file keeps its chunks, to be digested where they meet.
-                    keep = body if keep_bytes or not whole or not last else None
                     stated = h.get("warc-payload-digest", "")
                     stated = stated[7:] if stated.startswith("sha256:") else None
-                    rows.append((origin, number("page-key"), h.get("warc-target-uri"), h["warc-type"], number("warc-refers-to-key"), number("payload-length", size if last and no == 1 else None), stated, no, last, size, digest.hexdigest() if whole else None, whole, keep))
-                    held += len(keep or b"") + 400
-                    if held > 1 << 22:
-                        yield flush()
-                        rows, held = [], 0
+                    # A record that isn't cut into segments is cut here.
+                    cut = CHUNK_BYTES if "warc-segment-number" not in h else max(1, size)
+                    for part in range(max(1, -(-size // cut))):
+                        n = min(cut, size - part * cut)
+                        body, final = stream.take(n), (part + 1) * cut >= size
+                        if len(body) != n or final and stream.take(4) != END:
+                            raise ValueError(f"truncated segment {own}")
+                        digest = hashlib.sha256() if no + part == 1 else state[1] if state[0] == origin else None
+                        state = (origin, digest)
+                        if digest:
+                            digest.update(body)
+                        whole = digest is not None
+                        ends = last and final
+                        # A record that goes on in another file keeps its chunks, to be digested where they meet.
+                        keep = body if keep_bytes or not whole or not last else None
+                        rows.append((origin, number("page-key"), h.get("warc-target-uri"), h["warc-type"], number("warc-refers-to-key"), number("payload-length", size if last and no == 1 else None), stated, no + part, ends, n, digest.hexdigest() if whole else None, whole, keep))
+                        held += len(keep or b"") + 400
+                        if held > 1 << 22:
+                            yield flush()
+                            rows, held = [], 0
         if rows:
             yield flush()
 
@@ -184,7 +216,7 @@ def _parse(keep_bytes: bool):
 
 def read_chunks(spark: SparkSession, path: str, keep_bytes: bool = True) -> DataFrame:
     """The chunk table of the archives under path: a row per segment (see CHUNKS), its SHA-256 counted anew from the bytes read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
     return files.mapInArrow(_parse(keep_bytes), CHUNKS)
 
 

@@ -64,8 +64,11 @@ def test_a_member_per_record(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
     got = {r["url"]: r for r in warc.read_records(spark, f"file://{tmp_path}").collect()}
     assert {u: (r["payload_bytes"], r["payload_digest"]) for u, r in got.items()} == {f"http://h/{k}": (len(b), hashlib.sha256(b).hexdigest()) for k, b in enumerate(bodies)}
-    chunks = warc.read_chunks(spark, f"file://{tmp_path}").collect()
-    assert sorted(bytes(c["chunk"]) for c in chunks) == sorted(bodies)
+    whole = {}
+    for c in sorted(warc.read_chunks(spark, f"file://{tmp_path}").collect(), key=lambda c: (c["record_id"], c["chunk_no"])):
+        assert len(c["chunk"]) <= warc.CHUNK_BYTES
+        whole[c["record_id"]] = whole.get(c["record_id"], b"") + bytes(c["chunk"])
+    assert [whole[f"<urn:uuid:{k}>"] for k in range(4)] == bodies
 
 
 @pytest.mark.parametrize("tail", [gzip.compress(b"WARC/1.0\r\n")[:-9], b"not gzip"])
@@ -79,3 +82,29 @@ def test_a_broken_end_is_seen(spark, tmp_path, tail):
 def test_payloads_are_not_shuffled(spark):
     rows = warc.records(pages(spark, [(k, "u", "x" * 500) for k in range(5)]))
     assert "SortMergeJoin" not in rows._jdf.queryExecution().toString()
+
+
+def record(k, body, uri=None, more=b""):
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nWARC-Target-URI: %s\r\n%sContent-Length: %d\r\n\r\n" % (k, uri or b"http://h/%d" % k, more, len(body)) + body + warc.END
+
+
+def test_foreign_headers_padding_and_plain_files(spark, tmp_path):
+    """Folded lines, lines without a colon, Latin-1, zeros at the end, and a file that isn't compressed."""
+    folded = record(1, b"one", more=b"X-Note: a\r\n  b: c\r\nnothing\r\n")
+    latin = record(2, b"two", uri="http://h/é".encode("latin-1"))
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(folded) + b"\x00" * 5000 + gzip.compress(latin) + b"\x00" * 70_000)
+    (tmp_path / "b.warc").write_bytes(record(3, b"three") + record(4, b"") + b"\x00" * 100)
+    (tmp_path / "c.txt").write_bytes(b"no archive")
+    got = {r["url"]: r["payload_bytes"] for r in warc.read_records(spark, f"file://{tmp_path}").collect()}
+    assert got == {"http://h/1": 3, "http://h/é": 3, "http://h/3": 5, "http://h/4": 0}
+
+
+def test_a_large_foreign_record_is_chunked(spark, tmp_path):
+    """100 MB in rows of 64 KB, and its digest is that of the whole."""
+    body = bytes(range(256)) * (100 * (1 << 20) // 256)
+    digest = hashlib.sha256(body).hexdigest()
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record(1, body, more=b"WARC-Payload-Digest: sha256:%s\r\n" % digest.encode()), 1))
+    rows = warc.read_chunks(spark, f"file://{tmp_path}").selectExpr("chunk_no", "length(chunk) AS n", "last").collect()
+    assert len(rows) == 1600 and max(r["n"] for r in rows) == 1 << 16 and [r["chunk_no"] for r in rows if r["last"]] == [1600]
+    (r,) = warc.read_records(spark, f"file://{tmp_path}").collect()
+    assert (r["payload_bytes"], r["payload_digest"], r["n_chunks"]) == (len(body), digest, 1600)
