@@ -2,7 +2,9 @@
 
 Templates and documents are lower-cased words of letters and digits. Of a template's hashes of ``GRAM`` words in a row,
 winnowing keeps the smallest of each ``WINNOW`` neighbours; an inverted index holds them. Every gram of a document is
-looked up, so a shared passage of GRAM + WINNOW - 1 words can't be missed. Hits on neighbouring diagonals of a template,
+looked up, so a shared passage of GRAM + WINNOW - 1 words can't be missed. Of a template of fewer than ``SHORT`` words
+all grams are held, of one of fewer than ``LINE`` words all pairs, of which a place must show nearly as many as one changed
+word leaves, so a line with a word changed is found, too. Hits on neighbouring diagonals of a template,
 no further apart than twice the band, form one candidate, which a banded local alignment scores. Alignments of a template
 that follow each other in both texts, a clause or name of some length inserted between them, are one match. Matches that
 cover at least ``coverage`` of their template are reported with their spans. The index is a constant of the library's size; documents are read once, without a
@@ -16,7 +18,7 @@ stays; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from longspan.llm.common import table
 
 GRAM = 3
 WINNOW = 4
+#: Words below which all grams of a template are held, and below which pairs are.
+SHORT, LINE = 25, 8
 COVERAGE = 0.8
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"[^\W_]+")
@@ -68,23 +72,27 @@ class Index:
         self.names = list(templates)
         self.number: dict[str, int] = {}
         self.texts = [np.array([self.number.setdefault(w, len(self.number)) for w in words(t)], np.int64) for t in templates.values()]
-        postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        postings: dict[int, dict[int, list[tuple[int, int]]]] = {GRAM: defaultdict(list), 2: defaultdict(list)}
         for t, text in enumerate(self.texts):
-            code = self.codes(text)
+            gram = 2 if len(text) < LINE else GRAM
+            code = self.codes(text, gram)
             order = self._spread(code)
-            width = max(1, min(WINNOW, len(code)))
+            width = max(1, min(WINNOW, len(code))) if len(text) >= SHORT else 1
             for at in sorted({lo + int(order[lo : lo + width].argmin()) for lo in range(len(code) - width + 1)}):
-                postings[int(code[at])].append((t, at))
-        self.codes_kept = np.array(sorted(postings), np.int64)
-        self.postings = [postings[c] for c in self.codes_kept.tolist()]
+                postings[gram][int(code[at])].append((t, at))
+        self.held = [(gram, np.array(sorted(p), np.int64), [p[c] for c in sorted(p)]) for gram, p in postings.items() if p]
 
-    def codes(self, ids: np.ndarray) -> np.ndarray:
+    def least_hits(self, t: int) -> int:
+        """Hits that a place of a template needs: of pairs as many as one changed word leaves."""
+        return max(1, len(self.texts[t]) - 3) if len(self.texts[t]) < LINE else 1
+
+    def codes(self, ids: np.ndarray, gram: int) -> np.ndarray:
         """Codes of the grams at each position; -1 where a word is in no template."""
-        n = len(ids) - GRAM + 1
+        n = len(ids) - gram + 1
         if n <= 0:
             return np.empty(0, np.int64)
         code, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(GRAM):
+        for k in range(gram):
             code = code * (len(self.number) + 1) + ids[k : k + n]
             known &= ids[k : k + n] >= 0
         return np.where(known, code, -1)
@@ -96,12 +104,13 @@ class Index:
 
     def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """(document position, template position) by template."""
-        code = self.codes(ids)
-        at = np.minimum(np.searchsorted(self.codes_kept, code), len(self.codes_kept) - 1)
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p in np.flatnonzero(self.codes_kept[at] == code).tolist() if len(code) else []:
-            for t, q in self.postings[at[p]]:
-                out[t].append((p, q))
+        for gram, kept, postings in self.held:
+            code = self.codes(ids, gram)
+            at = np.minimum(np.searchsorted(kept, code), len(kept) - 1)
+            for p in np.flatnonzero(kept[at] == code).tolist() if len(code) else []:
+                for t, q in postings[at[p]]:
+                    out[t].append((p, q))
         return out
 
 
@@ -141,11 +150,12 @@ def align(template: np.ndarray, doc: np.ndarray, low: int, high: int) -> tuple[i
 def chain(parts: list[tuple[int, int, int, int, int]], most_apart: int) -> list[tuple[int, int, int]]:
     """(matched, first, past last) of alignments, and of runs of them in order in both texts and at most most_apart words apart; the best first."""
     parts = sorted(set(parts), key=lambda m: (m[1], m[2]))
+    longest = max((m[2] - m[1] for m in parts), default=0)
     best: list[tuple[int, int]] = []  # matched in all up to a part, and where its run begins
     for k, (n, first, _, begin, _) in enumerate(parts):
         own, start = n, first
         for j in range(k - 1, -1, -1):
-            if parts[j][1] < first - 2 * most_apart - (parts[j][2] - parts[j][1]):
+            if parts[j][1] < first - most_apart - longest:  # none before it ends near enough
                 break
             if parts[j][2] <= first <= parts[j][2] + most_apart and parts[j][4] <= begin and best[j][0] + n > own:
                 own, start = best[j][0] + n, best[j][1]
@@ -162,11 +172,13 @@ def scan(index: Index, text: str | None, coverage: float = COVERAGE) -> list[tup
     for t, hits in index.hits(ids).items():
         template = index.texts[t]
         band = min(16, max(1, len(template) // 4))
-        diagonals = sorted({p - q for p, q in hits})
+        places = Counter(p - q for p, q in hits)
+        diagonals = sorted(places)
         begin, mine = 0, []
         for k in range(1, len(diagonals) + 1):
             if k == len(diagonals) or diagonals[k] - diagonals[k - 1] > band or diagonals[k] - diagonals[begin] > 2 * band:
-                m = align(template, ids, diagonals[begin] - band, diagonals[k - 1] + band)
+                enough = sum(places[x] for x in diagonals[begin:k]) >= index.least_hits(t)
+                m = align(template, ids, diagonals[begin] - band, diagonals[k - 1] + band) if enough else (0,)
                 begin = k
                 if m[0] >= GRAM:
                     mine.append(m)
