@@ -192,7 +192,9 @@ def admit(df: DataFrame, scenario: str, strict: bool = False, dynamic: list[str]
         normalise(sets[name], columns, scenario)
     kept = [c for c in [*KEYS, "y", *STRATA, *BLOCKS, *WEIGHTS, *QC_ONLY] if c in columns]
     added = {"F1": [c for c in sets["F1"] if c not in sets["F0"]], "F2": [c for c in sets["F2"] if c not in sets["F1"]]}
-    return Admission(scenario, sets, unique(kept), missing, added, sorted(constants))
+    got = Admission(scenario, sets, unique(kept), missing, added, sorted(constants))
+    check_admission(got)
+    return got
 
 
 def with_extras(predictors: list[str], columns: list[str], extras: list[str], policy: str = "auto") -> list[str]:
@@ -257,6 +259,46 @@ def adaptive_call(f: Callable, **options):
     return f(**{k: v for k, v in options.items() if whole or k in taken})
 
 
+# Columns that identify a row and that weight it, and the pattern of columns kept for splits only.
+ID_COLUMNS = ["cell_id", "date", "y", "year", "month"]
+WEIGHT_COLUMNS = ["pi", "d_weight", "pi_clip", "d_weight_clip", "weight", "valid_core_pass", "valid_core"]
+SPLIT_ONLY = r"^(grid10km_id|grid50km_id|grid100km_id|spatial_block_id|tile_id)$"
+
+
+def inferred_roles(columns: list[str], qc_only: str, split_only: str = "") -> dict[str, list[str]]:
+    """Columns that are there as id, weight, qc and split; qc_only and split_only are patterns, of which an empty one is the default."""
+    qc, split = option_pattern(qc_only, r"^$"), option_pattern(split_only, SPLIT_ONLY)
+    return {
+        "id": [c for c in ID_COLUMNS if c in columns],
+        "weight": [c for c in WEIGHT_COLUMNS if c in columns],
+        "qc": [c for c in columns if qc.search(c)],
+        "split": [c for c in columns if split.search(c)],
+    }
+
+
+def option_pattern(text: str | None, default: str) -> re.Pattern:
+    """The pattern of an option, or the default for a blank one; one that can't be read is an error that names it."""
+    pattern = (text or "").strip() or default
+    try:
+        return re.compile(pattern)
+    except re.error as e:
+        raise ValueError(f"pattern {pattern!r}: {e}") from e
+
+
+def check_admission(got: Admission) -> None:
+    """Raises unless sets are nested, their steps are the recorded ones in order, and no dropped constant stayed."""
+    names = list(got.predictors)
+    for a, b in zip(names, names[1:]):
+        step = [c for c in got.predictors[b] if c not in set(got.predictors[a])]
+        if not set(got.predictors[a]) <= set(got.predictors[b]) or step != got.added[b]:
+            raise ContractError(f"{b} is not {a} and its recorded step: {step} against {got.added[b]}")
+    for name, columns in got.predictors.items():
+        if kept := sorted(set(columns) & set(got.dropped_constant)):
+            raise ContractError(f"{name} keeps constants {kept}")
+        if len(set(columns)) < len(columns):
+            raise ContractError(f"{name} repeats columns")
+
+
 def options_list(text: str | None) -> list[str]:
     """Names in a comma-separated option."""
     return [x.strip() for x in (text or "").split(",") if x.strip()]

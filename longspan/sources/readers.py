@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import os
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,16 +112,24 @@ def feature_sets(path: str) -> dict[str, list[str]]:
 
 
 def parse_yaml_lists(text: str) -> dict[str, list[str]]:
+    """Names with lists of plain values, in block or flow style; any other YAML (nested, anchors, several documents) is an error that names its line."""
     out: dict[str, list[str]] = {}
-    name = ""
-    for line in text.splitlines():
-        if line.startswith("#") or not line.strip():
+    name, plain = "", lambda x: x.split(" #")[0].strip().strip("\"'")
+    for number, line in enumerate(text.splitlines(), 1):
+        bare = line.split(" #")[0].rstrip()
+        if bare.lstrip().startswith("#") or not bare.strip() or bare == "---" and not out:
             continue
-        if not line.startswith((" ", "-")) and line.rstrip().endswith(":"):
-            name = line.strip()[:-1]
+        key, colon, rest = bare.partition(":")
+        if not bare.startswith((" ", "-")) and colon and not rest:
+            name = plain(key)
             out[name] = []
-        elif line.strip().startswith("- ") and name:
-            out[name].append(line.strip()[2:].strip().strip("\"'"))
+        elif not bare.startswith((" ", "-")) and colon and rest.strip().startswith("[") and rest.strip().endswith("]") and "[" not in rest.strip()[1:]:
+            name = ""
+            out[plain(key)] = [plain(x) for x in rest.strip()[1:-1].split(",") if x.strip()]
+        elif bare.strip().startswith("- ") and name and not re.search(r":(\s|$)|^\s*- [-&*{\[|>]", bare):
+            out[name].append(plain(bare.strip()[2:]))
+        else:
+            raise ValueError(f"line {number} is not a name with a list of plain values: {line.strip()!r}")
     return out
 
 

@@ -45,6 +45,18 @@ def write_csv(df: DataFrame, path: str, digits: int = 6, mode: str = "errorifexi
     df.select(*rounded).coalesce(1).write.mode(mode).option("header", True).csv(path)
 
 
+def write_sheets(spark: SparkSession, sheets: dict[str, DataFrame], path: str, kind: str = "csv") -> None:
+    """A workbook as a folder: a table for each sheet, CSV or Parquet, and workbook.json with their order, names and columns."""
+    if kind not in ("csv", "parquet"):
+        raise ValueError(kind)
+    folders = {name: "".join(c if c.isalnum() or c in "-_" else "_" for c in name) for name in sheets}
+    if len(set(folders.values())) < len(folders):
+        raise ValueError(f"sheets of one file name: {sorted(folders)}")
+    for name, df in sheets.items():
+        write_csv(df, f"{path}/{folders[name]}.csv") if kind == "csv" else write_parquet(df, f"{path}/{folders[name]}.parquet")
+    manifest(spark, f"{path}/workbook.json", {"sheets": [{"name": n, "table": f"{folders[n]}.{kind}", "columns": df.columns} for n, df in sheets.items()]})
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A report, manifest or list as one file in any store that Spark writes."""
     fs, p = _fs(spark, path)

@@ -257,3 +257,19 @@ def test_feature_families():
     got = models.families(names)
     assert got == {"climo": ["BIOME", "month"], "memory": ["y_lag1"], "climate": ["P_sum_mon_lag1", "VPD_mean_mon_lag1_roll3m_mean", "P_sum_mon_cov_lag1", "P_sum_mon_missing_lag1"], "vegetation": ["NDVI_mean_mon_lag1"]}
     assert models.families(names, vegetation_coverage=True)["vegetation"] == ["NDVI_mean_mon_lag1", "NDVI_mean_mon_cov_lag1"]
+
+
+def test_roles_are_inferred_and_patterns_read():
+    got = catalog.inferred_roles(["x", "date", "cell_id", "pi", "weight", "n_qc", "tile_id", "grid7"], r"_qc$", "")
+    assert got == {"id": ["cell_id", "date"], "weight": ["pi", "weight"], "qc": ["n_qc"], "split": ["tile_id"]}
+    assert catalog.inferred_roles(["grid7", "tile_id"], "", "^grid")["split"] == ["grid7"]
+    with pytest.raises(ValueError):
+        catalog.option_pattern("(", "x")
+
+
+def test_admission_invariants():
+    good = catalog.Admission("lead1", {"F0": ["a"], "F1": ["a", "b"], "F2": ["a", "b", "c"]}, [], {}, {"F1": ["b"], "F2": ["c"]}, ["k"])
+    catalog.check_admission(good)
+    for sets, added, constants in (({"F0": ["a"], "F1": ["b"]}, {"F1": ["b"]}, []), ({"F0": ["a"], "F1": ["a", "b"]}, {"F1": ["c"]}, []), ({"F0": ["k"], "F1": ["k"]}, {"F1": []}, ["k"]), ({"F0": ["a", "a"]}, {}, [])):
+        with pytest.raises(ContractError):
+            catalog.check_admission(catalog.Admission("lead1", sets, [], {}, added, constants))

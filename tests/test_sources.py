@@ -80,3 +80,21 @@ def test_headers_are_read_in_one_job(spark, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         assert sorted((int(r["id"]), r["v"], r["__source_file__"]) for r in df.collect()) == [(k, str(k * 2), f"{n}_{k:02d}.csv") for k in range(n)]
     assert jobs[4] == jobs[12]
+
+
+def test_a_workbook_is_a_folder_of_tables(spark, tmp_path):
+    sheets = {"Data dictionary": spark.range(3), "QC": spark.range(2).withColumn("x", F.lit(1 / 3))}
+    for kind in ("csv", "parquet"):
+        sinks.write_sheets(spark, sheets, f"{tmp_path}/{kind}", kind)
+        held = __import__("json").loads((tmp_path / kind / "workbook.json").read_text())["sheets"]
+        assert [(s["name"], s["columns"]) for s in held] == [("Data dictionary", ["id"]), ("QC", ["id", "x"])]
+        assert [spark.read.format(kind).option("header", True).load(f"{tmp_path}/{kind}/{s['table']}").count() for s in held] == [3, 2]
+    with pytest.raises(ValueError):
+        sinks.write_sheets(spark, {"a b": spark.range(1), "a_b": spark.range(1)}, f"{tmp_path}/x")
+
+
+def test_yaml_lists_and_what_is_refused():
+    assert readers.parse_yaml_lists("---\n# sets\nF0: # first\n  - a\n  - 'b'\nF1: [a, \"b\", c]\nF2:\n- x\n") == {"F0": ["a", "b"], "F1": ["a", "b", "c"], "F2": ["x"]}
+    for bad in ("F0:\n  in:\n    - a\n", "F0:\n  - a: 1\n", "F0: word\n", "- a\n", "F0: [a, [b]]\n", "F0:\n  - - a\n", "F0:\n  - *x\n"):
+        with pytest.raises(ValueError):
+            readers.parse_yaml_lists(bad)
