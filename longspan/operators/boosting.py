@@ -353,7 +353,7 @@ def sampled_columns(s: Settings, n: int, number: int) -> list[int]:
 
 
 def fit(train: DataFrame, features: list[str], val: DataFrame | None = None, settings: Settings | None = None, weight: str | None = "weight", y: str = "y", name: str = "p_boosted") -> Boosted:
-    """Boosted trees; with val, growth ends after ``patience`` trees without a better metric on it, and trees after the best are dropped."""
+    """Boosted trees; with val, growth ends after ``patience`` trees without a better metric on it, and trees after the best are dropped, but never the first. history holds the metric after each tree."""
     s = settings or Settings()
     if s.stop_on not in ("auprc", "loss"):
         raise ValueError(s.stop_on)
@@ -364,7 +364,7 @@ def fit(train: DataFrame, features: list[str], val: DataFrame | None = None, set
         grower, used = Grower(s), sampled_columns(s, len(features), number)
         rows = best_splits(histogram(state, model, s, grower, recent, used, number), s).collect()  # a row for each (node, feature)
         grower.take(rows)
-        if val is not None:
+        if val is not None and number:
             score = _validation_auprc(state, recent, len(features)) if s.stop_on == "auprc" else -(grower.loss or 0.0)
             model.history.append(score)
             if score > best + 1e-12:

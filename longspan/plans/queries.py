@@ -624,12 +624,13 @@ def tree_root_splits(spark, sf):
 
 
 LEAFWISE = boosting.Settings(rate=0.3, patience=3)
+NOWCAST_FEATURES = [*MODEL_FEATURES, "qty_sum_mon", "obs_n"]  # of the same month, too
 
 
 def _leafwise(spark, sf) -> tuple[DataFrame, boosting.Boosted]:
     rows = models.weighted(splits.p1(S.features(spark, sf), W), "balanced")
     role = F.col("split_role")
-    return rows, boosting.fit(rows.where(role == "train"), MODEL_FEATURES, rows.where(role == "val"), LEAFWISE)
+    return rows, boosting.fit(rows.where(role == "train"), NOWCAST_FEATURES, rows.where(role == "val"), LEAFWISE)
 
 
 @query()
