@@ -2,16 +2,17 @@
 
 Each page's containers (body, article, main, section, div, td) are scored by the text of their blocks less that of
 links, in full for the block's own container and by half for each one further out. A page votes for the path of its
-best container: of the outermost article around it if there is one, else of the smallest element around it that holds
-nearly all of the page's unlinked text (and on to one with text of its own beside it), so that text in a sibling of the
-best container is not lost. A path is tags and
-classes from the root, digits in classes generalised. Spark adds up votes by host and path; the path with most votes
+best container: of the outermost article around it if there is one, else of the smallest element inside the body that
+holds all of the page's unlinked text, else (only the body holds all) of the smallest that holds nearly all, and on to
+one with text of its own beside it. If the page has one h1 and it stands outside, what wraps both is taken (of an
+article: no more than its main). A path is tags and classes from the root, digits in classes generalised. Spark adds up votes by host and path; the path with most votes
 (then most score, then first in order) wins. Pages are then extracted anew from the elements on their host's path; a
 page that has none there falls back on its own best container. Votes are summed in the tasks before their shuffle, and
 pages meet the winners in a join that Spark may split, so a large host is no burden.
 
 Left out at any depth: what isn't content by tag, role or a whole class or id (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments), but for class or id nothing that wraps the page's content. Of a
+notices, adverts, forms, scripts, styles, comments), but for class or id nothing that wraps the page's content, and no
+heading, line, cell or list item; the id of a section inside an article counts only for readers' comments. Of a
 header inside an article its headings stay. What is left out inside a line does not divide the line; a <br> is white
 space. Attributes are read as HTML reads them: a quote opens a value only after an equals sign. Time and memory grow
 with a page's length, however deep its elements nest.
