@@ -1,38 +1,53 @@
 """Toxicity scores from subword-bag embeddings under a linear softmax.
 
 A word is the bag of its character n-grams (with word edges); each n-gram hashes to a learned vector. The vectors of a
-window's words are averaged and go through a linear softmax; vectors and softmax are trained jointly in numpy. A text's
-score is that of its most toxic window of ``WINDOW`` words, over every window of the whole text. Training starts on
-averages over whole texts and goes on with each text's top windows, so a few words in a long text are found, and
-misspellings of them share their n-grams. Under the softmax an average of vectors is an average of numbers, one per
-word, which workers remember.
+window of ``WINDOW`` words are averaged and go through a linear softmax. A text's score is that of its most toxic window,
+over every window of the whole text: a toxic word is found in a text of any length, and misspellings and unseen endings
+of it share its n-grams. Words beside a toxic one dilute it, so a window is one word: windows of two find fewer toxic texts.
+
+Vectors and softmax are trained jointly in numpy, by Adam on all training texts at once. A toxic text is taken to have at
+least one toxic window, any other none: with window odds p, the chance of a toxic text is 1 - prod(1 - p), so each window
+of a toxic text learns in proportion to how far it explains the label, and no first guess locks in. In each round only
+``KEEP`` of a toxic text's windows, drawn anew, are asked, so that words which always stand beside others that explain
+the label learn too; in every ``MISSPELT``-th round each word has one letter inserted, deleted or replaced. N-grams met in
+the words of one text only have no vector, and vectors decay, so that the model doesn't learn texts by heart.
 
 Training reads at most ``PER_CLASS`` labelled texts of each class (those of smallest hash of their id; of several texts
-of one id that of smallest hash), in one task;
-the model has a fixed size. Everything else covers all rows.
+of one id that of smallest hash) and of these, in that order, ``CLASS_BYTES`` bytes a class, without texts above
+``TEXT_BYTES``; in one task, and the model has a fixed size. Everything else covers all rows.
 
 Defined results: null and empty texts get the score of an empty bag; null ids are scored; labels that are null do not
 count, and of several for one id the highest counts; rows that repeat are scored alike, each for itself; without
-labelled rows every score is that of the untrained model; other columns are not read.
+labelled rows of both classes every score is that of the untrained model, near 0; other columns are not read.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from longspan.llm.common import table
 
 PER_CLASS = 3000
-WINDOW = 8
+CLASS_BYTES = 8 << 20
+TEXT_BYTES = 1 << 20
+WINDOW = 1
 DIM = 8
-BITS = 17
-GRAMS = (3, 4, 5)
+BITS = 18
+GRAMS = (3, 4, 5, 6)
+ROUNDS = 80
+RATE = 0.1  # of the first half of the rounds; then it falls to 0
+DECAY = 1e-4
+KEEP = 0.3  # of a toxic text's windows, others in every round
+MISSPELT = 3  # every so many rounds all words are misspelt
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+PRIOR = -4.0  # log odds of a window before anything is learned
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_/\\"
 WORDS_KEPT = 400_000
 PART = 20_000
@@ -66,97 +81,104 @@ def gram_parts(names: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
 
 
 class Model:
-    def __init__(self, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.vectors = rng.normal(0, 0.1, (1 << BITS, DIM))
-        self.softmax = rng.normal(0, 0.1, (DIM, 2))
-        self.bias = np.zeros(2)
+    """Vectors of n-grams (zero where nothing was learned), softmax and bias."""
+
+    def __init__(self):
+        self.vectors = np.zeros((1 << BITS, DIM), np.float32)
+        self.softmax, self.bias = np.zeros((DIM, 2)), np.array([0.0, PRIOR])
         self.trained = False
-        self.seen = [np.full(x.shape, 1e-8) for x in (self.vectors, self.softmax, self.bias)]
+
+    @cached_property
+    def slope(self) -> np.ndarray:
+        """Each n-gram's share in a window's log odds: under the softmax an average of vectors is an average of numbers."""
+        return self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])
 
     def numbers(self, names: list[str]) -> np.ndarray:
         """Each word's share in a window's log odds."""
-        return np.concatenate([self.of_grams(gram_parts(names[k : k + PART])) for k in range(0, len(names), PART)])
-
-    def of_grams(self, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
-        """numbers of the names of gram_parts."""
-        slope = self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])
-        return np.concatenate([np.bincount(word, slope[bucket], n) / np.bincount(word, minlength=n) for n, bucket, word in parts])
+        return np.concatenate([np.bincount(word, self.slope[bucket], n) / np.bincount(word, minlength=n) for n, bucket, word in gram_parts(names)])
 
     @property
     def offset(self) -> float:
         return float(self.bias[1] - self.bias[0])
 
-    def step(self, names: list[str], example: np.ndarray, word: np.ndarray, share: np.ndarray, label: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        """One Adagrad step on examples that are bags: entries (example, word, share)."""
-        bucket, owner = grams(names)
-        count = np.bincount(owner, minlength=len(names))
-        total = lambda at, values, n: np.stack([np.bincount(at, values[:, k], n) for k in range(DIM)], 1)
-        by_word = total(owner, self.vectors[bucket], len(names)) / count[:, None]
-        bag = total(example, by_word[word] * share[:, None], len(label))
-        odds = bag @ self.softmax + self.bias
-        p = np.exp(odds - odds.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(label)), label] -= 1
-        err = p * (weight / weight.sum())[:, None]
-        back = total(word, (err @ self.softmax.T)[example] * share[:, None], len(names)) / count[:, None]
-        slopes = (total(bucket, back[owner], 1 << BITS), bag.T @ err, err.sum(0))
-        for x, g, s in zip((self.vectors, self.softmax, self.bias), slopes, self.seen):
-            s += g * g
-            x -= rate * g / np.sqrt(s)
-
-
-def top_windows(z: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, means) of the k windows of highest mean that do not overlap, best first; a shorter text is one window."""
-    if len(z) <= WINDOW:
-        return np.zeros(1, int), np.array([z.mean() if len(z) else 0.0])
-    c = np.concatenate([[0.0], np.cumsum(z)])
-    mean = (c[WINDOW:] - c[:-WINDOW]) / WINDOW
-    at = [int(mean.argmax())]
-    for _ in range(k - 1):
-        mean[max(0, at[-1] - WINDOW + 1) : at[-1] + WINDOW] = -np.inf
-        best = int(mean.argmax())
-        if mean[best] == -np.inf:
-            break
-        at.append(best)
-    return np.array(at), (c[np.array(at) + WINDOW] - c[at]) / WINDOW
-
-
-def train(texts: list[str | None], labels: list[int], warm: int = 3, rounds: int = 32, seed: int = 7) -> Model:
-    model, rng = Model(seed), np.random.default_rng(seed)
+
+def windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of every window of texts of these numbers of words, laid end to end; a shorter text is one window."""
+    n = np.where(size > 0, np.maximum(1, size - WINDOW + 1), 0)
+    text = np.repeat(np.arange(len(size)), n)
+    start = np.arange(n.sum()) + np.repeat(np.cumsum(size) - size - np.cumsum(n) + n, n)
+    return text, start, start + np.minimum(WINDOW, size)[text]
+
+
+def shared_buckets(parts: list[tuple[int, np.ndarray, np.ndarray]], docs: list[np.ndarray], n: int) -> np.ndarray:
+    """The buckets of n-grams that words of more than one text hold, in order."""
+    first, last = np.full(n, len(docs)), np.full(n, -1)
+    for i, d in enumerate(docs):
+        last[d] = i
+    for i in range(len(docs) - 1, -1, -1):
+        first[docs[i]] = i
+    low, high, at = np.full(1 << BITS, len(docs)), np.full(1 << BITS, -1), 0
+    for size, bucket, word in parts:
+        np.minimum.at(low, bucket, first[at + word])
+        np.maximum.at(high, bucket, last[at + word])
+        at += size
+    return np.flatnonzero(high > low)
+
+
+def misspelt(word: str, rng: np.random.Generator) -> str:
+    """word with one letter inserted, deleted or replaced."""
+    k, way, c = int(rng.integers(len(word))), int(rng.integers(3)), LETTERS[int(rng.integers(len(LETTERS)))]
+    return (word[:k] + c + word[k:], word[:k] + word[k + 1 :], word[:k] + c + word[k + 1 :])[way] or word
+
+
+def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
+    model, rng = Model(), np.random.default_rng(seed)
     index: dict[str, int] = {}
     docs = [np.array([index.setdefault(w, len(index)) for w in words(t)], np.int32) for t in texts]
-    names, label = list(index), np.array(labels, np.int64)
-    keep = [i for i, d in enumerate(docs) if len(d)]
-    if not keep or len(set(labels)) < 2:
+    label = np.array(labels, bool)
+    if not index or label.all() or not label.any():
         return model
-    model.trained = True
-    balance = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
-
-    def batch(examples: list[tuple[np.ndarray, int]], rate: float, weight: np.ndarray) -> None:
-        entries = np.concatenate([x for x, _ in examples])
-        example = np.repeat(np.arange(len(examples)), [len(x) for x, _ in examples])
-        share = np.repeat([1 / len(x) for x, _ in examples], [len(x) for x, _ in examples])
-        used, word = np.unique(entries, return_inverse=True)
-        model.step([names[i] for i in used], example, word, share, np.array([y for _, y in examples]), weight, rate)
-
-    for _ in range(warm):
-        order = rng.permutation(keep)
-        for at in range(0, len(order), size := min(256, max(16, len(order) // 16))):
-            some = order[at : at + size]
-            batch([(docs[i], label[i]) for i in some], 0.3, balance[some])
+    names, tokens = list(index), np.concatenate(docs)
+    text, start, end = windows(np.array([len(d) for d in docs]))
+    length, toxic = end - start, label[text]
+    weight = np.where(label, 0.25 / label.sum(), 0.5 / (~label).sum())
     parts = gram_parts(names)
-    for _ in range(rounds):
-        z = model.of_grams(parts)
-        examples, weight = [], []
-        for i in keep:
-            for s in top_windows(z[docs[i]], 1 if label[i] else 3)[0]:
-                examples.append((docs[i][s : s + WINDOW], label[i]))
-                weight.append(balance[i])
-        order, weight = rng.permutation(len(examples)), np.array(weight)
-        for at in range(0, len(order), size := min(1024, max(16, len(order) // 8))):
-            some = order[at : at + size]
-            batch([examples[j] for j in some], 0.1, weight[some])
+    used = shared_buckets(parts, docs, len(names))
+    place = np.full(1 << BITS, len(used), np.int32)  # of a bucket among used ones; all others share a last place that stays 0
+    place[used] = np.arange(len(used))
+    odd = gram_parts([misspelt(w, rng) for w in names])
+    spelt, odd = ([(n, place[bucket], word, np.bincount(word, minlength=n)) for n, bucket, word in x] for x in (parts, odd))
+    state = [rng.normal(0, 0.1, (len(used) + 1, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.array([0.0, PRIOR])]
+    state[0][-1] = 0
+    mean, square = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
+    for t in range(1, ROUNDS + 1):
+        vectors, softmax, bias = state
+        parts = odd if t % MISSPELT == 0 else spelt
+        way = softmax[:, 1] - softmax[:, 0]
+        slope = vectors @ way
+        z = np.concatenate([np.bincount(word, slope[at], n) / count for n, at, word, count in parts])
+        total = np.concatenate([[0.0], np.cumsum(z[tokens])])
+        odds = (total[end] - total[start]) / length + bias[1] - bias[0]
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        p *= ~toxic | (rng.random(len(text)) < KEEP)
+        clean = np.exp(np.bincount(text, np.log1p(-p), len(docs)))[text]  # chance that no window of its text is toxic
+        err = weight[text] * p * np.where(toxic, -clean / np.maximum(1 - clean, 1e-9), 1)
+        each = err / length
+        back = np.cumsum(np.bincount(start, each, len(tokens) + 1) - np.bincount(end, each, len(tokens) + 1))[:-1]
+        back = np.bincount(tokens, back, len(names))
+        by_gram, at_name = np.zeros(len(used) + 1), 0
+        for n, at, word, count in parts:
+            by_gram += np.bincount(at, (back[at_name : at_name + n] / count)[word], len(used) + 1)
+            at_name += n
+        by_gram[-1] = 0
+        turn = by_gram @ vectors
+        slopes = (by_gram[:, None] * way + DECAY * vectors, np.stack([-turn, turn], 1) + DECAY * softmax, np.array([-err.sum(), err.sum()]))
+        for x, g, m, s in zip(state, slopes, mean, square):
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            x -= RATE * min(1, 2 - 2 * t / (ROUNDS + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+    model.vectors[used] = state[0][:-1]
+    model.softmax, model.bias, model.trained = state[1], state[2], True
     return model
 
 
@@ -165,14 +187,11 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows.sort(key=lambda r: (r["label"], r["doc_id"], r["text"] or ""))
     texts, labels = [r["text"] for r in rows], [r["label"] for r in rows]
     del rows
-    model = train(texts, labels)
-    model.seen = []
-    model.vectors = model.vectors.astype(np.float32)
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels))], pa.binary())], ["model"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS) -> bytes:
-    """A model from at most per_class labelled rows of each class, among ids for which the condition training holds."""
+def fit(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES, text_bytes: int = TEXT_BYTES) -> bytes:
+    """A model from labelled rows for whose id the condition training holds: per_class rows and class_bytes bytes of each class at most."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).where(training)
     chosen = None
     for y in (0, 1):
@@ -180,10 +199,21 @@ def fit(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS
         chosen = some if chosen is None else chosen.unionByName(some)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class ids
     sample = sample.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("x")).select("doc_id", "x.*")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    so_far = F.sum(size).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))  # per_class rows a label
+    sample = sample.where(size <= text_bytes).withColumn("so_far", so_far).where(F.col("so_far") <= class_bytes).select("doc_id", "text", "label")
     found = sample.repartition(1).mapInArrow(_train, "model binary").collect()
     return found[0][0] if found else pickle.dumps(Model())
 
 
+def top_window(z: np.ndarray) -> float:
+    """The highest mean of WINDOW numbers in a row; of fewer numbers their mean, of none 0."""
+    if len(z) <= WINDOW:
+        return float(z.mean()) if len(z) else 0.0
+    c = np.concatenate([[0.0], np.cumsum(z)]) if WINDOW > 1 else None
+    return float(z.max() if c is None else (c[WINDOW:] - c[:-WINDOW]).max() / WINDOW)
+
+
 class Scorer:
     """Scores texts and remembers the numbers of words."""
 
@@ -198,7 +228,7 @@ class Scorer:
                 self.numbers = {}
                 new = list({w for t in bags for w in t})
             self.numbers.update(zip(new, self.model.numbers(new).tolist()))
-        odds = [top_windows(np.fromiter(map(self.numbers.__getitem__, t), float, len(t)), 1)[1][0] for t in bags]
+        odds = [top_window(np.fromiter(map(self.numbers.__getitem__, t), float, len(t))) for t in bags]
         return 1 / (1 + np.exp(-np.clip(np.array(odds) + self.model.offset, -50, 50)))
 
 
