@@ -13,8 +13,9 @@ published plus chance meetings expected. A set publishes in its own band and in
 Equal sets are one node. A bucket's head is the set that meets most others; the rest of the bucket is verified against
 it, exactly. Components of these links are contracted; what is left, pairs of a set outside its head's component with
 sets of other components in the bucket, is verified pair by pair. So a group of near copies costs about one pair a copy,
-and no link is lost. Before whole sets are compared, sketches bound the difference from below, in the join itself, so
-pairs that can't be similar are never rows. Sets are compared as 64-bit hashes of their shingles.
+and no link is lost. Before whole sets are compared, sketches bound the difference from below: folds in the join itself,
+of large sets then full sketches in Arrow batches, so pairs that can't be similar are never written. Sets are compared
+as 64-bit hashes of their shingles.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; texts shorter than a shingle are
 one shingle; rows that repeat, and rows of one id with different texts, are each returned, linked by their texts; null
@@ -49,7 +50,10 @@ LARGEST_SUBSET = 6
 #: Ids up to which candidates' texts are found by a broadcast; beyond, by a shuffle.
 BROADCAST_ROWS = 500_000
 GOLD = 0x9E3779B97F4A7C15
+#: Bits of a folded sketch, and of the largest one, which tells unlike sets of up to some 36,000 shingles apart at 80 %; larger ones are verified whole.
 SKETCH = 1024
+LARGEST_SKETCH = 1 << 14
+WORDS = [f"fold{k}_" for k in range(SKETCH // 64)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -82,17 +86,23 @@ def node_of(key: bytes, shared: frozenset[int] = frozenset()) -> int:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The parity of the number of elements in each of SKETCH parts of the universe, or of a power of two times as many for larger sets.
+    """The parity of the number of elements in each of SKETCH parts of the universe, or of a power of two times as many for larger sets, to LARGEST_SKETCH.
 
     Two sets differ in at least as many elements as their sketches in bits. A sketch folds in half by exclusive or.
     """
     bits = SKETCH
-    while bits < len(hashes):
+    while bits < min(len(hashes), LARGEST_SKETCH):
         bits *= 2
     parts = np.bincount((mixed(hashes ^ np.uint64(GOLD)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parts.astype(np.uint8)).view(np.int64)
 
 
+def folded(full: np.ndarray) -> np.ndarray:
+    """A sketch folded to SKETCH bits; the sketch itself follows if it is larger."""
+    fold = np.bitwise_xor.reduce(full.reshape(-1, SKETCH // 64), axis=0)
+    return fold if len(full) == len(fold) else np.concatenate([fold, full])
+
+
 def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
@@ -207,7 +217,7 @@ def _parts(width: int, bands: Bands, shared: frozenset[int]):
                 x = shingles(t, width)
                 keys.append(set_key(x))
                 sizes.append(len(x))
-                sketches.append(sketch(x))
+                sketches.append(folded(sketch(x)))
                 names.append(node_of(keys[-1], shared))
                 for k in bands.of(len(x)) if len(x) else []:
                     held.append(bands.signatures(x, k))
@@ -234,6 +244,29 @@ def _sets(width: int, shared: frozenset[int]):
     return run
 
 
+def _near(percent: int):
+    """Of rows a, b, both sizes and two full sketches (null: none) those that may be similar; a batch holds sketches of LARGEST_SKETCH bits at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both, sizes, starts, words = b.column(2).to_numpy(), [], [], []
+            for c in (b.column(3), b.column(4)):
+                sizes.append(np.diff(c.offsets.to_numpy()) * ~c.is_null().to_numpy(zero_copy_only=False))
+                starts.append(c.offsets.to_numpy()[:-1])
+                words.append(c.values.to_numpy())
+            keep = np.ones(b.num_rows, bool)
+            for n, m in {*zip(*(x.tolist() for x in sizes))}:
+                if not n or not m:
+                    continue
+                rows, k = np.flatnonzero((sizes[0] == n) & (sizes[1] == m)), min(n, m)
+                x, y = (np.bitwise_xor.reduce(w[s[rows, None] + np.arange(z)].reshape(len(rows), -1, k), axis=1) for w, s, z in zip(words, starts, (n, m)))
+                apart = np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                keep[rows] = apart * (100 + percent) <= both[rows] * (100 - percent)
+            yield b.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of edges (a, b): the graph is contracted onto each node's smallest neighbour until no edge is left."""
     edges = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -284,16 +317,19 @@ class Join:
         return written(named.select("text").mapInArrow(_sets(self.width, self.shared), "node long, hashes array<long>"))
 
     def possible(self, a: str, b: str) -> Column:
-        """Sizes and sketches of n and sketch of a and b (suffixes) that a similar pair may have."""
+        """Sizes and folded sketches of a and b (suffixes) that a similar pair may have.
+
+        The words of a fold are columns of their own, which keeps this small enough to run compiled.
+        """
         least, most, both = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}"), F.col(f"n{a}") + F.col(f"n{b}")
-        word = lambda s, k: F.get(f"sketch{s}", k)
-        small = reduce(add, (F.bit_count(word(a, F.lit(k)).bitwiseXOR(word(b, F.lit(k)))) for k in range(SKETCH // 64)))
-        size = F.least(F.size(f"sketch{a}"), F.size(f"sketch{b}"))
-        folded = lambda s, k: F.when(F.size(f"sketch{s}") > size, word(s, k).bitwiseXOR(word(s, k + size))).otherwise(word(s, k))
-        large = F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0), lambda x, k: x + F.bit_count(folded(a, k).bitwiseXOR(folded(b, k))))
-        apart = F.when(F.greatest(F.size(f"sketch{a}"), F.size(f"sketch{b}")) == SKETCH // 64, small).otherwise(large)
+        apart = reduce(add, (F.bit_count(F.col(w + a).bitwiseXOR(F.col(w + b))) for w in WORDS))
         return (least * 100 >= most * self.percent) & (apart * (100 + self.percent) <= both * (100 - self.percent))
 
+    def near(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """a, b of pairs (node, n and full of suffixes 1 and 2) that a and b name, without those whose full sketches differ too much."""
+        cells = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col("n1") + F.col("n2")).alias("both"), "full1", "full2")
+        return cells.mapInArrow(_near(self.percent), "a long, b long")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b of the pairs that are similar, by their whole sets."""
         pairs = written(pairs.distinct())
@@ -311,22 +347,24 @@ class Join:
         sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
         fame = members.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("fame"))
         info = written(self.rows.join(fame, "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("fame").alias("fame")))
+        full = F.when(F.size("sketch") > len(WORDS), F.slice("sketch", len(WORDS) + 1, F.size("sketch") - len(WORDS)))
+        info = info.select("node", "n", "fame", full.alias("full"), *(F.get("sketch", k).alias(w) for k, w in enumerate(WORDS)))
         heads = members.join(info.select("node", "fame"), "node").groupBy("sig").agg(F.max_by("node", F.struct("fame", "node")).alias("head"))
         placed = written(members.join(heads, "sig"))
         star = placed.where("node != head").select("head", "node").distinct()
-        one, two = (info.select(*(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "sketch"))) for k in (1, 2))
-        near = star.join(one, F.col("head") == F.col("node1")).join(two, F.col("node") == F.col("node2")).where(self.possible("1", "2"))
-        linked = self.verified(near.select(F.col("head").alias("a"), F.col("node").alias("b")))
+        one, two = (info.select(*(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "full", *WORDS))) for k in (1, 2))
+        spokes = star.join(one, F.col("head") == F.col("node1")).join(two, F.col("node") == F.col("node2")).where(self.possible("1", "2"))
+        linked = self.verified(self.near(spokes, "node1", "node2"))
         # What is left: pairs of a set that isn't in its head's component with the bucket's sets in other components.
         roots = components(linked)
         rooted = placed.join(roots, "node", "left").join(roots.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left")
         rooted = rooted.select("sig", "node", "head", F.coalesce("root", "node").alias("root"), F.coalesce("head_root", "head").alias("head_root"))
         apart = rooted.where("root != head_root").select("sig").distinct()
         rest = written(rooted.join(apart, "sig", "left_semi").where("node != head").join(info.drop("fame"), "node"))
-        one, two = (rest.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("node", "root", "head_root", "n", "sketch"))) for k in (1, 2))
+        one, two = (rest.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("node", "root", "head_root", "n", "full", *WORDS))) for k in (1, 2))
         once = (F.col("root2") == F.col("head_root2")) | (F.col("node1") < F.col("node2"))
         pairs = one.where("root1 != head_root1").join(two, (one["sig"] == two["sig"]) & (F.col("root1") != F.col("root2")) & once & self.possible("1", "2"))
-        more = self.verified(pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")))
+        more = self.verified(self.near(pairs.withColumns({"a": F.least("node1", "node2"), "b": F.greatest("node1", "node2")}), "a", "b"))
         return linked.unionByName(more)
 
     def classes(self) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import words
 
@@ -143,3 +144,24 @@ def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert Counter(tuple(r) for r in jj.similar_classes(odd, 90, 3).collect()) == brute(rows, 90, 3)
     assert jj.similar_classes(none, 90, 3).collect() == []
+
+
+def test_full_sketches_leave_pairs_that_may_be_similar():
+    """Of random pairs of large sets, those of sizes beyond the largest sketch too: similar ones stay, unlike ones that a fold can't tell apart go."""
+    rng = np.random.default_rng(4)
+    some = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    rows, stay = [], []
+    for n in (700, 1500, 3000, 5000, 9000, 30_000):
+        x = np.unique(some(n))
+        for y in (np.concatenate([x[n // 20 :], some(n // 20)]), np.concatenate([x, some(n // 8)]), some(n), some(n * 7 // 8)):
+            y = np.unique(y)
+            common = len(np.intersect1d(x, y))
+            full = [jj.folded(jj.sketch(z)) for z in (x, y)]
+            assert all((f[:16] == jj.folded(f[16:])[:16]).all() for f in full if len(f) > 16)
+            rows.append((len(rows), len(rows), len(x) + len(y), *(f[16:].tolist() or None for f in full)))
+            stay.append(100 * common >= 80 * (len(x) + len(y) - common) or None in rows[-1])
+    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["a", "b", "both", "full1", "full2"])
+    got = [a for b in jj._near(80)([batch, batch.slice(5)]) for a in b.column(0).to_pylist()]
+    want = [k for k, s in enumerate(stay) if s]
+    assert got == want + [k for k in want if k >= 5]
