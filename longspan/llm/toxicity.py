@@ -51,6 +51,7 @@ PRIOR = -4.0  # log odds of a window before anything is learned
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_/\\"
 WORDS_KEPT = 400_000
 PART = 20_000
+SLICE = 256  # texts whose words are held at once
 
 
 def words(text: str | None) -> list[str]:
@@ -231,6 +232,13 @@ class Scorer:
         odds = [top_window(np.fromiter(map(self.numbers.__getitem__, t), float, len(t))) for t in bags]
         return 1 / (1 + np.exp(-np.clip(np.array(odds) + self.model.offset, -50, 50)))
 
+    def slices(self, batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str | None], np.ndarray]]:
+        """Slices of a batch, their texts (column at) and scores."""
+        for lo in range(0, batch.num_rows, SLICE):
+            some = batch.slice(lo, SLICE)
+            texts = some.column(at).to_pylist()
+            yield some, texts, self(texts)
+
 
 def score(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id and score (0 to 1) of every row of docs."""
@@ -239,7 +247,8 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(b.column(1).to_pylist()))], ["doc_id", "score"])
+            for some, _, scores in scorer.slices(b, 1):
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(scores)], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -254,9 +263,9 @@ def accepted(docs: DataFrame, model: bytes, threshold: float = 0.5) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for b in batches:
-            texts = b.column(at).to_pylist()
-            bare = np.array([not (t or "").strip() for t in texts], bool)
-            yield b.filter(pa.array((scorer(texts) < threshold) | bare))
+            for some, texts, scores in scorer.slices(b, at):
+                bare = np.array([not (t or "").strip() for t in texts], bool)
+                yield some.filter(pa.array((scores < threshold) | bare))
 
     return docs.mapInArrow(run, docs.schema)
 
