@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from longspan.llm.common import broadcast_if_small, table, text_key, written
 
 RATIO = 1.5
-#: Cost of a chance meeting of two sets (a comparison of sketches, about 2.5 microseconds) against that of a published hash (about 8, and
+#: Cost of a chance meeting of two sets (a comparison of sketches, about a microsecond) against that of a published hash (about 8, and
 #: 45 bytes of disk, which are the scarcer).
 MEETING_COST = 0.02
 #: Segments in a subset at most; allocations of larger ones are not tried.
