@@ -25,7 +25,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from longspan.operators.quality import ContractError, required
 from longspan.operators.ranks import cut_points
@@ -174,7 +173,8 @@ def _binned(model: Boosted):
 def _state(b: pa.RecordBatch, trees: list[Tree], width: int) -> tuple[np.ndarray, ...]:
     """id, y, w, val, margin with the trees' values added, bins (rows x features)."""
     i, y, w, val, margin = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-    bins = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, width)
+    held = b.column(5)  # values of one width stand together
+    bins = np.frombuffer(held.buffers()[2], np.uint8, len(held) * width, held.offset * width).reshape(-1, width)
     margin = margin.copy()
     for t in trees:
         margin += np.array(t.value)[t.nodes(bins)]
@@ -220,25 +220,44 @@ def _histogram(trees: list[Tree], tree: Tree, wanted: list[int], used: list[int]
     return run
 
 
+BEST = "node int, feature int, bin int, missing_left boolean, gain double, n double, g double, h double"
+
+
+def _best(s: Settings):
+    """The best split of each (node, feature) of a task, from all their rows by bin: at most nodes * features * 256 rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        node, feature, b, *sums = (rows.column(k).to_numpy() for k in range(6))
+        keys, at = np.unique(np.stack([node, feature]), axis=1, return_inverse=True)
+        own = np.zeros((keys.shape[1], 256, 3))
+        own[at.ravel(), b] = np.stack(sums, 1)
+        there = np.zeros(own.shape[:2], bool)
+        there[at.ravel(), b] = True
+        up = own.copy()
+        up[:, 0] = 0
+        up, whole, lost = up.cumsum(1), own.sum(1)[:, None, None], own[:, :1]
+        left = np.stack([up + lost, up], 2)  # by key and bin, with missing values on the left and on the right
+        right = whole - left
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.round(sum(side[..., 1] ** 2 / (side[..., 2] + s.l2) for side in (left, right)) - whole[..., 1] ** 2 / (whole[..., 2] + s.l2), 9)
+        fair = there[:, :, None] & (np.minimum(left[..., 0], right[..., 0]) >= s.min_rows) & (np.minimum(left[..., 2], right[..., 2]) >= s.min_hessian) & (gain > s.min_gain)
+        gain = np.where(fair, gain, -np.inf).reshape(len(own), -1)
+        k, found = gain.argmax(1), fair.any((1, 2))  # the first: the lower bin, then missing values on the left
+        split = [pa.array(x, mask=~found) for x in ((k // 2).astype(np.int32), k % 2 == 0, gain[np.arange(len(k)), k])]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0].astype(np.int32)), pa.array(keys[1].astype(np.int32)), *split, *(pa.array(whole[:, 0, 0, c]) for c in range(3))], [c.split()[0] for c in BEST.split(", ")])
+
+    return run
+
+
 def best_splits(sums: DataFrame, s: Settings) -> DataFrame:
     """node, feature, bin, missing_left, gain (null without a split), n, g, h: the best split of each (node, feature) from its bins' sums (SUMS)."""
-    by = Window.partitionBy("node", "feature")
-    run = by.orderBy("bin")
-    # Dealt by (node, feature) once, for the sums by bin and for what runs over them.
-    bins = sums.repartition("node", "feature").groupBy("node", "feature", "bin").agg(*(F.sum(c).alias(c) for c in ("n", "g", "h")))
-    cols = {}
-    for c in ("n", "g", "h"):
-        cols |= {f"{c}_all": F.sum(c).over(by), f"{c}_up": F.sum(F.when(F.col("bin") > 0, F.col(c)).otherwise(0.0)).over(run), f"{c}_miss": F.sum(F.when(F.col("bin") == 0, F.col(c)).otherwise(0.0)).over(by)}
-    both = bins.withColumns(cols).withColumn("missing_left", F.explode(F.array(F.lit(True), F.lit(False))))
-    for c in ("n", "g", "h"):
-        both = both.withColumn(f"{c}l", F.col(f"{c}_up") + F.when(F.col("missing_left"), F.col(f"{c}_miss")).otherwise(0.0)).withColumn(f"{c}r", F.col(f"{c}_all") - F.col(f"{c}l"))
-    term = lambda g, h: F.try_divide(F.col(g) * F.col(g), F.col(h) + s.l2)
-    fair = (F.col("nl") >= s.min_rows) & (F.col("nr") >= s.min_rows) & (F.col("hl") >= s.min_hessian) & (F.col("hr") >= s.min_hessian)
-    gain = F.when(fair, term("gl", "hl") + term("gr", "hr") - term("g_all", "h_all"))
-    gain = F.when(F.round(gain, 9) > s.min_gain, F.round(gain, 9))
-    best = F.max(F.when(gain.isNotNull(), F.struct(gain.alias("gain"), (-F.col("bin")).alias("less"), F.col("missing_left").alias("missing_left")))).alias("b")
-    out = both.groupBy("node", "feature").agg(best, *(F.first(f"{c}_all").alias(c) for c in ("n", "g", "h")))
-    return out.select("node", "feature", (-F.col("b.less")).alias("bin"), "b.missing_left", "b.gain", "n", "g", "h")
+    # Dealt by (node, feature) once, for the sums by bin and for the split. Few steps: the plan is made anew for each level of each tree.
+    bins = sums.repartition("node", "feature").groupBy("node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h"))
+    return bins.mapInArrow(_best(s), BEST)
 
 
 class Grower:
@@ -307,8 +326,8 @@ def _advanced(state: DataFrame, trees: list[Tree], width: int) -> DataFrame:
     return written(state.mapInArrow(run, ROWS))
 
 
-def _validation_auprc(state: DataFrame, trees: list[Tree], width: int) -> float:
-    """Average precision over the validation rows' margins."""
+def _validation_auprc(state: DataFrame, trees: list[Tree], width: int, n: int) -> float:
+    """Average precision over the margins of the n validation rows."""
     from longspan.operators.metrics import average_precision
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +335,7 @@ def _validation_auprc(state: DataFrame, trees: list[Tree], width: int) -> float:
             _, y, _, _, margin, _ = _state(b, trees, width)
             yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(margin)], ["y", "p"])
 
-    r = average_precision(state.where("val").mapInArrow(run, "y int, p double"), [], "y", "p").first()
+    r = average_precision(state.where("val").mapInArrow(run, "y int, p double"), [], "y", "p", n).first()
     return (r["auprc"] if r else None) or 0.0
 
 
@@ -331,13 +350,15 @@ def prepared(train: DataFrame, features: list[str], val: DataFrame | None = None
     rows = train.select(*pick, F.lit(False).alias("val"), *values)
     if val is not None:
         rows = rows.unionByName(val.select(F.col(y).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(True).alias("val"), *values))
+    rows = written(rows)  # read for the checks, the bins and the state
     n, bad, positive, total = rows.agg(F.count_if(~F.col("val")), F.count_if(F.expr("y IS NULL OR NOT y IN (0, 1) OR w IS NULL OR NOT w > 0")), F.sum(F.when(~F.col("val"), F.col("y") * F.col("w"))), F.sum(F.when(~F.col("val"), F.col("w")))).first()
     if bad or not n or not 0 < positive < total:
         raise ContractError(f"{n} training rows, {bad} of all without a label of 0 or 1 or a weight above 0; both classes are needed")
-    cuts = cut_points(train.select(*(F.col(f).cast("double").alias(f) for f in features)), features, bins)
+    cuts = cut_points(rows.where("NOT val").select(*(F.col(f"__x{k}").alias(f) for k, f in enumerate(features))), features, bins)
     model = Boosted(list(features), cuts, math.log(positive / (total - positive)), [], name)
     ids = F.monotonically_increasing_id().alias("id")
     state = written(rows.select(ids, "y", "w", "val", *(f"__x{k}" for k in range(len(features)))).mapInArrow(_binned(model), ROWS))
+    discard(rows)
     return model, state
 
 
@@ -358,6 +379,7 @@ def fit(train: DataFrame, features: list[str], val: DataFrame | None = None, set
     if s.stop_on not in ("auprc", "loss"):
         raise ValueError(s.stop_on)
     model, state = prepared(train, features, val, s.bins, weight, y, name)
+    n_val = state.where("val").count() if val is not None else 0
     recent: list[Tree] = []
     best, best_at = -math.inf, 0
     for number in range(s.trees + 1):
@@ -365,7 +387,7 @@ def fit(train: DataFrame, features: list[str], val: DataFrame | None = None, set
         rows = best_splits(histogram(state, model, s, grower, recent, used, number), s).collect()  # a row for each (node, feature)
         grower.take(rows)
         if val is not None and number:
-            score = _validation_auprc(state, recent, len(features)) if s.stop_on == "auprc" else -(grower.loss or 0.0)
+            score = _validation_auprc(state, recent, len(features), n_val) if s.stop_on == "auprc" else -(grower.loss or 0.0)
             model.history.append(score)
             if score > best + 1e-12:
                 best, best_at = score, number

@@ -24,10 +24,10 @@ def by_score(df: DataFrame, group: list[str], y: str, p: str) -> DataFrame:
     return df.groupBy(*group, F.col(p).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
 
 
-def cumulative(df: DataFrame, group: list[str], y: str, p: str) -> DataFrame:
+def cumulative(df: DataFrame, group: list[str], y: str, p: str, most: int | None = None) -> DataFrame:
     """group, score, n and pos at the score, and tp, seen, fp at scores from it up; positives and n_group in all."""
     n, pos = F.col("n"), F.col("pos")
-    return running(by_score(df, group, y, p), group, [F.desc("score")], {"tp": pos, "seen": n}, {"positives": pos, "n_group": n}).withColumn("fp", F.col("seen") - F.col("tp"))
+    return running(by_score(df, group, y, p), group, [F.desc("score")], {"tp": pos, "seen": n}, {"positives": pos, "n_group": n}, most=most).withColumn("fp", F.col("seen") - F.col("tp"))
 
 
 def _auprc() -> Column:
@@ -44,9 +44,9 @@ def _sizes() -> list[Column]:
     return [F.max("n_group").alias("n"), F.max("positives").alias("n_positive")]
 
 
-def average_precision(df: DataFrame, group: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Average precision over distinct scores; null without positives."""
-    return cumulative(df, group, y, p).groupBy(*group).agg(*_sizes(), _auprc().alias("auprc"))
+def average_precision(df: DataFrame, group: list[str], y: str = "y", p: str = "p", most: int | None = None) -> DataFrame:
+    """Average precision over distinct scores; null without positives. most: a bound on df's rows, if the caller knows one."""
+    return cumulative(df, group, y, p, most).groupBy(*group).agg(*_sizes(), _auprc().alias("auprc"))
 
 
 def average_precision_by_row(df: DataFrame, group: list[str], order: list[str], y: str = "y", p: str = "p") -> DataFrame:

@@ -23,14 +23,16 @@ def ranged(df: DataFrame, by: list[str], order: list[Column], parts: int, part:
     return written(df.repartitionByRange(parts, *(F.col(b) for b in by), *order).withColumn(part, F.spark_partition_id()))
 
 
-def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], whole: dict[str, Column] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], whole: dict[str, Column] | None = None, range_rows: int = RANGE_ROWS, *, most: int | None = None) -> DataFrame:
     """df with running sums (of every row up to its own in order, by group) and with sums over the whole group.
 
-    Order must be total within by. Null groups are a group.
+    Order must be total within by. Null groups are a group. A caller that knows that df has at most ``most`` rows saves
+    writing and counting a small one.
     """
     whole = whole or {}
-    rows = written(df)
-    n = rows.count()
+    small = most is not None and most <= range_rows
+    rows = df if small or hasattr(df, "_longspan_path") else written(df)
+    n = most if small else rows.count()
     if n <= range_rows:
         up, all_rows = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
         return rows.withColumns({k: F.sum(c).over(up) for k, c in sums.items()} | {k: F.sum(c).over(all_rows) for k, c in whole.items()})

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from longspan.operators.ranges import running
 from longspan.sources.scratch import discard, written
 
 FEW = 100_000
@@ -72,10 +73,11 @@ def narrowed(rows: DataFrame, ranges: DataFrame, keys: list[str], few: int = FEW
 def percentiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] = (), interpolate: bool = True, few: int = FEW, accuracy: int = ACCURACY) -> DataFrame:
     """by, column, p, value: exact percentiles as ``percentile`` gives them (without interpolation the lower of two values, as ``percentile_disc`` from below).
 
-    Reads df once for the counts, once for the values of the last ranges, and twice for each round of large groups.
+    Reads df once, to write these columns; they are read for the counts, for the values of the last ranges, and twice for
+    each round of large groups.
     """
     keys = [*by, "column"]
-    rows = _long(df, columns, list(by))
+    rows = _long(written(df.select(*by, *columns)), columns, list(by))
     counts = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("inside"), F.min("x").alias("lo"), F.max("x").alias("hi")))
     asked = F.explode(F.array(*(F.lit(float(p)) for p in probs)))
     place = F.col("p") * (F.col("inside") - 1) if interpolate else F.greatest(F.lit(0.0), F.ceil(F.round(F.col("p") * F.col("inside"), 9)) - 1)
@@ -114,8 +116,17 @@ def wide(long: DataFrame, by: list[str], names: dict[float, str]) -> DataFrame:
 
 
 def cut_points(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
-    """Up to bins - 1 distinct values of each column that divide its values into equal shares, in order; columns * bins rows come to the driver."""
+    """Up to bins - 1 distinct values of each column that divide its values into equal shares, in order; columns * bins rows come to the driver.
+
+    With so many ranks values are counted and the counts summed in order: a value covers the ranks from below to upto, so
+    no row meets every rank. Reads df once.
+    """
+    counts = written(_long(df, columns, []).groupBy("column", "x").agg(F.count(F.lit(1)).alias("n")))
+    summed = running(counts, ["column"], [F.col("x")], {"upto": F.col("n")}, {"inside": F.col("n")}).withColumn("below", F.col("upto") - F.col("n"))
+    # The first k whose rank, ceil(k * inside / bins) - 1, is not below the value's.
+    first = summed.withColumn("k", F.expr(f"below * {bins} div inside + 1"))
     found: dict[str, set[float]] = {c: set() for c in columns}
-    for r in percentiles(df, columns, [k / bins for k in range(1, bins)], interpolate=False).collect():
-        found[r["column"]].add(r["value"])
+    for r in first.where(f"k < {bins} AND (k * inside + {bins - 1}) div {bins} <= upto").select("column", "x").collect():
+        found[r["column"]].add(r["x"])
+    discard(counts)
     return {c: sorted(v) for c, v in found.items()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from longspan import functions as C
 from longspan.operators import assemble, attribution, boosting, catalog, irls, metrics, models, quality, resample, sequence, splits, summary
 from longspan.plans import surrogate as S
+from longspan.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -568,6 +569,11 @@ def feature_admission(spark, sf):
     return spark.createDataFrame([(s, k, c) for s, names in got.predictors.items() for k, c in enumerate(names)], "feature_set string, position int, feature string")
 
 
+def _by_time(spark, sf) -> DataFrame:
+    """Features with roles by time, written: a fit reads its rows many times, and each time would begin at the order lines."""
+    return written(splits.p1(S.features(spark, sf), W))
+
+
 MODEL_FEATURES = ["month_sin", "month_cos", "s_acctbal", "y_lag1", "y_lag12", "event_count_12m", "months_since_event"]
 
 
@@ -594,7 +600,7 @@ hist AS (SELECT k, feature, CASE WHEN v IS NULL THEN 0 ELSE 1 + len(list_filter(
 
 
 def _root_sums(spark, sf) -> DataFrame:
-    train = splits.p1(S.features(spark, sf), W).where("split_role = 'train'")
+    train = _by_time(spark, sf).where("split_role = 'train'")
     model, state = boosting.prepared(train, TREE_FEATURES, bins=ROOT.bins, weight=None)
     return boosting.histogram(state, model, ROOT, boosting.Grower(ROOT), [], list(range(len(TREE_FEATURES))), 0)
 
@@ -628,7 +634,7 @@ NOWCAST_FEATURES = [*MODEL_FEATURES, "qty_sum_mon", "obs_n"]  # of the same mont
 
 
 def _leafwise(spark, sf) -> tuple[DataFrame, boosting.Boosted]:
-    rows = models.weighted(splits.p1(S.features(spark, sf), W), "balanced")
+    rows = models.weighted(_by_time(spark, sf), "balanced")
     role = F.col("split_role")
     return rows, boosting.fit(rows.where(role == "train"), NOWCAST_FEATURES, rows.where(role == "val"), LEAFWISE)
 

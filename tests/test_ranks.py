@@ -61,3 +61,17 @@ def test_no_aggregate_holds_a_group(spark, monkeypatch):
     assert r["inside"] <= 1000 and r["below"] <= 12_345 < r["below"] + r["inside"] and r["lo"] <= 12_345 <= r["hi"] and not seen
     (r,) = ranks.percentiles(df, ["x"], [0.3], few=100, accuracy=1000).collect()
     assert r["value"] == pytest.approx(0.3 * 49_999) and len(seen) == 1
+
+
+def test_cut_points_meet_no_row_with_every_rank(spark, monkeypatch):
+    """Many ranks over more values than are gathered at once: rows are counted by value, and no range is narrowed for each rank."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, float("nan"), 5.0, rng.gauss(0, 1)]), float(k % 3), None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    monkeypatch.setattr(ranks, "FEW", 10)
+    monkeypatch.setattr(ranks, "narrowed", lambda *a, **k: pytest.fail("ranges narrowed by rank"))
+    for bins in (2, 7, 255):
+        got = ranks.cut_points(df, ["a", "b", "c"], bins)
+        for k, c in enumerate(("a", "b", "c")):
+            values = sorted(r[k] for r in rows if r[k] is not None and r[k] == r[k])
+            assert got[c] == sorted({values[-(-j * len(values) // bins) - 1] for j in range(1, bins)} if values else set())
