@@ -82,10 +82,18 @@ def common(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys).intersect(b.select(*keys))
 
 
-def densify(df: DataFrame, cells: DataFrame, cell: str, date: str, first, last) -> DataFrame:
-    """A row per cell and month from first to last; months without a row have nulls."""
+GROUP_CELLS = 1024
+
+
+def densify(df: DataFrame, cells: DataFrame, cell: str, date: str, first, last, group_cells: int = GROUP_CELLS) -> DataFrame:
+    """A row per cell and month from first to last; months without a row have nulls.
+
+    The cells alone are few bytes, which Spark would put into one task; they are dealt into groups of about group_cells,
+    so a task makes as many rows however many cells there are.
+    """
     months = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month")))
-    return cells.select(cell).distinct().withColumn(date, months).join(df, [cell, date], "left")
+    own = cells.select(cell).distinct()
+    return own.repartition(max(1, -(-own.count() // group_cells)), cell).withColumn(date, months).join(df, [cell, date], "left")
 
 
 def lagged_panel(panel: DataFrame, cell: str, date: str, columns: list[str], keep: list[str]) -> DataFrame:
