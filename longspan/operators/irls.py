@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
@@ -96,22 +97,23 @@ class _Fit:
 def _sums(state: dict[int, np.ndarray], size: int):
     """By fit: loss, gradient and cross products of a task's rows at the fit's coefficients."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {k: np.zeros(1 + size + size * size) for k in state}
         for b in batches:
-            fit = b["fit"].to_numpy()
+            fit, labels, shares = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fit", "y", "w"))
+            values = np.hstack([b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(fit), size - 1), np.ones((len(fit), 1))])
             for k, beta in state.items():
                 own = fit == k
                 if not own.any():
                     continue
-                x = np.hstack([np.stack(b["x"].to_numpy()[own]), np.ones((own.sum(), 1))])
-                y, w, z = b["y"].to_numpy()[own], b["w"].to_numpy()[own], x @ beta
+                x, y, w = values[own], labels[own], shares[own]
+                z = x @ beta
                 p = 1 / (1 + np.exp(-z))
                 t = total[k]
                 t[0] += (w * (np.logaddexp(0, z) - y * z)).sum()
                 t[1 : 1 + size] += x.T @ (w * (p - y))
                 t[1 + size :] += (x.T @ (x * (w * p * (1 - p))[:, None])).ravel()
-        yield pd.DataFrame({"fit": list(total), "sums": [v.tobytes() for v in total.values()]})
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["fit", "sums"])
 
     return run
 
@@ -143,7 +145,7 @@ def fit_all(splits: DataFrame, features: list[str], c: float = 0.1, weight: str
         live = {k: s.beta for k, s in state.items() if not s.done}
         if not live:
             break
-        for r in rows.mapInPandas(_sums(live, size), "fit int, sums binary").groupBy("fit").applyInPandas(_added, "fit int, sums binary").collect():
+        for r in rows.mapInArrow(_sums(live, size), "fit int, sums binary").groupBy("fit").applyInPandas(_added, "fit int, sums binary").collect():
             v = np.frombuffer(r["sums"])
             state[r["fit"]].take(v[0], v[1 : 1 + size], v[1 + size :].reshape(size, size), c)
     discard(rows)

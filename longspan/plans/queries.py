@@ -407,7 +407,7 @@ def gap_unpivot(spark, sf):
 
 @query(f"{S.PREDICTED_SQL}, q AS (SELECT biome, quantile_cont(price_mean_mon, 0.1) AS q_low, quantile_cont(price_mean_mon, 0.9) AS q_high FROM predicted GROUP BY 1) SELECT {b('biome')}, {d('q_low', 'q_high')}, round(avg(CASE WHEN price_mean_mon <= q_low THEN p END), 6) AS mean_low, round(avg(CASE WHEN price_mean_mon >= q_high THEN p END), 6) AS mean_high, round(avg(CASE WHEN price_mean_mon >= q_high THEN p END) - avg(CASE WHEN price_mean_mon <= q_low THEN p END), 6) AS difference FROM predicted JOIN q USING (biome) GROUP BY biome, q_low, q_high")
 def quantile_tail_means(spark, sf):
-    p = S.predicted(spark, sf).withColumn("biome", F.col("BIOME").cast("long"))
+    p = written(S.predicted(spark, sf).select(F.col("BIOME").cast("long").alias("biome"), "price_mean_mon", "p"))  # read for the quantiles and again for the means
     return metrics.tail_means(p, "price_mean_mon", "p", ["biome"]).select("biome", *doubles("q_low", "q_high", "mean_low", "mean_high", "difference"))
 
 
@@ -579,14 +579,14 @@ MODEL_FEATURES = ["month_sin", "month_cos", "s_acctbal", "y_lag1", "y_lag12", "e
 
 @query()
 def logistic_p1(spark, sf):
-    rows = splits.p1(S.features(spark, sf), W)
+    rows = _by_time(spark, sf)
     out = models.run_folds(rows, lambda train, val: models.fit_logistic(train, MODEL_FEATURES, weight="balanced"))
     return metrics.metric_table(out, ["split_role"], p="p_logistic")
 
 
 @query()
 def trees_p1(spark, sf):
-    rows = splits.p1(S.features(spark, sf), W)
+    rows = _by_time(spark, sf)
     out = models.run_folds(rows, lambda train, val: models.fit_trees(train, MODEL_FEATURES, val), stop_on_val=True)
     return metrics.metric_table(out.where("split_role <> 'val'"), ["split_role"], p="p_trees")
 
@@ -657,7 +657,7 @@ def tree_attribution(spark, sf):
 @query()
 def two_stage_logistic(spark, sf):
     """A first model for validation rows, and one refitted on training and validation rows for the rest."""
-    rows = splits.p1(S.features(spark, sf), W)
+    rows = _by_time(spark, sf)
     out = models.run_folds(rows, lambda train, val: models.fit_logistic(train, MODEL_FEATURES, weight="balanced"), refit_roles=("train", "val"))
     return metrics.metric_table(out, ["fit_stage", "split_role"], p="p_logistic")
 
@@ -665,7 +665,7 @@ def two_stage_logistic(spark, sf):
 @query()
 def ablation_logistic(spark, sf):
     """Metrics on test rows without each family of features, and their changes from all."""
-    rows = splits.p1(S.features(spark, sf), W)
+    rows = _by_time(spark, sf)
     groups = {"climo": ["month_sin", "month_cos", "s_acctbal"], "memory": ["y_lag1", "y_lag12", "event_count_12m", "months_since_event"]}
     table = models.ablation(
         rows.where("split_role = 'train'"), rows.where("split_role = 'test'"), MODEL_FEATURES, groups,
@@ -764,7 +764,7 @@ def feature_build(spark, sf):
 @query()
 def logistic_folds(spark, sf):
     """All folds of P3 fitted together: metrics by fold and role."""
-    rows = splits.p3(S.features(spark, sf), "BIOME", windows=W)
+    rows = splits.p3(written(S.features(spark, sf)), "BIOME", windows=W)
     out = irls.predict_all(rows, irls.fit_all(rows, MODEL_FEATURES, weight="balanced"), MODEL_FEATURES)
     return metrics.metric_table(out, ["fold_id", "split_role"], p="p_logistic")
 
@@ -788,7 +788,7 @@ def bootstrap_auprc(spark, sf):
 
 @query()
 def linear_attribution(spark, sf):
-    train = splits.p1(S.features(spark, sf), W).where("split_role = 'train'")
+    train = _by_time(spark, sf).where("split_role = 'train'")
     model = models.fit_logistic(train, MODEL_FEATURES)
     parts = models.linear_contributions(model, train, ["cell_id", "date", "BIOME"])
     return metrics.top_features(metrics.mean_abs(parts, model.scaling.features), 15)
