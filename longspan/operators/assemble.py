@@ -83,17 +83,21 @@ def common(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 GROUP_CELLS = 1024
+MERGE_CELLS = 1 << 14
 
 
-def densify(df: DataFrame, cells: DataFrame, cell: str, date: str, first, last, group_cells: int = GROUP_CELLS) -> DataFrame:
+def densify(df: DataFrame, cells: DataFrame, cell: str, date: str, first, last, group_cells: int = GROUP_CELLS, merge_cells: int = MERGE_CELLS) -> DataFrame:
     """A row per cell and month from first to last; months without a row have nulls.
 
     The cells alone are few bytes, which Spark would put into one task; they are dealt into groups of about group_cells,
-    so a task makes as many rows however many cells there are.
+    so a task makes as many rows however many cells there are. Months of more than
+    merge_cells cells are joined by merging: once shuffled they are few bytes too, and Spark might broadcast them all.
     """
     months = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month")))
     own = cells.select(cell).distinct()
-    return own.repartition(max(1, -(-own.count() // group_cells)), cell).withColumn(date, months).join(df, [cell, date], "left")
+    n = own.count()
+    rows = own.repartition(max(1, -(-n // group_cells)), cell).withColumn(date, months)
+    return (rows.hint("merge") if n > merge_cells else rows).join(df, [cell, date], "left")
 
 
 def lagged_panel(panel: DataFrame, cell: str, date: str, columns: list[str], keep: list[str]) -> DataFrame:

@@ -18,17 +18,23 @@ DYNAMIC = ["qty_sum_mon", "price_mean_mon", "disc_mean_mon", "tax_max_mon"]
 QUALITY = ["obs_n", "obs_missing", "obs_cov"]
 WINDOWS = Windows(("1995-01-01", "1999-12-01"), ("2000-01-01", "2000-12-01"), ("2001-01-01", "2001-12-01"))
 CAP = 60
+GROUP_LINES = 1 << 18
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of order lines by supplier and month."""
-    lines = read(spark, sf_dir, "lineitem")
+def monthly(spark: SparkSession, sf_dir: str, group_lines: int = GROUP_LINES) -> DataFrame:
+    """Sums of order lines by supplier and month.
+
+    Partial sums of all keys in a task, and those that Spark puts together by bytes, grow with the lines; so lines are
+    dealt by key into groups of about group_lines, which are summed and joined to months as they stand.
+    """
     month = F.trunc(F.to_date("l_shipdate"), "month")
-    return lines.groupBy(F.col("l_suppkey").alias("cell_id"), month.alias("date")).agg(
+    lines = read(spark, sf_dir, "lineitem").withColumns({"cell_id": F.col("l_suppkey"), "date": month})
+    dealt = lines.repartition(max(1, -(-lines.count() // group_lines)), "cell_id", "date")
+    return dealt.groupBy("cell_id", "date").agg(
         F.sum("l_quantity").alias("qty_sum_mon"),
         F.avg("l_extendedprice").alias("price_mean_mon"),
         F.avg("l_discount").alias("disc_mean_mon"),
@@ -54,10 +60,10 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense panel with its label and static columns."""
+    """The dense panel with its label and static columns. Joined from the left, so that Spark can't broadcast the panel."""
     first, last = read(spark, sf_dir, "lineitem").agg(*(F.trunc(F.to_date(f("l_shipdate")), "month") for f in (F.min, F.max))).first()
-    static = cells(spark, sf_dir)
-    rows = densify(monthly(spark, sf_dir), static, "cell_id", "date", first, last).join(static, "cell_id")
+    static = cells(spark, sf_dir).where("cell_id is not null")
+    rows = densify(monthly(spark, sf_dir), static, "cell_id", "date", first, last).join(static, "cell_id", "left")
     n, y = F.coalesce("n", F.lit(0)), (F.col("area") >= F.col("qty_sum_mon") * 0.7) & (F.col("n") >= 3)
     sin, cos = season(F.month("date"))
     return rows.select(

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -8,6 +9,8 @@ from longspan.operators import assemble, catalog, models, quality, sequence, spl
 from longspan.operators.quality import ContractError
 from longspan.plans import surrogate as S
 
+SF = "/root/testdata/sf0.001"
+
 
 def month(k, year=2015):
     return dt.date(year + k // 12, k % 12 + 1, 1)
@@ -285,3 +288,22 @@ def test_densify_deals_cells_into_groups(spark):
     assert sum(sizes) == 15_000 and max(sizes) <= 2 * assemble.GROUP_CELLS * 3
     assert rows.groupBy("cell_id").agg(F.count_distinct("part").alias("n")).where("n > 1").isEmpty()
     assert [(r["cell_id"], str(r["date"]), r["v"]) for r in out.where("v IS NOT NULL").collect()] == [(7, "2020-02-01", 1.5)]
+
+
+def test_months_of_many_cells_and_the_panel_are_not_broadcast(spark):
+    """A filter makes the joins inner ones; the months, few bytes once shuffled, were broadcast then."""
+    cells = spark.range(50).select(F.col("id").alias("cell_id"))
+    some = spark.createDataFrame([(7, "2020-02-01", 1.5)], "cell_id long, date string, v double").withColumn("date", F.to_date("date"))
+    out = assemble.densify(some, cells, "cell_id", "date", "2020-01-01", "2020-03-01", merge_cells=49).where("v IS NOT NULL")
+    assert [(r["cell_id"], str(r["date"]), r["v"]) for r in out.collect()] == [(7, "2020-02-01", 1.5)]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_order_lines_are_dealt_into_groups(spark):
+    """The number of tasks that sum lines grows with the lines, whatever Spark makes of their bytes; results stay."""
+    n = S.read(spark, SF, "lineitem").count()
+    some, one = S.monthly(spark, SF, group_lines=500), S.monthly(spark, SF)
+    assert some.rdd.getNumPartitions() == -(-n // 500) > 1
+    key = lambda df: sorted((r["cell_id"], r["date"], r["n"], round(r["qty_sum_mon"], 6)) for r in df.collect())
+    assert key(some) == key(one)
