@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from longspan.llm.common import broadcast_if_small, table, text_key, written
 
@@ -54,6 +55,8 @@ GOLD = 0x9E3779B97F4A7C15
 SKETCH = 1024
 LARGEST_SKETCH = 1 << 14
 WORDS = [f"fold{k}_" for k in range(SKETCH // 64)]
+#: Words of the fold by which large sets (over 2,048 shingles) are compared in the join too: 64 of them tell unlike sets of up to some 8,000 apart.
+MIDDLE = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -103,6 +106,19 @@ def folded(full: np.ndarray) -> np.ndarray:
     return fold if len(full) == len(fold) else np.concatenate([fold, full])
 
 
+def middle(full: Column) -> Column:
+    """A full sketch folded to MIDDLE words; null if it has fewer, or is null."""
+    out = F.when(F.size(full) == MIDDLE, full)
+    words = LARGEST_SKETCH // 64
+    while words > MIDDLE:  # a sketch of 2^k times as many words is folded k times
+        folds, size = full, words
+        while size > MIDDLE:
+            size //= 2
+            folds = F.zip_with(F.slice(folds, 1, size), F.slice(folds, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+        out, words = out.when(F.size(full) == words, folds), words // 2
+    return out
+
+
 def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
@@ -319,11 +335,14 @@ class Join:
     def possible(self, a: str, b: str) -> Column:
         """Sizes and folded sketches of a and b (suffixes) that a similar pair may have.
 
-        The words of a fold are columns of their own, which keeps this small enough to run compiled.
+        The words of a fold are columns of their own, which keeps this small enough to run compiled. Sets whose folds are too
+        full to tell them apart are compared by their middle folds as well.
         """
         least, most, both = F.least(f"n{a}", f"n{b}"), F.greatest(f"n{a}", f"n{b}"), F.col(f"n{a}") + F.col(f"n{b}")
         apart = reduce(add, (F.bit_count(F.col(w + a).bitwiseXOR(F.col(w + b))) for w in WORDS))
-        return (least * 100 >= most * self.percent) & (apart * (100 + self.percent) <= both * (100 - self.percent))
+        further = F.aggregate(F.zip_with(f"middle{a}", f"middle{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), add)
+        few = lambda bits: bits * (100 + self.percent) <= both * (100 - self.percent)
+        return (least * 100 >= most * self.percent) & few(apart) & (F.col(f"middle{a}").isNull() | F.col(f"middle{b}").isNull() | few(further))
 
     def near(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
         """a, b of pairs (node, n and full of suffixes 1 and 2) that a and b name, without those whose full sketches differ too much."""
@@ -341,18 +360,19 @@ class Join:
 
     def edges(self) -> DataFrame:
         """a, b: links between nodes whose components are those of all links."""
-        met = self.published.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("sig")
-        # A bucket's members: the rows of signatures on which different sets meet. Its head is the set that meets most others.
-        members = written(self.published.join(met, "sig").distinct())
+        # A bucket's members: the rows of signatures on which different sets meet, by one shuffle. Its head is the set that meets most others.
+        bucket = Window.partitionBy("sig")
+        met = self.published.withColumns({"lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket)}).where("lo != hi")
+        members = written(met.select("sig", "node").distinct())
         sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
         fame = members.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("fame"))
         info = written(self.rows.join(fame, "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("fame").alias("fame")))
         full = F.when(F.size("sketch") > len(WORDS), F.slice("sketch", len(WORDS) + 1, F.size("sketch") - len(WORDS)))
-        info = info.select("node", "n", "fame", full.alias("full"), *(F.get("sketch", k).alias(w) for k, w in enumerate(WORDS)))
+        info = info.select("node", "n", "fame", full.alias("full"), middle(full).alias("middle"), *(F.get("sketch", k).alias(w) for k, w in enumerate(WORDS)))
         heads = members.join(info.select("node", "fame"), "node").groupBy("sig").agg(F.max_by("node", F.struct("fame", "node")).alias("head"))
         placed = written(members.join(heads, "sig"))
         star = placed.where("node != head").select("head", "node").distinct()
-        one, two = (info.select(*(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "full", *WORDS))) for k in (1, 2))
+        one, two = (info.select(*(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "full", "middle", *WORDS))) for k in (1, 2))
         spokes = star.join(one, F.col("head") == F.col("node1")).join(two, F.col("node") == F.col("node2")).where(self.possible("1", "2"))
         linked = self.verified(self.near(spokes, "node1", "node2"))
         # What is left: pairs of a set that isn't in its head's component with the bucket's sets in other components.
@@ -360,11 +380,14 @@ class Join:
         rooted = placed.join(roots, "node", "left").join(roots.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left")
         rooted = rooted.select("sig", "node", "head", F.coalesce("root", "node").alias("root"), F.coalesce("head_root", "head").alias("head_root"))
         apart = rooted.where("root != head_root").select("sig").distinct()
-        rest = written(rooted.join(apart, "sig", "left_semi").where("node != head").join(info.drop("fame"), "node"))
-        one, two = (rest.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("node", "root", "head_root", "n", "full", *WORDS))) for k in (1, 2))
+        rest = written(rooted.join(apart, "sig", "left_semi").where("node != head").join(info.drop("fame", "full"), "node"))
+        one, two = (rest.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("node", "root", "head_root", "n", "middle", *WORDS))) for k in (1, 2))
         once = (F.col("root2") == F.col("head_root2")) | (F.col("node1") < F.col("node2"))
         pairs = one.where("root1 != head_root1").join(two, (one["sig"] == two["sig"]) & (F.col("root1") != F.col("root2")) & once & self.possible("1", "2"))
-        more = self.verified(self.near(pairs.withColumns({"a": F.least("node1", "node2"), "b": F.greatest("node1", "node2")}), "a", "b"))
+        pairs = pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+        for node, k in (("a", 1), ("b", 2)):  # full sketches only now, of the pairs that are left
+            pairs = pairs.join(info.select(F.col("node").alias(node), F.col("n").alias(f"n{k}"), F.col("full").alias(f"full{k}")), node)
+        more = self.verified(self.near(pairs, "a", "b"))
         return linked.unionByName(more)
 
     def classes(self) -> DataFrame:

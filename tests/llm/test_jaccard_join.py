@@ -1,9 +1,11 @@
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from conftest import words
 
 from longspan.llm import jaccard_join as jj
@@ -165,3 +167,22 @@ def test_full_sketches_leave_pairs_that_may_be_similar():
     got = [a for b in jj._near(80)([batch, batch.slice(5)]) for a in b.column(0).to_pylist()]
     want = [k for k, s in enumerate(stay) if s]
     assert got == want + [k for k in want if k >= 5]
+
+
+def test_middle_folds_tell_large_sets_apart_in_the_join(spark):
+    """Unlike sets of a few thousand shingles, whose folds of SKETCH bits are full, went on to be written as pairs; similar ones stay."""
+    rng, rows = np.random.default_rng(5), []
+    for n in (2100, 3000, 5000, 8000, 9000, 17_000):
+        x, y = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for _ in range(2))
+        near = np.concatenate([x[: int(0.9 * n)], y[: n - int(0.9 * n)]])
+        for like, z in ((True, near), (False, y)):
+            full = [jj.sketch(s).tolist() for s in (x, z)]
+            folds = [jj.folded(jj.sketch(s))[: len(jj.WORDS)].tolist() for s in (x, z)]
+            rows.append((n, like, n, n, *full, *folds))
+    df = spark.createDataFrame(rows, "size int, like boolean, n1 long, n2 long, full1 array<long>, full2 array<long>, s1 array<long>, s2 array<long>")
+    df = df.withColumns({f"middle{k}": jj.middle(F.col(f"full{k}")) for k in (1, 2)} | {f"{w}{k}": F.get(f"s{k}", i) for k in (1, 2) for i, w in enumerate(jj.WORDS)})
+    for r in df.select("full1", "middle1").collect():
+        assert r["middle1"] == np.bitwise_xor.reduce(np.array(r["full1"]).reshape(-1, jj.MIDDLE), axis=0).tolist() if len(r["full1"]) >= jj.MIDDLE else r["middle1"] is None
+    kept = {(r["size"], r["like"]) for r in df.where(jj.Join.possible(SimpleNamespace(percent=80), "1", "2")).collect()}
+    assert {(r[0], True) for r in rows} <= kept
+    assert not {(n, False) for n in (2100, 3000, 5000)} & kept
