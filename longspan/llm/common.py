@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words, as a character class for Java and Python patterns.
 SPACE = r"[\x20\x09-\x0D]"
+#: Texts of a batch that an Arrow function takes at once.
+SLICE = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +73,36 @@ def tidied(spark: SparkSession) -> Iterator[list[DataFrame]]:
         _delete(spark, path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, so that what is made of them is small whatever the batches are."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
+def trim() -> None:
+    """Gives memory that was freed back to the system; allocators would keep it, in workers that wait for a task too."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if give_back is not None:
+        give_back(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function for mapInArrow, that gives freed memory back after each batch and at its end."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b
+                trim()
+
+        yield from run(each())
+        trim()
+
+    return trimmed
+
+
 def lower_ascii(c):
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from longspan.llm.common import broadcast_if_small, table, text_key, written
+from longspan.llm.common import broadcast_if_small, lean, sliced, table, text_key, written
 
 RATIO = 1.5
 #: Cost of a chance meeting of two sets (a comparison of sketches, about a microsecond) against that of a published hash (about 8, and
@@ -224,7 +224,7 @@ def _parts(width: int, bands: Bands, shared: frozenset[int]):
         return pa.RecordBatch.from_arrays([*cells, pa.array(node), pa.nulls(n, pa.int64()) if sig is None else pa.array(sig)], [x.split()[0] for x in PARTS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sizes, keys, sketches, names = [], [], [], []
             held: list[np.ndarray] = []
             owner: list[np.ndarray] = []
@@ -261,10 +261,10 @@ def _sets(width: int, shared: frozenset[int]):
 
 
 def _near(percent: int):
-    """Of rows a, b, both sizes and two full sketches (null: none) those that may be similar; a batch holds sketches of LARGEST_SKETCH bits at most."""
+    """Of rows a, b, both sizes and two full sketches (null: none) those that may be similar; sketches have LARGEST_SKETCH bits at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1024):
             both, sizes, starts, words = b.column(2).to_numpy(), [], [], []
             for c in (b.column(3), b.column(4)):
                 sizes.append(np.diff(c.offsets.to_numpy()) * ~c.is_null().to_numpy(zero_copy_only=False))
@@ -307,7 +307,7 @@ class Join:
         self.bands = Bands(percent, counts)
         self.shared: frozenset[int] = frozenset()
         while True:  # again only if different sets share a node, a chance of n^2 / 2^65 with n sets
-            parts = written(self.docs.mapInArrow(_parts(width, self.bands, self.shared), PARTS))
+            parts = written(self.docs.mapInArrow(lean(_parts(width, self.bands, self.shared)), PARTS))
             self.rows = parts.where("sig is null").select("doc_id", "n_shingles", "set_key", "node", "sketch", "text_key")
             self.published = parts.where("sig is not null").select("sig", "node")
             several = self.rows.groupBy("node").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y")
@@ -330,7 +330,7 @@ class Join:
         named = texts(firsts.where("n = 1") if repeated else firsts)
         if repeated:
             named = named.unionByName(texts(firsts.where("n > 1")).dropDuplicates(["text_key"]))
-        return written(named.select("text").mapInArrow(_sets(self.width, self.shared), "node long, hashes array<long>"))
+        return written(named.select("text").mapInArrow(lean(_sets(self.width, self.shared)), "node long, hashes array<long>"))
 
     def possible(self, a: str, b: str) -> Column:
         """Sizes and folded sketches of a and b (suffixes) that a similar pair may have.
@@ -347,7 +347,7 @@ class Join:
     def near(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
         """a, b of pairs (node, n and full of suffixes 1 and 2) that a and b name, without those whose full sketches differ too much."""
         cells = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), (F.col("n1") + F.col("n2")).alias("both"), "full1", "full2")
-        return cells.mapInArrow(_near(self.percent), "a long, b long")
+        return cells.mapInArrow(lean(_near(self.percent)), "a long, b long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b of the pairs that are similar, by their whole sets."""

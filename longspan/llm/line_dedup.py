@@ -31,7 +31,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from longspan.llm.common import table, unused, written
+from longspan.llm.common import lean, sliced, table, unused, written
 
 MIN_WORDS = 50
 LINES = "d long, k long, i int, line_no int, line binary, ahead int, back int"
@@ -39,7 +39,7 @@ LINES = "d long, k long, i int, line_no int, line binary, ahead int, back int"
 
 def _lines(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out: list[list] = [[] for _ in range(7)]
             for d, k, text in zip(*(b.column(x).to_pylist() for x in range(3))):
                 lines = [(n, x) for n, x in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")) if x.strip()]
@@ -82,7 +82,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     """
     d, k = _identity(id_col, text_col)
     texts = docs.select(d.alias("d"), k.alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = written(texts.mapInArrow(_lines(min_words), LINES)).dropDuplicates(["d", "k", "i"])
+    lines = written(texts.mapInArrow(lean(_lines(min_words)), LINES)).dropDuplicates(["d", "k", "i"])
     base = written(_named(lines, ["line"], "r").drop("line"))
     ranks = [base.select("d", "k", "i", "r")]
     for level in range((max(1, min_words)).bit_length() - 1):

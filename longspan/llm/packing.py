@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspan.llm.common import table, written
+from longspan.llm.common import lean, sliced, table, written
 
 WINDOW = 2048
 SHARD_DOCS = 1000
@@ -189,7 +189,7 @@ def tokens(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, of_short = Tokenizer.of(vocabulary), [_hashes(np.arange(1 << 16), k) for k in (0, 1)]
-        for b in batches:
+        for b in sliced(batches):
             ids, wide, hashes = [], [], []
             for t in b.column(1):
                 x = tokenizer.ids(t.as_py(), end_id)
@@ -198,7 +198,7 @@ def tokens(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 hashes.append([int((h[x[:-1]] if not wide[-1] else _hashes(x[:-1], k)).min()) if len(x) > 1 else -1 for k, h in enumerate(of_short)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(wide), *(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1))], [x.split()[0] for x in TOKENS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, TOKENS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(lean(run), TOKENS)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, shard_docs: int = SHARD_DOCS, vocabulary: str = "byte_bpe_50k.tiktoken", end_id: int = END_ID) -> DataFrame:
@@ -231,7 +231,7 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_docs: int = SHARD_DOCS, vo
         if ids:
             yield shard()
 
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids", "wide").mapInArrow(run, SCHEMA)
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids", "wide").mapInArrow(lean(run), SCHEMA)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

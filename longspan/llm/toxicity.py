@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from longspan.llm.common import table
+from longspan.llm.common import lean, table
 
 PER_CLASS = 3000
 CLASS_BYTES = 8 << 20
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     so_far = F.sum(size).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))  # per_class rows a label
     sample = sample.where(size <= text_bytes).withColumn("so_far", so_far).where(F.col("so_far") <= class_bytes).select("doc_id", "text", "label")
-    found = sample.repartition(1).mapInArrow(_train, "model binary").collect()
+    found = sample.repartition(1).mapInArrow(lean(_train), "model binary").collect()
     return found[0][0] if found else pickle.dumps(Model())
 
 
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
             for some, _, scores in scorer.slices(b, 1):
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(scores)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: bytes, threshold: float = 0.5) -> DataFrame:
@@ -267,7 +267,7 @@ def accepted(docs: DataFrame, model: bytes, threshold: float = 0.5) -> DataFrame
                 bare = np.array([not (t or "").strip() for t in texts], bool)
                 yield some.filter(pa.array((scores < threshold) | bare))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def bucket5():

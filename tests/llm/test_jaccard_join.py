@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import words
 
 from longspan.llm import jaccard_join as jj
+from longspan.llm.common import SLICE
 
 
 def brute(rows, percent, width):
@@ -186,3 +187,19 @@ def test_middle_folds_tell_large_sets_apart_in_the_join(spark):
     kept = {(r["size"], r["like"]) for r in df.where(jj.Join.possible(SimpleNamespace(percent=80), "1", "2")).collect()}
     assert {(r[0], True) for r in rows} <= kept
     assert not {(n, False) for n in (2100, 3000, 5000)} & kept
+
+
+def test_signatures_are_made_of_slices_of_a_batch(lexicon):
+    """What is held of a batch doesn't grow with it: its rows leave in slices, and signatures with each."""
+    rng = random.Random(4)
+    texts = [words(rng, rng.randint(0, 12), lexicon) for _ in range(2 * SLICE + 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([b"k"] * len(texts))], ["doc_id", "text", "text_key"])
+    bands = jj.Bands(80, {8: len(texts)})
+    out = list(jj._parts(3, bands, frozenset())(iter([batch])))
+    rows = [b for b in out if b.column("sig").null_count]
+    assert [b.num_rows for b in rows] == [SLICE, SLICE, 7]
+    assert [x for b in rows for x in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    whole = [jj.set_key(jj.shingles(t, 3)) for t in texts]
+    assert [x for b in rows for x in b.column("set_key").to_pylist()] == whole
+    signed = sum(len(bands.signatures(x, k)) for t in texts if len(x := jj.shingles(t, 3)) for k in bands.of(len(x)))
+    assert sum(b.num_rows for b in out if not b.column("sig").null_count) == signed > 0
