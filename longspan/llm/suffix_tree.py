@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspan.llm.common import discard, table, written
+from longspan.llm.common import discard, lean, sliced, table, trim, written
 
 END = " "
 DEPTH = 4
@@ -52,6 +52,8 @@ CHUNK = 1_000_000
 #: Bytes of text that are cut into words at once.
 BYTES = 1 << 21
 ROWS = 512
+#: Texts that are scored at once: each of their tokens has a row for its word and for each length of context.
+SCORED = 128
 #: Occurrences in a range of contexts, which one reducer holds.
 RANGE = 1 << 20
 
@@ -155,7 +157,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if size:
             yield counted()
 
-    return docs.select("text").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(lean(run), "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
 class Bitmap:
@@ -200,22 +202,37 @@ def _levels(ids: np.ndarray, lengths: np.ndarray, depth: int) -> Iterator[tuple[
 PACKED = "depth int, bucket long, short boolean, ctx binary, size binary, word binary, n binary"
 
 
-def _pack(depth: int, code: np.ndarray, context: np.ndarray, word: np.ndarray, hot: np.ndarray, buckets: int, short: np.ndarray) -> pa.RecordBatch:
-    """The (context, word) of a chunk, counted: a row per range of contexts' hashes, one for words with short names and one for others."""
-    order = np.argsort(code)
+def _pack(depth: int, held: list[list[np.ndarray]], buckets: int, short: np.ndarray) -> pa.RecordBatch:
+    """The (context, word) of a chunk, counted: a row per range of contexts' hashes, one for words with short names and one for others.
+
+    held has the parts of four columns: the hash of both, context, word and whether it is hot. Each goes when it is read.
+    """
+
+    def column() -> np.ndarray:
+        return np.concatenate(held.pop(0))
+
+    code = column()
+    order = np.argsort(code).astype(np.uint32)  # a chunk and a run of texts are far below 2^32
     code = code[order]
     begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     n = np.diff(np.append(begin, len(code))).astype(np.uint32)
     order = order[begin]
-    context, word, hot = context[order], word[order], hot[order]
+    del code, begin
+    context = column()[order]
+    word = column()[order]
+    hot = column()[order]
     order = np.argsort(context.view(np.uint64))
     context, word, hot, n = context[order], word[order], hot[order], n[order]
+    del order
     by = np.where(hot, word, context).view(np.uint64)
     bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    del by, hot
     name = np.minimum(np.searchsorted(short, word), max(0, len(short) - 1))
     named = short[name] == word if len(short) else np.zeros(len(word), bool)
     kind = bucket * 2 + ~named
-    order = np.argsort(kind.astype(np.uint16 if buckets < 1 << 15 else np.int64), kind="stable")  # contexts stay in order
+    if buckets < 1 << 15:
+        kind = kind.astype(np.uint16)
+    order = np.argsort(kind, kind="stable")  # contexts stay in order
     kind = kind[order]
     edges = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]]))
     rows: list[tuple] = []
@@ -237,8 +254,10 @@ def _unpacked(rows: pa.Table, least: int, short: np.ndarray) -> pa.Table:
         names = short[np.frombuffer(word, np.uint16)] if is_short else np.frombuffer(word, np.int64)
         parts.append((np.repeat(np.frombuffer(c, np.int64), np.frombuffer(size, np.uint32)), names, np.frombuffer(n, np.uint32)))
     context, word, n = (np.concatenate(x) for x in zip(*parts))
+    del parts
     order = np.lexsort((word, context))
     context, word, n = context[order], word[order], n[order].astype(np.int64)
+    del order
     begin = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
     n = np.add.reduceat(n, begin)
     kept = n >= least
@@ -275,9 +294,9 @@ def entries(docs: DataFrame, depths: list[int], contexts: Broadcast, seen: Broad
         size = dict.fromkeys(depths, 0)
 
         def flush(d: int) -> pa.RecordBatch:
-            some = tuple(np.concatenate(x) for x in zip(*held[d]))
+            some = [list(x) for x in zip(*held[d])]
             held[d], size[d] = [], 0
-            return _pack(d, *some, buckets, short)
+            return _pack(d, some, buckets, short)
 
         for b in batches:
             for _, lengths, ids in token_runs(b.column(0)):
@@ -290,8 +309,13 @@ def entries(docs: DataFrame, depths: list[int], contexts: Broadcast, seen: Broad
             if size[d]:
                 yield flush(d)
 
-    packed = docs.select("text").mapInArrow(run, PACKED)
-    return packed.groupBy("depth", "bucket").applyInArrow(lambda rows: _unpacked(rows, least, short), "depth int, ctx long, word long, n long")
+    def frequent_ones(rows: pa.Table) -> pa.Table:
+        out = _unpacked(rows, least, short)
+        trim()
+        return out
+
+    packed = docs.select("text").mapInArrow(lean(run), PACKED)
+    return packed.groupBy("depth", "bucket").applyInArrow(frequent_ones, "depth int, ctx long, word long, n long")
 
 
 def _states(entries: DataFrame, v: int) -> DataFrame:
@@ -412,7 +436,7 @@ def _sorted(rows: DataFrame) -> tuple[np.ndarray, ...]:
             columns = [b.column(0).to_numpy(zero_copy_only=False), *(b.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in (1, 2)), b.column(3).to_numpy(zero_copy_only=False).astype(bool)]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["code", "base", "value", "known"])
 
-    packed = rows.select("code", "base", "value", "known").mapInArrow(run, "code binary, base binary, value binary, known binary").collect()
+    packed = rows.select("code", "base", "value", "known").mapInArrow(lean(run), "code binary, base binary, value binary, known binary").collect()
     columns = [np.frombuffer(b"".join(r[k] for r in packed), kind) for k, kind in enumerate((np.int64, float, float, bool))]
     order = np.argsort(columns[0])
     return tuple(c[order] for c in columns)
@@ -438,7 +462,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             at = np.minimum(np.searchsorted(codes, of), max(0, len(codes) - 1))
             return at, (codes[at] == of) if len(codes) else np.zeros(len(of), bool)
 
-        for b in batches:
+        for b in sliced(batches, SCORED):
             for lo, lengths, ids in token_runs(b.column(3)):
                 size = len(lengths)
                 row = np.repeat(np.arange(size), lengths)
@@ -471,7 +495,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                 # A text's own row meets nothing: its code is spread by the key, its tf null.
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(joined(keys.astype(np.int64))), pa.nulls(size, pa.int32()), some.column(1), some.column(2), *columns], schema=schema)
 
-    parts = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", "text").mapInArrow(run, PARTS)
+    parts = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", "text").mapInArrow(lean(run), PARTS)
     met = parts.join(full.where(F.col("n") < least).select("code", "base", "value", "known"), "code", "left")
     firsts = [F.max(c).alias(c) for c in PARTS.replace(",", "").split()[6::2]]
     sums = met.groupBy("key").agg(

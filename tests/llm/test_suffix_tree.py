@@ -1,8 +1,12 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from conftest import words
 from pyspark.sql import functions as F
@@ -154,3 +158,23 @@ def test_more_text_makes_a_larger_and_better_tree(spark):
         held = df.where("held_out").agg(F.sum("n_tokens"), F.sum("score"), F.sum("base_score")).first()
         found.append((sum(e.count() for e, _ in tree.levels), held[1] / held[0], (held[1] - held[2]) / held[0]))
     assert found[1][0] > 5 * found[0][0] and found[1][1] > found[0][1] and found[1][2] > found[0][2] > 0
+
+
+def test_a_chunk_is_packed_column_by_column():
+    """Counts are right, and a chunk of 25 bytes a token takes at most 75 while it is packed (116 to 123 when all columns were held)."""
+    rng = np.random.default_rng(3)
+    context, word = rng.integers(-(2**62), 2**62, 300)[rng.integers(0, 300, 400_000)], rng.integers(-(2**62), 2**62, 500)[rng.integers(0, 500, 400_000)]
+    code = st.joined(word, st.joined(context))
+    tracemalloc.start()
+    held = [[c[:150_000].copy(), c[150_000:].copy()] for c in (code, context, word, np.zeros(len(code), bool))]
+    packed = st._pack(1, held, 64, np.empty(0, np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held == [] and peak < 75 * len(code)
+    want = Counter(zip(context.tolist(), word.tolist()))
+    rows = pa.Table.from_batches([packed])
+    got = {}
+    for b in set(rows["bucket"].to_pylist()):
+        out = st._unpacked(rows.filter(pc.equal(rows["bucket"], b)), 1, np.empty(0, np.int64)).to_pydict()
+        got |= dict(zip(zip(out["ctx"], out["word"]), out["n"]))
+    assert got == dict(want)
