@@ -5,7 +5,7 @@ window of ``WINDOW`` words are averaged and go through a linear softmax. A text'
 over every window of the whole text: a toxic word is found in a text of any length, and misspellings and unseen endings
 of it share its n-grams. Words beside a toxic one dilute it, so a window is one word: windows of two find fewer toxic texts.
 
-Vectors and softmax are trained jointly in numpy, by Adam on all training texts at once. A toxic text is taken to have at
+Vectors and softmax are trained jointly in numpy, by Adam; each round sums over all training texts, some at a time. A toxic text is taken to have at
 least one toxic window, any other none: with window odds p, the chance of a toxic text is 1 - prod(1 - p), so each window
 of a toxic text learns in proportion to how far it explains the label, and no first guess locks in. In each round only
 ``KEEP`` of a toxic text's windows, drawn anew, are asked, so that words which always stand beside others that explain
@@ -24,7 +24,7 @@ labelled rows of both classes every score is that of the untrained model, near 0
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from longspan.llm.common import lean, table
+from longspan.llm.common import lean, table, trim
 
 PER_CLASS = 3000
 CLASS_BYTES = 8 << 20
@@ -51,6 +51,7 @@ PRIOR = -4.0  # log odds of a window before anything is learned
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-_/\\"
 WORDS_KEPT = 400_000
 PART = 20_000
+TOKENS = 1 << 17  # of training texts that are worked on at once, but for a longer text
 SLICE = 256  # texts whose words are held at once
 
 
@@ -76,9 +77,9 @@ def grams(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def gram_parts(names: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def gram_parts(names: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Number of names, and their grams, of parts of names that are small enough to be worked on at once."""
-    return [(len(some), *grams(some)) for some in (names[k : k + PART] for k in range(0, len(names), PART))]
+    return ((len(some), *grams(some)) for some in (names[k : k + PART] for k in range(0, len(names), PART)))
 
 
 class Model:
@@ -132,25 +133,85 @@ def misspelt(word: str, rng: np.random.Generator) -> str:
     return (word[:k] + c + word[k:], word[:k] + word[k + 1 :], word[:k] + c + word[k + 1 :])[way] or word
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
+def spans(size: np.ndarray, tokens: int) -> list[tuple[int, int]]:
+    """(first text, text after the last) of runs of whole texts of these numbers of words: at most so many words, or one text."""
+    out, lo, ends = [], 0, np.cumsum(size)
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + tokens, "right")))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+class Words:
+    """The windows of training texts, whose words are numbers laid end to end. Sums of them take a run of texts at a time."""
+
+    def __init__(self, docs: list[np.ndarray], label: np.ndarray):
+        self.size, self.tokens, self.label = np.array([len(d) for d in docs]), np.concatenate(docs), label
+        self.weight = np.where(label, 0.25 / label.sum(), 0.5 / (~label).sum())
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])
+        self.err = np.empty(len(windows(self.size)[0]))
+
+    def slopes(self, z: np.ndarray, bias: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+        """Of the loss: that by each word's number and that by the bias, when words have numbers z."""
+        out, so_far, back_so_far, left, at = np.zeros(len(z)), 0.0, 0.0, 0.0, 0
+        for lo, hi in spans(self.size, TOKENS):
+            tokens = self.tokens[self.begin[lo] : self.begin[hi]]
+            text, start, end = windows(self.size[lo:hi])
+            length, toxic = end - start, self.label[lo:hi][text]
+            total = np.cumsum(np.concatenate([[so_far], z[tokens]]))
+            so_far = total[-1]
+            odds = (total[end] - total[start]) / length + bias[1] - bias[0]
+            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            p *= ~toxic | (rng.random(len(text)) < KEEP)
+            clean = np.exp(np.bincount(text, np.log1p(-p), hi - lo))[text]  # chance that no window of its text is toxic
+            err = self.err[at : at + len(text)]
+            err[:] = self.weight[lo:hi][text] * p * np.where(toxic, -clean / np.maximum(1 - clean, 1e-9), 1)
+            at += len(text)
+            each = err / length
+            ended = np.bincount(end, each, len(tokens) + 1)
+            ended[0] = left
+            left = ended[-1]
+            back = (np.bincount(start, each, len(tokens) + 1) - ended)[:-1]
+            if len(back):
+                back[0] += back_so_far
+                back = np.cumsum(back)
+                back_so_far = back[-1]
+            np.add.at(out, tokens, back)
+        return out, self.err.sum()
+
+
+def train(texts: Iterable[str | None], labels: list[int], seed: int = 7) -> Model:
     model, rng = Model(), np.random.default_rng(seed)
     index: dict[str, int] = {}
     docs = [np.array([index.setdefault(w, len(index)) for w in words(t)], np.int32) for t in texts]
     label = np.array(labels, bool)
     if not index or label.all() or not label.any():
         return model
-    names, tokens = list(index), np.concatenate(docs)
-    text, start, end = windows(np.array([len(d) for d in docs]))
-    length, toxic = end - start, label[text]
-    weight = np.where(label, 0.25 / label.sum(), 0.5 / (~label).sum())
-    parts = gram_parts(names)
+    names = list(index)
+    del index
+    parts = list(gram_parts(names))
     used = shared_buckets(parts, docs, len(names))
-    place = np.full(1 << BITS, len(used), np.int32)  # of a bucket among used ones; all others share a last place that stays 0
+    held = Words(docs, label)
+    del docs
+    place = np.full(1 << BITS, len(used), np.int32)  # of a bucket among used ones; all others have no vector
     place[used] = np.arange(len(used))
-    odd = gram_parts([misspelt(w, rng) for w in names])
-    spelt, odd = ([(n, place[bucket], word, np.bincount(word, minlength=n)) for n, bucket, word in x] for x in (parts, odd))
+
+    def placed(parts: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple]:
+        """Number of names, places and names of the used grams, and numbers of all grams of each name."""
+        out = []
+        for n, bucket, word in parts:
+            some = place[bucket] < len(used)
+            out.append((n, place[bucket][some], word[some].astype(np.uint16), np.bincount(word, minlength=n)))
+        return out
+
+    spelt = placed(parts.pop(0) for _ in range(len(parts)))
+    odd = [misspelt(w, rng) for w in names]
+    del names
+    odd = placed(gram_parts(odd))
+    trim()
     state = [rng.normal(0, 0.1, (len(used) + 1, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.array([0.0, PRIOR])]
-    state[0][-1] = 0
+    state[0][-1] = 0  # a last place that stays 0
     mean, square = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
     for t in range(1, ROUNDS + 1):
         vectors, softmax, bias = state
@@ -158,26 +219,23 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         way = softmax[:, 1] - softmax[:, 0]
         slope = vectors @ way
         z = np.concatenate([np.bincount(word, slope[at], n) / count for n, at, word, count in parts])
-        total = np.concatenate([[0.0], np.cumsum(z[tokens])])
-        odds = (total[end] - total[start]) / length + bias[1] - bias[0]
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        p *= ~toxic | (rng.random(len(text)) < KEEP)
-        clean = np.exp(np.bincount(text, np.log1p(-p), len(docs)))[text]  # chance that no window of its text is toxic
-        err = weight[text] * p * np.where(toxic, -clean / np.maximum(1 - clean, 1e-9), 1)
-        each = err / length
-        back = np.cumsum(np.bincount(start, each, len(tokens) + 1) - np.bincount(end, each, len(tokens) + 1))[:-1]
-        back = np.bincount(tokens, back, len(names))
+        back, err = held.slopes(z, bias, rng)
         by_gram, at_name = np.zeros(len(used) + 1), 0
         for n, at, word, count in parts:
             by_gram += np.bincount(at, (back[at_name : at_name + n] / count)[word], len(used) + 1)
             at_name += n
-        by_gram[-1] = 0
         turn = by_gram @ vectors
-        slopes = (by_gram[:, None] * way + DECAY * vectors, np.stack([-turn, turn], 1) + DECAY * softmax, np.array([-err.sum(), err.sum()]))
-        for x, g, m, s in zip(state, slopes, mean, square):
+        other = np.stack([-turn, turn], 1) + DECAY * softmax, np.array([-err, err])
+
+        def step(x: np.ndarray, g: np.ndarray, m: np.ndarray, s: np.ndarray) -> None:
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             x -= RATE * min(1, 2 - 2 * t / (ROUNDS + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+
+        for k in (slice(lo, lo + PART) for lo in range(0, len(used) + 1, PART)):
+            step(vectors[k], by_gram[k, None] * way + DECAY * vectors[k], mean[0][k], square[0][k])
+        for x, g, m, s in zip(state[1:], other, mean[1:], square[1:]):
+            step(x, g, m, s)
     model.vectors[used] = state[0][:-1]
     model.softmax, model.bias, model.trained = state[1], state[2], True
     return model
@@ -186,9 +244,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for b in batches for r in b.to_pylist()]
     rows.sort(key=lambda r: (r["label"], r["doc_id"], r["text"] or ""))
-    texts, labels = [r["text"] for r in rows], [r["label"] for r in rows]
-    del rows
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels))], pa.binary())], ["model"])
+    labels = [r["label"] for r in rows]
+    model = train((r.pop("text") for r in rows), labels)  # each text goes when it is read
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES, text_bytes: int = TEXT_BYTES) -> bytes:
