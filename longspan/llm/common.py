@@ -80,6 +80,19 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield b.slice(lo, rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is executed within, and not later, gives Python at most SLICE rows at once: a batch of whole texts is held in the JVM too."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= SLICE:
+        spark.conf.set(key, str(SLICE))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def trim() -> None:
     """Gives memory that was freed back to the system; allocators would keep it, in workers that wait for a task too."""
     pa.default_memory_pool().release_unused()

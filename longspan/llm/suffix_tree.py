@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longspan.llm.common import discard, lean, sliced, table, trim, written
+from longspan.llm.common import discard, lean, sliced, small_batches, table, trim, written
 
 END = " "
 DEPTH = 4
@@ -51,7 +51,7 @@ BITS = 27
 CHUNK = 1_000_000
 #: Bytes of text that are cut into words at once.
 BYTES = 1 << 21
-ROWS = 512
+ROWS = 128
 #: Texts that are scored at once: each of their tokens has a row for its word and for each length of context.
 SCORED = 128
 #: Occurrences in a range of contexts, which one reducer holds.
@@ -160,22 +160,32 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(lean(run), "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
+def _places(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash."""
+    return code & ((1 << BITS) - 1), (code >> (64 - BITS)) & ((1 << BITS) - 1)
+
+
 class Bitmap:
     """A set of hashes by two bits of each: what is in the set is found, a little else is too."""
 
     def __init__(self, rows: DataFrame, code: Column):
-        low = (1 << BITS) - 1
-        places = (code.bitwiseAND(F.lit(low)), F.shiftright(code, 64 - BITS).bitwiseAND(F.lit(low)))
-        at = rows.select(F.explode(F.array(*(x + 1 for x in places))).alias("at"))  # buckets begin at 1
-        parts = at.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros((1 << BITS - 15, 4096), np.uint8)
+            for b in batches:
+                for at in _places(b.column(0).to_numpy()):
+                    np.bitwise_or.at(bits.reshape(-1), at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+            some = np.flatnonzero(bits.any(axis=1))
+            for part in (some[k : k + 256] for k in range(0, len(some), 256)):
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([bits[k].tobytes() for k in part], pa.binary())], ["b", "bits"])
+
+        parts = rows.select(code.alias("code")).mapInArrow(lean(run), "b long, bits binary").groupBy("b").agg(F.bitmap_or_agg("bits").alias("bits"))
         self.bits = np.zeros(1 << BITS - 3, np.uint8)
         for r in parts.coalesce(8).toLocalIterator():  # at most 2^(BITS - 15) rows of 4 KB, an eighth at a time
-            self.bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+            self.bits[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
 
     def has(self, code: np.ndarray) -> np.ndarray:
         out = np.ones(len(code), bool)
-        for shift in (0, 64 - BITS):
-            at = (code >> shift) & ((1 << BITS) - 1)
+        for at in _places(code):
             out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return out
 
@@ -390,7 +400,8 @@ def fit(docs: DataFrame, counts: DataFrame, depth: int = DEPTH, context: int = C
         """entries after the frequent ones of rows, the words or pairs."""
         hot = [r["code"] for r in rows.where(F.col("n") * buckets > n).select("code").collect()]  # fewer than buckets
         maps = [spark.sparkContext.broadcast(Bitmap(x, F.col("code"))) for x in (rows.where("whole").where(F.col("n") >= context), rows)]
-        out = written(entries(docs, depths, *maps, least, buckets, hot, short))
+        with small_batches(spark):
+            out = written(entries(docs, depths, *maps, least, buckets, hot, short))
         for x in maps:
             x.destroy()
         return out
@@ -520,7 +531,8 @@ def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 7
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.coalesce(fold != 2, F.lit(False)).alias("learned"))
     training = docs.where("learned")
-    counts = written(word_counts(training))
+    with small_batches(spark):
+        counts = written(word_counts(training))
     return score(docs, fit(training, counts), counts)
 
 

@@ -178,3 +178,34 @@ def test_a_chunk_is_packed_column_by_column():
         out = st._unpacked(rows.filter(pc.equal(rows["bucket"], b)), 1, np.empty(0, np.int64)).to_pydict()
         got |= dict(zip(zip(out["ctx"], out["word"]), out["n"]))
     assert got == dict(want)
+
+
+def test_bitmap_is_made_of_fixed_parts(spark):
+    """It has all its hashes and hardly any other; what tasks pass on is of fixed size however many hashes there are."""
+    rows = spark.range(0, 300_000, 1, 3).select(F.xxhash64("id").alias("code"))
+    codes = rows.toPandas()["code"].to_numpy()
+    bits = st.Bitmap(rows, F.col("code"))
+    assert bits.has(codes).all() and bits.has(~codes).sum() < 100
+    assert np.unpackbits(bits.bits).sum() <= 2 * len(codes)
+    assert not st.Bitmap(rows.limit(0), F.col("code")).bits.any()
+    made = []
+    frame = type(rows)
+    kept = frame.mapInArrow
+    try:
+        frame.mapInArrow = lambda self, f, schema, *a, **k: made.append(kept(self, f, schema, *a, **k)) or made[-1]
+        st.Bitmap(rows, F.col("code"))
+    finally:
+        frame.mapInArrow = kept
+    assert made[0].count() <= 3 * (1 << st.BITS - 15)
+
+
+def test_batches_are_small_within_a_block_only(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with st.small_batches(spark):
+        rows = spark.range(5000).coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long").collect()
+        assert max(r["n"] for r in rows) <= 512 and sum(r["n"] for r in rows) == 5000
+    assert spark.conf.get(key) == before
+    with pytest.raises(ZeroDivisionError), st.small_batches(spark):
+        1 / 0
+    assert spark.conf.get(key) == before
